@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, packing, quality, secrets, warc
+from . import decontaminate, itq, jaccard, language, mixing, packing, quality, recompression, secrets, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -33,10 +37,22 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(table(spark, sf_dir, "documents")).drop("bits_per_byte")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.dedup_substrings(table(spark, sf_dir, "documents"), window=35).drop("kept")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     path, index = warc.write_warc(pages, min_bytes=0)
@@ -64,6 +80,6 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.page_language(table(spark, sf_dir, "pages")).select("page_id", "lang_id", "lang_posterior", "lang_kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_secret_scan, op6_quality, op8_warc, op9_packing, op10_language_id, language_id_pages)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_benchmark_decontamination, op3_secret_scan, op4_ngram_jaccard, op5_lm_score, op6_quality, op7_substring_dedup, op8_warc, op9_packing, op10_language_id, language_id_pages)}
 
 ORACLES: dict[str, str] = {}
