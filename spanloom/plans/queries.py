@@ -1,3 +1,506 @@
-"""Registered queries of the annotation engine."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Registered queries of the annotation engine, each with its SQL oracle where SQL can say it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import codecs
+from ..functions import text as tx
+from ..operators import alignment, markup, scores, sweep
+from ..operators import chains as ch
+from ..sources import conll
+from .derived import KEYS, MEN, MRK, PRI, SEG, TOK, derived_tokens, lengths, mentions, met, sql, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _sweep(spark, d):
+    m = mentions(spark, d)
+    return m, sweep.segments(m, lengths(spark, d), KEYS)
+
+
+def _principals(spark, d):
+    m, s = _sweep(spark, d)
+    return s, sweep.principals(s, m, KEYS)
+
+
+def _marks(spark, d):
+    s, p = _principals(spark, d)
+    return sweep.marks(s, p, [1, 2], KEYS)
+
+
+@query(sql("SELECT doc_id, tok_idx, tok_start, tok_end, word FROM tok", TOK))
+def tokenize(spark, d):
+    return derived_tokens(spark, d)
+
+
+_B = "[ \\t\\x0B\\f\\r]"
+
+
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{_B}*\\n{_B}*', chr(10), 'g'), '([^\\n])\\n([^\\n])', '\\1 \\2', 'g'), '\\n\\n+', chr(10) || chr(10), 'g'), '{_B}+', ' ', 'g') AS normalized FROM documents")
+def normalize_ws(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.normalize("text").alias("normalized"))
+
+
+@query(sql("SELECT doc_id, ann, seq, m_start, m_end, entity FROM men", TOK, MEN))
+def mentions_derived(spark, d):
+    return mentions(spark, d)
+
+
+@query(sql("SELECT doc_id, seg_idx, s, e FROM seg", TOK, MEN, SEG))
+def segments(spark, d):
+    return _sweep(spark, d)[1]
+
+
+@query(sql("SELECT doc_id, seg_idx, ann, row_number() OVER (PARTITION BY doc_id, seg_idx, ann ORDER BY m_start, m_end DESC, seq) - 1 AS ord, seq, entity, CASE WHEN e = m_start THEN 'START' WHEN e = m_end THEN 'END' ELSE 'INTERMEDIATE' END AS pos_type FROM mt", TOK, MEN, SEG, met("<=")))
+def open_mentions(spark, d):
+    m, s = _sweep(spark, d)
+    return sweep.open_mentions(s, m, KEYS).select("doc_id", "seg_idx", "ann", "ord", "seq", "entity", "pos_type")
+
+
+@query(sql("SELECT doc_id, seg_idx, ann, entity FROM pri", TOK, MEN, SEG, PRI))
+def principal(spark, d):
+    return _principals(spark, d)[1].select("doc_id", "seg_idx", "ann", "entity")
+
+
+@query(sql("SELECT doc_id, seg_idx, s, e, ann, gold_entity, entity, eval FROM mrk", TOK, MEN, SEG, PRI, MRK))
+def eval_marks(spark, d):
+    return _marks(spark, d).drop("split")
+
+
+@query(sql("SELECT doc_id, seg_idx, e1 <> e2 AS split FROM l1", TOK, MEN, SEG, PRI, MRK))
+def split_flag(spark, d):
+    return _marks(spark, d).where("ann = 1").select("doc_id", "seg_idx", "split")
+
+
+@query(sql("SELECT ann, eval, count(*) AS n_segments, CAST(sum(e - s) AS BIGINT) AS n_chars FROM mrk GROUP BY ann, eval", TOK, MEN, SEG, PRI, MRK))
+def eval_summary(spark, d):
+    return _marks(spark, d).groupBy("ann", "eval").agg(F.count(F.lit(1)).alias("n_segments"), F.sum(F.col("e") - F.col("s")).alias("n_chars"))
+
+
+@query(sql("SELECT doc_id, ann, e, repeat('(', CAST(count(*) FILTER (e = m_start) AS INT)) AS chain_before, repeat(')', CAST(count(*) FILTER (e <> m_start AND e = m_end) AS INT)) AS chain_after FROM mt GROUP BY doc_id, ann, e", TOK, MEN, SEG, met("<=")))
+def chain_before_after(spark, d):
+    m, s = _sweep(spark, d)
+    return sweep.chain_marks(sweep.open_mentions(s, m, KEYS), KEYS)
+
+
+_MIN = "mm AS (SELECT m.doc_id, ann, seq, m_start, m_end, entity, instr(substring(text, m_start + 1, m_end - m_start), substring(text, m_start + 3, 2)) AS at_pos FROM men m JOIN documents d ON m.doc_id = d.doc_id)"
+
+
+@query(sql("SELECT doc_id, ann, seq, CASE WHEN at_pos > 0 THEN m_start + at_pos - 1 ELSE m_start END AS min_start, CASE WHEN at_pos > 0 THEN m_start + at_pos + 1 ELSE m_end END AS min_end FROM mm", TOK, MEN, _MIN))
+def min_mentions(spark, d):
+    """The minimal span of every mention: the first occurrence of its third and fourth character in it."""
+    m = mentions(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    at = F.expr("instr(substring(text, m_start + 1, m_end - m_start), substring(text, m_start + 3, 2))")
+    return m.withColumn("at", at).select("doc_id", "ann", "seq", F.when(F.col("at") > 0, F.col("m_start") + F.col("at") - 1).otherwise(F.col("m_start")).alias("min_start"), F.when(F.col("at") > 0, F.col("m_start") + F.col("at") + 1).otherwise(F.col("m_end")).alias("min_end"))
+
+
+_NME = "nm AS (SELECT doc_id, ann, seq, CASE entity WHEN 'P0' THEN '--' WHEN 'P1' THEN '--OOKBE--' WHEN 'P2' THEN '--NME--' ELSE entity END AS entity FROM men)"
+
+
+@query(sql("SELECT doc_id, ann, seq, entity FROM nm WHERE entity NOT IN ('--', '--OOKBE--', '--NME--')", TOK, MEN, _NME))
+def nme_filter(spark, d):
+    e = F.col("entity")
+    m = mentions(spark, d).withColumn("entity", F.when(e == "P0", "--").when(e == "P1", "--OOKBE--").when(e == "P2", "--NME--").otherwise(e))
+    return m.where(~F.col("entity").isin(*tx.NO_ENTITY)).select("doc_id", "ann", "seq", "entity")
+
+
+_NEXT = "nx AS (SELECT doc_id, ann, seq, m_start AS s1, m_end AS e1, lead(m_start) OVER w AS s2, lead(m_end) OVER w AS e2 FROM men WINDOW w AS (PARTITION BY doc_id, ann ORDER BY m_start, m_end DESC, seq))"
+
+
+@query(sql("SELECT doc_id, ann, seq, s1 = s2 AND e1 = e2 AS same_span, least(e1, e2) > greatest(s1, s2) AS overlapping, s1 <= s2 AND e1 >= e2 AS contains_next FROM nx WHERE s2 IS NOT NULL", TOK, MEN, _NEXT))
+def span_predicates(spark, d):
+    w = Window.partitionBy("doc_id", "ann").orderBy("m_start", F.desc("m_end"), "seq")
+    m = mentions(spark, d).withColumns({"s2": F.lead("m_start").over(w), "e2": F.lead("m_end").over(w)}).where("s2 is not null")
+    a = ("m_start", "m_end", "s2", "e2")
+    return m.select("doc_id", "ann", "seq", tx.same_span(*a).alias("same_span"), tx.overlapping(*a).alias("overlapping"), tx.contains(*a).alias("contains_next"))
+
+
+@query("WITH o AS (SELECT item_id, text AS a, CASE WHEN item_id % 3 = 0 THEN left(text, 20) || 'x' || substring(text, 22) ELSE text END AS b FROM benchmark) SELECT item_id, length(a) AS len0, length(b) AS len1, list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda n: left(a, n) = left(b, n))) AS prefix_len FROM o WHERE a <> b")
+def text_guard(spark, d):
+    """Articles whose text differs from the gold text: lengths and common prefix."""
+    o = table(spark, d, "benchmark").select("item_id", F.col("text").alias("a"), F.when(F.col("item_id") % 3 == 0, F.concat(F.left("text", F.lit(20)), F.lit("x"), F.expr("substring(text, 22)"))).otherwise(F.col("text")).alias("b"))
+    return o.where("a <> b").select("item_id", F.length("a").alias("len0"), F.length("b").alias("len1"), tx.common_prefix("a", "b").alias("prefix_len"))
+
+
+@query("WITH a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_idx, doc_id, text FROM documents), b AS (SELECT doc_idx, doc_id, CASE WHEN doc_idx = 57 THEN text || '!' ELSE text END AS text FROM a WHERE doc_idx < 150) SELECT doc_idx FROM a WHERE doc_idx < (SELECT min(a.doc_idx) FROM a LEFT JOIN b ON a.doc_idx = b.doc_idx WHERE b.doc_id IS NULL OR a.text <> b.text)")
+def zip_prefix(spark, d):
+    from pyspark.sql import Window as W
+
+    ids = table(spark, d, "documents").select("doc_id").withColumn("doc_idx", F.row_number().over(W.orderBy("doc_id")) - 1)
+    a = table(spark, d, "documents").select("doc_id", "text").join(ids, "doc_id")
+    b = a.where("doc_idx < 150").withColumn("text", F.when(F.col("doc_idx") == 57, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return sweep.zip_prefix(a, b, "doc_idx", ["doc_id", "text"])
+
+
+_CHN = "fo AS (SELECT doc_id, ann, entity, min(m_start::HUGEINT * 100000000000000 + (10000000 - m_end)::HUGEINT * 10000000 + seq) AS f, count(*) AS n_mentions FROM men GROUP BY ALL), chn AS (SELECT doc_id, ann, entity, row_number() OVER (PARTITION BY doc_id, ann ORDER BY f) AS chain_idx, n_mentions FROM fo)"
+
+
+@query(sql("SELECT doc_id, ann, entity, chain_idx, n_mentions FROM chn", TOK, MEN, _CHN))
+def chains(spark, d):
+    return ch.chains(mentions(spark, d), KEYS)
+
+
+_COO = "coo AS (SELECT doc_id, p0 AS e0, p1 AS e1, count(*) AS cnt FROM wide WHERE p0 IS NOT NULL AND p1 IS NOT NULL GROUP BY ALL)"
+_MEN01 = MEN + ", all_men AS (SELECT * FROM men)"
+
+
+def _pair_sweep(spark, d):
+    """The sweep of annotators 0 and 1 alone."""
+    m = mentions(spark, d).where("ann < 2")
+    return sweep.principals(sweep.segments(m, lengths(spark, d), KEYS), m, KEYS)
+
+
+_PAIR = (TOK, MEN.replace("men AS (", "men3 AS (") + ", men AS (SELECT * FROM men3 WHERE ann < 2)", SEG, PRI)
+
+
+@query(sql("SELECT doc_id, e0, e1, cnt FROM coo", *_PAIR, _COO))
+def entity_cooccurrence(spark, d):
+    return ch.cooccurrence(_pair_sweep(spark, d), KEYS, 0, 1)
+
+
+_GRE = "gre AS (SELECT doc_id, e0, e1, cnt FROM coo QUALIFY row_number() OVER (PARTITION BY doc_id, e0 ORDER BY cnt DESC, e1) = 1)"
+
+
+@query(sql("SELECT doc_id, e0, e1, cnt FROM gre", *_PAIR, _COO, _GRE))
+def entity_map_greedy(spark, d):
+    return ch.greedy_map(ch.cooccurrence(_pair_sweep(spark, d), KEYS, 0, 1), KEYS)
+
+
+@query(sql("SELECT doc_id, p0 AS e0, arg_max(p1, seg_idx) AS e1 FROM wide WHERE p0 IS NOT NULL AND p1 IS NOT NULL GROUP BY doc_id, p0", *_PAIR))
+def entity_map_last(spark, d):
+    return ch.last_map(_pair_sweep(spark, d), KEYS, 0, 1)
+
+
+@query()
+def entity_maps_product(spark, d):
+    return ch.entity_maps(ch.cooccurrence(_pair_sweep(spark, d), KEYS, 0, 1), KEYS)
+
+
+@query(sql("""SELECT c.doc_id, c.entity, coalesce(b.i0, coalesce(n.n0, 0) + sum(CASE WHEN b.i0 IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY c.doc_id ORDER BY c.chain_idx))::BIGINT AS aligned_idx
+FROM chn c LEFT JOIN (SELECT g.doc_id, g.e1 AS entity, min(k.chain_idx) AS i0 FROM gre g JOIN chn k ON k.ann = 0 AND k.doc_id = g.doc_id AND k.entity = g.e0 GROUP BY ALL) b ON b.doc_id = c.doc_id AND b.entity = c.entity
+LEFT JOIN (SELECT doc_id, count(*) AS n0 FROM chn WHERE ann = 0 GROUP BY doc_id) n ON n.doc_id = c.doc_id WHERE c.ann = 1""", *_PAIR, _COO, _GRE, _CHN))
+def aligned_chain_idx(spark, d):
+    m = mentions(spark, d).where("ann < 2")
+    return ch.aligned_chain_idx(ch.chains(m, KEYS), ch.greedy_map(ch.cooccurrence(_pair_sweep(spark, d), KEYS, 0, 1), KEYS), KEYS, other=1)
+
+
+@query(sql("SELECT doc_id, entity FROM men GROUP BY doc_id, entity", TOK, MEN))
+def entity_list(spark, d):
+    return mentions(spark, d).select("doc_id", "entity").distinct()
+
+
+_BND = "bnd AS (SELECT doc_id, ann, seq, m_start, m_end, entity, tok_idx AS first_tok, CASE WHEN seq >= 1000000 THEN tok_idx + 2 ELSE tok_idx END AS last_tok FROM men JOIN tok USING (doc_id) WHERE tok_start = m_start)"
+
+
+@query(sql("SELECT doc_id, ann, seq, first_tok, last_tok FROM bnd", TOK, MEN, _BND))
+def token_boundaries(spark, d):
+    return markup.token_boundaries(derived_tokens(spark, d), mentions(spark, d), KEYS).select("doc_id", "ann", "seq", "first_tok", "last_tok")
+
+
+_CONLL = """bn AS (SELECT * FROM bnd WHERE ann = 0),
+nf AS (SELECT doc_id, entity, min(first_tok::HUGEINT * 1000000000000000000000 + m_start::HUGEINT * 100000000000000 + (10000000 - m_end)::HUGEINT * 10000000 + seq) AS f FROM bn GROUP BY ALL),
+nu AS (SELECT doc_id, entity, row_number() OVER (PARTITION BY doc_id ORDER BY f) AS num FROM nf),
+bb AS (SELECT bn.*, num FROM bn JOIN nu USING (doc_id, entity)),
+sx AS (SELECT doc_id, first_tok AS tok_idx, num, m_start, m_end, seq, row_number() OVER (PARTITION BY doc_id, first_tok, num ORDER BY m_start, m_end DESC, seq) AS k FROM bb),
+ex AS (SELECT doc_id, last_tok AS tok_idx, num, count(*) AS n_end FROM bb GROUP BY ALL),
+ns AS (SELECT doc_id, tok_idx, num, count(*) AS n_start FROM sx GROUP BY ALL),
+it AS (SELECT doc_id, tok_idx, 0 AS side, m_start::BIGINT AS a, -m_end::BIGINT AS b, seq::BIGINT AS c, '(' || num || CASE WHEN k <= coalesce(n_end, 0) THEN ')' ELSE '' END AS t FROM sx LEFT JOIN ex USING (doc_id, tok_idx, num)
+  UNION ALL SELECT doc_id, tok_idx, 1, num, 0, unnest(range(1, (n_end - coalesce(n_start, 0) + 1)::BIGINT)), num || ')' FROM ex LEFT JOIN ns USING (doc_id, tok_idx, num) WHERE n_end > coalesce(n_start, 0)),
+ce AS (SELECT doc_id, tok_idx, string_agg(t, '|' ORDER BY side, a, b, c) AS coref FROM it GROUP BY ALL),
+cl AS (SELECT doc_id, tok_idx, replace(replace(replace(word, '(', '-LBR-'), ')', '-RBR-'), chr(10), ' ↵ ') AS word, coalesce(coref, '-') AS coref FROM tok LEFT JOIN ce USING (doc_id, tok_idx))"""
+
+
+def _conll(spark, d):
+    t = derived_tokens(spark, d)
+    return markup.conll_rows(t, markup.token_boundaries(t, mentions(spark, d).where("ann = 0"), KEYS), KEYS)
+
+
+@query(sql("SELECT doc_id, tok_idx, word, coref FROM cl", TOK, MEN, _BND, _CONLL))
+def conll_lines(spark, d):
+    return _conll(spark, d)
+
+
+@query(sql("SELECT doc_id, num, first_tok, last_tok FROM bb", TOK, MEN, _BND, _CONLL))
+def conll_parse(spark, d):
+    """Writing the token table and reading its brackets gives the mentions back."""
+    return markup.parse_coref(_conll(spark, d), KEYS)
+
+
+@query(sql("SELECT doc_id, string_agg(word, ' ' ORDER BY tok_idx) AS words FROM cl WHERE NOT starts_with(word, '#') GROUP BY doc_id", TOK, MEN, _BND, _CONLL))
+def conll_column(spark, d):
+    """Documents as CoNLL text, read again: the word column."""
+    rows = conll.to_lines(_conll(spark, d), "doc_id").select(F.col("doc_id").cast("string").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    c = conll.column(conll.documents(rows), 0)
+    return c.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "word"))), lambda x: x.word), " ").alias("words"))
+
+
+_ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+
+
+@query(sql(f"""SELECT doc_id, string_agg({_ESC.format('substring(text, prev + 1, pos - prev)')} || tag, '' ORDER BY n) AS marked FROM (
+SELECT *, row_number() OVER w AS n, coalesce(lag(pos) OVER w, 0) AS prev FROM (
+SELECT doc_id, m_start AS pos, 1 AS kind, m_start AS a, -m_end AS b, seq AS c, '<mark entity=''' || {_ESC.format('entity')} || '''>' AS tag FROM men WHERE ann = 0
+UNION ALL SELECT doc_id, m_end, 0, -m_start, m_end, -seq, '</mark>' FROM men WHERE ann = 0
+UNION ALL SELECT doc_id, length(text), 2, 0, 0, 0, '' FROM documents) WINDOW w AS (PARTITION BY doc_id ORDER BY pos, kind, a, b, c)) JOIN documents USING (doc_id) GROUP BY doc_id""", TOK, MEN))
+def marked_text(spark, d):
+    return markup.marked_text(table(spark, d, "documents"), mentions(spark, d).where("ann = 0"), "doc_id")
+
+
+_TAGS = "tg AS (SELECT page_id, unnest(regexp_extract_all(html, '</?(?:ul|li|a|nav|div)\\b[^>]*>')) AS tag, unnest(range(1, len(regexp_extract_all(html, '</?(?:ul|li|a|nav|div)\\b[^>]*>')) + 1)) AS n FROM pages), dp AS (SELECT page_id, n, NOT starts_with(tag, '</') AS o, sum(CASE WHEN starts_with(tag, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY n) + CASE WHEN starts_with(tag, '</') THEN 1 ELSE 0 END AS depth FROM tg), kk AS (SELECT *, row_number() OVER (PARTITION BY page_id, depth, o ORDER BY n) AS k FROM dp)"
+
+
+@query(sql("SELECT a.page_id, a.n AS open_n, b.n AS close_n, a.depth FROM kk a JOIN kk b ON a.page_id = b.page_id AND a.depth = b.depth AND a.k = b.k AND a.o AND NOT b.o WHERE b.n > a.n", _TAGS))
+def mark_match(spark, d):
+    t = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("</?(?:ul|li|a|nav|div)\\b[^>]*>"), F.lit(0))).alias("n", "tag"))
+    t = t.select("page_id", (F.col("n") + 1).alias("n"), (~F.col("tag").startswith("</")).alias("is_open"))
+    return markup.match_tags(t, ["page_id"]).select("page_id", "open_n", "close_n", "depth")
+
+
+def _label_scores(spark, d):
+    """Scores with sources as documents: how often labelled texts are good, and toxic."""
+    l = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    n = F.count(F.lit(1)).cast("double")
+
+    def one(c):
+        return l.groupBy(F.col("source").alias("doc_id")).agg(F.sum(c).cast("double").alias("r_nom"), n.alias("r_den"), F.sum(F.col("quality") * F.col("toxic")).cast("double").alias("p_nom"), F.sum(c).cast("double").alias("p_den"), F.lit(1.0).alias("weight")).withColumn("metric", F.lit(c))
+
+    return one("quality").unionByName(one("toxic")).select("doc_id", "metric", "r_nom", "r_den", "p_nom", "p_den", "weight")
+
+
+_SCO = "lb AS (SELECT source AS doc_id, quality, toxic FROM labels JOIN documents USING (doc_id)), sco AS (SELECT doc_id, 'quality' AS metric, sum(quality)::DOUBLE AS r_nom, count(*)::DOUBLE AS r_den, sum(quality * toxic)::DOUBLE AS p_nom, sum(quality)::DOUBLE AS p_den, 1.0::DOUBLE AS weight FROM lb GROUP BY doc_id UNION ALL SELECT doc_id, 'toxic', sum(toxic)::DOUBLE, count(*)::DOUBLE, sum(quality * toxic)::DOUBLE, sum(toxic)::DOUBLE, 1.0 FROM lb GROUP BY doc_id)"
+_V = "CASE WHEN {d} = 0 THEN 0.0 ELSE {n} / {d} END"
+
+
+@query(sql(f"SELECT 'micro' AS doc_id, metric, sum(r_nom) AS r_nom, sum(r_den) AS r_den, sum(p_nom) AS p_nom, sum(p_den) AS p_den, sum(weight) AS weight FROM sco GROUP BY metric UNION ALL SELECT 'macro', metric, round(sum({_V.format(n='r_nom', d='r_den')}), 9), sum(weight), round(sum({_V.format(n='p_nom', d='p_den')}), 9), sum(weight), sum(weight) FROM sco GROUP BY metric", _SCO))
+def macro_micro(spark, d):
+    out = scores.combine(_label_scores(spark, d))
+    return out.withColumns({c: F.round(c, 9) for c in ("r_nom", "p_nom")})
+
+
+@query(sql(f"SELECT doc_id, metric, round(r, 9) AS recall, round(p, 9) AS precision, round(CASE WHEN r = 0 AND p = 0 THEN 0 ELSE 2 * r * p / (r + p) END, 9) AS f1 FROM (SELECT doc_id, metric, {_V.format(n='r_nom', d='r_den')} AS r, {_V.format(n='p_nom', d='p_den')} AS p FROM sco)", _SCO))
+def f1_format(spark, d):
+    return scores.display(_label_scores(spark, d)).select("doc_id", "metric", *[F.round(c, 9).alias(c) for c in ("recall", "precision", "f1")])
+
+
+@query(sql("SELECT doc_id, metric, r_nom, r_den FROM sco WHERE metric = 'quality' UNION ALL SELECT doc_id, metric, r_nom + 1, r_den FROM sco WHERE metric = 'toxic'", _SCO))
+def scores_merge(spark, d):
+    s = _label_scores(spark, d)
+    return scores.merge(s.where("metric = 'quality'"), s.withColumn("r_nom", F.col("r_nom") + 1)).select("doc_id", "metric", "r_nom", "r_den")
+
+
+@query(sql("SELECT doc_id, metric, r_nom, r_den, p_nom, p_den, weight FROM sco", _SCO))
+def scores_condense(spark, d):
+    return scores.condense(scores.as_maps(_label_scores(spark, d)))
+
+
+@query(sql("SELECT 'f' AS file, doc_id, metric, r_nom, r_den, p_nom, p_den, weight FROM sco", _SCO))
+def scorer_parse(spark, d):
+    """Scores written as a scorer's output and parsed again."""
+    s = _label_scores(spark, d)
+    line = F.concat(F.lit("Recall: ("), F.col("r_nom").cast("string"), F.lit(" / "), F.col("r_den").cast("string"), F.lit(") 0%\tPrecision: ("), F.col("p_nom").cast("string"), F.lit(" / "), F.col("p_den").cast("string"), F.lit(") 0%\tF1: 0%"))
+    n = F.row_number().over(Window.partitionBy("metric").orderBy("doc_id")) * 3 + F.when(F.col("metric") == "toxic", 1000000).otherwise(0)
+    s = s.withColumn("n", n).withColumn("line", line)
+    head = s.groupBy("metric").agg((F.min("n") - 1).alias("line_no")).select("line_no", F.concat(F.lit("METRIC "), "metric", F.lit(":")).alias("line"))
+    foot = s.groupBy("metric").agg(F.max("n").alias("n")).select(F.explode(F.array(F.struct((F.col("n") + 2).alias("line_no"), F.lit("====== TOTALS =======").alias("line")), F.struct((F.col("n") + 3).alias("line_no"), F.lit("Recall: (9 / 9) 0%\tPrecision: (9 / 9) 0%").alias("line")))).alias("x")).select("x.*")
+    body = s.select(F.col("n").alias("line_no"), F.concat(F.lit("====> "), "doc_id", F.lit(":")).alias("line")).unionByName(s.select((F.col("n") + 1).alias("line_no"), "line"))
+    return scores.parse_scorer(head.unionByName(body).unionByName(foot).withColumn("file", F.lit("f")))
+
+
+_KR = "k AS (SELECT doc_id, m_start, m_end, entity AS k FROM men WHERE ann = 0), r AS (SELECT doc_id, m_start, m_end, entity AS r FROM men WHERE ann = 1)"
+
+
+def _half(x, y, a, b):
+    return f"SELECT doc_id, sum(n - parts)::DOUBLE AS nom, sum(n - 1)::DOUBLE AS den FROM (SELECT {x}.doc_id, {a}, count(*) AS n, count(DISTINCT {b}) + count(*) FILTER ({b} IS NULL) AS parts FROM {x} LEFT JOIN {y} USING (doc_id, m_start, m_end) GROUP BY ALL) GROUP BY doc_id"
+
+
+_BOTH = "SELECT doc_id, coalesce(round(h1.nom, 6), 0) AS r_nom, coalesce(h1.den, 0) AS r_den, coalesce(round(h2.nom, 6), 0) AS p_nom, coalesce(h2.den, 0) AS p_den FROM ({}) h1 FULL JOIN ({}) h2 USING (doc_id)"
+
+
+@query(sql(_BOTH.format(_half("k", "r", "k", "r"), _half("r", "k", "r", "k")), TOK, MEN, _KR))
+def muc(spark, d):
+    return ch.muc(mentions(spark, d), KEYS)
+
+
+def _b3(x, y, a, b):
+    return f"SELECT z.doc_id, sum(coalesce(c2, 0) / n)::DOUBLE AS nom, sum(n)::DOUBLE AS den FROM (SELECT doc_id, {a}, count(*) AS n FROM {x} GROUP BY ALL) z LEFT JOIN (SELECT doc_id, {a}, sum(c * c) AS c2 FROM (SELECT {x}.doc_id, {a}, {b}, count(*) AS c FROM {x} JOIN {y} USING (doc_id, m_start, m_end) GROUP BY ALL) GROUP BY ALL) USING (doc_id, {a}) GROUP BY z.doc_id"
+
+
+@query(sql(_BOTH.format(_b3("k", "r", "k", "r"), _b3("r", "k", "r", "k")), TOK, MEN, _KR))
+def bcub(spark, d):
+    out = ch.b_cubed(mentions(spark, d), KEYS)
+    return out.withColumns({c: F.round(c, 6) for c in ("r_nom", "p_nom")})
+
+
+def _ins(src, by, name):
+    return f"{name} AS (SELECT doc_id, sum(n * (n - 1) / 2) AS x, sum(n) * (sum(n) - 1) / 2 AS a FROM (SELECT doc_id, {by}, count(*) AS n FROM {src} GROUP BY ALL) GROUP BY doc_id)"
+
+
+@query(sql("SELECT doc_id, coalesce(rc.x, 0)::DOUBLE AS right_coref, coalesce(ck.x, 0)::DOUBLE AS key_coref, coalesce(cr.x, 0)::DOUBLE AS resp_coref, (coalesce(rc.a, 0) - coalesce(mk.x, 0) - coalesce(mr.x, 0) + coalesce(rc.x, 0))::DOUBLE AS right_non, (coalesce(ck.a, 0) - coalesce(ck.x, 0))::DOUBLE AS key_non, (coalesce(cr.a, 0) - coalesce(cr.x, 0))::DOUBLE AS resp_non FROM ck FULL JOIN cr USING (doc_id) LEFT JOIN rc USING (doc_id) LEFT JOIN mk USING (doc_id) LEFT JOIN mr USING (doc_id)", TOK, MEN, _KR, "kr AS (SELECT k.doc_id, k, r FROM k JOIN r USING (doc_id, m_start, m_end))", _ins("k", "k", "ck"), _ins("r", "r", "cr"), _ins("kr", "k, r", "rc"), _ins("kr", "k", "mk"), _ins("kr", "r", "mr")))
+def blanc(spark, d):
+    return ch.blanc(mentions(spark, d), KEYS)
+
+
+@query()
+def ceafm(spark, d):
+    return ch.ceaf(mentions(spark, d), KEYS, "m")
+
+
+@query()
+def ceafe(spark, d):
+    return ch.ceaf(mentions(spark, d), KEYS, "e")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 1000 >= 750 THEN 9 WHEN event_id % 1000 >= 400 THEN -4 WHEN event_id % 1000 >= 100 THEN 3 ELSE 0 END AS shift FROM events")
+def floor_shift(spark, d):
+    steps = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(s).alias("shift")) for p, s in ((100, 3), (400, -4), (750, 9))])
+    return table(spark, d, "events").select("event_id", alignment.floor_shift(steps, F.col("event_id") % 1000).alias("shift"))
+
+
+def _pairs(spark, d):
+    """Benchmark items and an edited form of each."""
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("a"))
+    return b.withColumn("b", F.regexp_replace(F.concat(F.lit("So "), F.replace("a", F.lit("the"), F.lit("a")), F.lit(" end")), "[,.] ", "; "))
+
+
+@query()
+def diff_stats(spark, d):
+    p = _pairs(spark, d).withColumn("d", alignment.diff_udf("a", "b"))
+    return p.select("item_id", F.size("d").alias("pieces"), alignment.script_distance(F.col("d")).alias("distance"))
+
+
+_EDIT = "ed AS (SELECT item_id, text AS a, regexp_replace('So ' || replace(text, 'the', 'a') || ' end', '[,.] ', '; ', 'g') AS b FROM benchmark)"
+
+
+@query(sql("SELECT item_id, a AS source_text, b AS target_text FROM ed", _EDIT))
+def diff_roundtrip(spark, d):
+    p = _pairs(spark, d).withColumn("d", alignment.diff_udf("a", "b"))
+    return p.select("item_id", alignment.source_text(F.col("d")).alias("source_text"), alignment.target_text(F.col("d")).alias("target_text"))
+
+
+@query(sql("SELECT item_id, b AS target_text FROM ed", _EDIT))
+def delta_roundtrip(spark, d):
+    p = _pairs(spark, d).withColumn("delta", alignment.delta_udf("a", "b"))
+    return p.select("item_id", alignment.apply_delta_udf("a", "delta").alias("target_text"))
+
+
+@query()
+def span_align(spark, d):
+    p = _pairs(spark, d).withColumns({"m_start": F.lit(5), "m_end": F.least(F.length("a"), F.lit(30))})
+    return alignment.align_spans(p, "a", "b").select("item_id", "a_start", "a_end")
+
+
+_TWO = "tw AS (SELECT item_id, text AS a, lead(text) OVER (ORDER BY item_id) AS b FROM benchmark)"
+
+
+def _neighbours(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", "text")
+    return b.select("item_id", F.col("text").alias("a")).join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("b")), "item_id")
+
+
+@query(sql("SELECT item_id, list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda n: left(a, n) = left(b, n))) AS prefix_len, list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda n: right(a, n) = right(b, n))) AS suffix_len FROM tw WHERE b IS NOT NULL", _TWO))
+def common_prefix(spark, d):
+    return _neighbours(spark, d).select("item_id", tx.common_prefix("a", "b").alias("prefix_len"), tx.common_suffix("a", "b").alias("suffix_len"))
+
+
+@query(sql("SELECT item_id, list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda n: right(a, n) = left(b, n))) AS overlap FROM tw WHERE b IS NOT NULL", _TWO))
+def common_overlap(spark, d):
+    return _neighbours(spark, d).select("item_id", tx.common_overlap("a", "b").alias("overlap"))
+
+
+@query("SELECT p_partkey, CASE WHEN length(x) < 2 AND regexp_matches(r[-1], '^[A-Za-z]') THEN x || substring(r[-1], 2, 2) ELSE x END AS initials FROM (SELECT p_partkey, r, array_to_string(list_transform(r, lambda y: CASE WHEN regexp_matches(y, '^[0-9]') THEN y ELSE left(y, 1) END), '') AS x FROM (SELECT p_partkey, regexp_extract_all(p_name, '[A-Za-z]+|[0-9]+') AS r FROM part))")
+def initials(spark, d):
+    return table(spark, d, "part").select("p_partkey", tx.initials("p_name").alias("initials"))
+
+
+@query(f"SELECT page_id, {_ESC.format('html')} AS escaped FROM pages")
+def xml_escape(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.xml_escape("html").alias("escaped"))
+
+
+@query("SELECT page_id, url AS decoded FROM pages")
+def percent_codec(spark, d):
+    return table(spark, d, "pages").select("page_id", codecs.percent_decode(codecs.percent_encode("url")).alias("decoded"))
+
+
+@query()
+def ampersand_decode(spark, d):
+    return table(spark, d, "pages").select("page_id", codecs.ampersand_decode("html").alias("decoded"))
+
+
+_PAIRS = "t"
+for _a, _b in codecs.PAIRS:
+    _PAIRS = f"replace({_PAIRS}, '{_a.replace(chr(39), chr(39) * 2)}', '{_b.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(f"SELECT doc_id, regexp_replace(translate({_PAIRS}, '{codecs._MARKED}', '{codecs._PLAIN}'), '[^\\x00-\\x7F]', '[?]', 'g') AS ascii_text FROM (SELECT doc_id, text AS t FROM documents)")
+def ascii_normalize(spark, d):
+    return table(spark, d, "documents").select("doc_id", codecs.ascii_normalize("text").alias("ascii_text"))
+
+
+@query("SELECT c_custkey, array_to_string(list_transform(regexp_extract_all(c_name, '[A-Za-z0-9]+|[^A-Za-z0-9]+'), lambda p: upper(left(p, 1)) || lower(substring(p, 2))), '') AS capitalized FROM customer")
+def capitalize(spark, d):
+    return table(spark, d, "customer").select("c_custkey", tx.capitalize("c_name").alias("capitalized"))
+
+
+@query("SELECT p_partkey, rpad(p_name, 12, ' ') AS padded, CASE WHEN length(p_name) > 8 THEN left(p_name, 8) || '…' ELSE p_name END AS short FROM part")
+def pad_truncate(spark, d):
+    return table(spark, d, "part").select("p_partkey", tx.truncate("p_name", 12).alias("padded"), tx.ellipsis("p_name", 8).alias("short"))
+
+
+@query("SELECT o_orderkey, printf('%.2f', o_totalprice) AS formatted FROM orders")
+def number_format(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.format_string("%.2f", F.col("o_totalprice")).alias("formatted"))
+
+
+@query("SELECT event_id, CASE WHEN m < 100 THEN m || ' ms' WHEN m < 60000 THEN printf('%.2f', round_even(m / 1000.0, 2)) || ' s' WHEN m < 3600000 THEN (m // 60000) || ' min, ' || printf('%.1f', round_even((m / 1000.0) % 60.0, 1)) || ' s' ELSE (m // 3600000) || ' h, ' || printf('%.1f', round_even((m / 60000.0) % 60.0, 1)) || ' min' END AS duration FROM (SELECT event_id, (event_id * 500) % 9000000 AS m FROM events)")
+def format_ms(spark, d):
+    return table(spark, d, "events").select("event_id", tx.format_ms((F.col("event_id") * 500) % 9000000).alias("duration"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d T %H:%M:%S') AS iso_time, strftime(ts, '%Y%m%d%H%M%S') AS stamp FROM events")
+def iso_time(spark, d):
+    return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd 'T' HH:mm:ss").alias("iso_time"), F.date_format("ts", "yyyyMMddHHmmss").alias("stamp"))
+
+
+@query("SELECT o_orderkey, p + CASE WHEN p >= 10 THEN 5 ELSE 0 END + CASE WHEN p >= 40 THEN -12 ELSE 0 END + CASE WHEN p >= 70 THEN 2 ELSE 0 END AS position FROM (SELECT o_orderkey, o_orderkey % 100 AS p FROM orders)")
+def position_translate(spark, d):
+    edits = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(x).alias("delta")) for p, x in ((10, 5), (40, -12), (70, 2))])
+    p = F.col("o_orderkey") % 100
+    moved = p + F.aggregate(F.filter(edits, lambda e: e.pos <= p), F.lit(0), lambda acc, e: acc + e.delta)
+    return table(spark, d, "orders").select("o_orderkey", moved.alias("position"))
+
+
+@query("WITH dict AS (SELECT DISTINCT left(p_type, 3) AS word FROM part UNION SELECT DISTINCT right(p_type, 2) FROM part), pos AS (SELECT p_partkey, p_type AS t, unnest(range(1, length(p_type) + 1)) AS i FROM part), hit AS (SELECT p_partkey, i, min(length(word)) AS len FROM pos, dict WHERE substring(t, i, length(word)) = word GROUP BY ALL) SELECT p_partkey, i - 1 AS start, len FROM hit")
+def dictionary_match(spark, d):
+    """Where words of a dictionary (starts and ends of part types) occur in part types; the shortest at each place."""
+    part = table(spark, d, "part")
+    words = part.select(F.explode(F.array(F.left("p_type", F.lit(3)), F.right("p_type", F.lit(2)))).alias("word")).distinct().withColumn("len", F.length("word"))
+    pos = part.select("p_partkey", F.col("p_type").alias("t"), F.explode(F.sequence(F.lit(1), F.length("p_type"))).alias("i")).withColumn("len", F.explode(F.array(F.lit(2), F.lit(3)))).withColumn("word", F.expr("substring(t, i, len)"))
+    return pos.join(words, ["word", "len"]).groupBy("p_partkey", "i").agg(F.min("len").alias("len")).select("p_partkey", (F.col("i") - 1).alias("start"), "len")
+
+
+@query(sql("SELECT word, count(*) AS cnt FROM tok GROUP BY word ORDER BY cnt DESC, word LIMIT 100", TOK))
+def counter_topk(spark, d):
+    return derived_tokens(spark, d).groupBy("word").agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.desc("cnt"), "word").limit(100)
+
+
+@query("WITH s AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS a, list_distinct(list(o_orderstatus)) AS b FROM orders GROUP BY o_custkey) SELECT o_custkey, len(list_intersect(a, ['1-URGENT', '2-HIGH'])) AS n_both, len(list_distinct(list_concat(a, b))) AS n_any, list_has_any(a, ['1-URGENT']) AS has_urgent FROM s")
+def set_ops(spark, d):
+    s = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("a"), F.collect_set("o_orderstatus").alias("b"))
+    some = F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))
+    return s.select("o_custkey", F.size(F.array_intersect("a", some)).alias("n_both"), F.size(F.array_union("a", "b")).alias("n_any"), F.arrays_overlap("a", F.array(F.lit("1-URGENT"))).alias("has_urgent"))
