@@ -12,16 +12,22 @@ from .common import materialize, text_array, with_fields
 
 #: Largest count of (task, class) ranks that is sent to every executor (about 24 bytes each); beyond it a shuffle join is used.
 BROADCAST_RANKS = 200_000
-#: Cached word pieces per worker; the cache is emptied when it is full.
-CACHE = 300_000
+#: Remembered chunks per generation and worker; when a generation is full it becomes the old one, which is still looked up.
+CACHE = 400_000
 
 _TOKENIZERS: dict = {}
 
 
+#: Characters that may follow a word in a chunk and form one piece of their own (no apostrophe, which starts pieces like 's).
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class _Ids:
     """Token ids of texts, with the ids of each white-space separated chunk remembered.
 
-    White space separates the tokenizer's own words, so a text's ids are the ids of its chunks in order.
+    White space separates the tokenizer's own words, so a text's ids are the ids of its chunks in order. A chunk of
+    Latin-1 letters and then punctuation is the lower-cased word's ids and the punctuation's; new words are encoded
+    together and cut apart where a token ends a word. All other chunks are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -31,21 +37,71 @@ class _Ids:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+        self.old_pieces: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are one piece each."""
+        out = []
+        for i in range(0, len(words), 5000):
+            some = words[i : i + 5000]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(some) or cut[-1] != len(ids):
+                out += self._whole(some)
+                continue
+            raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
+            out += [raw[a:z] for a, z in zip(at, at[1:])]
+        return out
+
+    @staticmethod
+    def _simple(word: str) -> bool:
+        return word.isalpha() and (word.isascii() or max(word) < "\u0100")
+
+    def _encode(self, chunks: list[str]) -> None:
+        split, words, others = [], {}, {}
+        for c in chunks:
+            w = c.rstrip(_TAIL)
+            if w and self._simple(w):
+                w, tail = w.lower(), c[len(w) :]
+                split.append((c, w, tail))
+                for piece, new in ((w, words), (tail, others)):
+                    if piece not in self.pieces:
+                        if piece in self.old_pieces:
+                            self.pieces[piece] = self.old_pieces[piece]
+                        else:
+                            new[piece] = None
+            else:
+                others[c] = None
+                split.append((c, c, ""))
+        if len(self.pieces) + len(words) + len(others) > CACHE:
+            self.old_pieces, self.pieces = self.pieces, {"": b"", **{p: self.pieces[p] for _, w, t in split for p in (w, t) if p in self.pieces}}
+        self.pieces.update(zip(words, self._words(list(words))))
+        self.pieces.update(zip(others, self._whole(list(others))))
+        for c, w, tail in split:
+            self.cache[c] = self.pieces[w] + self.pieces[tail] if tail else self.pieces[w]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        cache = self.cache
-        new = {c for p in parts for c in p if c not in cache}
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            cache[""] = b""
-            new = {c for p in parts for c in p if c}
-        if new:
-            new = list(new)
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                cache[c] = np.array(e.ids, "<u4").tobytes()
+        if len(self.cache) > CACHE:
+            self.old, self.cache = self.cache, {"": b""}
+        cache, old = self.cache, self.old
+        new = []
+        for c in {c for p in parts for c in p if c not in cache}:
+            if c in old:
+                cache[c] = old[c]
+            else:
+                new.append(c)
+        self._encode(new)
         get = cache.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
