@@ -14,7 +14,7 @@ from .components import components
 from .words import U, mix, sequence_hashes, split, word_hashes
 
 #: Frequent shingles that are ordered last, at most (they only shape the order; any such list gives the same links).
-FREQUENT = 1 << 16
+FREQUENT = 1 << 19
 #: Sets to fetch are sent to every executor as keys up to this count (16 bytes each); beyond it a shuffle join is used.
 BROADCAST_KEYS = 200_000
 #: Members of one prefix token that are compared in one block.
@@ -22,37 +22,22 @@ BLOCK = 8192
 SKETCH = 512
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    x = np.zeros((len(raw) // 6, 8), np.uint8)
-    x[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return x.view("<u8").reshape(-1)
+def _sets(texts: pa.Array, k: int):
+    """(size, key, sorted 48-bit shingle hashes) of every text; an empty set has no key."""
+    for _, part in chunks(text_array(texts)):
+        w = split(part, lower=True)
+        h = word_hashes(w)
+        s = sequence_hashes(h, k) >> U(16)
+        for a, z in zip(w.first.tolist(), w.first[1:].tolist()):
+            if a == z:
+                yield 0, None, s[:0]
+                continue
+            x = np.unique(s[a : z - k + 1]) if z - a >= k else mix(sequence_hashes(h[a:z], z - a) + U(z - a)) >> U(16)
+            yield len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest(), x
 
 
-def shingle_sets(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_key, n (size of the set), set_key (16 bytes, null for an empty set) and the sorted 48-bit shingle hashes."""
-    src = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
-
-    def run(batches):
-        for b in batches:
-            for at, part in chunks(text_array(b.column(1))):
-                w = split(part, lower=True)
-                h = word_hashes(w)
-                s = sequence_hashes(h, k) >> U(16)
-                n, keys, packed = [], [], []
-                for a, z in zip(w.first.tolist(), w.first[1:].tolist()):
-                    if a == z:
-                        n.append(0), keys.append(None), packed.append(b"")
-                        continue
-                    x = np.unique(s[a : z - k + 1]) if z - a >= k else mix(sequence_hashes(h[a:z], z - a) + U(z - a)) >> U(16)
-                    raw = x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                    n.append(len(x)), packed.append(raw), keys.append(hashlib.blake2b(raw, digest_size=16).digest())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["doc_key", "n", "set_key", "shingles"])
-
-    return src.mapInArrow(run, with_fields(src.schema["doc_key"], "n long, set_key binary, shingles binary"))
-
-
-def _frequent(sets: DataFrame, chunk: int = 4096, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in at least ``least`` of ``chunk`` successive different sets somewhere: the FREQUENT most counted ones.
+def _frequent(texts: DataFrame, k: int, chunk: int = 4096, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in at least ``least`` of ``chunk`` successive different sets somewhere: the most counted ones, up to FREQUENT.
 
     Returns them sorted, with their ranks from rare to frequent.
     """
@@ -60,6 +45,7 @@ def _frequent(sets: DataFrame, chunk: int = 4096, least: int = 8) -> tuple[np.nd
     def run(batches):
         seen: set = set()
         some: list = []
+        size = 0
 
         def flush():
             if some:
@@ -68,44 +54,58 @@ def _frequent(sets: DataFrame, chunk: int = 4096, least: int = 8) -> tuple[np.nd
                 if len(x := x[(big := c >= least)]):
                     yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(c[big].astype(np.int64))], names=["h", "c"])
 
-        size = 0
         for b in batches:
-            for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if key in seen:
+            for n, key, x in _sets(b.column(0), k):
+                if not n or key in seen:
                     continue
                 seen.add(key)
-                some.append(_unpack(raw))
-                size += len(some[-1])
+                some.append(x)
+                size += n
                 if len(some) >= chunk or size > 4_000_000:
                     yield from flush()
                     size = 0
         yield from flush()
 
-    found = sets.where("n > 0").select("set_key", "shingles").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).collect()
-    h = np.array([r["h"] for r in found], np.int64).view(np.uint64)
+    counts = materialize(texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "frequent")
+    total, least_count = 0, None
+    for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).toLocalIterator():
+        total += r["n"]
+        if total > FREQUENT:
+            break
+        least_count = r["c"]
+    if least_count is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = counts.where(F.col("c") >= least_count).toArrow()
+    h, c = found["h"].to_numpy().view(np.uint64), found["c"].to_numpy()
     order = np.argsort(h)
-    return h[order], (len(h) - np.arange(len(h)))[order]
+    rank = np.empty(len(h), np.int64)
+    rank[np.lexsort((h, c))] = np.arange(len(h))
+    return h[order], rank[order]
 
 
-def _prefixes(sets: DataFrame, num: int, den: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One row per different set: set_key, gid (hash of prefix and size), n, the prefix in the global order, and a sketch.
+def _prefixes(src: DataFrame, k: int, num: int, den: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """A row per document: doc_key, n, set_key, gid (hash of prefix and size); and once per set and task its prefix in the
+    global order and a sketch (null in the repeats).
 
     The order is by hash, then the frequent shingles from rare to frequent. The sketch has a bit per hashed shingle,
     flipped each time, so that two sketches differ in no more bits than the sets differ in shingles.
     """
-    common, rank = frequent
+    held = src.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
-        seen: set = set()
+        common, rank = held.value
+        seen: dict = {}
         for b in batches:
             rows = []
-            for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for n, key, x in _sets(b.column(1), k):
+                if not n:
+                    rows.append((0, None, None, None, None))
+                    continue
                 if key in seen:
+                    rows.append((n, key, seen[key], None, None))
                     continue
-                seen.add(key)
-                x = _unpack(raw)
-                n = len(x)
                 p = n - -(-num * n // den) + 1
+                prefix = x[:p]
                 if len(common):
                     at = np.minimum(np.searchsorted(common, x), len(common) - 1)
                     hot = common[at] == x
@@ -113,17 +113,94 @@ def _prefixes(sets: DataFrame, num: int, den: int, frequent: tuple[np.ndarray, n
                     if len(prefix) < p:
                         last = x[hot]
                         prefix = np.concatenate([prefix, last[np.argsort(rank[at[hot]], kind="stable")][: p - len(prefix)]])
-                else:
-                    prefix = x[:p]
                 sketch = np.packbits(np.bincount((mix(x) >> U(55)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
                 gid = int.from_bytes(hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
-                rows.append((key, gid, n, prefix.view(np.int64), sketch))
-            if rows:
-                key, gid, n, prefix, sketch = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(gid, pa.int64()), pa.array(n, pa.int64()), pa.array(list(prefix), pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["set_key", "gid", "n", "prefix", "sketch"])
+                seen[key] = gid
+                rows.append((n, key, gid, prefix.tobytes(), sketch))
+            n, key, gid, prefix, sketch = zip(*rows) if rows else ((),) * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_key", "n", "set_key", "gid", "prefix", "sketch"])
+
+    return src.mapInArrow(run, with_fields(src.schema["doc_key"], "n long, set_key binary, gid long, prefix binary, sketch binary"))
+
+
+def _shared_tokens(prefixes: DataFrame, buckets: int) -> DataFrame:
+    """(tok, gid) of prefix tokens that at least two groups hold.
+
+    Each task keeps the tokens that two of its own groups hold and tells only the first of them on; all its other tokens go
+    out once, packed by bucket. So a bucket gets at most one entry per token and task, however frequent the token is.
+    """
 
-    found = sets.where("n > 0").select("set_key", "shingles").mapInArrow(run, "set_key binary, gid long, n long, prefix array<long>, sketch binary")
-    return found.dropDuplicates(["set_key"])
+    def local(batches):
+        """Sorted tokens and groups of the task, without repeats, and whether the task itself shows the token as shared."""
+        tok, gid = [], []
+        for b in batches:
+            for g, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                t = np.frombuffer(raw, np.uint64)
+                tok.append(t)
+                gid.append(np.full(len(t), g, np.int64))
+        if not tok:
+            return None
+        tok, gid = np.concatenate(tok), np.concatenate(gid)
+        order = np.lexsort((gid, tok))
+        tok, gid = tok[order], gid[order]
+        new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (gid[1:] != gid[:-1])])
+        tok, gid = tok[new], gid[new]
+        first = np.concatenate([[True], tok[1:] != tok[:-1]])
+        size = np.diff(np.append(np.flatnonzero(first), len(tok)))
+        return tok, gid, first, np.repeat(size > 1, size)
+
+    def batch(tok, gid):
+        return pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(gid)], names=["tok", "gid"])
+
+    def direct(batches):
+        found = local(batches)
+        if found:
+            tok, gid, _, shared = found
+            for i in range(0, len(at := np.flatnonzero(shared)), 100_000):
+                yield batch(tok[at[i : i + 100_000]], gid[at[i : i + 100_000]])
+
+    def outward(batches):
+        found = local(batches)
+        if not found:
+            return
+        tok, gid, first, shared = found
+        tok, gid, shared = tok[first], gid[first], shared[first]
+        to = (mix(tok) % U(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        cut = np.searchsorted(to[order], np.arange(buckets + 1))
+        rows = [(j, tok[at].tobytes(), gid[at].tobytes(), np.packbits(shared[at]).tobytes()) for j in range(buckets) if len(at := order[cut[j] : cut[j + 1]])]
+        j, t, g, s = zip(*rows)
+        yield pa.RecordBatch.from_arrays([pa.array(j, pa.int32()), pa.array(t, pa.binary()), pa.array(g, pa.binary()), pa.array(s, pa.binary())], names=["bucket", "tok", "gid", "shared"])
+
+    def meet(batches):
+        tok, gid, shared = [], [], []
+        for b in batches:
+            for t, g, s in zip(*(b.column(c).to_pylist() for c in (1, 2, 3))):
+                tok.append(np.frombuffer(t, np.uint64))
+                gid.append(np.frombuffer(g, np.int64))
+                shared.append(np.unpackbits(np.frombuffer(s, np.uint8), count=len(tok[-1])).astype(bool))
+        if not tok:
+            return
+        tok, gid, shared = np.concatenate(tok), np.concatenate(gid), np.concatenate(shared)
+        order = np.argsort(tok, kind="stable")
+        tok, gid, shared = tok[order], gid[order], shared[order]
+        at = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
+        size = np.diff(np.append(at, len(tok)))
+        known = np.maximum.reduceat(shared, at) | (np.minimum.reduceat(gid, at) != np.maximum.reduceat(gid, at))
+        # what a task showed itself is in its own output
+        keep = np.flatnonzero(np.repeat(known, size) & ~shared)
+        for i in range(0, len(keep), 100_000):
+            yield batch(tok[keep[i : i + 100_000]], gid[keep[i : i + 100_000]])
+
+    src = prefixes.where("prefix is not null").select("gid", "prefix")
+    far = src.mapInArrow(outward, "bucket int, tok binary, gid binary, shared binary").repartition(buckets, "bucket").mapInArrow(meet, "tok long, gid long")
+    return src.mapInArrow(direct, "tok long, gid long").unionAll(far).distinct()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    x = np.zeros((len(raw) // 6, 8), np.uint8)
+    x[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return x.view("<u8").reshape(-1)
 
 
 def _near(n1, n2, s1, s2, num: int, den: int) -> np.ndarray:
@@ -139,9 +216,8 @@ def _sketches(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
 
 
-def _verified(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the set pairs (a, b) that link: size and sketches first, then the sets themselves."""
-    light = prefixes.select("set_key", "n", "sketch")
+def _likely(pairs: DataFrame, light: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the set pairs (a, b) that sizes and sketches allow."""
     joined = pairs.join(light.toDF("a", "na", "sa"), "a").join(light.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
 
     def maybe(batches):
@@ -149,12 +225,32 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, sets: DataFrame, num: int,
             ok = _near(b.column(2).to_numpy(), b.column(3).to_numpy(), _sketches(b.column(4)), _sketches(b.column(5)), num, den)
             yield b.select([0, 1]).filter(pa.array(ok))
 
-    likely = materialize(joined.mapInArrow(maybe, "a binary, b binary"), "pairs")
-    wanted = likely.select(F.col("a").alias("set_key")).unionAll(likely.select(F.col("b").alias("set_key"))).distinct()
-    wanted = materialize(wanted, "wanted")
-    if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
-    fetched = materialize(sets.select("set_key", "shingles").join(wanted, "set_key", "left_semi").dropDuplicates(["set_key"]), "fetched", "none")
+    return joined.mapInArrow(maybe, "a binary, b binary")
+
+
+def _fetch(src: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(set_key, shingles) of the wanted sets, computed from the texts again."""
+    few = wanted.count() <= BROADCAST_KEYS
+    held = src.sparkSession.sparkContext.broadcast({bytes(r["set_key"]) for r in wanted.collect()} if few else None)
+
+    def run(batches):
+        keys, seen = held.value, set()
+        for b in batches:
+            rows = []
+            for n, key, x in _sets(b.column(1), k):
+                if n and key not in seen and (keys is None or key in keys):
+                    seen.add(key)
+                    rows.append((key, x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+            if rows:
+                key, raw = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(raw, pa.binary())], names=["set_key", "shingles"])
+
+    found = src.mapInArrow(run, "set_key binary, shingles binary")
+    return (found if few else found.join(wanted, "set_key", "left_semi")).dropDuplicates(["set_key"])
+
+
+def _exact(likely: DataFrame, fetched: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs whose sets link."""
     both = likely.join(fetched.toDF("a", "xa"), "a").join(fetched.toDF("b", "xb"), "b")
 
     def exact(batches):
@@ -184,7 +280,7 @@ def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
         t = t.combine_chunks()
         tok, lo, hi, blk, n = (t.column(c).to_numpy() for c in ("tok", "lo", "hi", "blk", "n"))
         keys = t.column("set_key").combine_chunks()
-        comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+        comp = t.column("comp").to_numpy()
         sketch = _sketches(t.column("sketch"))
         new = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
         size = np.diff(np.append(new, len(tok)))
@@ -232,39 +328,51 @@ def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.mapInArrow(run, "a binary, b binary")
 
 
-def links(sets: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between different sets that suffice to reach everything all links reach, and their components.
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("set_key")).unionAll(pairs.select(F.col("b").alias("set_key"))).distinct()
+
 
-    1. Sets with the same prefix and size form a group. Prefix tokens held by one set only are dropped.
+def components_of_sets(src: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(node, comp) of the sets that link with others; ``rows`` are the documents' prefixes.
+
+    1. Sets with the same prefix and size form a group. Prefix tokens held by one group only are dropped.
     2. Each group's members are compared with its first, and each group with one of a similar size per token: a linear
        number of pairs, which joins most of a large family of near copies.
-    3. Within each token, all members in different components are compared, in bounded blocks: no link is lost, and
-       families that are one component already cost nothing.
+    3. Within each token (and each group), all members in different components are compared, in bounded blocks: no link
+       is lost, and families that are one component already cost nothing.
     """
-    prefixes = materialize(_prefixes(sets, num, den, _frequent(sets)), "prefixes")
-    groups = prefixes.groupBy("gid").agg(F.first("prefix").alias("prefix"), F.first("n").alias("n"), F.min("set_key").alias("leader"), F.count(F.lit(1)).alias("m"))
-    groups = materialize(groups, "groups")
-    entries = groups.select("gid", "n", "m", F.explode("prefix").alias("tok"))
-    used = entries.groupBy("tok").agg(F.sum("m").alias("c")).where("c > 1").select("tok")
-    shared = materialize(entries.select("gid", "n", "tok").join(used, "tok"), "shared")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).alias("band")
-    banded = shared.select("tok", "gid", band)
+    spark = src.sparkSession
+    members = rows.where("prefix is not null").select("set_key", "gid", "n", "sketch").dropDuplicates(["set_key"])
+    members = materialize(members, "members")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = materialize(_shared_tokens(rows, buckets), "shared")
+    groups = materialize(members.groupBy("gid").agg(F.min("set_key").alias("leader"), F.first("n").alias("n"), F.count(F.lit(1)).alias("m")), "groups")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int").alias("band")
+    banded = shared.join(groups.select("gid", band), "gid").select("tok", "band", "gid")
     pivots = banded.groupBy("tok", "band").agg(F.min("gid").alias("pivot"))
     star = banded.join(pivots, ["tok", "band"]).where("gid <> pivot").select("gid", "pivot").distinct()
     leaders = groups.select("gid", "leader")
     star = star.join(leaders.toDF("gid", "a"), "gid").join(leaders.toDF("pivot", "b"), "pivot").select("a", "b")
-    inner = prefixes.select("gid", "set_key").join(leaders, "gid").where("set_key <> leader").select(F.col("set_key").alias("a"), F.col("leader").alias("b"))
-    first = materialize(_verified(star.unionAll(inner), prefixes, sets, num, den), "links")
+    inner = members.select("gid", "set_key").join(leaders, "gid").where("set_key <> leader").select(F.col("set_key").alias("a"), F.col("leader").alias("b"))
+    light = members.select("set_key", "n", "sketch")
+    likely = materialize(_likely(star.unionAll(inner), light, num, den), "pairs")
+    wanted = materialize(_ends(likely), "wanted")
+    fetched = materialize(_fetch(src, wanted, k), "fetched", "none")
+    first = materialize(_exact(likely, fetched, num, den), "links")
     comp = materialize(components(first), "components")
-    members = prefixes.select("gid", "set_key", "n", "sketch").join(comp.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("comp", F.coalesce("comp", "set_key"))
-    members = shared.select("tok", "gid").join(members, "gid")
-    open_tokens = members.groupBy("tok").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("c")).where("c0 <> c1").select("tok", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
-    blocks = members.join(open_tokens, "tok").withColumn("blk", F.pmod(F.xxhash64("set_key"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    blocks = blocks.select("tok", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "set_key", "comp", "n", "sketch")
+    own = members.select("gid", "set_key").join(comp.withColumnRenamed("node", "set_key"), "set_key", "left").select("gid", "set_key", F.coalesce("comp", "set_key").alias("comp"))
+    own = materialize(own, "own")
+    spread = own.groupBy("gid").agg(F.min(F.xxhash64("comp")).alias("c0"), F.max(F.xxhash64("comp")).alias("c1"), F.count(F.lit(1)).alias("m"))
+    tokens = shared.unionAll(groups.where("m > 1").select(F.col("gid").alias("tok"), "gid"))
+    open_tokens = tokens.join(spread, "gid").groupBy("tok").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("m").alias("c")).where("c0 <> c1").select("tok", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
+    blocks = tokens.join(open_tokens, "tok").join(own, "gid").withColumn("blk", F.pmod(F.xxhash64("set_key"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    blocks = blocks.select("tok", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "set_key", F.xxhash64("comp").alias("comp")).join(light, "set_key")
     cross = _cross_pairs(blocks.repartition("tok", "lo", "hi").sortWithinPartitions("tok", "lo", "hi"), num, den).distinct()
-    second = materialize(_verified(cross, prefixes, sets, num, den), "links")
-    every = first.unionAll(second)
-    return every, components(every)
+    cross = materialize(cross, "pairs")
+    more = materialize(_ends(cross).join(wanted, "set_key", "left_anti"), "wanted")
+    if more.count():
+        fetched = fetched.unionAll(materialize(_fetch(src, more, k), "fetched", "none"))
+    return components(first.unionAll(materialize(_exact(cross, fetched, num, den), "links")))
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,11 +382,13 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
     whole sequence if it is shorter, nothing without words or text). Two documents link when
     den * |intersection| >= num * |union|; an empty set links with nothing. component_id is the smallest id that links
     reach (null ids are passed over; it is null if the class has no other). Copies are one set; repeated rows are each
-    returned; other columns are not read; an empty table gives no rows.
+    returned; other columns are not read; an empty table gives no rows. Sets are not stored: the texts are read again for
+    those that have to be compared.
     """
-    sets = materialize(shingle_sets(docs, k, id_col, text_col), "sets", "none")
-    _, comp = links(sets, num, den)
-    rows = sets.select("doc_key", "n", "set_key").join(comp.withColumnRenamed("node", "set_key"), "set_key", "left").select("doc_key", "n", F.coalesce("comp", "set_key").alias("comp"))
+    src = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
+    rows = materialize(_prefixes(src, k, num, den, _frequent(src.select("text"), k)), "prefixes", "none")
+    comp = components_of_sets(src, rows, k, num, den)
+    rows = rows.select("doc_key", "n", "set_key").join(comp.withColumnRenamed("node", "set_key"), "set_key", "left").select("doc_key", "n", F.coalesce("comp", "set_key").alias("comp"))
     least = rows.where("comp is not null").groupBy("comp").agg(F.min("doc_key").alias("least"))
     return rows.join(least, "comp", "left").select(F.col("doc_key").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_key")).otherwise(F.col("least")).alias("component_id"))
 
