@@ -19,6 +19,8 @@ FREQUENT = 1 << 19
 BROADCAST_KEYS = 200_000
 #: Members of one prefix token that are compared in one block.
 BLOCK = 8192
+#: Tokens with more members than this are large: a pair is then written at the first large token that both hold, only.
+LARGE = 32
 SKETCH = 512
 
 
@@ -267,12 +269,35 @@ def _exact(likely: DataFrame, fetched: DataFrame, num: int, den: int) -> DataFra
     return both.select("a", "b", "xa", "xb").mapInArrow(exact, "a binary, b binary")
 
 
+def _with_tokens(blocks: DataFrame) -> DataFrame:
+    """Pack the large tokens of the rows of large tokens."""
+
+    def run(batches):
+        for b in batches:
+            toks = [np.array(x, np.int64).tobytes() if y and x is not None else None for x, y in zip(b.column("toks").to_pylist(), b.column("large").to_pylist())]
+            names = ["tok", "lo", "hi", "blk", "set_key", "comp", "n", "sketch"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(toks, pa.binary())], names=[*names, "toks"])
+
+    return blocks.mapInArrow(run, "tok long, lo int, hi int, blk int, set_key binary, comp long, n long, sketch binary, toks binary")
+
+
 def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of members in one block (tok, lo, hi) that lie in different components and pass the filters.
 
-    ``members`` (tok, lo, hi, blk, set_key, comp, n, sketch) is partitioned and sorted by block; a block is bounded.
+    ``members`` (tok, lo, hi, blk, set_key, comp, n, sketch, toks) is partitioned and sorted by block; a block is bounded.
+    For large tokens toks has all large tokens of the member (8 bytes each): near copies share dozens, and a pair of them
+    is written once.
     """
 
+    def earlier(toks, tok):
+        """Bits of the members' large tokens before ``tok``."""
+        held = [x[x < tok] for x in toks]
+        every = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+        bits = np.zeros((len(held), max(1, len(every))), bool)
+        for r, x in enumerate(held):
+            bits[r, np.searchsorted(every, x)] = True
+        return np.packbits(bits, axis=1)
+
     def emit(keys, i, j):
         return pa.RecordBatch.from_arrays([keys.take(pa.array(i)), keys.take(pa.array(j))], names=["a", "b"])
 
@@ -293,8 +318,10 @@ def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
                 i = i[_near(n[i], n[i + d], sketch[i], sketch[i + d], num, den)]
                 if len(i):
                     yield emit(keys, i, i + d)
+        toks = t.column("toks").to_pylist()
         for s, k in zip(new[size > 64].tolist(), size[size > 64].tolist()):
             rows = np.arange(s, s + k)
+            known = earlier([np.frombuffer(x, np.int64) for x in toks[s : s + k]], tok[s]) if all(x is not None for x in toks[s : s + k]) else None
             step = max(1, 200_000 // k)
             for r in range(0, k, step):
                 i = np.repeat(rows[r : r + step], k)
@@ -304,8 +331,12 @@ def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
                     ok &= blk[i] != blk[j]
                 i, j = i[ok], j[ok]
                 ok = _near(n[i], n[j], sketch[i], sketch[j], num, den)
-                if ok.any():
-                    yield emit(keys, i[ok], j[ok])
+                i, j = i[ok], j[ok]
+                if known is not None and len(i):
+                    ok = ~(known[i - s] & known[j - s]).any(axis=1)
+                    i, j = i[ok], j[ok]
+                if len(i):
+                    yield emit(keys, i, j)
 
     def run(batches):
         held = None
@@ -364,9 +395,12 @@ def components_of_sets(src: DataFrame, rows: DataFrame, k: int, num: int, den: i
     own = materialize(own, "own")
     spread = own.groupBy("gid").agg(F.min(F.xxhash64("comp")).alias("c0"), F.max(F.xxhash64("comp")).alias("c1"), F.count(F.lit(1)).alias("m"))
     tokens = shared.unionAll(groups.where("m > 1").select(F.col("gid").alias("tok"), "gid"))
-    open_tokens = tokens.join(spread, "gid").groupBy("tok").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("m").alias("c")).where("c0 <> c1").select("tok", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"))
+    open_tokens = tokens.join(spread, "gid").groupBy("tok").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("m").alias("c")).where("c0 <> c1").select("tok", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"), (F.col("c") > LARGE).alias("large"))
+    open_tokens = materialize(open_tokens, "open-tokens")
+    large = tokens.join(open_tokens.where("large"), "tok").join(own, "gid").groupBy("set_key").agg(F.array_distinct(F.collect_list("tok")).alias("toks"))
     blocks = tokens.join(open_tokens, "tok").join(own, "gid").withColumn("blk", F.pmod(F.xxhash64("set_key"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    blocks = blocks.select("tok", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "set_key", F.xxhash64("comp").alias("comp")).join(light, "set_key")
+    blocks = blocks.select("tok", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "set_key", F.xxhash64("comp").alias("comp"), "large").join(light, "set_key").join(large, "set_key", "left")
+    blocks = _with_tokens(blocks)
     cross = _cross_pairs(blocks.repartition("tok", "lo", "hi").sortWithinPartitions("tok", "lo", "hi"), num, den).distinct()
     cross = materialize(cross, "pairs")
     more = materialize(_ends(cross).join(wanted, "set_key", "left_anti"), "wanted")

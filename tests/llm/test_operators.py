@@ -90,14 +90,15 @@ def test_near_copies_link_by_blocks(spark, monkeypatch):
     r = random.Random(3)
     base = [f"w{r.randrange(500)}" for _ in range(150)]
     texts = []
-    for _ in range(60):
+    for _ in range(90):
         w = list(base)
-        for _ in range(r.randrange(6)):
+        for _ in range(r.randrange(9)):
             w[r.randrange(150)] = f"x{r.randrange(10**6)}"
         texts.append(" ".join(w))
     docs = _docs(spark, texts, extra=False)
     one = {tuple(x) for x in jaccard.jaccard_classes(docs, 3, 90, 100).collect()}
-    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, "BLOCK", 100)
+    monkeypatch.setattr(jaccard, "LARGE", 2)
     monkeypatch.setattr(jaccard, "BROADCAST_KEYS", 0)
     assert {tuple(x) for x in jaccard.jaccard_classes(docs, 3, 90, 100).collect()} == one
 
