@@ -61,7 +61,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(
         F.col("key").alias("page_id"),
         F.when(response, F.length("payload").cast("long")).otherwise(F.col("size")).alias("payload_bytes"),
-        F.when(response, warc.base32_sha1(F.col("payload"))).otherwise(F.col("h_digest")).alias("payload_digest"),
+        F.when(response, warc.base32_sha1(F.sha1("payload"))).otherwise(F.col("h_digest")).alias("payload_digest"),
         F.col("h_type").alias("record_type"),
         F.col("h_refers_to").cast(pages.schema["page_id"].dataType).alias("refers_to"),
     )

@@ -1,9 +1,11 @@
-"""WARC archives: an index first, then records, then coalesced byte-range reads of selected records."""
+"""WARC archives: an index of the written records first, then coalesced byte-range reads of the selected ones."""
 
 from __future__ import annotations
 
+from urllib.parse import unquote_plus
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,11 +16,12 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Largest count of repeated payloads sent to every executor (about 40 bytes each); beyond it a shuffle join is used.
 BROADCAST_REPEATS = 500_000
 END = "\r\n\r\n"
+BLANK = END.encode()
+INDEX = ["shard", "offset", "length", "key", "url", "digest", "size", "record_type", "refers_to"]
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1 of a binary column: 40 hexadecimal digits are 8 groups of four letters."""
-    digits = F.sha1(payload)
+def base32_sha1(digits: Column) -> Column:
+    """Bare upper-case base32 of a SHA-1 in hexadecimal: 40 digits are 8 groups of four letters."""
     letters = []
     for i in range(8):
         v = F.conv(F.substring(digits, 5 * i + 1, 5), 16, 10).cast("int")
@@ -31,60 +34,110 @@ def _head(kind: Column, key: Column, url: Column, digest: Column, size: Column,
     nl = "\r\n"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{nl}Content-Type: text/html; charset=utf-8{nl}Content-Length: "), size.cast("string"), F.lit(nl + nl))
     block = F.octet_length(http) + F.when(kind == "response", size).otherwise(0)
+
+    def urn(key: Column) -> Column:
+        return F.concat(F.lit("<urn:page"), F.coalesce(F.concat(F.lit(":"), F.url_encode(key)), F.lit("")), F.lit(">"))
+
     head = F.concat(
-        F.lit(f"WARC/1.1{nl}WARC-Type: "), kind, F.lit(f"{nl}WARC-Record-ID: <urn:page:"), F.coalesce(key, F.lit("")),
-        F.lit(f">{nl}WARC-Date: 1970-01-01T00:00:00Z{nl}WARC-Target-URI: "), F.regexp_replace(F.coalesce(url, F.lit("")), "[\\r\\n]", "%0A"),
+        F.lit(f"WARC/1.1{nl}WARC-Type: "), kind, F.lit(f"{nl}WARC-Record-ID: "), urn(key),
+        F.lit(f"{nl}WARC-Date: 1970-01-01T00:00:00Z{nl}WARC-Target-URI: "), F.regexp_replace(F.coalesce(url, F.lit("")), "[\\r\\n]", "%0A"),
         F.lit(f"{nl}WARC-Payload-Digest: sha1:"), digest,
-        F.when(kind == "revisit", F.concat(F.lit(f"{nl}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{nl}WARC-Refers-To: <urn:page:"), refers, F.lit(">"))).otherwise(F.lit("")),
+        F.when(kind == "revisit", F.concat(F.lit(f"{nl}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{nl}WARC-Refers-To: "), urn(refers))).otherwise(F.lit("")),
         F.lit(f"{nl}Content-Type: application/http; msgtype=response{nl}Content-Length: "), block.cast("string"), F.lit(nl + nl),
     )
     return head, http
 
 
-def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, shard_bytes: int = 64 << 20, path: str | None = None) -> tuple[str, DataFrame]:
-    """Write a record per row; returns the archive's folder and its index.
+def _key_of(urn: str | None) -> str | None:
+    """The id in a record's address; null for the address of a record without one."""
+    return unquote_plus(urn[len("<urn:page:") : -1]) if urn and urn != "<urn:page>" else None
+
+
+def _open(path: str, name: str):
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(f"{path if '://' in path else 'file://' + path}/{name}")
+    return store.open_input_file(at)
+
+
+def _entries(stream, window: int = 1 << 20):
+    """(offset, length, header fields, payload bytes) of the records of one archive file, read forward; payloads that
+    reach beyond the bytes at hand are skipped and never held whole."""
+    total, at, base, data = stream.size(), 0, 0, b""
+    while at < total:
+        size = window
+        while True:
+            start = at - base
+            head = data.find(BLANK, start) if start < len(data) else -1
+            http = data.find(BLANK, head + len(BLANK)) if head >= 0 else -1
+            if http >= 0:
+                break
+            if base == at and base + len(data) >= total:
+                raise ValueError("no WARC record at this offset")
+            base, data = at, stream.read_at(min(size, total - at), at)
+            size *= 2
+        fields = _fields(data[start:head])
+        length = head + len(BLANK) - start + int(fields[b"Content-Length"])
+        payload = _fields(data[head + len(BLANK) : http])[b"Content-Length"]
+        yield at, length, fields, int(payload)
+        at += length + len(END)
+
 
-    The index (shard, offset, length, url, payload digest and size, record type, refers_to) is written first: a record's
-    length follows from its headers and payload size, and its offset is the sum of the lengths before it in its shard.
-    Then each shard is written as one file in the same order (id, digest, url) by the text writer, whose line separator
-    is the record separator. Among records with equal payloads (SHA-1 and size) of at least ``min_bytes`` bytes the one
-    with the smallest id is a response and the others revisit it; repeated rows with that smallest id are all responses.
-    A null payload is empty, a null url is written as an empty one, rows with null ids are written (and are responses when
-    no id in their class is known). An empty table gives an empty index.
+def index_warc(path: str, key_type: T.DataType) -> DataFrame:
+    """The index of an archive: shard (file), offset, length, key, url, digest, size, record_type, refers_to per record.
+
+    It is made from the files as they were written, so it holds however the tasks that wrote them were dealt or retried.
+    """
+    spark = SparkSession.active()
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("shard"))
+
+    def run(batches):
+        for b in batches:
+            for shard in b.column(0).to_pylist():
+                rows = []
+                with _open(path, shard) as stream:
+                    for offset, length, f, size in _entries(stream):
+                        refers = f.get(b"WARC-Refers-To")
+                        rows.append((shard, offset, length, _key_of(f[b"WARC-Record-ID"].decode()), f[b"WARC-Target-URI"].decode(), f[b"WARC-Payload-Digest"].decode().removeprefix("sha1:"), size, f[b"WARC-Type"].decode(), _key_of(refers and refers.decode())))
+                        if len(rows) == 10_000:
+                            yield batch(rows)
+                            rows = []
+                if rows:
+                    yield batch(rows)
+
+    def batch(rows):
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=INDEX)
+
+    out = files.mapInArrow(run, "shard string, offset long, length long, key string, url string, digest string, size long, record_type string, refers_to string")
+    return materialize(out.withColumn("key", F.col("key").cast(key_type)).withColumn("refers_to", F.col("refers_to").cast(key_type)), "warc-index")
+
+
+def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, path: str | None = None) -> tuple[str, DataFrame]:
+    """Write a record per row; returns the archive's folder and its index (see ``index_warc``).
+
+    Payloads are not shuffled: each task of the scan writes its records as one file by the text writer, whose line
+    separator is the record separator. Among records with equal payloads (SHA-1 and size) of at least ``min_bytes`` bytes
+    the one with the smallest id is a response and the others revisit it; repeated rows with that smallest id are all
+    responses. A null payload is empty, a null url is written as an empty one, rows with null ids are written (and are
+    responses when no id in their class is known). An empty table gives an empty index; other columns are not read.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "warc")
-    key_type = pages.schema[id_col].dataType
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     base = pages.select(F.col(id_col).alias("key"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    base = base.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.length("payload").cast("long"))
-    meta = materialize(base.drop("payload"), "warc-meta")
-    total = meta.agg(F.sum("size").alias("s")).collect()[0]["s"] or 0
-    shards = max(-(-total // shard_bytes), 2 * spark.sparkContext.defaultParallelism)
-    repeats = meta.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    base = base.withColumn("sha1", F.sha1("payload")).withColumn("size", F.length("payload").cast("long"))
+    repeats = base.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and first is not null").drop("copies")
     repeats = materialize(repeats, "warc-repeats")
     if repeats.count() <= BROADCAST_REPEATS:
         repeats = F.broadcast(repeats)
-
-    def records(df: DataFrame) -> DataFrame:
-        df = df.join(repeats, ["digest", "size"], "left")
-        kind = F.when(F.col("first").isNull() | F.col("key").eqNullSafe(F.col("first")), "response").otherwise("revisit")
-        df = df.withColumn("record_type", kind).withColumn("refers_to", F.when(kind == "revisit", F.col("first"))).drop("first")
-        head, http = _head(F.col("record_type"), F.col("key").cast("string"), F.col("url"), F.col("digest"), F.col("size"), F.col("refers_to").cast("string"))
-        df = df.withColumn("head", head).withColumn("http", http).withColumn("shard", F.pmod(F.xxhash64("key", "digest"), F.lit(shards)).cast("int"))
-        return df
-
-    order = ["key", "digest", "url"]
-    index = records(meta)
-    stored = F.octet_length("head") + F.octet_length("http") + F.when(F.col("record_type") == "response", F.col("size")).otherwise(0)
-    index = index.withColumn("length", stored.cast("long"))
-    before = F.sum(F.col("length") + len(END)).over(Window.partitionBy("shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    index = index.withColumn("offset", F.coalesce(before, F.lit(0))).select("shard", "offset", "length", F.col("key").cast(key_type).alias("key"), "url", "digest", "size", "record_type", "refers_to")
-    index = materialize(index, "warc-index")
+    df = base.join(repeats, ["sha1", "size"], "left")
+    kind = F.when(F.col("first").isNull() | F.col("key").eqNullSafe(F.col("first")), "response").otherwise("revisit")
+    df = df.withColumn("record_type", kind).withColumn("refers_to", F.when(kind == "revisit", F.col("first")))
+    head, http = _head(F.col("record_type"), F.col("key").cast("string"), F.col("url"), base32_sha1(F.col("sha1")), F.col("size"), F.col("refers_to").cast("string"))
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    out = records(base).select("shard", *order, F.concat(F.col("head").cast("binary"), F.col("http").cast("binary"), body).cast("string").alias("value"))
-    out.repartition(shards, "shard").sortWithinPartitions("shard", *order).select("shard", "value").write.partitionBy("shard").option("lineSep", END).text(path)
-    return path, index
+    df.select(F.concat(head.cast("binary"), http.cast("binary"), body).cast("string").alias("value")).write.option("lineSep", END).text(path)
+    return path, index_warc(path, pages.schema[id_col].dataType)
 
 
 def read_warc(path: str, index: DataFrame, gap: int = 1 << 16, block: int = 4 << 20) -> DataFrame:
@@ -95,11 +148,9 @@ def read_warc(path: str, index: DataFrame, gap: int = 1 << 16, block: int = 4 <<
     h_digest, h_refers_to. A range that doesn't hold a record raises an error. An empty index gives no rows.
     """
     shards = max(1, index.sparkSession.sparkContext.defaultParallelism * 2)
-    src = index.repartition(shards, "shard").sortWithinPartitions("shard", "offset")
+    src = index.repartition(shards, F.col("shard"), F.floor(F.col("offset") / (4 * block))).sortWithinPartitions("shard", "offset")
 
     def run(batches):
-        from pyarrow import fs
-
         opened, stream = None, None
         for b in batches:
             shard, offset, length = (b.column(i).to_pylist() for i in range(3))
@@ -110,11 +161,9 @@ def read_warc(path: str, index: DataFrame, gap: int = 1 << 16, block: int = 4 <<
                     last = max(last, offset[j] + length[j])
                     j += 1
                 if opened != shard[i]:
-                    store, at = fs.FileSystem.from_uri(f"{path if '://' in path else 'file://' + path}/shard={shard[i]}")
-                    names = [f.path for f in store.get_file_info(fs.FileSelector(at)) if f.base_name.startswith("part-")]
-                    if len(names) != 1:
-                        raise ValueError(f"shard {shard[i]} has {len(names)} files")
-                    opened, stream = shard[i], store.open_input_file(names[0])
+                    if stream is not None:
+                        stream.close()
+                    opened, stream = shard[i], _open(path, shard[i])
                 data = stream.read_at(last - offset[i], offset[i])
                 rows = [_parse(data[offset[k] - offset[i] : offset[k] - offset[i] + length[k]]) for k in range(i, j)]
                 payload, kind, digest, refers = zip(*rows)
@@ -126,13 +175,16 @@ def read_warc(path: str, index: DataFrame, gap: int = 1 << 16, block: int = 4 <<
     return src.mapInArrow(run, schema)
 
 
+def _fields(head: bytes) -> dict[bytes, bytes]:
+    return dict(x.partition(b": ")[::2] for x in head.split(b"\r\n")[1:])
+
+
 def _parse(record: bytes) -> tuple[bytes, str, str, str | None]:
-    head, _, block = record.partition(b"\r\n\r\n")
-    lines = head.split(b"\r\n")
-    if lines[0] != b"WARC/1.1":
+    head, _, block = record.partition(BLANK)
+    if not head.startswith(b"WARC/1.1\r\n"):
         raise ValueError("no WARC record at this offset")
-    fields = dict(x.split(b": ", 1) for x in lines[1:])
+    fields = _fields(head)
     if int(fields[b"Content-Length"]) != len(block):
         raise ValueError("a record's length differs from its header")
     refers = fields.get(b"WARC-Refers-To")
-    return block.partition(b"\r\n\r\n")[2], fields[b"WARC-Type"].decode(), fields[b"WARC-Payload-Digest"].decode().removeprefix("sha1:"), refers.decode()[len("<urn:page:") : -1] if refers else None
+    return block.partition(BLANK)[2], fields[b"WARC-Type"].decode(), fields[b"WARC-Payload-Digest"].decode().removeprefix("sha1:"), _key_of(refers and refers.decode())

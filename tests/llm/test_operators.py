@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import decontaminate, itq, jaccard, language, mixing, packing, quality, recompression, secrets, warc
 from spanloom.llm.components import components
@@ -241,7 +242,7 @@ def test_warc(spark):
     html = ["<p>a</p>", "<p>é</p>\r\n\r\nx", None, "", "<p>a</p>", "<p>a</p>", "z" * 200000]
     rows = [(i + 10, f"http://h/{i}\n", h, "x") for i, h in enumerate(html)] + [(10, "http://h/0\n", html[0], "x"), (None, None, "only", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string").repartition(3)
-    path, index = warc.write_warc(pages, shard_bytes=1000)
+    path, index = warc.write_warc(pages)
     got = warc.read_warc(path, index, gap=10, block=500).collect()
     assert len(got) == len(rows)
     first: dict = {}
@@ -256,6 +257,9 @@ def test_warc(spark):
             assert r.h_type == "revisit" and r.h_refers_to == str(first[h])
     some = warc.read_warc(path, index.where("key = 16")).collect()
     assert len(some) == 1 and bytes(some[0].payload) == html[6].encode()
+    texts = [("a b", "one"), ("<é>\r\n", "two"), ("", "one"), (None, "three")]
+    path, index = warc.write_warc(spark.createDataFrame(texts, "k string, h string").withColumn("url", F.lit(None)), id_col="k", payload_col="h")
+    assert sorted((r.key is not None, r.key or "", r.refers_to) for r in index.collect()) == [(False, "", None), (True, "", None), (True, "<é>\r\n", None), (True, "a b", "")]
     path, index = warc.write_warc(pages.where("page_id < 0"))
     assert warc.read_warc(path, index).count() == 0
 
