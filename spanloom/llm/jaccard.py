@@ -19,9 +19,13 @@ FREQUENT = 1 << 19
 BROADCAST_KEYS = 200_000
 #: Members of one prefix token that are compared in one block.
 BLOCK = 8192
-#: Tokens with more members than this are large: a pair is then written at the first large token that both hold, only.
+#: Tokens with more members than this are large: there a pair isn't written if both carry the same smaller large token.
 LARGE = 32
+#: So many of a member's large tokens, the smallest ones, go with each of its rows to avoid writing a pair twice.
+CARRIED = 12
 SKETCH = 512
+#: Sets of at least so many shingles also have a sketch of counts (a byte per hash value), since bits say little of them.
+LONG = 512
 
 
 def _sets(texts: pa.Array, k: int):
@@ -90,7 +94,8 @@ def _prefixes(src: DataFrame, k: int, num: int, den: int, frequent: tuple[np.nda
     global order and a sketch (null in the repeats).
 
     The order is by hash, then the frequent shingles from rare to frequent. The sketch has a bit per hashed shingle,
-    flipped each time, so that two sketches differ in no more bits than the sets differ in shingles.
+    flipped each time, so that two sketches differ in no more bits than the sets differ in shingles. For long sets the
+    counts of these flips modulo 256 are kept too: their differences sum to no more than that either.
     """
     held = src.sparkSession.sparkContext.broadcast(frequent)
 
@@ -101,10 +106,10 @@ def _prefixes(src: DataFrame, k: int, num: int, den: int, frequent: tuple[np.nda
             rows = []
             for n, key, x in _sets(b.column(1), k):
                 if not n:
-                    rows.append((0, None, None, None, None))
+                    rows.append((0, None, None, None, None, None))
                     continue
                 if key in seen:
-                    rows.append((n, key, seen[key], None, None))
+                    rows.append((n, key, seen[key], None, None, None))
                     continue
                 p = n - -(-num * n // den) + 1
                 prefix = x[:p]
@@ -115,14 +120,15 @@ def _prefixes(src: DataFrame, k: int, num: int, den: int, frequent: tuple[np.nda
                     if len(prefix) < p:
                         last = x[hot]
                         prefix = np.concatenate([prefix, last[np.argsort(rank[at[hot]], kind="stable")][: p - len(prefix)]])
-                sketch = np.packbits(np.bincount((mix(x) >> U(55)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+                counts = np.bincount((mix(x) >> U(55)).astype(np.int64), minlength=SKETCH).astype(np.uint8)
+                sketch = np.packbits(counts & 1).tobytes()
                 gid = int.from_bytes(hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
                 seen[key] = gid
-                rows.append((n, key, gid, prefix.tobytes(), sketch))
-            n, key, gid, prefix, sketch = zip(*rows) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_key", "n", "set_key", "gid", "prefix", "sketch"])
+                rows.append((n, key, gid, prefix.tobytes(), sketch, counts.tobytes() if n >= LONG else None))
+            n, key, gid, prefix, sketch, counts = zip(*rows) if rows else ((),) * 6
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary()), pa.array(counts, pa.binary())], names=["doc_key", "n", "set_key", "gid", "prefix", "sketch", "counts"])
 
-    return src.mapInArrow(run, with_fields(src.schema["doc_key"], "n long, set_key binary, gid long, prefix binary, sketch binary"))
+    return src.mapInArrow(run, with_fields(src.schema["doc_key"], "n long, set_key binary, gid long, prefix binary, sketch binary, counts binary"))
 
 
 def _shared_tokens(prefixes: DataFrame, buckets: int) -> DataFrame:
@@ -230,6 +236,26 @@ def _likely(pairs: DataFrame, light: DataFrame, num: int, den: int) -> DataFrame
     return joined.mapInArrow(maybe, "a binary, b binary")
 
 
+def _sift(pairs: DataFrame, long: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the set pairs that the counts of two long sets allow; pairs with a short set pass."""
+    joined = pairs.join(long.toDF("a", "na", "ca"), "a", "left").join(long.toDF("b", "nb", "cb"), "b", "left").select("a", "b", "na", "nb", "ca", "cb")
+
+    def counts(column):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
+
+    def run(batches):
+        for b in batches:
+            ok = np.ones(b.num_rows, bool)
+            at = np.flatnonzero(np.asarray(b.column(4).is_valid()) & np.asarray(b.column(5).is_valid()))
+            if len(at):
+                both = b.take(pa.array(at))
+                differ = np.abs((counts(both.column(4)) - counts(both.column(5))).view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64)
+                ok[at] = differ * (den + num) <= (den - num) * (both.column(2).to_numpy(zero_copy_only=False) + both.column(3).to_numpy(zero_copy_only=False))
+            yield b.select([0, 1]).filter(pa.array(ok))
+
+    return joined.mapInArrow(run, "a binary, b binary")
+
+
 def _fetch(src: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(set_key, shingles) of the wanted sets, computed from the texts again."""
     few = wanted.count() <= BROADCAST_KEYS
@@ -285,8 +311,8 @@ def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of members in one block (tok, lo, hi) that lie in different components and pass the filters.
 
     ``members`` (tok, lo, hi, blk, set_key, comp, n, sketch, toks) is partitioned and sorted by block; a block is bounded.
-    For large tokens toks has all large tokens of the member (8 bytes each): near copies share dozens, and a pair of them
-    is written once.
+    For large tokens toks has the CARRIED smallest large tokens of the member (8 bytes each): near copies share dozens, and
+    a pair of them is written a few times instead. At the smallest token that both hold it is always written.
     """
 
     def earlier(toks, tok):
@@ -370,10 +396,11 @@ def components_of_sets(src: DataFrame, rows: DataFrame, k: int, num: int, den: i
     2. Each group's members are compared with its first, and each group with one of a similar size per token: a linear
        number of pairs, which joins most of a large family of near copies.
     3. Within each token (and each group), all members in different components are compared, in bounded blocks: no link
-       is lost, and families that are one component already cost nothing.
+       is lost, and families that are one component already cost nothing. Of the pairs between the same two components
+       one is verified first, and then all that still lie between different ones.
     """
     spark = src.sparkSession
-    members = rows.where("prefix is not null").select("set_key", "gid", "n", "sketch").dropDuplicates(["set_key"])
+    members = rows.where("prefix is not null").select("set_key", "gid", "n", "sketch", "counts").dropDuplicates(["set_key"])
     members = materialize(members, "members")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = materialize(_shared_tokens(rows, buckets), "shared")
@@ -385,8 +412,8 @@ def components_of_sets(src: DataFrame, rows: DataFrame, k: int, num: int, den: i
     leaders = groups.select("gid", "leader")
     star = star.join(leaders.toDF("gid", "a"), "gid").join(leaders.toDF("pivot", "b"), "pivot").select("a", "b")
     inner = members.select("gid", "set_key").join(leaders, "gid").where("set_key <> leader").select(F.col("set_key").alias("a"), F.col("leader").alias("b"))
-    light = members.select("set_key", "n", "sketch")
-    likely = materialize(_likely(star.unionAll(inner), light, num, den), "pairs")
+    light, long = members.select("set_key", "n", "sketch"), members.where("counts is not null").select("set_key", "n", "counts")
+    likely = materialize(_sift(_likely(star.unionAll(inner), light, num, den), long, num, den), "pairs")
     wanted = materialize(_ends(likely), "wanted")
     fetched = materialize(_fetch(src, wanted, k), "fetched", "none")
     first = materialize(_exact(likely, fetched, num, den), "links")
@@ -397,16 +424,25 @@ def components_of_sets(src: DataFrame, rows: DataFrame, k: int, num: int, den: i
     tokens = shared.unionAll(groups.where("m > 1").select(F.col("gid").alias("tok"), "gid"))
     open_tokens = tokens.join(spread, "gid").groupBy("tok").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.sum("m").alias("c")).where("c0 <> c1").select("tok", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb"), (F.col("c") > LARGE).alias("large"))
     open_tokens = materialize(open_tokens, "open-tokens")
-    large = tokens.join(open_tokens.where("large"), "tok").join(own, "gid").groupBy("set_key").agg(F.array_distinct(F.collect_list("tok")).alias("toks"))
+    large = tokens.join(open_tokens.where("large"), "tok").join(own, "gid").groupBy("set_key").agg(F.slice(F.sort_array(F.collect_set("tok")), 1, CARRIED).alias("toks"))
     blocks = tokens.join(open_tokens, "tok").join(own, "gid").withColumn("blk", F.pmod(F.xxhash64("set_key"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     blocks = blocks.select("tok", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "blk", "set_key", F.xxhash64("comp").alias("comp"), "large").join(light, "set_key").join(large, "set_key", "left")
     blocks = _with_tokens(blocks)
     cross = _cross_pairs(blocks.repartition("tok", "lo", "hi").sortWithinPartitions("tok", "lo", "hi"), num, den).distinct()
-    cross = materialize(cross, "pairs")
+    cross = materialize(_sift(cross, long, num, den), "pairs")
     more = materialize(_ends(cross).join(wanted, "set_key", "left_anti"), "wanted")
     if more.count():
         fetched = fetched.unionAll(materialize(_fetch(src, more, k), "fetched", "none"))
-    return components(first.unionAll(materialize(_exact(cross, fetched, num, den), "links")))
+    node = own.select("set_key", "comp")
+    met = cross.join(node.toDF("a", "ca"), "a").join(node.toDF("b", "cb"), "b").groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"))
+    one = materialize(met.agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "pairs")
+    links = first.unionAll(materialize(_exact(one, fetched, num, den), "links"))
+    comp = materialize(components(links), "components")
+    rest = cross.join(one, ["a", "b"], "left_anti").join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
+    rest = materialize(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "pairs")
+    if not rest.count():
+        return comp
+    return components(links.unionAll(materialize(_exact(rest, fetched, num, den), "links")))
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
