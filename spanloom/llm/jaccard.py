@@ -24,13 +24,15 @@ LARGE = 32
 #: So many of a member's large tokens, the smallest ones, go with each of its rows to avoid writing a pair twice.
 CARRIED = 12
 SKETCH = 512
+#: Bytes of text that are split and hashed at once (a longer text is taken alone); a worker holds some 50 times that.
+CHUNK = 1 << 19
 #: Sets of at least so many shingles also have a sketch of counts (a byte per hash value), since bits say little of them.
 LONG = 512
 
 
 def _sets(texts: pa.Array, k: int):
     """(size, key, sorted 48-bit shingle hashes) of every text; an empty set has no key."""
-    for _, part in chunks(text_array(texts)):
+    for _, part in chunks(text_array(texts), CHUNK):
         w = split(part, lower=True)
         h = word_hashes(w)
         s = sequence_hashes(h, k) >> U(16)
@@ -67,7 +69,7 @@ def _frequent(texts: DataFrame, k: int, chunk: int = 4096, least: int = 3) -> tu
                 seen.add(key)
                 some.append(x)
                 size += n
-                if len(some) >= chunk or size > 4_000_000:
+                if len(some) >= chunk or size > 1_500_000:
                     yield from flush()
                     size = 0
         yield from flush()
@@ -348,7 +350,7 @@ def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
         for s, k in zip(new[size > 64].tolist(), size[size > 64].tolist()):
             rows = np.arange(s, s + k)
             known = earlier([np.frombuffer(x, np.int64) for x in toks[s : s + k]], tok[s]) if all(x is not None for x in toks[s : s + k]) else None
-            step = max(1, 200_000 // k)
+            step = max(1, 100_000 // k)
             for r in range(0, k, step):
                 i = np.repeat(rows[r : r + step], k)
                 j = np.tile(rows, len(rows[r : r + step]))
@@ -413,7 +415,8 @@ def components_of_sets(src: DataFrame, rows: DataFrame, k: int, num: int, den: i
     star = star.join(leaders.toDF("gid", "a"), "gid").join(leaders.toDF("pivot", "b"), "pivot").select("a", "b")
     inner = members.select("gid", "set_key").join(leaders, "gid").where("set_key <> leader").select(F.col("set_key").alias("a"), F.col("leader").alias("b"))
     light, long = members.select("set_key", "n", "sketch"), members.where("counts is not null").select("set_key", "n", "counts")
-    likely = materialize(_sift(_likely(star.unionAll(inner), light, num, den), long, num, den), "pairs")
+    likely = materialize(_likely(star.unionAll(inner), light, num, den), "pairs")  # written, so that no task runs two workers
+    likely = materialize(_sift(likely, long, num, den), "pairs")
     wanted = materialize(_ends(likely), "wanted")
     fetched = materialize(_fetch(src, wanted, k), "fetched", "none")
     first = materialize(_exact(likely, fetched, num, den), "links")
