@@ -139,3 +139,28 @@ def format_ms(ms: Column | str) -> Column:
         .when(ms < 3600000, F.concat(minutes.cast("string"), F.lit(" min, "), one((ms / 1000.0) % 60.0), F.lit(" s")))
         .otherwise(F.concat(hours.cast("string"), F.lit(" h, "), one((ms / 60000.0) % 60.0), F.lit(" min")))
     )
+
+
+def number_pattern(c: Column | str, pattern: str) -> Column:
+    """A number by a pattern: ``+`` shows the sign of positive ones, ``#`` a least digit each, one other character among
+    them separates groups of three, digits after a point are fractions (rounded half to even), a blank begins a suffix.
+
+    Groups are counted from the point or the end, also without fractions. NaN and infinities give NaN and INF; null stays null.
+    """
+    body, blank, suffix = pattern.partition(" ")
+    sign = body[: len(body) - len(body.lstrip("[]+-/"))]
+    whole, point, fractions = body[len(sign) :].partition(".")
+    separator = next((x for x in whole if x not in "#0123456789"), "")
+    least, n = len(whole) - whole.count(separator) * bool(separator), len(fractions)
+    if not whole:
+        raise ValueError(f"no number pattern: {pattern!r}")
+    d = col(c).cast("double")
+    digits = F.format_string("%.0f", F.rint(F.abs(d) * F.lit(10.0**n)))
+    digits = F.when(F.length(digits) < least + n, F.lpad(digits, least + n, "0")).otherwise(digits)
+    head, tail = F.left(digits, F.length(digits) - n), F.right(digits, F.lit(n))
+    if separator:
+        head = F.regexp_replace(head, "(?<=\\d)(?=(?:\\d{3})+$)", separator.replace("\\", "\\\\").replace("$", "\\$"))
+    shown = F.concat(head, F.lit("."), tail) if point else head
+    mark = F.when(d < 0, "-").otherwise("+" if "+" in sign else "")
+    finite = F.concat(mark, shown, F.lit(blank + suffix))
+    return F.when(d.isNull(), F.lit(None).cast("string")).when(F.isnan(d), "NaN").when(F.abs(d) == float("inf"), F.concat(mark, F.lit("INF"))).otherwise(finite)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..functions import text as tx
-from ..operators import alignment, markup, scores, sweep
+from ..operators import alignment, markup, patching, report, scores, sweep
 from ..operators import chains as ch
-from ..sources import conll
+from ..sources import conll, results
 from .derived import KEYS, MEN, MRK, PRI, SEG, TOK, derived_tokens, lengths, mentions, met, sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -504,3 +504,44 @@ def set_ops(spark, d):
     s = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("a"), F.collect_set("o_orderstatus").alias("b"))
     some = F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))
     return s.select("o_custkey", F.size(F.array_intersect("a", some)).alias("n_both"), F.size(F.array_union("a", "b")).alias("n_any"), F.arrays_overlap("a", F.array(F.lit("1-URGENT"))).alias("has_urgent"))
+
+
+@query(sql("SELECT item_id, b AS target_text FROM ed", _EDIT))
+def patch_apply(spark, d):
+    """A patch written as text, read and applied gives the edited text."""
+    p = _pairs(spark, d).withColumn("p", patching.patch_udf("a", "b"))
+    return p.select("item_id", patching.apply_patch_udf("p", "a")["text"].alias("target_text"))
+
+
+@query(sql("SELECT item_id, a AS source_text, b AS target_text, a AS source_again FROM ed", _EDIT))
+def diff_cleanup(spark, d):
+    """Cleaned-up scripts still lead from one text to the other."""
+    p = _pairs(spark, d).withColumns({"s": patching.semantic_udf("a", "b"), "f": patching.efficiency_udf("a", "b")})
+    return p.select("item_id", alignment.source_text(F.col("s")).alias("source_text"), alignment.target_text(F.col("s")).alias("target_text"), alignment.source_text(F.col("f")).alias("source_again"))
+
+
+@query("SELECT item_id, CASE WHEN length(text) >= 25 THEN 4 ELSE NULL END AS place FROM benchmark")
+def fuzzy_locate(spark, d):
+    """Where the 20 characters after the first five are found near the place they come from, shifted by one."""
+    b = table(spark, d, "benchmark").withColumn("cut", F.substring("text", 5, 20))
+    return b.select("item_id", F.when(F.length("text") >= 25, patching.locate_udf("text", "cut", F.lit(4))).alias("place"))
+
+
+@query(sql("SELECT doc_id, metric, r_nom, r_den, p_nom, p_den, weight FROM sco", _SCO))
+def results_json(spark, d):
+    """Scores written as JSON and read again."""
+    return results.parse(results.to_json(_label_scores(spark, d)))
+
+
+@query()
+def report_xml(spark, d):
+    m, s = _sweep(spark, d)
+    chains = sweep.chain_marks(sweep.open_mentions(s, m, KEYS), KEYS)
+    names = m.select("doc_id", "entity").distinct().withColumn("short", tx.initials("entity"))
+    return report.contents(table(spark, d, "documents").select("doc_id", "text"), _marks(spark, d), chains, names, KEYS)
+
+
+@query("SELECT o_orderkey, '+' || regexp_replace(printf('%d', o_orderkey * 37), '(\\d)(\\d{3})$', '\\1,\\2') || '.50 EUR' AS formatted FROM orders WHERE o_orderkey * 37 < 1000000 AND o_orderkey * 37 >= 1000")
+def number_pattern(spark, d):
+    o = table(spark, d, "orders").where("o_orderkey * 37 < 1000000 and o_orderkey * 37 >= 1000")
+    return o.select("o_orderkey", tx.number_pattern(F.col("o_orderkey") * 37 + 0.5, "+#,###.## EUR").alias("formatted"))
