@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def chains(mentions: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,17 +45,32 @@ def aligned_chain_idx(chain: DataFrame, mapping: DataFrame, keys: list[str], oth
     return rows.select(*keys, "entity", F.coalesce(F.col("i0"), F.coalesce("n0", F.lit(0)) + fresh).cast("long").alias("aligned_idx"))
 
 
+@F.pandas_udf(T.StringType())
+def _product(sizes: pd.Series) -> pd.Series:
+    """Exact products of any size, as text."""
+    return pd.Series([str(math.prod(int(n) for n in x)) for x in sizes])
+
+
 def entity_maps(counts: DataFrame, keys: list[str], limit: int = 1000) -> DataFrame:
-    """All maps that choose one e1 for each e0, of texts with at most ``limit`` of them; candidates are those whose count is
-    at least the root of the largest (rounded down)."""
+    """keys, entity_map, e0, cands, n_maps: all maps that choose one e1 for each e0; candidates are those whose count is at
+    least the root of the largest (rounded down).
+
+    A text with at most ``limit`` maps has a row for each (e0 and cands are null). One with more has its maps in factored
+    form, which is exact: a row for each e0 with its candidates, of which every choice is a map (entity_map is null). n_maps
+    is the number of the text's maps, as text since it may have any number of digits.
+    """
     best = Window.partitionBy(*keys, "e0")
     c = counts.withColumn("least", F.floor(F.sqrt(F.max("cnt").over(best)))).where("cnt >= least")
     c = c.groupBy(*keys, "e0").agg(F.array_sort(F.collect_list("e1")).alias("cands"))
-    doc = c.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("e0", "cands"))).alias("all"), F.sum(F.log(F.size("cands").cast("double"))).alias("size"))
-    doc = doc.where(F.exp("size") <= limit + 0.5)
+    doc = c.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("e0", "cands"))).alias("all"))
+    doc = doc.withColumn("n_maps", _product(F.transform("all", lambda x: F.size(x.cands))))
+    few = (F.length("n_maps") <= 18) & (F.expr("try_cast(n_maps as long)") <= limit)
     start = F.array(F.lit("").cast("string"))
     maps = F.aggregate("all", start, lambda acc, x: F.flatten(F.transform(acc, lambda m: F.transform(x.cands, lambda e: F.concat(m, F.when(m == "", "").otherwise(";"), x.e0, F.lit(">"), e)))))
-    return doc.select(*keys, F.explode(maps).alias("entity_map"))
+    none = F.lit(None)
+    expanded = F.transform(maps, lambda m: F.struct(m.alias("entity_map"), none.cast("string").alias("e0"), none.cast("array<string>").alias("cands")))
+    factored = F.transform("all", lambda x: F.struct(none.cast("string").alias("entity_map"), x.e0.alias("e0"), x.cands.alias("cands")))
+    return doc.select(*keys, "n_maps", F.explode(F.when(few, expanded).otherwise(factored)).alias("x")).select(*keys, "x.entity_map", "x.e0", "x.cands", "n_maps")
 
 
 def _sides(mentions: DataFrame, keys: list[str], gold: int, other: int) -> tuple[DataFrame, DataFrame]:
