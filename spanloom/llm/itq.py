@@ -14,6 +14,8 @@ from .components import components
 MAX_FIT = 20_000
 #: Members of one bucket that are compared in one block.
 BLOCK = 2048
+#: Steps of the coarse squares that a looking vector may spend on the bits in which a member differs.
+LEVEL = 8
 _SCALE = float(1 << 30)
 
 
@@ -40,7 +42,9 @@ class Codes:
     tables, and where their bits differ there, |u_i| + |v_i| <= |u_i - v_i|. So in that table, for one of the two vectors the
     squares of its own coordinates at the differing bits sum to at most half of that share: it looks into the buckets
     reached by flipping such sets of bits, and finds the other one in its own bucket. No pair is missed. Sums are kept as
-    integers, so that looking and counting decide alike.
+    integers, so that looking and counting decide alike. By the same reason the squares of either vector at all bits where
+    the two codes differ sum to at most 2 - 2c; ``levels`` keeps them coarsely, rounded down, so that most vectors that only
+    share a bucket are told from codes alone.
     """
 
     def __init__(self, mean, rotation, cosine: float, width: int):
@@ -57,6 +61,10 @@ class Codes:
         v = (x - self.mean) @ self.rotation
         return v >= 0, np.floor(v * v * _SCALE)
 
+    def levels(self, square: np.ndarray) -> np.ndarray:
+        """Squares as multiples (0 to 15, rounded down) of 1/LEVEL of what they may sum to where the codes differ."""
+        return np.minimum(square * LEVEL // (2 * len(self.tables) * self.budget), 15).astype(np.uint8)
+
     def code(self, sign: np.ndarray, t: int) -> np.ndarray:
         a, b = self.tables[t]
         return sign[:, a:b] @ (1 << np.arange(b - a))
@@ -142,11 +150,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, bits: int = 64, id
     classes = src.where(usable).groupBy("label", "v").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("least"))
     classes = classes.select(F.monotonically_increasing_id().alias("node"), F.xxhash64(F.col("label").cast("string"), F.size("v")).alias("g"), "label", F.size("v").alias("dim"), "v", "w", "least")
     classes = materialize(classes, "vectors")
-    stats = classes.groupBy("g", "dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(1000).collect()
+    stats = classes.groupBy("g", "dim").agg(F.count(F.lit(1)).alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
     parts = []
-    for dim in sorted({r["dim"] for r in stats} | {r["dim"] for r in classes.select("dim").distinct().limit(1000).collect()}):
+    for dim, largest in sorted((r["dim"], r["n"]) for r in stats):
         here = classes.where(F.col("dim") == dim)
-        largest = max(r["n"] for r in stats if r["dim"] == dim) if any(r["dim"] == dim for r in stats) else 1
         parts.append(_links(here, dim, cosine, min(bits, dim), width or int(np.clip(round(np.log2(max(largest, 2))), 6, 13))))
     spark = vectors.sparkSession
     if parts:
@@ -173,7 +180,6 @@ def _links(nodes: DataFrame, dim: int, cosine: float, bits: int, width: int) ->
     codes = Codes(*learn_rotation(sample, bits), cosine, width)
     n_tables = len(codes.tables)
     words = -(-bits // 64)
-    radius = max(2, bits // 3)
 
     def packed(sign):
         raw = np.packbits(sign, axis=1, bitorder="little")
@@ -188,13 +194,15 @@ def _links(nodes: DataFrame, dim: int, cosine: float, bits: int, width: int) ->
                 sign, square = codes.project(_vectors(part.column(2)))
                 node, g = part.column(0).to_numpy(), part.column(1).to_numpy()
                 code = packed(sign)
+                level = codes.levels(square)
+                look = np.hstack([code, *(packed((level >> k) & 1) for k in range(4))])
                 for t in range(n_tables):
                     i, bucket = codes.looks(sign, square, t)
                     i = np.concatenate([np.arange(len(node)), i])
                     bucket = np.concatenate([codes.code(sign, t), bucket])
                     home = np.zeros(len(i), bool)
                     home[: len(node)] = True
-                    yield pa.RecordBatch.from_arrays([pa.array(g[i]), pa.array(np.full(len(i), t, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(home), pa.array(node[i]), pa.array([x.tobytes() for x in code[i]], pa.binary())], names=["g", "t", "bucket", "home", "node", "code"])
+                    yield pa.RecordBatch.from_arrays([pa.array(g[i]), pa.array(np.full(len(i), t, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(home), pa.array(node[i]), pa.array([x.tobytes() for x in code] + [x.tobytes() for x in look[i[len(node) :]]], pa.binary())], names=["g", "t", "bucket", "home", "node", "code"])
 
     placed = nodes.select("node", "g", "v").mapInArrow(place, "g long, t int, bucket int, home boolean, node long, code binary")
     key = ["g", "t", "bucket"]
@@ -211,20 +219,26 @@ def _links(nodes: DataFrame, dim: int, cosine: float, bits: int, width: int) ->
     part_key = [*key, "o"]
 
     def near(batches):
-        """Rows of looking vectors that come within the radius of a member of the bucket."""
+        """Rows of looking vectors whose squares at the bits in which some member differs are small enough for a link."""
         for t in _whole_groups(batches, part_key, 50_000):
             home = t.column("home").to_numpy(zero_copy_only=False)
-            code = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint64).reshape(-1, words)
+            raw = t.column("code").to_pylist()
             keep = np.zeros(t.num_rows, bool)
             for a, k in _segments(t, part_key):
                 h = np.flatnonzero(home[a : a + k]) + a
                 p = np.flatnonzero(~home[a : a + k]) + a
                 if not len(h) or not len(p):
                     continue
+                member = np.frombuffer(b"".join(raw[x] for x in h.tolist()), np.uint64).reshape(-1, words)
                 for i in range(0, len(p), 1024):
                     q = p[i : i + 1024]
-                    d = sum(np.bitwise_count(code[q, w][:, None] ^ code[h, w][None, :]).astype(np.int32) for w in range(words))
-                    keep[q] = (d <= radius).any(axis=1)
+                    look = np.frombuffer(b"".join(raw[x] for x in q.tolist()), np.uint64).reshape(-1, 5, words)
+                    spent = np.zeros((len(q), len(h)), np.int32)
+                    for w in range(words):
+                        differ = look[:, 0, w][:, None] ^ member[:, w][None, :]
+                        for k in range(4):
+                            spent += np.bitwise_count(differ & look[:, 1 + k, w][:, None]).astype(np.int32) << k
+                    keep[q] = (spent <= LEVEL).any(axis=1)
             if keep.any():
                 rows = t.select([*key, "node"]).filter(pa.array(keep))
                 yield from rows.to_batches()
@@ -267,8 +281,6 @@ def _links(nodes: DataFrame, dim: int, cosine: float, bits: int, width: int) ->
                                 ok &= blk[r][:, None] != blk[h][None, :]
                         if not ok.any():
                             continue
-                        d = sign[r].astype(np.float32) @ (~sign[h]).T.astype(np.float32) + (~sign[r]).astype(np.float32) @ sign[h].T.astype(np.float32)
-                        ok &= d <= radius
                         for e in range(t):
                             ok &= ~(codes.reach(sign[r], square[r], sign[h], e) | codes.reach(sign[h], square[h], sign[r], e).T)
                         if not own:

@@ -152,6 +152,21 @@ def test_embeddings(spark, monkeypatch):
     assert itq.near_duplicates(df.where("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.9, 1.0])
+def test_embeddings_of_one_family(spark, share):
+    """Where most vectors are one family its mean is near them and signs are close to random; links are still all found."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(120, 64))
+    n = int(share * len(x))
+    x[:n] = x[0] + 0.12 * r.normal(size=(n, 64))
+    u = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    link = u @ u.T >= 0.98
+    want = link.sum(axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {z.vec_id: z.n_links for z in itq.near_duplicates(df).collect()}
+    assert want.sum() > 1000 and [got[i] for i in range(len(x))] == want.tolist()
+
+
 def test_decontamination(spark, monkeypatch):
     r = random.Random(5)
 
