@@ -11,9 +11,10 @@ from pyspark.sql import types as T
 from .common import _offsets, chunks, text_array
 
 BUCKETS = 1 << 15
-#: Languages are the most frequent declared ones, at most so many.
-MAX_LANGUAGES = 64
-#: Hosts whose priors are sent to every executor, at most (about 300 bytes each); beyond it a shuffle join is used.
+#: Languages whose counts a Python worker holds at once (256 KB each); with more it hands over what it has and goes on.
+HELD_LANGUAGES = 256
+#: Hosts whose evidence is sent to every executor, at most (about 300 bytes, or 25 counts, each); beyond it a shuffle join
+#: is used.
 BROADCAST_HOSTS = 50_000
 #: Overlapping character trigrams repeat each other's evidence; their log likelihoods count by this factor.
 TEMPER = 0.3
@@ -47,38 +48,51 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def count_grams(docs: DataFrame, text_col: str, lang_col: str, languages: list[str]) -> np.ndarray:
     """Counts of trigram buckets per declared language over all documents (languages x BUCKETS)."""
     place = {x: i for i, x in enumerate(languages)}
-    blocks = 8
+    names = ["lang", "bucket", "counts"]
+
+    def row(i: int, counts: np.ndarray):
+        at = np.flatnonzero(counts)
+        return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([counts[at].tobytes()], pa.binary())], names=names)
 
     def run(batches):
-        counts = np.zeros((len(languages), BUCKETS), np.int64)
+        held: dict[int, np.ndarray] = {}
         for b in batches:
             lang = np.array([place.get(x, -1) for x in b.column(1).to_pylist()], np.int64)
             for at, part in chunks(text_array(b.column(0))):
                 key, offsets = _grams(part)
-                of = np.repeat(lang[at : at + len(part)], np.diff(offsets))
+                mine = lang[at : at + len(part)]
+                of = np.repeat(mine, np.diff(offsets))
                 good = (key >= 0) & (of >= 0)
-                counts += np.bincount(of[good] * BUCKETS + key[good], minlength=counts.size).reshape(counts.shape)
-        rows = [(i, j, part.tobytes()) for i in range(len(languages)) for j, part in enumerate(np.split(counts[i], blocks)) if part.any()]
-        if rows:
-            i, j, data = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(data, pa.binary())], names=["lang", "block", "counts"])
+                known, of = np.unique(of[good], return_inverse=True)
+                key = key[good]
+                for first in range(0, len(known), HELD_LANGUAGES):
+                    some = known[first : first + HELD_LANGUAGES]
+                    here = (of >= first) & (of < first + len(some))
+                    counts = np.bincount((of[here] - first) * BUCKETS + key[here], minlength=len(some) * BUCKETS).reshape(-1, BUCKETS)
+                    for i, c in zip(some.tolist(), counts):
+                        held[i] = held[i] + c if i in held else c.copy()
+                    if len(held) > HELD_LANGUAGES:
+                        yield from (row(i, c) for i, c in held.items())
+                        held = {}
+        yield from (row(i, c) for i, c in held.items())
 
     def total(batches):
-        out: dict = {}
+        last, out = None, np.zeros(0, np.int64)
         for b in batches:
-            for i, j, x in zip(*(c.to_pylist() for c in b.columns)):
-                v = np.frombuffer(x, np.int64)
-                out[i, j] = out[i, j] + v if (i, j) in out else v
-        if out:
-            i, j = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array([v.tobytes() for v in out.values()], pa.binary())], names=["lang", "block", "counts"])
-
-    schema = "lang int, block int, counts binary"
+            for i, at, x in zip(*(c.to_pylist() for c in b.columns)):
+                if i != last:
+                    if last is not None:
+                        yield row(last, out)
+                    last, out = i, np.zeros(BUCKETS, np.int64)
+                out[np.frombuffer(at, np.uint16)] += np.frombuffer(x, np.int64)
+        if last is not None:
+            yield row(last, out)
+
+    schema = "lang int, bucket binary, counts binary"
     src = docs.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     counts = np.zeros((len(languages), BUCKETS), np.int64)
-    width = BUCKETS // blocks
-    for r in src.mapInArrow(run, schema).repartition("lang", "block").mapInArrow(total, schema).collect():
-        counts[r["lang"], r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(bytes(r["counts"]), np.int64)
+    for r in src.mapInArrow(run, schema).repartition("lang").sortWithinPartitions("lang").mapInArrow(total, schema).toLocalIterator():
+        counts[r["lang"], np.frombuffer(bytes(r["bucket"]), np.uint16)] = np.frombuffer(bytes(r["counts"]), np.int64)
     return counts
 
 
@@ -96,13 +110,14 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None =
     documents, from counts of what texts say. lang_kept is false for texts without letters and where the best posterior
     is under ``min_posterior``. Null or empty texts and texts without a language known have no text evidence; a null
     declaration or host adds none. Ties go to the more frequently declared language. Without any declared language all
-    rows get a null lang_id and lang_kept false. Repeated rows are judged alike.
+    rows get a null lang_id and lang_kept false. Repeated rows are judged alike. All declared languages are known; each
+    takes 128 KB of model in every Python worker.
     """
     names = docs.columns
     declared = F.col(declared_col).cast("string") if declared_col else F.lit(None).cast("string")
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("")) if host_col else F.lit("")
     work = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).cast("string").alias("__text"), declared.alias("__declared"), host.alias("__host"), (F.coalesce(suffix, F.lit("")) if suffix is not None else suffix_of(host)).alias("__suffix"))
-    top = work.where("__declared is not null").groupBy("__declared").count().orderBy(F.desc("count"), "__declared").limit(MAX_LANGUAGES).collect()
+    top = work.where("__declared is not null").groupBy("__declared").count().orderBy(F.desc("count"), "__declared").collect()
     languages = [r["__declared"] for r in top]
     keep = [c for c in names if c not in ("lang_id", "lang_posterior", "lang_kept")]
     if not languages:
@@ -137,42 +152,63 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None =
         return df.mapInArrow(score, schema)
 
     n = len(languages)
-    langs = F.array(*[F.lit(x) for x in languages])
     said = F.when(F.col("__letters"), F.array_position("__s", F.array_max("__s")).cast("int") - 1)
     seen = scored(work.drop("row")).withColumn("__said", said).where("__said is not null").groupBy("__suffix", "__host", "__declared", "__said").agg(F.count(F.lit(1)).alias("k"))
     from .common import materialize
 
     seen = materialize(seen, "language-evidence")
-    by_lang = [F.sum(F.when(F.col("__said") == i, F.col("k")).otherwise(0)).cast("double").alias(f"c{i}") for i in range(n)]
-    whole = seen.agg(*by_lang).collect()[0]
-    whole = [(x or 0.0) + 1.0 for x in whole]
-    whole = [x / sum(whole) for x in whole]
+
+    def spoken(*by: str) -> DataFrame:
+        """Counts of what texts say, as an array of (language, count)."""
+        return seen.groupBy(*by, "__said").agg(F.sum("k").alias("k")).groupBy(*by).agg(F.collect_list(F.struct("__said", "k")).alias("c"))
+
+    whole = np.ones(n)
+    for r in seen.groupBy("__said").agg(F.sum("k").alias("k")).collect():
+        whole[r["__said"]] += r["k"]
+    whole /= whole.sum()
+    place = {x: i for i, x in enumerate(languages)}
     table = np.full((n + 1, n), 0.5)
-    for r in seen.groupBy("__declared", "__said").agg(F.sum("k").alias("k")).where(F.col("__declared").isin(languages)).collect():
-        table[languages.index(r["__declared"]), r["__said"]] += r["k"]
+    for r in seen.where("__declared is not null").groupBy("__declared", "__said").agg(F.sum("k").alias("k")).collect():
+        table[place[r["__declared"]], r["__said"]] += r["k"]
     table[n] = 1.0
     table[:n] /= table[:n].sum(axis=0)
-    declare = F.array(*[F.array(*[F.lit(float(np.log(v))) for v in row]) for row in table])
-
-    def smoothed(total: list[Column], prior: list[Column]) -> Column:
-        size = sum(total[1:], total[0])
-        return F.array(*[(c + prior_weight * p) / (size + prior_weight) for c, p in zip(total, prior)])
+    declare = np.log(table)
 
-    suffixes = seen.groupBy("__suffix").agg(*by_lang)
-    suffixes = suffixes.select("__suffix", smoothed([F.col(f"c{i}") for i in range(n)], [F.lit(p) for p in whole]).alias("ps"))
-    hosts = seen.groupBy("__suffix", "__host").agg(*by_lang).join(suffixes, "__suffix")
-    hosts = hosts.select("__suffix", "__host", smoothed([F.col(f"c{i}") for i in range(n)], [F.col("ps")[i] for i in range(n)]).alias("__prior"))
+    hosts = spoken("__suffix", "__host").withColumnRenamed("c", "__hc").join(spoken("__suffix").withColumnRenamed("c", "__sc"), "__suffix")
     hosts = materialize(hosts, "language-hosts")
-    if hosts.count() <= BROADCAST_HOSTS:
+    weight = hosts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("__hc") + F.size("__sc")).alias("c")).collect()[0]
+    if max(weight["n"], (weight["c"] or 0) / 25) <= BROADCAST_HOSTS:
         hosts = F.broadcast(hosts)
-    out = scored(work).join(hosts, ["__suffix", "__host"], "left")
-    prior = F.coalesce("__prior", F.array(*[F.lit(p) for p in whole]))
-    which = F.coalesce(F.nullif(F.array_position(langs, F.col("__declared")), F.lit(0)), F.lit(n + 1)).cast("int")
-    post = F.zip_with(F.zip_with("__s", F.element_at(declare, which), lambda a, b: a + b), prior, lambda a, b: a + F.log(b))
-    out = out.withColumn("__post", post).withColumn("__top", F.array_max("__post"))
-    sure = 1.0 / F.aggregate("__post", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("__top")))
-    best = F.element_at(langs, F.array_position("__post", F.col("__top")).cast("int"))
-    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], best.alias("lang_id"), sure.alias("lang_posterior"), (F.col("__letters") & (sure >= min_posterior)).alias("lang_kept"))
+
+    def smoothed(counts: list | None, prior: np.ndarray) -> np.ndarray:
+        if not counts:
+            return prior
+        c = np.zeros(n)
+        c[[x["__said"] for x in counts]] = [x["k"] for x in counts]
+        return (c + prior_weight * prior) / (c.sum() + prior_weight)
+
+    def decide(batches):
+        for b in batches:
+            s, letters = scores(text_array(b.column("__text")))
+            which = [place.get(x, n) for x in b.column("__declared").to_pylist()]
+            priors: dict = {}
+            best, sure = [], []
+            suffixes, hosts = b.column("__suffix").to_pylist(), b.column("__host").to_pylist()
+            hc, sc = b.column("__hc"), b.column("__sc")
+            for i, at in enumerate(zip(suffixes, hosts)):
+                if at not in priors:
+                    priors[at] = np.log(smoothed(hc[i].as_py(), smoothed(sc[i].as_py(), whole)))
+                post = s[i] + declare[which[i]] + priors[at]
+                top = int(post.argmax())
+                best.append(languages[top])
+                sure.append(1.0 / float(np.exp(post - post[top]).sum()))
+            kept = letters & (np.array(sure) >= min_posterior)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(best, pa.string()), pa.array(sure, pa.float64()), pa.array(kept)], names=["row", "lang_id", "lang_posterior", "lang_kept"])
+
+    ready = work.drop("__text").join(hosts, ["__suffix", "__host"], "left").withColumn("__text", F.col("row").getField(text_col).cast("string"))
+    schema = T.StructType([work.schema["row"], *T.StructType.fromDDL("lang_id string, lang_posterior double, lang_kept boolean").fields])
+    out = ready.mapInArrow(decide, schema)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "lang_id", "lang_posterior", "lang_kept")
 
 
 def page_language(pages: DataFrame, url_col: str = "url", html_col: str = "html", **options) -> DataFrame:

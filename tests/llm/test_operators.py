@@ -351,6 +351,19 @@ def test_language(spark):
     assert {x.lang_id for x in language.identify(docs, declared_col=None).collect()} == {None}
 
 
+def test_all_declared_languages(spark, monkeypatch):
+    """Rare languages beyond the 64 most declared ones are known too."""
+    monkeypatch.setattr(language, "HELD_LANGUAGES", 7, raising=False)
+    r = random.Random(6)
+    words = [["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for _ in range(70)]
+    langs = [i for i in range(70) for _ in range(3 if i < 65 else 2)]
+    rows = [(k, " ".join(r.choice(words[i]) for _ in range(60)), f"l{i:02}", f"h{k % 3}.org") for k, i in enumerate(langs)]
+    rows.append((len(langs), " ".join(r.choice(words[69]) for _ in range(60)), None, "h0.org"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    for x in language.identify(docs).collect():
+        assert x.lang_id == (f"l{langs[x.doc_id]:02}" if x.doc_id < len(langs) else "l69") and x.lang_kept, x
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
