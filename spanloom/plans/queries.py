@@ -545,3 +545,9 @@ def report_xml(spark, d):
 def number_pattern(spark, d):
     o = table(spark, d, "orders").where("o_orderkey * 37 < 1000000 and o_orderkey * 37 >= 1000")
     return o.select("o_orderkey", tx.number_pattern(F.col("o_orderkey") * 37 + 0.5, "+#,###.## EUR").alias("formatted"))
+
+
+@query()
+def number_pattern_all(spark, d):
+    """``number_pattern`` over all orders: numbers below 1,000 and with any number of separators too. SQL has only one."""
+    return table(spark, d, "orders").select("o_orderkey", tx.number_pattern(F.col("o_orderkey") * 37 + 0.5, "+#,###.## EUR").alias("formatted"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as tx
 from spanloom.operators import report
 from spanloom.plans.compare import compare, rendered
+from spanloom.plans.queries import QUERIES
 from spanloom.sources import results
 
 
@@ -17,6 +18,19 @@ def test_number_pattern(spark):
         assert got == expected, (value, pattern)
 
 
+def test_number_pattern_all(spark):
+    """All orders are formatted, as Python formats them; the largest numbers have two separators or more."""
+    d = "/root/testdata/sf0.1"
+    keys = [r[0] for r in spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey").collect()]
+
+    def brute(k):  # "#,###" is four digits at least, as in the fixed cases above
+        whole = f"{k * 37:04d}"
+        return "+" + ",".join([whole[: len(whole) % 3]] * (len(whole) % 3 > 0) + [whole[i : i + 3] for i in range(len(whole) % 3, len(whole), 3)]) + ".50 EUR"
+
+    got = [tuple(r) for r in QUERIES["number_pattern_all"](spark, d).collect()]
+    assert sorted(got) == sorted((k, brute(k)) for k in keys) and any(x.count(",") == 2 for _, x in got) and any(k * 37 < 1000 for k in keys)
+
+
 def test_results(spark):
     rows = [("a", "muc", 1.0, 2.0, 3.0, 4.0, 1.0), ("a", "bcub", 0.0, 0.0, 0.0, 0.0, 1.0), ("b", "muc", 5.0, 6.0, 7.0, 8.0, 2.0)]
     scores = spark.createDataFrame(rows, results.SCHEMA)
