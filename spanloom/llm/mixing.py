@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 
 import numpy as np
@@ -18,8 +19,8 @@ TOP = 60_000
 SINGLE = 255
 #: Slots of a hashed context's table (a power of two).
 BITS = 18
-#: Training documents the mixer's weights are learnt from, at most (smallest hashes of their texts).
-MAX_MIX = 1_500
+#: Rounds of learning the mixer's weights; each training row is learnt from in one of them.
+ROUNDS = 4
 #: The end of a text; no word contains white space.
 END = "\n"
 CONTEXTS = 3
@@ -127,7 +128,7 @@ class Mixer:
 
     Each context's slot gives log odds from its counts, trusted by how often it was seen; the tree node itself is one more
     predictor. The node selects (gates) the weights; they and the refinement, a table from depth and mixed odds to a
-    probability, are adapted online while passing over the sample.
+    probability, are adapted online while passing over the training texts.
     """
 
     def __init__(self, code: Code, counts: np.ndarray, order0: np.ndarray):
@@ -138,6 +139,7 @@ class Mixer:
         self.grid = np.linspace(-8, 8, 33)
         self.refine = np.repeat(_squash(self.grid)[None, :], depth, axis=0)
         self.table = None
+        self.seen_w, self.seen_refine = np.zeros(code.nodes, np.int64), np.zeros(self.refine.shape, np.int64)
 
     def inputs(self, at, slots, seen_bit=None):
         out = np.empty((CONTEXTS + 1, len(at)))
@@ -162,7 +164,7 @@ class Mixer:
         self.counts = None
 
     def learn(self, at, slots, rate: float = 0.02):
-        """One online pass in small steps; the sample's own occurrence is taken out of the counts."""
+        """One online pass in small steps; a bit's own occurrence is taken out of the counts."""
         bit = self.code.bit[at]
         for i in range(0, len(at), 512):
             s = slice(i, i + 512)
@@ -176,6 +178,8 @@ class Mixer:
             lo = pos.astype(int)
             near = np.where(pos - lo > 0.5, lo + 1, lo)
             np.add.at(self.refine, (depth, near), 0.01 * (b - self.refine[depth, near]))
+            self.seen_w += np.bincount(node, minlength=len(self.seen_w))
+            np.add.at(self.seen_refine, (depth, near), 1)
         self.refine = np.clip(self.refine, 1e-4, 1 - 1e-4)
 
     def log10(self, at, slots) -> np.ndarray:
@@ -192,6 +196,50 @@ class Mixer:
         return np.log10(np.where(bit == 1, p, 1 - p))
 
 
+def learn_all(mixer: Mixer, train: DataFrame) -> int:
+    """Adapt the mixer to all rows of ``train`` (one column of texts) and return how many bits it learnt from.
+
+    In each of ROUNDS rounds every partition adapts a copy of the weights and the refinement online to its rows of that
+    round (dealt by the texts' hashes); the copies then meet as means, each cell weighted by how often it was adapted.
+    """
+    spark = train.sparkSession
+    held = spark.sparkContext.broadcast(mixer)
+    n_w = mixer.w.size
+    bits = 0
+
+    def adapt(start):
+        def run(batches):
+            base = held.value
+            m = copy.copy(base)
+            m.w, m.refine = start[0].copy(), start[1].copy()
+            m.seen_w, m.seen_refine = np.zeros_like(base.seen_w), np.zeros_like(base.seen_refine)
+            index = {w: i for i, w in enumerate(m.code.words)}
+            for b in batches:
+                for _, part in chunks(text_array(b.column(0)), 1 << 18):
+                    ids, first = m.code.numbers([words_of(x) for x in part.to_pylist()], index)
+                    _, at, slots = m.code.bits(ids, first)
+                    m.learn(at, slots)
+            value = np.concatenate([m.w.ravel(), m.refine.ravel()])
+            n = np.concatenate([np.repeat(m.seen_w, CONTEXTS + 1), m.seen_refine.ravel()])
+            cell = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(value[cell] * n[cell]), pa.array(n[cell])], names=["cell", "v", "n"])
+
+        return run
+
+    for k in range(ROUNDS):
+        rows = train.where(F.pmod(F.xxhash64(train.columns[0]), F.lit(ROUNDS)) == k)
+        met = rows.mapInArrow(adapt((mixer.w, mixer.refine)), "cell int, v double, n long").groupBy("cell").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
+        w, refine = mixer.w.ravel().copy(), mixer.refine.ravel().copy()
+        for r in met:
+            if r["cell"] < n_w:
+                w[r["cell"]] = r["v"] / r["n"]
+            else:
+                refine[r["cell"] - n_w] = r["v"] / r["n"]
+                bits += r["n"]
+        mixer.w, mixer.refine = w.reshape(mixer.w.shape), refine.reshape(mixer.refine.shape)
+    return bits
+
+
 def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
@@ -204,7 +252,8 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "do
     an empty table gives no rows; without training rows N and V are 0.
 
     Counts of all words are exact: the TOP most frequent go to every executor, the rest of each document is joined with
-    the count table. Context counts come from all training rows and meet in tables of fixed size.
+    the count table. Context counts come from all training rows and meet in tables of fixed size; the mixer learns from all
+    training rows too.
     """
     spark = docs.sparkSession
     held = F.coalesce(crc_mod(F.col(id_col), folds) == held_fold, F.lit(False))
@@ -269,18 +318,13 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "do
     counts = np.zeros((CONTEXTS, 2 << BITS), np.int64)
     for x in train.select("text").mapInArrow(context_counts, kind).repartition("k", "block").mapInArrow(total, kind).collect():
         counts[x["k"], x["block"] * width : (x["block"] + 1) * width] = numbers(bytes(x["counts"]))
-    sample = [x["text"] for x in train.select("text").orderBy(F.xxhash64("text"), "text").limit(MAX_MIX).collect()]
     mass = 10**code.log_mass
     order0 = np.ones((code.nodes, 2))
     for c in range(len(mass)):
         for i in range(code.first[c], code.first[c + 1]):
             order0[code.node[i], code.bit[i]] += mass[c]
     mixer = Mixer(code, counts, np.log(order0[:, 1] / order0[:, 0]))
-    index = {w: i for i, w in enumerate(code.words)}
-    for i in range(0, len(sample), 100):
-        ids, first = code.numbers([words_of(t) for t in sample[i : i + 100]], index)
-        _, at, slots = code.bits(ids, first)
-        mixer.learn(at, slots)
+    learn_all(mixer, train.select("text"))
     mixer.freeze()
     held_mixer = spark.sparkContext.broadcast(mixer)
     rare_type = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int32())]))

@@ -239,6 +239,20 @@ def test_mixing_is_a_distribution():
     assert abs(total - 1) < 1e-6
 
 
+def test_mixing_learns_from_all_rows(spark):
+    """Every training bit is learnt from, in more documents than fit a sample, and weights follow them."""
+    top = [(w, c) for w, c in zip(["\n", "a", "b", "c", "d"], [50, 40, 30, 20, 10])]
+    code = mixing.Code(top, 160, 8)
+    texts = [f"a b {'c d'[2 * (i % 2)]} x{i}" for i in range(1_700)]
+    mixer = mixing.Mixer(code, np.zeros((mixing.CONTEXTS, 2 << mixing.BITS), np.int64), np.zeros(code.nodes))
+    before = mixer.refine.copy()
+    index = {w: i for i, w in enumerate(code.words)}
+    ids, first = code.numbers([mixing.words_of(t) for t in texts], index)
+    bits = mixing.learn_all(mixer, spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert bits == len(code.bits(ids, first)[0]) and not np.allclose(mixer.refine, before)
+    assert mixing.learn_all(mixer, spark.createDataFrame([], "text string")) == 0
+
+
 def test_quality(spark):
     r = random.Random(1)
     good = [" ".join(r.choice(["the", "house", "stood", "on", "a", "hill,", "and", "rain", "fell."]) for _ in range(60)) for _ in range(60)]
