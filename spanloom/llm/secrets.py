@@ -181,11 +181,20 @@ def generated(n: int = GENERATED, seed: int = 11) -> tuple[list[str], list[int]]
     return texts, labels
 
 
+def covered(s: int, e: int, spans: list) -> bool:
+    """Whether spans, taken together, cover the whole of [s, e)."""
+    for x, y, *_ in sorted(spans):
+        if x <= s < y:
+            s = y
+    return s >= e
+
+
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: base (array of start, end, kind) and cand (array of start, end, windows, whether a base finding covers it)."""
+    """Per document: base (array of start, end, kind) and cand (array of start, end, windows, whether a base finding
+    overlaps it, whether base findings cover it whole)."""
     src = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
     base_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("k", pa.int32())]))
-    cand_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("w", pa.list_(pa.string())), ("b", pa.bool_())]))
+    cand_type = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("w", pa.list_(pa.string())), ("b", pa.bool_()), ("c", pa.bool_())]))
 
     def run(batches):
         for b in batches:
@@ -194,16 +203,16 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 text = b.column(1)[i].as_py() or ""
                 spans = base_spans(text)
                 base.append([{"s": s, "e": e, "k": k} for s, e, k in spans])
-                cand.append([{"s": s, "e": e, "w": windows(text, s, e), "b": any(x < e and s < y for x, y, _ in spans)} for s, e in candidates(text)])
+                cand.append([{"s": s, "e": e, "w": windows(text, s, e), "b": any(x < e and s < y for x, y, _ in spans), "c": covered(s, e, spans)} for s, e in candidates(text)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, base_type), pa.array(cand, cand_type)], names=["doc_key", "base", "cand"])
 
-    schema = with_fields(src.schema["doc_key"], "base array<struct<s:int,e:int,k:int>>, cand array<struct<s:int,e:int,w:array<string>,b:boolean>>")
+    schema = with_fields(src.schema["doc_key"], "base array<struct<s:int,e:int,k:int>>, cand array<struct<s:int,e:int,w:array<string>,b:boolean,c:boolean>>")
     return src.mapInArrow(run, schema)
 
 
 def train(extracted: DataFrame, min_recall: float = 0.95) -> Network:
     """Fit on generated findings and on at most MAX_SAMPLE candidates of the corpus for each label (those with the smallest
-    hashes), labelled by whether a base finding covers them."""
+    hashes), labelled by whether a base finding overlaps them."""
     c = extracted.select(F.explode("cand").alias("c")).select(F.col("c.w")[0].alias("w"), F.col("c.b").alias("b")).distinct()
     texts, labels = generated()
     for value in (True, False):
@@ -217,7 +226,7 @@ def scan(docs: DataFrame, min_recall: float = 0.95, id_col: str = "doc_id", text
     """A row per document: id and spans, an array of (start, end, kind, probability) sorted by start, then kind.
 
     Kinds are assign, access and hex for the base findings (probability 1) and cnn for candidates that the network finds
-    at its recall-constrained threshold and that overlap no base finding. Offsets are code points, ends exclusive. A null
+    at its recall-constrained threshold and that base findings do not cover whole. Offsets are code points, ends exclusive. A null
     or empty text has no spans; repeated rows and null ids are carried; the whole text is searched.
     """
     table = materialize(extract(docs, id_col, text_col), "secret-candidates")
@@ -227,7 +236,7 @@ def scan(docs: DataFrame, min_recall: float = 0.95, id_col: str = "doc_id", text
     def run(batches):
         for b in batches:
             base, cand = b.column(1).to_pylist(), b.column(2).to_pylist()
-            flat = [(i, c) for i, cs in enumerate(cand) for c in cs if not c["b"]]
+            flat = [(i, c) for i, cs in enumerate(cand) for c in cs if not c["c"]]
             x = [w for _, c in flat for w in c["w"]]
             p = model.probability(encode(x)) if x else np.zeros(0)
             spans = [[(s["s"], s["k"], s["e"], KINDS[s["k"]], 1.0) for s in row] for row in base]
@@ -256,7 +265,7 @@ def redact(docs: DataFrame, min_recall: float = 0.95, text_col: str = "text", ma
                 if not t:
                     continue
                 spans = [(s, e) for s, e, _ in base_spans(t)]
-                rest = [c for c in candidates(t) if not any(x < c[1] and c[0] < y for x, y in spans)]
+                rest = [c for c in candidates(t) if not covered(*c, spans)]
                 if rest:
                     x = [(k, w) for k, c in enumerate(rest) for w in windows(t, *c)]
                     p = model.probability(encode([w for _, w in x]))

@@ -206,6 +206,15 @@ def test_secrets(spark):
     assert secrets.scan(_empty(spark)).count() == 0
 
 
+def test_secrets_partly_covered(spark):
+    """A candidate of which a base finding takes only a part is judged and redacted whole."""
+    key = "ghp_0123456789abcdef0123QWERTYUIOPzxcvbnmLKJ"
+    docs = _docs(spark, [f"see {key} there", "see deadbeefdeadbeef there"], extra=False)
+    rows = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in secrets.scan(docs).collect()}
+    assert rows == {0: [(4, 48, "cnn"), (8, 28, "hex")], 1: [(4, 20, "hex")]}
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {0: "see [SECRET] there", 1: "see [SECRET] there"}
+
+
 def test_mixing(spark):
     texts = _texts()
     rows = mixing.score(_docs(spark)).collect()
