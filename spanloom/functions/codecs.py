@@ -22,27 +22,98 @@ def percent_encode(c: Column | str) -> Column:
     return c
 
 
-def percent_decode(c: Column | str) -> Column:
-    """%XX as UTF-8; a plus sign stays one. Malformed text is returned as it is."""
-    c = col(c)
-    return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+def uri_path_encode(c: Column | str, xml: bool = False) -> Column:
+    """Percent encoding that keeps the characters of a URI path segment; with ``xml`` ampersands and quotes are encoded too."""
+    c = percent_encode(c)
+    for x in PATH_SIGNS:
+        if not (xml and x == "&"):
+            c = F.replace(c, F.lit(f"%{ord(x):02X}"), F.lit(x))
+    return c
+
+
+def _whole(text: str) -> str:
+    """Pairs of surrogates as the characters they stand for, single ones as the replacement character."""
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if any("\ud800" <= x <= "\udfff" for x in text) else text
+
+
+_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+
+
+def _utf8(codes: list[int]) -> str:
+    """Bytes as UTF-8; a byte that starts no whole sequence is the character of its number."""
+    out, i = [], 0
+    while i < len(codes):
+        c = codes[i]
+        n = 1 if c < 0x80 else 2 if c >> 5 == 6 else 3 if c >> 4 == 14 else 4 if c >> 3 == 30 else 0
+        more = codes[i + 1 : i + n]
+        if n > 1 and len(more) == n - 1 and all(x >> 6 == 2 for x in more):
+            value = c & (0xFF >> (n + 1))
+            for x in more:
+                value = value << 6 | x & 0x3F
+            if value < 0x110000:
+                out.append(chr(value))
+                i += n
+                continue
+        out.append(chr(c))
+        i += 1
+    return "".join(out)
+
+
+def decode_percents(text: str) -> str:
+    """Every %XX as a byte, bytes in a row as UTF-8; what is malformed stays, and so does a plus sign."""
+    return _whole(_PERCENT.sub(lambda m: _utf8([int(x, 16) for x in m[0].split("%")[1:]]), text))
 
 
-_ENTITY = re.compile(r"&(?:#([0-9]+)|#[xX]([0-9A-Fa-f]+)|([A-Za-z][A-Za-z0-9]*))(?:;| |$)")
+@F.pandas_udf(T.StringType())
+def percent_decode(s: pd.Series) -> pd.Series:
+    return s.map(decode_percents, na_action="ignore")
+
+
+#: A name or number ended by a semicolon, which belongs to it, or by a space or the end.
+_ENTITY = re.compile(r"&(?:#([0-9]+)|#x([0-9A-Fa-f]+)|([A-Za-z][A-Za-z0-9]*))(?:;|(?=[ \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000])|\Z)")
 _NAMES = {**html.entities.name2codepoint, "apos": 39}
 
 
-def decode_entities(text: str) -> str:
-    """Named, decimal and hexadecimal entities ended by a semicolon, a blank or the end; unknown ones stay."""
+def _entity(m: re.Match, hexadecimal: bool = True) -> str:
+    if m[1] or m[2]:
+        n = int(m[1]) if m[1] else int(m[2], 16)
+        return chr(n) if n < 0x110000 and (m[1] or hexadecimal) else m[0]
+    n = _NAMES.get(m[3], _NAMES.get(m[3].lower()))
+    return m[0] if n is None else chr(n)
 
-    def one(m):
-        if m[1] or m[2]:
-            n = int(m[1]) if m[1] else int(m[2], 16)
-            return chr(n) if n < 0x110000 else m[0]
-        n = _NAMES.get(m[3], _NAMES.get(m[3].lower()))
-        return m[0] if n is None else chr(n)
 
-    return _ENTITY.sub(one, text)
+def decode_entities(text: str, hexadecimal: bool = True) -> str:
+    """Named, decimal and hexadecimal entities ended by a semicolon, a space (which stays) or the end; unknown ones stay."""
+    return _whole(_ENTITY.sub(lambda m: _entity(m, hexadecimal), text))
+
+
+def decode_entities_tracked(text: str) -> tuple[str, list[tuple[int, int]]]:
+    """The decoded text, and for each replaced entity the place after it in the decoded text and how much was lost there."""
+    out, changes, at, n = [], [], 0, 0
+    for m in _ENTITY.finditer(text):
+        x = _entity(m)
+        out += [text[at : m.start()], x]
+        n += m.start() - at + len(x)
+        at = m.end()
+        if x != m[0]:
+            changes.append((n, len(m[0]) - len(x)))
+    return "".join(out) + text[at:], changes
+
+
+_CHANGE = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("delta", T.IntegerType())])
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("changes", T.ArrayType(_CHANGE))]))
+def ampersand_decode_tracked(s: pd.Series) -> pd.DataFrame:
+    """text, and changes for ``collections.translate``, which leads from places in it to those of the encoded text."""
+    rows = [(None, None) if x is None else decode_entities_tracked(x) for x in s]
+    return pd.DataFrame({"text": [t for t, _ in rows], "changes": [c and [{"pos": p, "delta": d} for p, d in c] if c is not None else None for _, c in rows]})
+
+
+@F.pandas_udf(T.StringType())
+def ampersand_decode_decimal(s: pd.Series) -> pd.Series:
+    """Without hexadecimal entities, which stay."""
+    return s.map(lambda x: decode_entities(x, False), na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
@@ -50,18 +121,53 @@ def ampersand_decode(s: pd.Series) -> pd.Series:
     return s.map(decode_entities, na_action="ignore")
 
 
+def _by_character(c: Column | str, keep: str, other) -> Column:
+    """The characters that match ``keep`` as they are, and ``other`` of the rest."""
+    return F.array_join(F.transform(F.split(col(c), ""), lambda x: F.when((x == "") | x.rlike(keep), x).otherwise(other(x))), "")
+
+
+def _decimal(x: Column) -> Column:
+    return F.concat(F.lit("&#"), F.ascii(x).cast("string"), F.lit(";"))
+
+
 def ampersand_encode(c: Column | str) -> Column:
     """The five XML names, and decimal references for controls and non-ASCII characters."""
-    chars = F.transform(F.split(col(c), ""), lambda x: F.when(x == "&", "&amp;").when(x == "<", "&lt;").when(x == ">", "&gt;").when(x == "\"", "&quot;").when(x == "'", "&apos;").when((F.length(x) > 0) & ((F.ascii(x) < 32) | (F.ascii(x) >= 128)), F.concat(F.lit("&#"), F.ascii(x).cast("string"), F.lit(";"))).otherwise(x))
-    return F.array_join(chars, "")
+    names = {"&": "&amp;", "<": "&lt;", ">": "&gt;", "\"": "&quot;", "'": "&apos;"}
+
+    def other(x):
+        out = _decimal(x)
+        for k, v in names.items():
+            out = F.when(x == k, v).otherwise(out)
+        return out
+
+    return _by_character(c, "^[ !#$%(-;=?-\\x7F]$", other)
 
 
-_BACKSLASH = re.compile(r"\\(?:u+([0-9A-Fa-f]{4})|([0-7]{1,3})|([btnfr\\\"']))")
+def ampersand_encode_all(c: Column | str) -> Column:
+    """Everything but ASCII letters, digits and the underscore as decimal references."""
+    return _by_character(c, "^[A-Za-z0-9_]$", _decimal)
+
+
+def to_html(c: Column | str) -> Column:
+    """``ampersand_encode`` with a break for each line feed."""
+    return F.replace(ampersand_encode(c), F.lit("&#10;"), F.lit("<BR>"))
+
+
+_BACKSLASH = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|([0-8]+)|([btnfr\\\"']))")
 _SHORT = {"b": "\b", "t": "\t", "n": "\n", "f": "\f", "r": "\r", "\\": "\\", "\"": "\"", "'": "'"}
 
 
+def _backslash(m: re.Match) -> str:
+    if m[1]:
+        return chr(int(m[1], 16))
+    if m[2]:
+        return m[0] if "8" in m[2] or int(m[2], 8) > 0xFFFF else chr(int(m[2], 8))
+    return _SHORT[m[3]]
+
+
 def decode_backslashes(text: str) -> str:
-    return _BACKSLASH.sub(lambda m: chr(int(m[1], 16)) if m[1] else chr(int(m[2], 8)) if m[2] else _SHORT[m[3]], text)
+    """\\uXXXX, octal numbers and the usual short escapes; others stay."""
+    return _whole(_BACKSLASH.sub(_backslash, text))
 
 
 @F.pandas_udf(T.StringType())
@@ -69,9 +175,102 @@ def backslash_decode(s: pd.Series) -> pd.Series:
     return s.map(decode_backslashes, na_action="ignore")
 
 
-def backslash_encode(c: Column | str) -> Column:
-    """Everything but ASCII letters and digits as \\uXXXX."""
-    return F.array_join(F.transform(F.split(col(c), ""), lambda x: F.when(x.rlike("^[A-Za-z0-9]?$"), x).otherwise(F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(x)), 4, "0")))), "")
+def backslash_encode(c: Column | str, keep: str = "^[A-Za-z0-9 ]$", short: bool = False) -> Column:
+    """Characters that don't match ``keep`` as \\uXXXX, those above U+FFFF as two; with ``short`` backslashes and line feeds
+    as \\\\ and \\n."""
+
+    def four(n):
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def other(x):
+        n = F.ascii(x)
+        out = F.when(n < 0x10000, four(n)).otherwise(F.concat(four(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), four(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(0x3FF))))
+        return F.when(x == "\\", "\\\\").when(x == "\n", "\\n").otherwise(out) if short else out
+
+    return _by_character(c, keep, other)
+
+
+def backslash_encode_names(c: Column | str) -> Column:
+    """Everything but ASCII letters, digits and the underscore."""
+    return backslash_encode(c, "^[A-Za-z0-9_]$")
+
+
+def backslash_encode_ascii(c: Column | str) -> Column:
+    """Everything but printable ASCII, and the backslash and the quote."""
+    return backslash_encode(c, "^[ !#-\\[\\]-\\x7F]$")
+
+
+_ANY = re.compile(f"(?P<percent>{_PERCENT.pattern})|(?P<entity>{_ENTITY.pattern})|(?P<backslash>{_BACKSLASH.pattern})|(?P<utf8>[\xc0-\xf7][\x80-\xbf]+)")
+
+
+def decode_any(text: str) -> str:
+    """At every place the first that fits of: percent code, entity, backslash code, UTF-8 bytes as characters, the character."""
+
+    def one(m):
+        if m["percent"]:
+            return decode_percents(m[0])
+        if m["entity"]:
+            return decode_entities(m[0])
+        if m["backslash"]:
+            return _BACKSLASH.sub(_backslash, m[0])
+        return _utf8([ord(x) for x in m[0]])
+
+    return _whole(_ANY.sub(one, text))
+
+
+@F.pandas_udf(T.StringType())
+def decode(s: pd.Series) -> pd.Series:
+    return s.map(decode_any, na_action="ignore")
+
+
+def hex_all(c: Column | str) -> Column:
+    """The number of every character in upper-case hexadecimal, each followed by a blank."""
+    return F.array_join(F.transform(F.split(col(c), ""), lambda x: F.when(x == "", "").otherwise(F.concat(F.hex(F.ascii(x)), F.lit(" ")))), "")
+
+
+def encode_hex(c: Column | str) -> Column:
+    """Everything but ASCII letters and digits as upper-case hexadecimal numbers."""
+    return _by_character(c, "^[A-Za-z0-9]$", lambda x: F.hex(F.ascii(x)))
+
+
+# Character classes of URIs.
+ALPHANUMERIC = "A-Za-z0-9"
+UNRESERVED = "-._~"
+SUB_DELIMITERS = "!$&'()*+,="
+GEN_DELIMITERS = ":/?#[]@"
+PATH_SIGNS = UNRESERVED + SUB_DELIMITERS + "@"
+
+
+def _one_of(c: Column | str, signs: str, letters: bool) -> Column:
+    return col(c).rlike(f"^[{ALPHANUMERIC if letters else ''}{re.escape(signs)}]$")
+
+
+def is_alphanumeric(c: Column | str) -> Column:
+    return _one_of(c, "", True)
+
+
+def is_unreserved(c: Column | str) -> Column:
+    return _one_of(c, UNRESERVED, True)
+
+
+def is_sub_delimiter(c: Column | str) -> Column:
+    return _one_of(c, SUB_DELIMITERS, False)
+
+
+def is_gen_delimiter(c: Column | str) -> Column:
+    return _one_of(c, GEN_DELIMITERS, False)
+
+
+def is_reserved(c: Column | str) -> Column:
+    return _one_of(c, SUB_DELIMITERS + GEN_DELIMITERS, False)
+
+
+def is_path_character(c: Column | str) -> Column:
+    return _one_of(c, PATH_SIGNS, True)
+
+
+def is_escaped(c: Column | str) -> Column:
+    return col(c).rlike("^%[0-9A-Fa-f]{2}$")
 
 
 #: Letters written with two letters, and signs.
@@ -95,3 +294,7 @@ def utf8_as_chars(c: Column | str) -> Column:
 
 def chars_as_utf8(c: Column | str) -> Column:
     return F.decode(F.encode(col(c), "ISO-8859-1"), "UTF-8")
+
+
+def decode_and_normalize(c: Column | str) -> Column:
+    return ascii_normalize(decode(col(c)))

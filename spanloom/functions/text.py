@@ -164,3 +164,53 @@ def number_pattern(c: Column | str, pattern: str) -> Column:
     mark = F.when(d < 0, "-").otherwise("+" if "+" in sign else "")
     finite = F.concat(mark, shown, F.lit(blank + suffix))
     return F.when(d.isNull(), F.lit(None).cast("string")).when(F.isnan(d), "NaN").when(F.abs(d) == float("inf"), F.concat(mark, F.lit("INF"))).otherwise(finite)
+
+
+def last(c: Column | str) -> Column:
+    """The last character, the empty string without one."""
+    return F.right(col(c), F.lit(1))
+
+
+def cut_last(c: Column | str) -> Column:
+    c = col(c)
+    return F.left(c, F.greatest(F.length(c) - 1, F.lit(0)))
+
+
+def upper_first(c: Column | str) -> Column:
+    c = col(c)
+    return F.concat(F.upper(F.left(c, F.lit(1))), F.substring(c, 2, 1 << 30))
+
+
+def lower_first(c: Column | str) -> Column:
+    c = col(c)
+    return F.concat(F.lower(F.left(c, F.lit(1))), F.substring(c, 2, 1 << 30))
+
+
+def shown_span(text: Column | str, start: Column | str, end: Column | str, info: Column | str | None = None) -> Column:
+    """A span for people to read: line breaks as an arrow, then its attributes as JSON."""
+    out = F.replace(span_string(text, start, end), F.lit("\n"), F.lit(" ↵ "))
+    return out if info is None else F.concat(out, F.coalesce(F.concat(F.lit(" "), F.to_json(col(info))), F.lit("")))
+
+
+def iso_date(ts: Column | str) -> Column:
+    return F.date_format(col(ts), "yyyy-MM-dd")
+
+
+def iso_time(ts: Column | str) -> Column:
+    """Date and time with the milliseconds in four digits."""
+    return F.concat(F.date_format(col(ts), "yyyy-MM-dd 'T' HH:mm:ss.'0'SSS"))
+
+
+def iso_week_time(ts: Column | str) -> Column:
+    """Year, week and day of the week (Sunday is 0) and time; a week starts on Sunday and week 1 has the first of January, so
+    the last days of a year may be in week 1."""
+    ts = col(ts)
+    day = F.dayofweek(ts) - 1
+    saturday = F.date_add(ts.cast("date"), 6 - day)
+    week = F.when(F.year(saturday) > F.year(ts), F.lit(1)).otherwise(F.floor((F.dayofyear(saturday) + 6) / 7))
+    return F.concat(F.date_format(ts, "yyyy"), F.lit("-w"), F.lpad(week.cast("string"), 2, "0"), F.lit("-"), day.cast("string"), F.date_format(ts, " 'T' HH:mm:ss.'0'SSS"))
+
+
+def time_stamp(c: Column | str) -> Column:
+    """The digits of an ISO time before the fractions."""
+    return F.regexp_replace(F.substring_index(col(c), ".", 1), "\\D", "")
