@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANK = "[ \\t\\x0B\\f\\r]"
 #: Entity names that stand for "no entity".
@@ -26,16 +29,50 @@ def normalize(c: Column | str, trim_lines: bool = True, join_lines: bool = True,
     return F.regexp_replace(c, f"{BLANK}+", " ") if blanks else c
 
 
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_TOKEN = T.StructType([T.StructField("tok_start", T.IntegerType()), T.StructField("tok_end", T.IntegerType()), T.StructField("word", T.StringType())])
+
+
+@F.arrow_udf(T.ArrayType(_TOKEN))
+def token_arrays(texts: pa.Array) -> pa.Array:
+    """The tokens of each text in order: tok_start, tok_end, word."""
+    null = texts.is_null()
+    texts = texts.cast(pa.string()).fill_null("")
+    if len(texts) == 0:
+        return pa.array([], pa.list_(pa.struct([("tok_start", pa.int32()), ("tok_end", pa.int32()), ("word", pa.string())])))
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    inner = (data & 0xC0) == 0x80
+    begin = ~_ALNUM[data] & ~inner
+    begin[offsets[:-1][np.diff(offsets) > 0]] = True
+    start = np.flatnonzero(begin)
+    end = np.append(start[1:], len(data))
+    blank = _WHITE[data[start]]
+    before = np.concatenate([[0], np.cumsum(~inner)])  # characters before each byte
+    doc = np.searchsorted(offsets, start, "right") - 1
+    word = start + blank
+    some = end > word
+    kept = np.ones(len(data), bool)
+    kept[start[blank]] = False
+    word, end, doc = word[some], end[some], doc[some]
+    bounds = np.concatenate([[0], np.cumsum(end - word)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(word), [None, pa.py_buffer(bounds), pa.py_buffer(data[kept])])
+    first = before[offsets[doc]]
+    tokens = pa.StructArray.from_arrays([pa.array((before[word] - first).astype(np.int32)), pa.array((before[end] - first).astype(np.int32)), words], ["tok_start", "tok_end", "word"])
+    at = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), tokens, mask=null)
+
+
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, tok_idx, tok_start, tok_end, word: split before every character that is no ASCII letter or digit, with white
-    space stripped and empty words dropped. Null texts have no tokens."""
-    pieces = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit("^[A-Za-z0-9]+|[^A-Za-z0-9][A-Za-z0-9]*"), F.lit(0))).alias("i", "piece"))
-    order = Window.partitionBy(key).orderBy("i")
-    pieces = pieces.withColumn("off", F.sum(F.length("piece")).over(order) - F.length("piece"))
-    left = F.regexp_replace("piece", "^[ \\t\\n\\x0B\\f\\r]+", "")
-    pieces = pieces.withColumn("word", F.regexp_replace(left, "[ \\t\\n\\x0B\\f\\r]+$", "")).withColumn("tok_start", (F.col("off") + F.length("piece") - F.length(left)).cast("int"))
-    pieces = pieces.where("word <> ''")
-    return pieces.select(key, (F.row_number().over(order) - 1).alias("tok_idx"), "tok_start", (F.col("tok_start") + F.length("word")).cast("int").alias("tok_end"), "word")
+    space stripped and empty words dropped. Null texts have no tokens. Nothing is exchanged."""
+    rows = docs.select(key, F.posexplode(token_arrays(F.col(text).cast("string"))).alias("tok_idx", "t"))
+    return rows.select(key, "tok_idx", "t.tok_start", "t.tok_end", "t.word")
 
 
 def xml_escape(c: Column | str) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import urllib.parse
+from bisect import bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,11 +15,42 @@ Script = list[tuple[str, str]]
 DIFF_TYPE = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType())]))
 
 
+#: Texts that are both longer than this are compared by tokens first, and what differs then by characters.
+LONG = 2000
+#: Differences that a search looks for from each end; where there are more, the stretch is cut where it has come furthest.
+MOST_STEPS = 500
+_TOKEN = re.compile(r"\w+|\W")
+
+
 def diff(a: str, b: str) -> Script:
-    """A shortest script of EQUAL, DELETE and INSERT pieces from ``a`` to ``b`` (Myers' greedy algorithm in linear space)."""
+    """A script of EQUAL, DELETE and INSERT pieces from ``a`` to ``b`` (Myers' greedy algorithm in linear space): a shortest one,
+    but for long texts (by tokens first) and for stretches with more than MOST_STEPS differences from each end."""
     if a is None or b is None:
         raise ValueError("a text is null")
-    return merge(_diff(a, b))
+    if min(len(a), len(b)) <= LONG:
+        return merge(_diff(a, b))
+    number: dict[str, str] = {}
+
+    def coded(text):
+        """A character for each different token."""
+        return "".join(number.setdefault(t, chr(len(number) + (0x800 if len(number) >= 0xD800 else 0))) for t in _TOKEN.findall(text))
+
+    x, y = coded(a), coded(b)
+    token = {c: t for t, c in number.items()}
+    script = merge(_diff(x, y))
+    out: Script = []
+    gone = ""
+    for op, t in [*script, ("EQUAL", "")]:
+        t = "".join(token[c] for c in t)
+        if op == "DELETE":
+            gone = t
+        elif op == "INSERT" and gone:
+            out += _diff(gone, t) if max(len(gone), len(t)) <= LONG else [("DELETE", gone), ("INSERT", t)]
+            gone = ""
+        else:
+            out += [("DELETE", gone)] * bool(gone) + [(op, t)] * bool(t)
+            gone = ""
+    return merge(out)
 
 
 def _shared(a: str, b: str) -> int:
@@ -64,6 +97,9 @@ def _middle(a: str, b: str) -> tuple[int, int]:
     delta, odd = n - m, (n - m) % 2
     ahead, back = {1: 0}, {1: 0}
     for d in range((n + m + 1) // 2 + 1):
+        if d > MOST_STEPS:
+            x, k = max((x, k) for k, x in ahead.items() if 0 <= x <= n and 0 <= x - k <= m and 2 * x - k == max(2 * z - j for j, z in ahead.items() if 0 <= z <= n and 0 <= z - j <= m))
+            return x, x - k
         for k in range(-d, d + 1, 2):
             x = ahead.get(k + 1, -1) if k == -d or (k != d and ahead.get(k - 1, -1) < ahead.get(k + 1, -1)) else ahead.get(k - 1, -1) + 1
             y = x - k
@@ -214,8 +250,60 @@ def floor_shift(table: Column, pos: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(table, lambda x: x.pos <= pos), F.lit(-1))["shift"], F.lit(0))
 
 
+def shift_tables(pairs: DataFrame, source: str, target: str) -> DataFrame:
+    """``pairs`` with the column ``shifts`` (see there) from the source text to the target text."""
+    return pairs.withColumn("shifts", shifts(diff_udf(F.col(source), F.col(target))))
+
+
+def move_spans(spans: DataFrame) -> DataFrame:
+    """Rows with ``shifts`` and their m_start and m_end moved as a_start and a_end; spans that become negative are dropped."""
+    df = spans.withColumn("a_start", F.col("m_start") + floor_shift(F.col("shifts"), F.col("m_start"))).withColumn("a_end", F.col("m_end") + floor_shift(F.col("shifts"), F.col("m_end") - 1))
+    return df.where("a_start >= 0 and a_end >= 0").drop("shifts")
+
+
 def align_spans(spans: DataFrame, source: str, target: str) -> DataFrame:
-    """Move m_start and m_end from the source text to the target text; spans that become negative are dropped."""
-    df = spans.withColumn("__shifts", shifts(diff_udf(F.col(source), F.col(target))))
-    df = df.withColumn("a_start", F.col("m_start") + floor_shift(F.col("__shifts"), F.col("m_start"))).withColumn("a_end", F.col("m_end") + floor_shift(F.col("__shifts"), F.col("m_end") - 1))
-    return df.where("a_start >= 0 and a_end >= 0").drop("__shifts")
+    """``move_spans`` for rows that carry both texts; with many spans a text, join them with ``shift_tables`` instead."""
+    return move_spans(shift_tables(spans, source, target))
+
+
+def word_spans(text: str | None, words: list[str | None] | None) -> list[tuple[int, int] | None] | None:
+    """Where each word of a text is in it, words being those of the text in order but perhaps written differently: they are
+    joined by blanks, compared with the text and moved to it. A null word has no place."""
+    if text is None or words is None:
+        return None
+    joined = "".join(w + " " for w in words if w is not None)
+    at, shift, pos = [], [], 0
+    total = 0
+    for op, t in diff(joined, text):
+        pos += 0 if op == "INSERT" else len(t)
+        total += len(t) if op == "INSERT" else -len(t) if op == "DELETE" else 0
+        if at and at[-1] == pos:
+            shift[-1] = total
+        else:
+            at.append(pos)
+            shift.append(total)
+    if shift and shift[0] < 0:
+        at, shift = [0, *at], [shift[0], *shift]
+
+    def moved(p, look):
+        i = bisect_right(at, look) - 1
+        return p + (shift[i] if i >= 0 else 0)
+
+    out, n = [], 0
+    for w in words:
+        if w is None:
+            out.append(None)
+            continue
+        out.append((moved(n, n), moved(n + len(w), n + len(w) - 1)))
+        n += len(w) + 1
+    return out
+
+
+_SPANS = T.ArrayType(T.StructType([T.StructField("m_start", T.IntegerType()), T.StructField("m_end", T.IntegerType())]))
+
+
+@F.pandas_udf(_SPANS)
+def word_spans_udf(texts: pd.Series, words: pd.Series) -> pd.Series:
+    """array<struct<m_start, m_end>> of ``word_spans``."""
+    found = (word_spans(t, None if w is None else list(w)) for t, w in zip(texts, words))
+    return pd.Series([x if x is None else [y and {"m_start": y[0], "m_end": y[1]} for y in x] for x in found])

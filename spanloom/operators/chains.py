@@ -6,10 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sweep import MENTION
+
 
 def chains(mentions: DataFrame, keys: list[str]) -> DataFrame:
     """keys, ann, entity, chain_idx (1-based order of first appearance in span order) and its number of mentions."""
@@ -17,10 +21,13 @@ def chains(mentions: DataFrame, keys: list[str]) -> DataFrame:
     return first.select(*keys, "ann", "entity", F.row_number().over(Window.partitionBy(*keys, "ann").orderBy("first")).alias("chain_idx"), "n_mentions")
 
 
-def cooccurrence(principal: DataFrame, keys: list[str], gold: int, other: int) -> DataFrame:
-    """keys, e0, e1, cnt: segments in which both annotators have a principal mention."""
-    p = principal.groupBy(*keys, "seg_idx").agg(F.max(F.when(F.col("ann") == gold, F.col("entity"))).alias("e0"), F.max(F.when(F.col("ann") == other, F.col("entity"))).alias("e1"))
-    return p.where("e0 is not null and e1 is not null").groupBy(*keys, "e0", "e1").agg(F.count(F.lit(1)).alias("cnt"))
+def cooccurrence(segs: DataFrame, keys: list[str], gold: int = 0, other: int = 1) -> DataFrame:
+    """keys, e0, e1, cnt: segments (see ``sweep.wide``) in which both annotators have a principal mention."""
+    return _both_here(segs, gold, other).groupBy(*keys, "e0", "e1").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _both_here(segs: DataFrame, gold: int, other: int) -> DataFrame:
+    return segs.where(f"p{gold} is not null and p{other} is not null").withColumnsRenamed({f"p{gold}": "e0", f"p{other}": "e1"})
 
 
 def greedy_map(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,10 +36,9 @@ def greedy_map(counts: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("r", F.row_number().over(order)).where("r = 1").select(*keys, "e0", "e1", "cnt")
 
 
-def last_map(principal: DataFrame, keys: list[str], gold: int, other: int) -> DataFrame:
+def last_map(segs: DataFrame, keys: list[str], gold: int = 0, other: int = 1) -> DataFrame:
     """For each e0 the e1 of the last segment they share."""
-    p = principal.groupBy(*keys, "seg_idx").agg(F.max(F.when(F.col("ann") == gold, F.col("entity"))).alias("e0"), F.max(F.when(F.col("ann") == other, F.col("entity"))).alias("e1"))
-    return p.where("e0 is not null and e1 is not null").groupBy(*keys, "e0").agg(F.max_by("e1", "seg_idx").alias("e1"))
+    return _both_here(segs, gold, other).groupBy(*keys, "e0").agg(F.max_by("e1", "seg_idx").alias("e1"))
 
 
 def aligned_chain_idx(chain: DataFrame, mapping: DataFrame, keys: list[str], other: int, gold: int = 0) -> DataFrame:
@@ -73,55 +79,172 @@ def entity_maps(counts: DataFrame, keys: list[str], limit: int = 1000) -> DataFr
     return doc.select(*keys, "n_maps", F.explode(F.when(few, expanded).otherwise(factored)).alias("x")).select(*keys, "x.entity_map", "x.e0", "x.cands", "n_maps")
 
 
-def _sides(mentions: DataFrame, keys: list[str], gold: int, other: int) -> tuple[DataFrame, DataFrame]:
-    def side(a, name):
-        return mentions.where(F.col("ann") == a).select(*keys, "m_start", "m_end", F.col("entity").alias(name))
-
-    return side(gold, "k"), side(other, "r")
-
-
-def _muc_half(x: DataFrame, y: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
-    met = x.join(y, [*keys, "m_start", "m_end"], "left").groupBy(*keys, a).agg(F.count(F.lit(1)).alias("n"), (F.countDistinct(b) + F.count_if(F.col(b).isNull())).alias("parts"))
-    return met.groupBy(*keys).agg(F.sum(F.col("n") - F.col("parts")).cast("double").alias("nom"), F.sum(F.col("n") - 1).cast("double").alias("den"))
-
-
-def _both(mentions, keys, gold, other, half) -> DataFrame:
-    k, r = _sides(mentions, keys, gold, other)
-    recall = half(k, r, "k", "r", keys).withColumnsRenamed({"nom": "r_nom", "den": "r_den"})
-    precision = half(r, k, "r", "k", keys).withColumnsRenamed({"nom": "p_nom", "den": "p_den"})
-    out = recall.join(precision, keys, "full")
-    return out.select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("r_nom", "r_den", "p_nom", "p_den")])
+class _Sides:
+    """Chains of the key (k) and the response (r) of a run of texts, and how many mentions each two of them share.
 
+    Mentions are the same when text, start and end are; of mentions that repeat within a side each meets each.
+    """
 
-def muc(mentions: DataFrame, keys: list[str], gold: int = 0, other: int = 1) -> DataFrame:
-    return _both(mentions, keys, gold, other, _muc_half)
+    def __init__(self, count: np.ndarray, columns: list[pa.Array], gold: int, other: int):
+        ann, start, end = (columns[i].to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2, 3))
+        entity = columns[4].dictionary_encode()
+        code = pc.fill_null(entity.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(count)), count)
+        _, span = np.unique(np.stack([doc, start, end]), axis=1, return_inverse=True)
+        self.n_docs = len(count)
+        sides = [np.flatnonzero((ann == a) & (code >= 0)) for a in (gold, other)]
+        self.size, self.doc, chain = [], [], []
+        for at in sides:
+            key, mine, size = np.unique(doc[at] * (len(entity.dictionary) + 1) + code[at], return_inverse=True, return_counts=True)
+            chain.append(mine)
+            self.size.append(size)
+            self.doc.append(key // (len(entity.dictionary) + 1))
+        k, r = (span[at] for at in sides)
+        order = np.argsort(r, kind="stable")
+        lo, hi = np.searchsorted(r[order], k), np.searchsorted(r[order], k, "right")
+        n = hi - lo
+        ends = np.cumsum(n)
+        left = np.repeat(np.arange(len(k)), n)
+        right = order[np.repeat(lo - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        self.single = []  # mentions of each chain that the other side lacks
+        for c, at, met, size in ((chain[0], k, left, self.size[0]), (chain[1], r, right, self.size[1])):
+            alone = np.ones(len(at), bool)
+            alone[met] = False
+            self.single.append(np.bincount(c[alone], minlength=len(size)))
+        width = max(1, len(self.size[1]))
+        pair, self.met = np.unique(chain[0][left] * width + chain[1][right], return_counts=True)
+        self.k, self.r = pair // width, pair % width
+
+    def by_doc(self, side: int, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc[side], values, minlength=self.n_docs)
+
+    def per_chain(self, side: int, values: np.ndarray) -> np.ndarray:
+        return np.bincount((self.k, self.r)[side], values, minlength=len(self.size[side]))
+
+    def both(self, half) -> list[np.ndarray]:
+        """nominator and denominator by document of recall, then of precision."""
+        return [x for side in (0, 1) for x in half(side)]
+
+    def muc(self, side: int):
+        joined = self.per_chain(side, self.met) + self.single[side]
+        parts = self.per_chain(side, np.ones(len(self.met))) + self.single[side]
+        return self.by_doc(side, joined - parts), self.by_doc(side, joined - 1)
+
+    def b_cubed(self, side: int):
+        return self.by_doc(side, self.per_chain(side, self.met.astype(float) ** 2) / np.maximum(self.size[side], 1)), self.by_doc(side, self.size[side])
+
+    def blanc(self) -> list[np.ndarray]:
+        """Right coreferent links, those of the key and of the response, and the same of other links."""
+
+        def pairs(n):
+            return n * (n - 1) / 2
+
+        k, r = (self.by_doc(i, pairs(self.size[i])) for i in (0, 1))
+        k_all, r_all = (pairs(self.by_doc(i, self.size[i])) for i in (0, 1))
+        d = self.doc[0][self.k]
+        right = np.bincount(d, pairs(self.met), minlength=self.n_docs)
+        right_all = pairs(np.bincount(d, self.met, minlength=self.n_docs))
+        inside = [self.by_doc(i, pairs(self.per_chain(i, self.met))) for i in (0, 1)]
+        return [right, k, r, right_all - inside[0] - inside[1] + right, k_all - k, r_all - r]
+
+    def ceaf(self, by: str) -> list[np.ndarray]:
+        """The best one-to-one assignment of chains by shared mentions (m) or by shared share of mentions (e)."""
+        best = np.zeros(self.n_docs)
+        d = self.doc[0][self.k]
+        value = self.met.astype(float) if by == "m" else 2 * self.met / (self.size[0][self.k] + self.size[1][self.r])
+        for doc in np.unique(d).tolist():
+            at = slice(*np.searchsorted(d, [doc, doc + 1]))  # chains are numbered by text
+            best[doc] = best_assignment(self.k[at], self.r[at], value[at])
+        size = [self.by_doc(i, self.size[i] if by == "m" else np.ones(len(self.size[i]))) for i in (0, 1)]
+        return [best, size[0], best, size[1]]
+
+
+def best_assignment(k: np.ndarray, r: np.ndarray, value: np.ndarray) -> float:
+    """Largest sum of values of a one-to-one choice among the pairs (k, r); parts that share no chain are solved apart."""
+    k, r = np.unique(k, return_inverse=True)[1], np.unique(r, return_inverse=True)[1]
+    root = list(range(int(k.max()) + int(r.max()) + 2))
+    n = int(k.max()) + 1
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in zip(k.tolist(), r.tolist()):
+        root[find(i)] = find(n + j)
+    part = np.array([find(i) for i in k.tolist()])
+    total = 0.0
+    for p in np.unique(part).tolist():
+        at = part == p
+        a, x = np.unique(k[at], return_inverse=True)
+        b, y = np.unique(r[at], return_inverse=True)
+        m = np.zeros((len(a), len(b)))
+        m[x, y] = value[at]
+        total += assign(m)
+    return total
+
+
+FRACTIONS = ("r_nom", "r_den", "p_nom", "p_den")
+LINKS = ("right_coref", "key_coref", "resp_coref", "right_non", "key_non", "resp_non")
+
+
+def _compared(nested: DataFrame, keys: list[str], gold: int, other: int, names: tuple[str, ...], make) -> DataFrame:
+    """keys and doubles of every text in which either annotator has a mention with an entity (see ``sweep.nest``)."""
+    wanted = F.filter("ms", lambda m: m.ann.isin(gold, other) & m.entity.isNotNull())
+    src = nested.select(*keys, F.transform(wanted, lambda m: F.struct(*[m[c].cast("string" if c == "entity" else "int").alias(c) for c in MENTION])).alias("ms")).where("size(ms) > 0")
+    schema = T.StructType([*(src.schema[x] for x in keys), *(T.StructField(x, T.DoubleType()) for x in names)])
+    at = len(keys)
+
+    def run(batches):
+        for b in batches:
+            count = pc.list_value_length(b.column(at)).to_numpy().astype(np.int64)
+            if len(count):
+                found = make(_Sides(count, b.column(at).flatten().flatten(), gold, other))
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(at)), *(pa.array(x.astype(np.float64)) for x in found)], names=schema.names)
+
+    return src.mapInArrow(run, schema)
+
+
+def muc(nested: DataFrame, keys: list[str], gold: int = 0, other: int = 1) -> DataFrame:
+    return _compared(nested, keys, gold, other, FRACTIONS, lambda x: x.both(x.muc))
+
+
+def b_cubed(nested: DataFrame, keys: list[str], gold: int = 0, other: int = 1) -> DataFrame:
+    return _compared(nested, keys, gold, other, FRACTIONS, lambda x: x.both(x.b_cubed))
 
 
-def _bcub_half(x, y, a, b, keys):
-    sizes = x.groupBy(*keys, a).agg(F.count(F.lit(1)).alias("n"))
-    met = x.join(y, [*keys, "m_start", "m_end"]).groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("c"))
-    nom = met.groupBy(*keys, a).agg(F.sum(F.col("c") * F.col("c")).alias("c2"))
-    return sizes.join(nom, [*keys, a], "left").groupBy(*keys).agg(F.sum(F.coalesce("c2", F.lit(0)) / F.col("n")).alias("nom"), F.sum("n").cast("double").alias("den"))
+def blanc(nested: DataFrame, keys: list[str], gold: int = 0, other: int = 1) -> DataFrame:
+    """Counts of coreferent and other links: right ones, in the key, in the response. Links are counted by n(n-1)/2."""
+    return _compared(nested, keys, gold, other, LINKS, lambda x: x.blanc())
 
 
-def b_cubed(mentions: DataFrame, keys: list[str], gold: int = 0, other: int = 1) -> DataFrame:
-    return _both(mentions, keys, gold, other, _bcub_half)
+def ceaf(nested: DataFrame, keys: list[str], by: str, gold: int = 0, other: int = 1) -> DataFrame:
+    """CEAF with mention-based (by='m') or entity-based (by='e') similarity of chains."""
+    return _compared(nested, keys, gold, other, FRACTIONS, lambda x: x.ceaf(by))
 
 
-def blanc(mentions: DataFrame, keys: list[str], gold: int = 0, other: int = 1) -> DataFrame:
-    """Counts of coreferent and other links: right ones, in the key, in the response. Links are counted by n(n-1)/2."""
-    k, r = _sides(mentions, keys, gold, other)
+def all_scores(nested: DataFrame, keys: list[str], other: int, gold: int = 0) -> DataFrame:
+    """keys, metric, r_nom, r_den, p_nom, p_den of all metrics, in one pass. BLANC is the mean of its two kinds of links; a
+    kind that neither the key nor the response has leaves the other alone."""
+    metrics = ("muc", "bcub", "ceafm", "ceafe", "blanc")
 
-    def pairs(c):
-        return c * (c - 1) / 2
+    def blanc_parts(x):
+        right, key, resp, right_non, key_non, resp_non = x.blanc()
+        out = []
+        for links, others in ((key, key_non), (resp, resp_non)):
+            one, two = (np.divide(a, n, out=np.zeros_like(n), where=n > 0) for a, n in ((right, links), (right_non, others)))
+            some = [(key + resp) > 0, (key_non + resp_non) > 0]
+            kinds = some[0].astype(float) + some[1]
+            out += [np.divide(one * some[0] + two * some[1], kinds, out=np.zeros_like(one), where=kinds > 0), (kinds > 0).astype(float)]
+        return out
 
-    def inside(df, by, name):
-        return df.groupBy(*keys, *by).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sum(pairs(F.col("n"))).alias(name), pairs(F.sum("n")).alias(f"{name}_all"))
+    def make(x):
+        return [*x.both(x.muc), *x.both(x.b_cubed), *x.ceaf("m"), *x.ceaf("e"), *blanc_parts(x)]
 
-    met = k.join(r, [*keys, "m_start", "m_end"])
-    out = inside(k, ["k"], "ck").join(inside(r, ["r"], "cr"), keys, "full").join(inside(met, ["k", "r"], "rc"), keys, "left").join(inside(met, ["k"], "mk"), keys, "left").join(inside(met, ["r"], "mr"), keys, "left")
-    z = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("ck", "ck_all", "cr", "cr_all", "rc", "rc_all", "mk", "mr")}
-    return out.select(*keys, z["rc"].alias("right_coref"), z["ck"].alias("key_coref"), z["cr"].alias("resp_coref"), (z["rc_all"] - z["mk"] - z["mr"] + z["rc"]).alias("right_non"), (z["ck_all"] - z["ck"]).alias("key_non"), (z["cr_all"] - z["cr"]).alias("resp_non"))
+    rows = _compared(nested, keys, gold, other, tuple(f"{m}_{c}" for m in metrics for c in FRACTIONS), make)
+    each = F.array(*[F.struct(F.lit(m).alias("metric"), *[F.col(f"{m}_{c}").alias(c) for c in FRACTIONS]) for m in metrics])
+    return rows.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
 
 
 def assign(value: np.ndarray) -> float:
@@ -152,44 +275,3 @@ def assign(value: np.ndarray) -> float:
         while j0:
             match[j0], j0 = match[way[j0]], way[j0]
     return float(sum(value[match[j] - 1, j - 1] for j in range(1, m + 1) if match[j]))
-
-
-def ceaf(mentions: DataFrame, keys: list[str], by: str, gold: int = 0, other: int = 1) -> DataFrame:
-    """CEAF with mention-based (by='m') or entity-based (by='e') similarity of chains."""
-    k, r = _sides(mentions, keys, gold, other)
-    nk = k.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("nk"))
-    nr = r.groupBy(*keys, "r").agg(F.count(F.lit(1)).alias("nr"))
-    met = k.join(r, [*keys, "m_start", "m_end"]).groupBy(*keys, "k", "r").agg(F.count(F.lit(1)).alias("c")).join(nk, [*keys, "k"]).join(nr, [*keys, "r"])
-    schema = ", ".join([f"{c} {mentions.schema[c].dataType.simpleString()}" for c in keys] + ["best double"])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, ka = pd.factorize(pdf["k"])
-        b, rb = pd.factorize(pdf["r"])
-        m = np.zeros((len(ka), len(rb)))
-        c, n1, n2 = (pdf[x].to_numpy(float) for x in ("c", "nk", "nr"))
-        m[a, b] = c if by == "m" else 2 * c / (n1 + n2)
-        root = np.arange(len(ka) + len(rb))
-
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
-
-        for i, j in zip(a, b):
-            root[find(i)] = find(len(ka) + j)
-        group: dict = {}
-        for x in range(len(root)):
-            group.setdefault(find(x), []).append(x)
-        total = 0.0
-        for g in group.values():
-            rows, cols = [x for x in g if x < len(ka)], [x - len(ka) for x in g if x >= len(ka)]
-            total += assign(m[np.ix_(rows, cols)])
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in keys}, "best": total}])
-
-    best = met.groupBy(*keys).applyInPandas(solve, schema)
-    size = F.sum("n") if by == "m" else F.count(F.lit(1))
-    dk = nk.withColumnRenamed("nk", "n").groupBy(*keys).agg(size.cast("double").alias("r_den"))
-    dr = nr.withColumnRenamed("nr", "n").groupBy(*keys).agg(size.cast("double").alias("p_den"))
-    out = dk.join(dr, keys, "full").join(best, keys, "left")
-    b = F.coalesce("best", F.lit(0.0))
-    return out.select(*keys, b.alias("r_nom"), F.coalesce("r_den", F.lit(0.0)).alias("r_den"), b.alias("p_nom"), F.coalesce("p_den", F.lit(0.0)).alias("p_den"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import xml_escape
+from .sweep import MENTION
 
 
 def match_tags(tags: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,58 +23,185 @@ def match_tags(tags: DataFrame, keys: list[str]) -> DataFrame:
     return t.where("is_open").select(*keys, "depth", "k", F.col("n").alias("open_n")).join(t.where("not is_open").select(*keys, "depth", "k", F.col("n").alias("close_n")), [*keys, "depth", "k"]).where("close_n > open_n").drop("k")
 
 
+_ESCAPES = {**{n: None for n in (*range(9), 11, 12, *range(14, 32))}, **{ord(k): v for k, v in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\"", "&quot;"), ("'", "&apos;"))}}
+_MARK = pa.list_(pa.struct([("seq", pa.int32()), ("m_start", pa.int32()), ("m_end", pa.int32()), ("tag", pa.string())]))
+
+
+@F.arrow_udf(T.StringType())
+def _insert_marks(texts: pa.Array, marks: pa.Array) -> pa.Array:
+    """The escaped texts with each mark's tag at its start and a closing tag at its end, in span order; marks that reach out
+    of a text are left out."""
+    marks = marks.cast(_MARK)
+    count = pc.fill_null(pc.list_value_length(marks), 0).to_numpy().astype(np.int64)
+    *places, tags = marks.flatten().flatten()
+    seq, start, end = (x.to_numpy().astype(np.int64) for x in places)
+    length = pc.fill_null(pc.utf8_length(texts), 0).to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(count)), count)
+    tags = np.array(tags.to_pylist(), object)
+    ok = (start >= 0) & (start <= end) & (end <= length[doc])
+    doc, seq, start, end, tags = doc[ok], seq[ok], start[ok], end[ok], tags[ok]
+    n = len(doc)
+    pos, kind = np.concatenate([end, start]), np.repeat([0, 1], n)
+    order = np.lexsort((np.concatenate([-seq, seq]), np.concatenate([end, -end]), np.concatenate([-start, start]), kind, pos, np.concatenate([doc, doc])))
+    tag = np.concatenate([np.full(n, "</mark>", object), tags])[order].tolist()
+    pos = pos[order].tolist()
+    first = 2 * np.searchsorted(doc, np.arange(len(count) + 1))
+    out = []
+    for d, text in enumerate(texts.to_pylist()):
+        if text is None:
+            out.append(None)
+            continue
+        pieces, at = [], 0
+        for i in range(first[d], first[d + 1]):
+            if pos[i] > at:
+                pieces.append(text[at : pos[i]].translate(_ESCAPES))
+                at = pos[i]
+            pieces.append(tag[i])
+        pieces.append(text[at:].translate(_ESCAPES))
+        out.append("".join(pieces))
+    return pa.array(out, pa.string())
+
+
+def mark_tag(entity: Column, minimal: Column | None = None, info: Column | None = None) -> Column:
+    """The opening tag of a mark: entity (without angle brackets around it), the minimal span's text where there is one, and
+    further attributes by name."""
+    out = F.concat(F.lit("<mark entity='"), xml_escape(F.regexp_replace(entity, "^<(.*)>$", "$1")), F.lit("'"))
+    if minimal is not None:
+        out = F.concat(out, F.coalesce(F.concat(F.lit(" min='"), xml_escape(minimal), F.lit("'")), F.lit("")))
+    if info is not None:
+        pairs = F.transform(F.array_sort(F.map_entries(info)), lambda x: F.concat(F.lit(" "), x.key, F.lit("='"), xml_escape(x.value), F.lit("'")))
+        out = F.concat(out, F.coalesce(F.array_join(pairs, ""), F.lit("")))
+    return F.concat(out, F.lit(">"))
+
+
+def mark_nested(nested: DataFrame, key: str) -> DataFrame:
+    """key and ``marked``, the text with a mark element around every mention of ``ms`` (see ``marked_text``)."""
+    marks = F.transform("ms", lambda m: F.struct(m.seq.alias("seq"), m.m_start.alias("m_start"), m.m_end.alias("m_end"), mark_tag(m.entity).alias("tag")))
+    return nested.where("text is not null").select(key, _insert_marks(F.col("text"), F.coalesce(marks, F.array())).alias("marked"))
+
+
 def marked_text(docs: DataFrame, mentions: DataFrame, key: str) -> DataFrame:
-    """key and the text with a mark element around every mention, in span order; text pieces are escaped."""
-    starts = mentions.select(key, F.col("m_start").alias("pos"), F.lit(1).alias("kind"), F.struct(F.col("m_start").alias("a"), (-F.col("m_end")).alias("b"), F.col("seq").alias("c")).alias("o"), F.concat(F.lit("<mark entity='"), xml_escape(F.regexp_replace("entity", "^<(.*)>$", "$1")), F.lit("'>")).alias("tag"))
-    ends = mentions.select(key, F.col("m_end").alias("pos"), F.lit(0).alias("kind"), F.struct((-F.col("m_start")).alias("a"), F.col("m_end").alias("b"), (-F.col("seq")).alias("c")).alias("o"), F.lit("</mark>").alias("tag"))
-    stop = docs.select(key, F.length("text").alias("pos"), F.lit(2).alias("kind"), F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c")).alias("o"), F.lit("").alias("tag"))
-    w = Window.partitionBy(key).orderBy("pos", "kind", "o")
-    ev = starts.unionByName(ends).unionByName(stop).withColumn("n", F.row_number().over(w)).withColumn("prev", F.coalesce(F.lag("pos").over(w), F.lit(0)))
-    ev = ev.join(docs.select(key, "text"), key)
-    ev = ev.select(key, "n", F.concat(xml_escape(F.expr("substring(text, prev + 1, pos - prev)")), "tag").alias("piece"))
-    return ev.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x.piece), "").alias("marked"))
-
-
-def token_boundaries(tokens: DataFrame, mentions: DataFrame, keys: list[str]) -> DataFrame:
-    """Mentions with first_tok (first token that ends after the start) and last_tok (first token that ends at or after the end)."""
-    from .sweep import BUCKET
-
-    w = Window.partitionBy(*keys).orderBy("tok_idx")
-    t = tokens.withColumn("prev", F.coalesce(F.lag("tok_end").over(w), F.lit(-1)))
-    t = t.withColumn("bucket", F.explode(F.sequence(F.floor(F.greatest(F.col("prev"), F.lit(0)) / BUCKET), F.floor(F.col("tok_end") / BUCKET))))
-    def at(c, lo, hi, name):
-        m = mentions.withColumn("bucket", F.floor(F.col(c) / BUCKET))
-        return m.join(t.select(*keys, "bucket", "tok_idx", "prev", "tok_end"), [*keys, "bucket"]).where(f"prev {lo} {c} and {c} {hi} tok_end").select(*mentions.columns, F.col("tok_idx").alias(name))
-
-    first = at("m_start", "<=", "<", "first_tok")
-    last = at("m_end", "<", "<=", "last_tok")
-    return first.join(last, mentions.columns)
-
-
-def conll_rows(tokens: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, tok_idx, word, coref: chain brackets '(n', '(n)', 'n)' joined by '|', '-' without any. Chains are numbered by
-    first appearance. Starts come first in span order; a start is closed at once while ends of its entity remain there."""
-    order = Window.partitionBy(*keys)
-    number = bounds.groupBy(*keys, "entity").agg(F.min(F.struct("first_tok", "m_start", (-F.col("m_end")).alias("x"), "seq")).alias("first"))
-    number = number.select(*keys, "entity", F.row_number().over(order.orderBy("first")).alias("num"))
-    b = bounds.join(number, [*keys, "entity"])
-    s = b.select(*keys, F.col("first_tok").alias("tok_idx"), "num", "m_start", "m_end", "seq")
-    s = s.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "tok_idx", "num").orderBy("m_start", F.desc("m_end"), "seq")))
-    ends = b.groupBy(*keys, F.col("last_tok").alias("tok_idx"), "num").agg(F.count(F.lit(1)).alias("n_end"), F.min(F.struct("m_end", "m_start")).alias("at"))
-    starts = s.join(ends.drop("at"), [*keys, "tok_idx", "num"], "left").select(*keys, "tok_idx", F.struct(F.lit(0).alias("side"), F.col("m_start").alias("a"), (-F.col("m_end")).alias("b"), F.col("seq").alias("c"), F.concat(F.lit("("), F.col("num").cast("string"), F.when(F.col("k") <= F.coalesce("n_end", F.lit(0)), ")").otherwise("")).alias("t")).alias("x"))
-    n_start = s.groupBy(*keys, "tok_idx", "num").agg(F.count(F.lit(1)).alias("n_start"))
-    rest = ends.join(n_start, [*keys, "tok_idx", "num"], "left").withColumn("left", F.col("n_end") - F.coalesce("n_start", F.lit(0))).where("left > 0")
-    rest = rest.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("left")))).select(*keys, "tok_idx", F.struct(F.lit(1).alias("side"), F.col("num").alias("a"), F.lit(0).alias("b"), F.col("i").cast("int").alias("c"), F.concat(F.col("num").cast("string"), F.lit(")")).alias("t")).alias("x"))
-    cells = starts.unionByName(rest).groupBy(*keys, "tok_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.t), "|").alias("coref"))
+    """key and the text with a mark element around every mention, in span order; text pieces are escaped. Minimal spans
+    (min_start, min_end) and attributes (info, a map) of mentions are written if they have such columns."""
+    text = docs.select(key, "text")
+    minimal = None
+    if {"min_start", "min_end"} <= set(mentions.columns):
+        mentions = mentions.join(text, key)
+        minimal = F.when(F.col("min_start").isNotNull(), F.col("text").substr(F.col("min_start") + 1, F.col("min_end") - F.col("min_start")))
+    tag = mark_tag(F.col("entity"), minimal, F.col("info") if "info" in mentions.columns else None)
+    listed = mentions.select(key, F.struct("seq", "m_start", "m_end", tag.alias("tag")).alias("m")).groupBy(key).agg(F.collect_list("m").alias("marks"))
+    return text.where("text is not null").join(listed, key, "left").select(key, _insert_marks(F.col("text"), F.coalesce("marks", F.array())).alias("marked"))
+
+
+def _bounds(ends: np.ndarray, ends_first: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First token that ends after the start, and first that ends at or after the end, by places in ``ends`` (tokens of all
+    texts); a text's number of tokens where there is none."""
+    token_doc = np.repeat(np.arange(len(ends_first) - 1), np.diff(ends_first))
+    width = int(max(ends.max(initial=0), start.max(initial=0), end.max(initial=0))) + 2
+    key = token_doc * width + ends
+    first = np.minimum(np.searchsorted(key, doc * width + start, "right"), ends_first[doc + 1])
+    last = np.minimum(np.searchsorted(key, doc * width + end, "left"), ends_first[doc + 1])
+    return first, last
+
+
+def token_boundaries(nested: DataFrame, keys: list[str]) -> DataFrame:
+    """The mentions of ``ms`` with first_tok (first token that ends after the start) and last_tok (first token that ends at or
+    after the end), if the text has such tokens; ``ends`` has the ends of its tokens in order."""
+    src = nested.select(*keys, F.col("ends").cast("array<int>"), F.transform("ms", lambda m: F.struct(*[m[c].cast("string" if c == "entity" else "int").alias(c) for c in MENTION])).alias("ms")).where("size(ends) > 0 and size(ms) > 0")
+    columns = {**{c: T.IntegerType() for c in MENTION[:4]}, "entity": T.StringType(), "first_tok": T.IntegerType(), "last_tok": T.IntegerType()}
+    schema = T.StructType([*(src.schema[x] for x in keys), *(T.StructField(n, t) for n, t in columns.items())])
+    k = len(keys)
+
+    def run(batches):
+        for b in batches:
+            ends_first = np.concatenate([[0], np.cumsum(pc.list_value_length(b.column(k)).to_numpy())]).astype(np.int64)
+            doc = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(k + 1)).to_numpy())
+            ms = b.column(k + 1).flatten().flatten()
+            first, last = _bounds(b.column(k).flatten().to_numpy().astype(np.int64), ends_first, doc, ms[2].to_numpy().astype(np.int64), ms[3].to_numpy().astype(np.int64))
+            ok = pa.array((first < ends_first[doc + 1]) & (last < ends_first[doc + 1]))
+            take = pa.array(doc)
+            found = [*(b.column(i).take(take) for i in range(k)), *ms, *(pa.array((x - ends_first[doc]).astype(np.int32)) for x in (first, last))]
+            yield pa.RecordBatch.from_arrays(found, names=schema.names).filter(ok)
+
+    return src.mapInArrow(run, schema)
+
+
+def nest_tokens(nested: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """``nested`` (see ``sweep.nest``) with ``toks``, the tokens of each text in order, and ``ends``, where they end."""
+    listed = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tok_idx", "tok_start", "tok_end", "word"))).alias("toks"))
+    return nested.join(listed, keys, "left").withColumn("ends", F.transform("toks", lambda t: t.tok_end))
+
+
+def conll_rows(nested: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tok_idx, word, coref of the tokens in ``toks``: chain brackets '(n', '(n)', 'n)' joined by '|', '-' without any.
+    Chains are numbered by first appearance. Starts come first in span order; a start is closed at once while ends of its
+    entity remain there."""
+    src = nested.select(*keys, F.transform("toks", lambda t: F.struct(t.tok_end.alias("end"), t.word.alias("word"))).alias("toks"), F.transform("ms", lambda m: F.struct(*[m[c].cast("string" if c == "entity" else "int").alias(c) for c in MENTION])).alias("ms")).where("size(toks) > 0")
+    schema = T.StructType([*(src.schema[x] for x in keys), *T.StructType([T.StructField("tok_idx", T.IntegerType()), T.StructField("word", T.StringType()), T.StructField("coref", T.StringType())]).fields])
+    k = len(keys)
+
+    def run(batches):
+        for b in batches:
+            size = pc.list_value_length(b.column(k)).to_numpy().astype(np.int64)
+            first_of = np.concatenate([[0], np.cumsum(size)])
+            ends, words = b.column(k).flatten().flatten()
+            count = pc.fill_null(pc.list_value_length(b.column(k + 1)), 0).to_numpy().astype(np.int64)
+            ms = b.column(k + 1).flatten().flatten()
+            seq, start, end = (ms[i].to_numpy().astype(np.int64) for i in (1, 2, 3))
+            doc = np.repeat(np.arange(len(size)), count)
+            first, last = _bounds(ends.to_numpy().astype(np.int64), first_of, doc, start, end)
+            ok = (first < first_of[doc + 1]) & (last < first_of[doc + 1])
+            entity = np.array(ms[4].to_pylist(), object)
+            cells: dict[int, list[str]] = {}
+            number: dict = {}
+            left: dict = {}  # (token, chain): ends that no start has closed yet
+            order = np.lexsort((seq, -end, start, first))
+            order = order[ok[order]]
+            for m, d in zip(order.tolist(), doc[order].tolist()):
+                name = (d, entity[m])
+                if name not in number:
+                    number[name] = number[d] = number.get(d, 0) + 1
+                at = (int(last[m]), number[name])
+                left[at] = left.get(at, 0) + 1
+            for m, d, t in zip(order.tolist(), doc[order].tolist(), first[order].tolist()):
+                n = number[d, entity[m]]
+                closed = left.get((t, n), 0) > 0
+                if closed:
+                    left[t, n] -= 1
+                cells.setdefault(t, []).append(f"({n})" if closed else f"({n}")
+            for (t, n), times in sorted(left.items()):
+                cells.setdefault(t, []).extend([f"{n})"] * times)
+            coref = ["-"] * int(first_of[-1])
+            for t, items in cells.items():
+                coref[t] = "|".join(items)
+            take = pa.array(np.repeat(np.arange(len(size)), size))
+            place = pa.array((np.arange(first_of[-1]) - np.repeat(first_of[:-1], size)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(k)), place, words, pa.array(coref, pa.string())], names=schema.names)
+
     word = F.replace(F.replace(F.replace("word", F.lit("("), F.lit("-LBR-")), F.lit(")"), F.lit("-RBR-")), F.lit("\n"), F.lit(" ↵ "))
-    return tokens.join(cells, [*keys, "tok_idx"], "left").select(*keys, "tok_idx", word.alias("word"), F.coalesce("coref", F.lit("-")).alias("coref"))
+    return src.mapInArrow(run, schema).withColumn("word", word)
 
 
-def parse_coref(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, num, first_tok, last_tok of every bracket pair in coref cells; a bracket without partner is left out."""
+def _brackets(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Opening and closing brackets of coref cells; all opening ones of a cell come before its closing ones."""
     item = rows.where("coref <> '-'").select(*keys, "tok_idx", F.posexplode(F.split("coref", "\\|")).alias("i", "item"))
     item = item.withColumn("num", F.regexp_extract("item", "[0-9]+", 0).cast("int"))
     opens = item.where(F.col("item").startswith("(")).select(*keys, "num", "tok_idx", F.struct("tok_idx", F.lit(0).alias("x"), "i").alias("n"), F.lit(True).alias("is_open"))
     closes = item.where(F.col("item").endswith(")")).select(*keys, "num", "tok_idx", F.struct("tok_idx", F.lit(1).alias("x"), "i").alias("n"), F.lit(False).alias("is_open"))
+    return opens, closes
+
+
+def parse_coref(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, num, first_tok, last_tok of every bracket pair in coref cells; a bracket without partner is left out."""
+    opens, closes = _brackets(rows, keys)
     pairs = match_tags(opens.unionByName(closes), [*keys, "num"])
     return pairs.select(*keys, "num", F.col("open_n.tok_idx").alias("first_tok"), F.col("close_n.tok_idx").alias("last_tok"))
+
+
+def unclosed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, num, tok_idx, is_open of every bracket in coref cells that has no partner."""
+    opens, closes = _brackets(rows, keys)
+    both = opens.unionByName(closes)
+    pairs = match_tags(both, [*keys, "num"])
+    met = pairs.select(*keys, "num", F.explode(F.array(F.struct(F.col("open_n").alias("n"), F.lit(True).alias("is_open")), F.struct(F.col("close_n").alias("n"), F.lit(False).alias("is_open")))).alias("x")).select(*keys, "num", "x.*")
+    return both.join(met, [*keys, "num", "n", "is_open"], "left_anti").select(*keys, "num", "tok_idx", "is_open")

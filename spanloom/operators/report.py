@@ -1,71 +1,132 @@
-"""The comparison of annotators as XML."""
+"""The comparison of annotators as XML, and tables for people to read."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import xml_escape
+from . import scores as sc
+from . import sweep
+from .markup import _ESCAPES
 
 
 def _short(name: Column, width: Column) -> Column:
     """The short name, cut to five characters more than the segment has; [none] where there is no name."""
     cut = F.when(F.length(name) > width + 5, F.concat(F.left(name, (width + 5).cast("int")), F.lit("…"))).otherwise(name)
-    return F.coalesce(cut, F.lit("[none]"))
+    return F.coalesce(xml_escape(cut), F.lit("[none]"))
 
 
-def _attributes(suffix: str, entity: Column, name: Column, width: Column) -> Column:
-    """entity (escaped twice, as it always was in this format) and short."""
-    label = F.coalesce(F.concat(F.lit(f" entity{suffix}='"), xml_escape(xml_escape(entity)), F.lit("'")), F.lit(""))
-    return F.concat(label, F.lit(f" short{suffix}='"), F.when(entity.isNull(), F.lit("[none]")).otherwise(_short(name, width)), F.lit("'"))
+def _attributes(suffix: str, width: Column) -> Column:
+    """entity (its label is escaped already and is so once more, as it always was in this format) and short."""
+    label = F.coalesce(F.concat(F.lit(f" entity{suffix}='"), xml_escape("label"), F.lit("'")), F.lit(""))
+    return F.concat(label, F.lit(f" short{suffix}='"), F.when(F.col("entity").isNull(), F.lit("[none]")).otherwise(_short(F.col("short"), width)), F.lit("'"))
 
 
-def _chains(suffix: str, before: Column, after: Column) -> Column:
+def _chains(suffix: str) -> Column:
     """chain-before and chain-after, each only where a mention of the annotator is open."""
-    one = [F.coalesce(F.concat(F.lit(f" chain-{side}{suffix}='"), c, F.lit("'")), F.lit("")) for side, c in (("before", before), ("after", after))]
+    one = [F.coalesce(F.concat(F.lit(f" chain-{side}{suffix}='"), F.repeat(F.lit(sign), F.col(side)), F.lit("'")), F.lit("")) for side, sign in (("before", "("), ("after", ")"))]
     return F.concat(*one)
 
 
-def contents(docs: DataFrame, marks: DataFrame, chains: DataFrame, names: DataFrame, keys: list[str], gold: int = 0) -> DataFrame:
+_CELL = pa.list_(pa.struct([("seg_idx", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("ann", pa.int32()), ("some", pa.bool_()), ("eval", pa.string()), ("part", pa.string())]))
+
+
+def _assemble(gold: int, line_breaks: bool):
+    @F.arrow_udf(T.StringType())
+    def assemble(texts: pa.Array, cells: pa.Array) -> pa.Array:
+        cells = cells.cast(_CELL)
+        count = pc.fill_null(pc.list_value_length(cells), 0).to_numpy()
+        first = np.concatenate([[0], np.cumsum(count)])
+        columns = cells.flatten().flatten()
+        doc = np.repeat(np.arange(len(count)), count)
+        order = pa.array(np.lexsort((columns[3].to_numpy(), columns[0].to_numpy(), doc)))
+        seg, s, e, ann, some, label, part = (c.take(order).to_pylist() for c in columns)
+        out = []
+        for d, text in enumerate(texts.to_pylist()):
+            text = text or ""
+            pieces = [] if count[d] else [text.translate(_ESCAPES)]
+            i = int(first[d])
+            while i < first[d + 1]:
+                j = i
+                while j < first[d + 1] and seg[j] == seg[i]:
+                    j += 1
+                said = text[s[i] : e[i]].translate(_ESCAPES)
+                if line_breaks:
+                    said = said.replace("\n\n\n", "<br/>").replace("\n\n", "<br/>").replace("\n", "<br/>")
+                if any(some[i:j]):
+                    split = len({label[k] for k in range(i, j) if ann[k] != gold}) > 1
+                    pieces += [f"<mark split='{str(split).lower()}'", *(part[k] for k in range(i, j) if ann[k] == gold), ">", *(part[k] for k in range(i, j) if ann[k] != gold), said, "</mark>\n"]
+                else:
+                    pieces.append(said)
+                i = j
+            out.append("".join(pieces))
+        return pa.array(out, pa.string())
+
+    return assemble
+
+
+def contents(docs: DataFrame, nested: DataFrame, names: DataFrame, annotators: list[int], keys: list[str], gold: int = 0, line_breaks: bool = False, info: DataFrame | None = None) -> DataFrame:
     """keys and ``content``: the segments of a text in order, those with an entity as marks.
 
-    ``docs`` has keys and text; ``marks`` a row per segment and other annotator (see ``sweep.marks``); ``chains`` the signs
-    by keys, ann and position (see ``sweep.chain_marks``); ``names`` keys, entity and short. A document without marks gets
-    its escaped text.
+    ``docs`` has keys and text, ``nested`` the mentions (see ``sweep.nest``), ``names`` keys, ann, entity, label and short,
+    ``info`` (if given) keys, ann, seq and a map of further attributes. A document without mentions gets its escaped text;
+    a null text is empty. With ``line_breaks`` up to three line feeds become a break.
     """
+    rows = sweep.cells(nested, annotators, keys, gold).join(names, [*keys, "ann", "entity"], "left")
+    further = F.lit("")
+    if info is not None:
+        rows = rows.join(info.select(*keys, "ann", "seq", "info"), [*keys, "ann", "seq"], "left")
+        further = F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries("info")), lambda x: F.concat(F.lit(" "), x.key, F.lit("='"), xml_escape(x.value), F.lit("'"))), ""), F.lit(""))
     width = F.col("e") - F.col("s")
-    signs = chains.select(*keys, "ann", F.col("e").alias("at"), "chain_before", "chain_after")
-
-    def with_signs(df, ann, tag):
-        for side, at in (("before", "s"), ("after", "e")):
-            found = signs.select(*keys, F.col("ann").alias("__ann"), F.col("at").alias("__at"), F.col(f"chain_{side}").alias(f"{tag}_{side}"))
-            df = df.alias("l").join(found.alias("r"), [*[F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys], ann == F.col("__ann"), F.col(f"l.{at}") == F.col("__at")], "left").select("l.*", f"{tag}_{side}")
-        return df
-
-    named = names.select(*keys, "entity", F.col("short").alias("name"))
-    rows = with_signs(marks, F.col("ann"), "a").join(named, [*keys, "entity"], "left")
-    line = F.concat(F.lit("<annotator index='"), F.col("ann").cast("string"), F.lit("'"), _attributes("", F.col("entity"), F.col("name"), width), F.coalesce(F.concat(F.lit(" eval='"), F.nullif("eval", F.lit("")), F.lit("'")), F.lit("")), _chains("", F.col("a_before"), F.col("a_after")), F.lit("/>\n"))
-    rows = rows.withColumn("line", line)
-    segs = rows.groupBy(*keys, "seg_idx", "s", "e", "gold_entity", "split").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ann", "line"))), lambda x: x.line), "").alias("lines"), F.max(F.col("entity").isNotNull()).alias("other")
-    )
-    segs = with_signs(segs, F.lit(gold), "g").join(named.withColumnRenamed("entity", "gold_entity").withColumnRenamed("name", "gold_name"), [*keys, "gold_entity"], "left")
-    head = F.concat(F.lit("<mark split='"), F.col("split").cast("string"), F.lit("'"), _attributes(str(gold), F.col("gold_entity"), F.col("gold_name"), width), _chains(str(gold), F.col("g_before"), F.col("g_after")), F.lit(">"), F.col("lines"))
-    marked = F.col("gold_entity").isNotNull() | F.col("other")
-    segs = segs.select(*keys, "seg_idx", "s", "e", F.when(marked, head).otherwise("").alias("head"), F.when(marked, "</mark>\n").otherwise("").alias("foot"))
-    listed = segs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seg_idx", "s", "e", "head", "foot"))).alias("l"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    pieces = F.transform("l", lambda x: F.concat(x["head"], xml_escape(F.substring(text, x.s + 1, x.e - x.s)), x.foot))
-    body = F.when(F.col("l").isNull(), xml_escape(text)).otherwise(F.array_join(pieces, ""))
-    return docs.select(*keys, "text").join(listed, keys, "left").select(*keys, F.concat(F.lit("<content>"), body, F.lit("</content>")).alias("content"))
+    head = F.concat(_attributes(str(gold), width), _chains(str(gold)))
+    line = F.concat(F.lit("<annotator index='"), F.col("ann").cast("string"), F.lit("'"), _attributes("", width), F.lit(" eval='"), F.col("eval"), F.lit("'"), further, _chains(""), F.lit("/>\n"))
+    cell = F.struct("seg_idx", "s", "e", "ann", F.col("entity").isNotNull().alias("some"), "eval", F.when(F.col("ann") == gold, head).otherwise(line).alias("part"))
+    listed = rows.groupBy(*keys).agg(F.collect_list(cell).alias("cells"))
+    out = docs.select(*keys, "text").join(listed, keys, "left")
+    return out.select(*keys, F.concat(F.lit("<content>"), _assemble(gold, line_breaks)(F.col("text"), F.coalesce("cells", F.array())), F.lit("</content>")).alias("content"))
 
 
 def entity_lists(names: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and ``entities``: the escaped entities of a document with their short names, by entity."""
-    one = F.transform(F.array_sort(F.collect_set(F.struct("entity", "short"))), lambda x: F.concat(F.lit("<entity id='"), xml_escape(x.entity), F.lit("' short='"), xml_escape(x.short), F.lit("'/>")))
-    return names.groupBy(*keys).agg(F.concat(F.lit("<entity-list>"), F.array_join(one, ""), F.lit("</entity-list>")).alias("entities"))
+    """keys and ``entities``: the escaped entities of a document, by name."""
+    one = F.transform(F.array_sort(F.collect_set("entity")), lambda x: F.concat(F.lit("<entry>"), xml_escape(x), F.lit("</entry>\n")))
+    return names.groupBy(*keys).agg(F.concat(F.lit("<entity-list>\n"), F.array_join(one, ""), F.lit("</entity-list>\n")).alias("entities"))
+
+
+def metrics(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and ``metrics``: recall and precision of every metric by annotator, from (keys, ann, metric, fractions)."""
+    line = F.concat(F.lit("    <metric name='"), xml_escape("metric"), F.lit("' recall='"), sc.value(F.col("r_nom"), F.col("r_den")).cast("float").cast("string"), F.lit("' precision='"), sc.value(F.col("p_nom"), F.col("p_den")).cast("float").cast("string"), F.lit("'/>\n"))
+
+    def joined(c):
+        return F.array_join(F.transform(F.array_sort(c), lambda x: x.line), "")
+
+    by = scores.groupBy(*keys, "ann").agg(joined(F.collect_list(F.struct("metric", line.alias("line")))).alias("lines"))
+    block = F.concat(F.lit("<annotator id='"), F.col("ann").cast("string"), F.lit("'>\n"), F.col("lines"), F.lit("</annotator>\n"))
+    return by.groupBy(*keys).agg(F.concat(F.lit("<metrics>\n"), joined(F.collect_list(F.struct("ann", block.alias("line")))), F.lit("</metrics>\n")).alias("metrics"))
+
+
+def annotators(names: list[str]) -> str:
+    """The list of the compared files."""
+    lines = "".join(f"\t<annotator id='{i}' file='{name.translate(_ESCAPES)}'/>\n" for i, name in enumerate(names))
+    return f"<annotators>\n{lines}</annotators>\n"
+
+
+#: The report around its articles.
+TEMPLATE = "<?xml version='1.0' encoding='UTF-8'?>\n<comparison>\n<article/>\n</comparison>\n"
 
 
 def fill(template: str, article: Column) -> Column:
     """The template with the article in the place of its article tag."""
     return F.replace(F.lit(template), F.lit("<article/>"), article)
+
+
+def format_table(rows: DataFrame, order: str, columns: list[str]) -> DataFrame:
+    """``order`` and ``line``: the columns, each as wide as its longest value and one blank more; nulls are empty."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns}
+    width = rows.agg(*[F.coalesce(F.max(F.length(x)), F.lit(0)).alias(f"__{c}") for c, x in text.items()])
+    padded = [F.concat(x, F.repeat(F.lit(" "), F.col(f"__{c}") + 1 - F.length(x))) for c, x in text.items()]
+    return rows.crossJoin(F.broadcast(width)).select(order, F.concat(*padded).alias("line"))

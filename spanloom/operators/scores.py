@@ -71,3 +71,24 @@ def parse_scorer(lines: DataFrame) -> DataFrame:
     out = lines.withColumn("metric", F.last(metric, ignorenulls=True).over(w)).withColumn("doc_id", F.last(doc, ignorenulls=True).over(w))
     out = out.where(line.rlike(pattern) & (F.col("doc_id") != "") & F.col("metric").isNotNull())
     return out.select("file", "doc_id", "metric", *[F.regexp_extract("line", pattern, i).cast("double").alias(c) for i, c in enumerate(("r_nom", "r_den", "p_nom", "p_den"), 1)], F.lit(1.0).alias("weight"))
+
+
+def doubtful(scores: DataFrame) -> DataFrame:
+    """The rows whose recall or precision is above 1, negative or no number."""
+    def bad(nom, den):
+        v = value(F.col(nom), F.col(den))
+        return (v > 1) | (v < 0) | F.isnan(v) | F.col(nom).isNull() | F.col(den).isNull()
+
+    return scores.where(bad("r_nom", "r_den") | bad("p_nom", "p_den"))
+
+
+def merge_info(rows: DataFrame, keys: list[str], order: str, info: str = "info") -> DataFrame:
+    """keys and the union of the rows' maps; of a key in several the last row's value by ``order``."""
+    pairs = F.coalesce(F.map_entries(info), F.array().cast("array<struct<key:string,value:string>>"))
+    listed = F.array_sort(F.collect_list(F.struct(order, pairs.alias("pairs"))))
+    empty = F.array().cast("array<struct<key:string,value:string>>")
+
+    def put(acc, x):
+        return F.concat(F.filter(acc, lambda e: ~F.exists(x.pairs, lambda n: n.key == e.key)), x.pairs)
+
+    return rows.groupBy(*keys).agg(F.map_from_entries(F.aggregate(listed, empty, put)).alias(info))

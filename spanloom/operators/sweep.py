@@ -1,16 +1,25 @@
 """The N-way interval sweep: elementary segments, the mentions open in them, and the principal ones.
 
 Mentions: key columns, ann, seq, m_start, m_end, entity. A mention is listed in the segment that ends at e iff
-m_start <= e <= m_end; it is a candidate for the principal one iff m_start < e <= m_end. Both are range joins, done as
-equi-joins on buckets of BUCKET characters: every segment end lies in one bucket.
+m_start <= e <= m_end; it is a candidate for the principal one iff m_start < e <= m_end.
+
+All of it works on nested texts: a row per text with its keys, n_chars and ``ms``, the array of its mentions. A pass over
+these needs no exchange, since boundaries, segments and open mentions of a text are found where the text is, for many
+texts at once. ``nest`` brings mentions that come as rows to their texts by one exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BUCKET = 128
+#: Mentions that are swept at once; a text with more is swept alone.
+RUN = 200_000
+MENTION = ("ann", "seq", "m_start", "m_end", "entity")
 
 
 def rank(prefix: str = "") -> Column:
@@ -18,32 +27,128 @@ def rank(prefix: str = "") -> Column:
     return F.struct(F.col(f"{prefix}m_start"), -F.col(f"{prefix}m_end"), F.col(f"{prefix}seq"))
 
 
-def segments(mentions: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, seg_idx, s, e for every distinct boundary of a text: all starts and ends, and the text's length ``n_chars``."""
-    ends = mentions.select(*keys, F.explode(F.array("m_start", "m_end")).alias("e")).unionByName(lengths.select(*keys, F.col("n_chars").cast("int").alias("e"))).distinct()
-    order = Window.partitionBy(*keys).orderBy("e")
-    return ends.select(*keys, (F.row_number().over(order) - 1).alias("seg_idx"), F.coalesce(F.lag("e").over(order), F.lit(0)).alias("s"), "e")
+def nest(mentions: DataFrame, lengths: DataFrame | None, keys: list[str]) -> DataFrame:
+    """keys, n_chars, ms of every text of ``lengths`` (keys, n_chars), if given, and of every one that has mentions."""
+    listed = mentions.groupBy(*keys).agg(F.collect_list(F.struct(*MENTION)).alias("ms"))
+    if lengths is None:
+        return listed.select(*keys, F.lit(None).cast("int").alias("n_chars"), "ms")
+    return lengths.select(*keys, F.col("n_chars").cast("int").alias("n_chars")).join(listed, keys, "full").select(*keys, "n_chars", "ms")
+
+
+class _Layout:
+    """Texts of a run laid one after the other, their boundaries, and mentions in span order with their first and last one."""
+
+    def __init__(self, n_chars: np.ndarray, count: np.ndarray, columns: list[pa.Array]):
+        self.ann, self.seq, self.start, self.end = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[:4])
+        self.entity = columns[4]
+        doc = np.repeat(np.arange(len(count)), count)
+        reach = np.maximum(n_chars, -1)
+        np.maximum.at(reach, doc, self.end)
+        base = np.cumsum(reach + 2) - (reach + 2)
+        known = np.flatnonzero(n_chars >= 0)
+        self.bound = np.unique(np.concatenate([base[doc] + self.start, base[doc] + self.end, base[known] + n_chars[known]]))
+        self.doc = np.searchsorted(base, self.bound, "right") - 1
+        first = np.searchsorted(self.doc, np.arange(len(count)))
+        self.seg_idx = np.arange(len(self.bound)) - first[self.doc]
+        self.e = self.bound - base[self.doc]
+        self.s = np.where(self.seg_idx > 0, np.concatenate([[0], self.e[:-1]]), 0)
+        self.order = np.lexsort((self.seq, -self.end, self.start, doc))
+        self.lo = np.searchsorted(self.bound, (base[doc] + self.start)[self.order])
+        self.hi = np.searchsorted(self.bound, (base[doc] + self.end)[self.order])
+
+    def pairs(self, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """(mention, segment) in span order of the mentions, from each one's segment ``skip`` after its start on."""
+        n = np.maximum(self.hi - self.lo + 1 - skip, 0)
+        ends = np.cumsum(n)
+        return np.repeat(self.order, n), np.repeat(self.lo + skip - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+    def best(self, annotators: np.ndarray) -> np.ndarray:
+        """The principal mention of each segment and annotator, -1 without one: the last candidate in span order."""
+        out = np.full((len(self.bound), len(annotators)), -1, np.int64)
+        mention, seg = self.pairs(1)
+        if len(annotators):
+            place = np.minimum(np.searchsorted(annotators, self.ann[mention]), len(annotators) - 1)
+            ok = annotators[place] == self.ann[mention]
+            out[seg[ok], place[ok]] = mention[ok]
+        return out
+
+
+def _int(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int32))
+
+
+def _pass(nested: DataFrame, keys: list[str], ddl: dict[str, T.DataType], make) -> DataFrame:
+    """A flat table: the keys, and the columns that ``make`` finds in a layout, as (text of each row, columns)."""
+    src = nested.select(*keys, F.col("n_chars").cast("int"), F.transform("ms", lambda m: F.struct(*[m[c].cast("string" if c == "entity" else "int").alias(c) for c in MENTION])).alias("ms"))
+    schema = T.StructType([*(src.schema[k] for k in keys), *(T.StructField(n, t) for n, t in ddl.items())])
+    k = len(keys)
+
+    def run(batches):
+        for b in batches:
+            count = pc.fill_null(pc.list_value_length(b.column(k + 1)), 0).to_numpy().astype(np.int64)
+            first = np.concatenate([[0], np.cumsum(count)])
+            columns = b.column(k + 1).flatten().flatten()
+            n_chars = pc.fill_null(b.column(k), -1).to_numpy().astype(np.int64)
+            a = 0
+            while a < len(count):
+                z = max(a + 1, int(np.searchsorted(first, first[a] + RUN, "right")) - 1)
+                doc, found = make(_Layout(n_chars[a:z], count[a:z], [c.slice(first[a], first[z] - first[a]) for c in columns]))
+                if len(doc):
+                    take = pa.array(a + doc)
+                    yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(k)), *found], names=schema.names)
+                a = z
+
+    return src.mapInArrow(run, schema)
+
+
+_INT, _STRING = T.IntegerType(), T.StringType()
+_SEGMENT = {"seg_idx": _INT, "s": _INT, "e": _INT}
+
+
+def segments(nested: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, seg_idx, s, e for every distinct boundary of a text: all starts and ends, and the text's length."""
+    return _pass(nested, keys, _SEGMENT, lambda x: (x.doc, [_int(x.seg_idx), _int(x.s), _int(x.e)]))
+
+
+def open_mentions(nested: DataFrame, keys: list[str]) -> DataFrame:
+    """Every mention listed in every segment, with ord (span order in the segment) and pos_type."""
 
+    def make(x: _Layout):
+        mention, seg = x.pairs(0)
+        order = np.lexsort((np.arange(len(seg)), x.ann[mention], seg))
+        mention, seg = mention[order], seg[order]
+        ann = x.ann[mention]
+        new = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (ann[1:] != ann[:-1])])) if len(seg) else seg
+        place = np.arange(len(seg)) - np.repeat(new, np.diff(np.append(new, len(seg))))
+        kind = np.where(x.e[seg] == x.start[mention], 0, np.where(x.e[seg] == x.end[mention], 1, 2))
+        names = pa.DictionaryArray.from_arrays(_int(kind), pa.array(["START", "END", "INTERMEDIATE"])).cast(pa.string())
+        return x.doc[seg], [*(_int(v[seg]) for v in (x.seg_idx, x.s, x.e)), _int(ann), *(_int(v[mention]) for v in (x.seq, x.start, x.end)), x.entity.take(pa.array(mention)), names, _int(place)]
 
-def _meet(segs: DataFrame, mentions: DataFrame, keys: list[str], first: str) -> DataFrame:
-    a = segs.withColumn("bucket", F.floor(F.col("e") / BUCKET))
-    b = mentions.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("m_start") / BUCKET), F.floor(F.col("m_end") / BUCKET))))
-    return a.join(b, [*keys, "bucket"]).where(f"m_start {first} e and m_end >= e").drop("bucket")
+    return _pass(nested, keys, {**_SEGMENT, "ann": _INT, "seq": _INT, "m_start": _INT, "m_end": _INT, "entity": _STRING, "pos_type": _STRING, "ord": _INT}, make)
 
 
-def open_mentions(segs: DataFrame, mentions: DataFrame, keys: list[str]) -> DataFrame:
-    """Every mention listed in every segment, with ord (span order in the segment) and pos_type."""
-    met = _meet(segs, mentions, keys, "<=")
-    kind = F.when(F.col("e") == F.col("m_start"), "START").when(F.col("e") == F.col("m_end"), "END").otherwise("INTERMEDIATE")
-    order = Window.partitionBy(*keys, "seg_idx", "ann").orderBy("m_start", F.desc("m_end"), "seq")
-    return met.withColumn("pos_type", kind).withColumn("ord", F.row_number().over(order) - 1)
+def principals(nested: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, seg_idx, s, e, ann and the innermost open mention (entity, m_start, m_end) where there is one."""
 
+    def make(x: _Layout):
+        known = np.unique(x.ann)
+        best = x.best(known)
+        seg, place = np.nonzero(best >= 0)
+        mention = best[seg, place]
+        return x.doc[seg], [*(_int(v[seg]) for v in (x.seg_idx, x.s, x.e)), _int(known[place]), x.entity.take(pa.array(mention)), _int(x.start[mention]), _int(x.end[mention])]
 
-def principals(segs: DataFrame, mentions: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, seg_idx, s, e, ann and the innermost open mention (entity, m_start, m_end) where there is one."""
-    met = _meet(segs, mentions, keys, "<")
-    best = F.max_by(F.struct("entity", "m_start", "m_end"), rank()).alias("p")
-    return met.groupBy(*keys, "seg_idx", "s", "e", "ann").agg(best).select(*keys, "seg_idx", "s", "e", "ann", "p.entity", "p.m_start", "p.m_end")
+    return _pass(nested, keys, {**_SEGMENT, "ann": _INT, "entity": _STRING, "m_start": _INT, "m_end": _INT}, make)
+
+
+def wide(nested: DataFrame, annotators: list[int], keys: list[str]) -> DataFrame:
+    """keys, seg_idx, s, e and p<annotator>, the entity of each annotator's principal mention, of every segment."""
+    known = np.array(sorted(annotators))
+
+    def make(x: _Layout):
+        best = x.best(known)
+        return x.doc, [*(_int(v) for v in (x.seg_idx, x.s, x.e)), *(x.entity.take(pa.array(best[:, i], mask=best[:, i] < 0)) for i in range(len(known)))]
+
+    return _pass(nested, keys, {**_SEGMENT, **{f"p{a}": _STRING for a in known.tolist()}}, make)
 
 
 def evaluation(gold: Column, other: Column) -> Column:
@@ -51,21 +156,78 @@ def evaluation(gold: Column, other: Column) -> Column:
     return F.when(gold.isNull() & other.isNull(), "").when(other.isNull(), "missing").when(gold.isNull(), "toomuch").when(gold == other, "correct").otherwise("wrong")
 
 
-def marks(segs: DataFrame, principal: DataFrame, annotators: list[int], keys: list[str], gold: int = 0) -> DataFrame:
+def marks(nested: DataFrame, annotators: list[int], keys: list[str], gold: int = 0) -> DataFrame:
     """A row per segment and other annotator: gold_entity, entity, eval, and split (the annotators' labels differ)."""
-    wide = principal.groupBy(*keys, "seg_idx").agg(*[F.max(F.when(F.col("ann") == a, F.col("entity"))).alias(f"p{a}") for a in [gold, *annotators]])
-    rows = segs.join(wide, [*keys, "seg_idx"], "left")
+    rows = wide(nested, [gold, *annotators], keys)
     labels = F.array(*[F.struct(F.lit(a).alias("ann"), F.col(f"p{a}").alias("entity"), evaluation(F.col(f"p{gold}"), F.col(f"p{a}")).alias("eval")) for a in annotators])
-    rows = rows.withColumn("l", labels).withColumn("split", F.size(F.array_distinct(F.transform("l", lambda x: x.eval))) > 1)
-    return rows.select(*keys, "seg_idx", "s", "e", F.col(f"p{gold}").alias("gold_entity"), "split", F.explode("l").alias("l")).select(*keys, "seg_idx", "s", "e", "l.ann", "gold_entity", "l.entity", "l.eval", "split")
-
-
-def chain_marks(opened: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, ann, e, chain_before ('(' per mention that starts at e) and chain_after (')' per mention that ends there)."""
-    def signs(kind, sign):
-        return F.repeat(F.lit(sign), F.sum(F.when(F.col("pos_type") == kind, 1).otherwise(0)).cast("int"))
-
-    return opened.groupBy(*keys, "ann", "e").agg(signs("START", "(").alias("chain_before"), signs("END", ")").alias("chain_after"))
+    split = F.lit(False)
+    for a in annotators[1:]:
+        split = split | (evaluation(F.col(f"p{gold}"), F.col(f"p{a}")) != evaluation(F.col(f"p{gold}"), F.col(f"p{annotators[0]}")))
+    return rows.select(*keys, "seg_idx", "s", "e", F.col(f"p{gold}").alias("gold_entity"), split.alias("split"), F.explode(labels).alias("l")).select(*keys, "seg_idx", "s", "e", "l.ann", "gold_entity", "l.entity", "l.eval", "split")
+
+
+def chain_marks(nested: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ann, e, chain_before ('(' per mention that starts at e) and chain_after (')' per mention that ends there) for
+    every end of a segment at which a mention of the annotator is listed."""
+
+    def make(x: _Layout):
+        known, place = np.unique(x.ann, return_inverse=True)
+        n = max(1, len(known))
+        mention, seg = x.pairs(0)
+        at = np.unique(seg * n + place[mention])
+        rows = place[x.order]
+        starts = np.bincount(x.lo * n + rows, minlength=n * len(x.bound))
+        ends = np.bincount((x.hi * n + rows)[x.hi > x.lo], minlength=n * len(x.bound))
+        return x.doc[at // n], [_int(known[at % n]), _int(x.e[at // n]), _int(starts[at]), _int(ends[at])]
+
+    out = _pass(nested, keys, {"ann": _INT, "e": _INT, "before": _INT, "after": _INT}, make)
+    return out.select(*keys, "ann", "e", F.repeat(F.lit("("), F.col("before")).alias("chain_before"), F.repeat(F.lit(")"), F.col("after")).alias("chain_after"))
+
+
+_LABELS = ("", "correct", "wrong", "missing", "toomuch")
+
+
+def cells(nested: DataFrame, annotators: list[int], keys: list[str], gold: int = 0) -> DataFrame:
+    """A row per segment and annotator, the gold one included: seg_idx, s, e, ann, entity and seq of the principal mention,
+    eval against gold (the empty string for gold), and how many mentions start where the segment starts (``before``) and end
+    where it ends (``after``); these are null where no mention of the annotator is listed, and in the first segment
+    ``before`` is."""
+    known = np.array(sorted({gold, *annotators}))
+    n = len(known)
+    at_gold = int(np.searchsorted(known, gold))
+
+    def make(x: _Layout):
+        best = x.best(known)
+        codes = x.entity.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        code = np.where(best >= 0, codes[best], -1) if len(codes) else np.full(best.shape, -1)
+        g = code[:, [at_gold]]
+        label = np.where(code < 0, np.where(g < 0, 0, 3), np.where(g < 0, 4, np.where(code == g, 1, 2)))
+        label[:, at_gold] = 0
+        place = np.minimum(np.searchsorted(known, x.ann), n - 1)
+        ours = known[place] == x.ann
+
+        def counted(bound, mention):
+            ok = ours[mention]
+            return np.bincount(bound[ok] * n + place[mention[ok]], minlength=n * len(x.bound)).reshape(-1, n)
+
+        mention, seg = x.pairs(0)
+        listed = counted(seg, mention) > 0
+        starts = counted(x.lo, x.order)
+        ends = counted(x.hi[x.hi > x.lo], x.order[x.hi > x.lo])
+        first = x.seg_idx == 0
+        before = np.concatenate([np.zeros((1, n), np.int64), starts])[: len(x.bound)]
+        open_before = np.concatenate([np.zeros((1, n), bool), listed])[: len(x.bound)] & ~first[:, None]
+        seg = np.repeat(np.arange(len(x.bound)), n)
+        flat = best.ravel()
+        take = pa.array(flat, mask=flat < 0)
+        names = pa.DictionaryArray.from_arrays(_int(label.ravel()), pa.array(_LABELS)).cast(pa.string())
+
+        def some(values, mask):
+            return pa.array(values.ravel().astype(np.int32), mask=~mask.ravel())
+
+        return x.doc[seg], [*(_int(v[seg]) for v in (x.seg_idx, x.s, x.e)), _int(np.tile(known, len(x.bound))), x.entity.take(take), _int(x.seq).take(take), names, some(before, open_before), some(ends, listed)]
+
+    return _pass(nested, keys, {**_SEGMENT, "ann": _INT, "entity": _STRING, "seq": _INT, "eval": _STRING, "before": _INT, "after": _INT}, make)
 
 
 def zip_prefix(left: DataFrame, right: DataFrame, idx: str, columns: list[str]) -> DataFrame:
@@ -74,6 +236,20 @@ def zip_prefix(left: DataFrame, right: DataFrame, idx: str, columns: list[str])
     same = F.lit(True)
     for c in columns:
         same = same & F.col(c).eqNullSafe(F.col(f"{c}_r"))
-    both = both.withColumn("same", same)
+    both = both.select(idx, same.alias("same"))
     stop = both.where(~F.col("same")).agg(F.min(idx).alias("stop"))
     return both.crossJoin(F.broadcast(stop)).where(F.col("same") & (F.col("stop").isNull() | (F.col(idx) < F.col("stop")))).select(idx)
+
+
+def zip_lists(left: DataFrame, right: DataFrame, idx: str) -> DataFrame:
+    """Rows of two streams side by side as ``l`` and ``r``, as far as the shorter one goes."""
+    a = left.select(F.col(idx), F.struct(*left.columns).alias("l"))
+    return a.join(right.select(F.col(idx), F.struct(*right.columns).alias("r")), idx)
+
+
+def ordered_merge(frames: list[DataFrame], by: list[str]) -> DataFrame:
+    """All rows of several frames in one global order."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out.orderBy(*by)

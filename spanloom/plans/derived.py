@@ -7,10 +7,10 @@ fourth entity and has every other phrase. Annotator 2 takes tokens of 5 or more
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import token_arrays, tokens
 
 KEYS = ["doc_id"]
 
@@ -23,25 +23,37 @@ def derived_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokens(table(spark, d, "documents"))
 
 
-def lengths(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.length("text").alias("n_chars"))
+def mention_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, text, n_chars, toks and ms (array of ann, seq, m_start, m_end, entity) of every text that isn't null."""
+    docs = table(spark, d, "documents").where("text is not null")
+    docs = docs.select("doc_id", "text", F.length("text").alias("n_chars"), token_arrays(F.col("text")).alias("toks"))
 
+    def entries(t, i):
+        n, two, phrase_end = F.length(t.word), F.lower(F.left(t.word, F.lit(2))), F.get(F.col("toks"), i + 2).tok_end
+        phrase = F.concat(F.lit("P"), (i % 5).cast("string"))
 
-def mentions(spark: SparkSession, d: str) -> DataFrame:
-    t = derived_tokens(spark, d)
-    t = t.withColumn("p_end", F.lead("tok_end", 2).over(Window.partitionBy("doc_id").orderBy("tok_idx")))
-    n, i, two = F.length("word"), F.col("tok_idx"), F.lower(F.left("word", F.lit(2)))
+        def entry(ann, when, end, entity, seq):
+            return F.when(when, F.struct(F.lit(ann).alias("ann"), seq.cast("int").alias("seq"), t.tok_start.alias("m_start"), end.alias("m_end"), entity.alias("entity")))
+
+        return F.array(
+            entry(0, n >= 6, t.tok_end, two, i), entry(0, (i % 7 == 0) & phrase_end.isNotNull(), phrase_end, phrase, i + 1000000),
+            entry(1, (n >= 6) & (i % 11 != 0), t.tok_end, F.when(i % 4 == 0, F.lower(F.left(t.word, F.lit(1)))).otherwise(two), i), entry(1, (i % 14 == 0) & phrase_end.isNotNull(), phrase_end, phrase, i + 1000000),
+            entry(2, n >= 5, t.tok_end, two, i),
+        )
+
+    return docs.select("doc_id", "text", "n_chars", "toks", F.array_compact(F.flatten(F.transform("toks", entries))).alias("ms"))
 
-    def entry(ann, when, end, entity, seq):
-        return F.when(when, F.struct(F.lit(ann).alias("ann"), seq.cast("int").alias("seq"), F.col("tok_start").alias("m_start"), F.col(end).alias("m_end"), entity.alias("entity")))
 
-    phrase = F.concat(F.lit("P"), (i % 5).cast("string"))
-    rows = F.array(
-        entry(0, n >= 6, "tok_end", two, i), entry(0, (i % 7 == 0) & F.col("p_end").isNotNull(), "p_end", phrase, i + 1000000),
-        entry(1, (n >= 6) & (i % 11 != 0), "tok_end", F.when(i % 4 == 0, F.lower(F.left("word", F.lit(1)))).otherwise(two), i), entry(1, (i % 14 == 0) & F.col("p_end").isNotNull(), "p_end", phrase, i + 1000000),
-        entry(2, n >= 5, "tok_end", two, i),
-    )
-    return t.select("doc_id", F.explode(F.array_compact(rows)).alias("m")).select("doc_id", "m.*")
+def nested(spark: SparkSession, d: str, annotators: int = 3, tokens: bool = False, text: bool = False) -> DataFrame:
+    """The texts with the mentions of the first annotators, as the sweep takes them; with their tokens, or with the text."""
+    rows = mention_arrays(spark, d)
+    ms = F.col("ms") if annotators == 3 else F.filter("ms", lambda m: m.ann < annotators)
+    more = [F.col("toks"), F.transform("toks", lambda t: t.tok_end).alias("ends")] * tokens + [F.col("text")] * text
+    return rows.select("doc_id", "n_chars", ms.alias("ms"), *more)
+
+
+def mentions(spark: SparkSession, d: str) -> DataFrame:
+    return mention_arrays(spark, d).select("doc_id", F.explode("ms").alias("m")).select("doc_id", "m.*")
 
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -50,10 +62,10 @@ pc AS (SELECT doc_id, regexp_extract_all(text, '^[A-Za-z0-9]+|[^A-Za-z0-9][A-Za-
 un AS (SELECT doc_id, unnest(ps) AS piece, unnest(range(1, len(ps) + 1)) AS i FROM pc),
 oo AS (SELECT doc_id, i, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS off FROM un),
 st AS (SELECT doc_id, i, off + length(piece) - length(ltrim(piece, {_WS})) AS tok_start, trim(piece, {_WS}) AS word FROM oo),
-tok AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS tok_idx, CAST(tok_start AS INT) AS tok_start, CAST(tok_start + length(word) AS INT) AS tok_end, word FROM st WHERE word <> '')"""
+tok AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS tok_idx, CAST(tok_start AS INT) AS tok_start, CAST(tok_start + length(word) AS INT) AS tok_end, word FROM st WHERE word <> '')"""
 MEN = """
 tp AS (SELECT *, lead(tok_end, 2) OVER (PARTITION BY doc_id ORDER BY tok_idx) AS p_end FROM tok),
-men AS (
+men AS MATERIALIZED (
   SELECT doc_id, 0 AS ann, tok_idx AS seq, tok_start AS m_start, tok_end AS m_end, lower(left(word, 2)) AS entity FROM tp WHERE length(word) >= 6
   UNION ALL SELECT doc_id, 0, tok_idx + 1000000, tok_start, p_end, 'P' || (tok_idx % 5) FROM tp WHERE tok_idx % 7 = 0 AND p_end IS NOT NULL
   UNION ALL SELECT doc_id, 1, tok_idx, tok_start, tok_end, CASE WHEN tok_idx % 4 = 0 THEN lower(left(word, 1)) ELSE lower(left(word, 2)) END FROM tp WHERE length(word) >= 6 AND tok_idx % 11 <> 0
@@ -61,7 +73,7 @@ men AS (
   UNION ALL SELECT doc_id, 2, tok_idx, tok_start, tok_end, lower(left(word, 2)) FROM tp WHERE length(word) >= 5)"""
 SEG = """
 bd AS (SELECT doc_id, m_start AS e FROM men UNION SELECT doc_id, m_end FROM men UNION SELECT doc_id, length(text) FROM documents WHERE text IS NOT NULL),
-seg AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS seg_idx, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY e), 0) AS s, e FROM bd)"""
+seg AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS seg_idx, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY e), 0) AS s, e FROM bd)"""
 
 
 def met(first: str) -> str:
@@ -69,15 +81,15 @@ def met(first: str) -> str:
     return f"""
 sb AS (SELECT *, e // 128 AS b FROM seg),
 mb AS (SELECT *, unnest(range(m_start // 128, m_end // 128 + 1)) AS b FROM men),
-mt AS (SELECT sb.doc_id, seg_idx, s, e, ann, seq, m_start, m_end, entity FROM sb JOIN mb ON sb.doc_id = mb.doc_id AND sb.b = mb.b AND m_start {first} e AND m_end >= e)"""
+mt AS MATERIALIZED (SELECT sb.doc_id, seg_idx, s, e, ann, seq, m_start, m_end, entity FROM sb JOIN mb ON sb.doc_id = mb.doc_id AND sb.b = mb.b AND m_start {first} e AND m_end >= e)"""
 
 
 PRI = met("<") + """,
-pri AS (SELECT doc_id, seg_idx, any_value(s) AS s, any_value(e) AS e, ann, arg_max(entity, m_start::HUGEINT * 100000000000000 + (10000000 - m_end)::HUGEINT * 10000000 + seq) AS entity FROM mt GROUP BY doc_id, seg_idx, ann),
-wide AS (SELECT doc_id, seg_idx, max(entity) FILTER (ann = 0) AS p0, max(entity) FILTER (ann = 1) AS p1, max(entity) FILTER (ann = 2) AS p2 FROM pri GROUP BY ALL)"""
+pri AS MATERIALIZED (SELECT doc_id, seg_idx, any_value(s) AS s, any_value(e) AS e, ann, arg_max(entity, m_start::HUGEINT * 100000000000000 + (10000000 - m_end)::HUGEINT * 10000000 + seq) AS entity FROM mt GROUP BY doc_id, seg_idx, ann),
+wide AS MATERIALIZED (SELECT doc_id, seg_idx, max(entity) FILTER (ann = 0) AS p0, max(entity) FILTER (ann = 1) AS p1, max(entity) FILTER (ann = 2) AS p2 FROM pri GROUP BY ALL)"""
 EVAL = "CASE WHEN {g} IS NULL AND {o} IS NULL THEN '' WHEN {o} IS NULL THEN 'missing' WHEN {g} IS NULL THEN 'toomuch' WHEN {g} = {o} THEN 'correct' ELSE 'wrong' END"
 MRK = f"""
-l1 AS (SELECT seg.*, p0, p1, p2, {EVAL.format(g='p0', o='p1')} AS e1, {EVAL.format(g='p0', o='p2')} AS e2 FROM seg LEFT JOIN wide USING (doc_id, seg_idx)),
+l1 AS MATERIALIZED (SELECT seg.*, p0, p1, p2, {EVAL.format(g='p0', o='p1')} AS e1, {EVAL.format(g='p0', o='p2')} AS e2 FROM seg LEFT JOIN wide USING (doc_id, seg_idx)),
 mrk AS (SELECT doc_id, seg_idx, s, e, 1 AS ann, p0 AS gold_entity, p1 AS entity, e1 AS eval, e1 <> e2 AS split FROM l1 UNION ALL SELECT doc_id, seg_idx, s, e, 2, p0, p2, e2, e1 <> e2 FROM l1)"""
 
 

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import codecs
+from ..functions import codecs, collections, delimited
 from ..functions import text as tx
 from ..operators import alignment, markup, patching, report, scores, sweep
 from ..operators import chains as ch
 from ..sources import conll, results
-from .derived import KEYS, MEN, MRK, PRI, SEG, TOK, derived_tokens, lengths, mentions, met, sql, table
+from .derived import KEYS, MEN, MRK, PRI, SEG, TOK, derived_tokens, mentions, met, nested, sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,19 +28,8 @@ def query(oracle: str | None = None):
     return add
 
 
-def _sweep(spark, d):
-    m = mentions(spark, d)
-    return m, sweep.segments(m, lengths(spark, d), KEYS)
-
-
-def _principals(spark, d):
-    m, s = _sweep(spark, d)
-    return s, sweep.principals(s, m, KEYS)
-
-
 def _marks(spark, d):
-    s, p = _principals(spark, d)
-    return sweep.marks(s, p, [1, 2], KEYS)
+    return sweep.marks(nested(spark, d), [1, 2], KEYS)
 
 
 @query(sql("SELECT doc_id, tok_idx, tok_start, tok_end, word FROM tok", TOK))
@@ -63,18 +52,17 @@ def mentions_derived(spark, d):
 
 @query(sql("SELECT doc_id, seg_idx, s, e FROM seg", TOK, MEN, SEG))
 def segments(spark, d):
-    return _sweep(spark, d)[1]
+    return sweep.segments(nested(spark, d), KEYS)
 
 
 @query(sql("SELECT doc_id, seg_idx, ann, row_number() OVER (PARTITION BY doc_id, seg_idx, ann ORDER BY m_start, m_end DESC, seq) - 1 AS ord, seq, entity, CASE WHEN e = m_start THEN 'START' WHEN e = m_end THEN 'END' ELSE 'INTERMEDIATE' END AS pos_type FROM mt", TOK, MEN, SEG, met("<=")))
 def open_mentions(spark, d):
-    m, s = _sweep(spark, d)
-    return sweep.open_mentions(s, m, KEYS).select("doc_id", "seg_idx", "ann", "ord", "seq", "entity", "pos_type")
+    return sweep.open_mentions(nested(spark, d), KEYS).select("doc_id", "seg_idx", "ann", "ord", "seq", "entity", "pos_type")
 
 
 @query(sql("SELECT doc_id, seg_idx, ann, entity FROM pri", TOK, MEN, SEG, PRI))
 def principal(spark, d):
-    return _principals(spark, d)[1].select("doc_id", "seg_idx", "ann", "entity")
+    return sweep.principals(nested(spark, d), KEYS).select("doc_id", "seg_idx", "ann", "entity")
 
 
 @query(sql("SELECT doc_id, seg_idx, s, e, ann, gold_entity, entity, eval FROM mrk", TOK, MEN, SEG, PRI, MRK))
@@ -94,8 +82,7 @@ def eval_summary(spark, d):
 
 @query(sql("SELECT doc_id, ann, e, repeat('(', CAST(count(*) FILTER (e = m_start) AS INT)) AS chain_before, repeat(')', CAST(count(*) FILTER (e <> m_start AND e = m_end) AS INT)) AS chain_after FROM mt GROUP BY doc_id, ann, e", TOK, MEN, SEG, met("<=")))
 def chain_before_after(spark, d):
-    m, s = _sweep(spark, d)
-    return sweep.chain_marks(sweep.open_mentions(s, m, KEYS), KEYS)
+    return sweep.chain_marks(nested(spark, d), KEYS)
 
 
 _MIN = "mm AS (SELECT m.doc_id, ann, seq, m_start, m_end, entity, instr(substring(text, m_start + 1, m_end - m_start), substring(text, m_start + 3, 2)) AS at_pos FROM men m JOIN documents d ON m.doc_id = d.doc_id)"
@@ -137,17 +124,17 @@ def text_guard(spark, d):
     return o.where("a <> b").select("item_id", F.length("a").alias("len0"), F.length("b").alias("len1"), tx.common_prefix("a", "b").alias("prefix_len"))
 
 
-@query("WITH a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_idx, doc_id, text FROM documents), b AS (SELECT doc_idx, doc_id, CASE WHEN doc_idx = 57 THEN text || '!' ELSE text END AS text FROM a WHERE doc_idx < 150) SELECT doc_idx FROM a WHERE doc_idx < (SELECT min(a.doc_idx) FROM a LEFT JOIN b ON a.doc_idx = b.doc_idx WHERE b.doc_id IS NULL OR a.text <> b.text)")
+@query("WITH m AS (SELECT max(doc_id) AS top FROM documents), b AS (SELECT doc_id AS doc_idx, CASE WHEN 10 * doc_id >= 9 * top AND doc_id % 7 = 3 THEN coalesce(text, '') || '!' ELSE text END AS text FROM documents, m) SELECT doc_id AS doc_idx FROM documents WHERE doc_id < (SELECT min(b.doc_idx) FROM b JOIN documents a ON a.doc_id = b.doc_idx WHERE a.text IS DISTINCT FROM b.text)")
 def zip_prefix(spark, d):
-    from pyspark.sql import Window as W
+    """All documents against a stream whose texts differ here and there in its last tenth."""
+    a = table(spark, d, "documents").select(F.col("doc_id").alias("doc_idx"), "text")
+    top = a.agg(F.max("doc_idx").alias("top"))
+    differs = (10 * F.col("doc_idx") >= 9 * F.col("top")) & (F.col("doc_idx") % 7 == 3)
+    b = a.crossJoin(F.broadcast(top)).select("doc_idx", F.when(differs, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    return sweep.zip_prefix(a, b, "doc_idx", ["text"])
 
-    ids = table(spark, d, "documents").select("doc_id").withColumn("doc_idx", F.row_number().over(W.orderBy("doc_id")) - 1)
-    a = table(spark, d, "documents").select("doc_id", "text").join(ids, "doc_id")
-    b = a.where("doc_idx < 150").withColumn("text", F.when(F.col("doc_idx") == 57, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
-    return sweep.zip_prefix(a, b, "doc_idx", ["doc_id", "text"])
 
-
-_CHN = "fo AS (SELECT doc_id, ann, entity, min(m_start::HUGEINT * 100000000000000 + (10000000 - m_end)::HUGEINT * 10000000 + seq) AS f, count(*) AS n_mentions FROM men GROUP BY ALL), chn AS (SELECT doc_id, ann, entity, row_number() OVER (PARTITION BY doc_id, ann ORDER BY f) AS chain_idx, n_mentions FROM fo)"
+_CHN = "fo AS (SELECT doc_id, ann, entity, min(m_start::HUGEINT * 100000000000000 + (10000000 - m_end)::HUGEINT * 10000000 + seq) AS f, count(*) AS n_mentions FROM men GROUP BY ALL), chn AS MATERIALIZED (SELECT doc_id, ann, entity, row_number() OVER (PARTITION BY doc_id, ann ORDER BY f) AS chain_idx, n_mentions FROM fo)"
 
 
 @query(sql("SELECT doc_id, ann, entity, chain_idx, n_mentions FROM chn", TOK, MEN, _CHN))
@@ -155,40 +142,39 @@ def chains(spark, d):
     return ch.chains(mentions(spark, d), KEYS)
 
 
-_COO = "coo AS (SELECT doc_id, p0 AS e0, p1 AS e1, count(*) AS cnt FROM wide WHERE p0 IS NOT NULL AND p1 IS NOT NULL GROUP BY ALL)"
+_COO = "coo AS MATERIALIZED (SELECT doc_id, p0 AS e0, p1 AS e1, count(*) AS cnt FROM wide WHERE p0 IS NOT NULL AND p1 IS NOT NULL GROUP BY ALL)"
 _MEN01 = MEN + ", all_men AS (SELECT * FROM men)"
 
 
 def _pair_sweep(spark, d):
     """The sweep of annotators 0 and 1 alone."""
-    m = mentions(spark, d).where("ann < 2")
-    return sweep.principals(sweep.segments(m, lengths(spark, d), KEYS), m, KEYS)
+    return sweep.wide(nested(spark, d, 2), [0, 1], KEYS)
 
 
-_PAIR = (TOK, MEN.replace("men AS (", "men3 AS (") + ", men AS (SELECT * FROM men3 WHERE ann < 2)", SEG, PRI)
+_PAIR = (TOK, MEN.replace("men AS MATERIALIZED (", "men3 AS (") + ", men AS (SELECT * FROM men3 WHERE ann < 2)", SEG, PRI)
 
 
 @query(sql("SELECT doc_id, e0, e1, cnt FROM coo", *_PAIR, _COO))
 def entity_cooccurrence(spark, d):
-    return ch.cooccurrence(_pair_sweep(spark, d), KEYS, 0, 1)
+    return ch.cooccurrence(_pair_sweep(spark, d), KEYS)
 
 
-_GRE = "gre AS (SELECT doc_id, e0, e1, cnt FROM coo QUALIFY row_number() OVER (PARTITION BY doc_id, e0 ORDER BY cnt DESC, e1) = 1)"
+_GRE = "gre AS MATERIALIZED (SELECT doc_id, e0, e1, cnt FROM coo QUALIFY row_number() OVER (PARTITION BY doc_id, e0 ORDER BY cnt DESC, e1) = 1)"
 
 
 @query(sql("SELECT doc_id, e0, e1, cnt FROM gre", *_PAIR, _COO, _GRE))
 def entity_map_greedy(spark, d):
-    return ch.greedy_map(ch.cooccurrence(_pair_sweep(spark, d), KEYS, 0, 1), KEYS)
+    return ch.greedy_map(ch.cooccurrence(_pair_sweep(spark, d), KEYS), KEYS)
 
 
 @query(sql("SELECT doc_id, p0 AS e0, arg_max(p1, seg_idx) AS e1 FROM wide WHERE p0 IS NOT NULL AND p1 IS NOT NULL GROUP BY doc_id, p0", *_PAIR))
 def entity_map_last(spark, d):
-    return ch.last_map(_pair_sweep(spark, d), KEYS, 0, 1)
+    return ch.last_map(_pair_sweep(spark, d), KEYS)
 
 
 @query()
 def entity_maps_product(spark, d):
-    return ch.entity_maps(ch.cooccurrence(_pair_sweep(spark, d), KEYS, 0, 1), KEYS)
+    return ch.entity_maps(ch.cooccurrence(_pair_sweep(spark, d), KEYS), KEYS)
 
 
 @query(sql("""SELECT c.doc_id, c.entity, coalesce(b.i0, coalesce(n.n0, 0) + sum(CASE WHEN b.i0 IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY c.doc_id ORDER BY c.chain_idx))::BIGINT AS aligned_idx
@@ -196,7 +182,7 @@ FROM chn c LEFT JOIN (SELECT g.doc_id, g.e1 AS entity, min(k.chain_idx) AS i0 FR
 LEFT JOIN (SELECT doc_id, count(*) AS n0 FROM chn WHERE ann = 0 GROUP BY doc_id) n ON n.doc_id = c.doc_id WHERE c.ann = 1""", *_PAIR, _COO, _GRE, _CHN))
 def aligned_chain_idx(spark, d):
     m = mentions(spark, d).where("ann < 2")
-    return ch.aligned_chain_idx(ch.chains(m, KEYS), ch.greedy_map(ch.cooccurrence(_pair_sweep(spark, d), KEYS, 0, 1), KEYS), KEYS, other=1)
+    return ch.aligned_chain_idx(ch.chains(m, KEYS), ch.greedy_map(ch.cooccurrence(_pair_sweep(spark, d), KEYS), KEYS), KEYS, other=1)
 
 
 @query(sql("SELECT doc_id, entity FROM men GROUP BY doc_id, entity", TOK, MEN))
@@ -204,18 +190,18 @@ def entity_list(spark, d):
     return mentions(spark, d).select("doc_id", "entity").distinct()
 
 
-_BND = "bnd AS (SELECT doc_id, ann, seq, m_start, m_end, entity, tok_idx AS first_tok, CASE WHEN seq >= 1000000 THEN tok_idx + 2 ELSE tok_idx END AS last_tok FROM men JOIN tok USING (doc_id) WHERE tok_start = m_start)"
+_BND = "bnd AS MATERIALIZED (SELECT doc_id, ann, seq, m_start, m_end, entity, tok_idx AS first_tok, CASE WHEN seq >= 1000000 THEN tok_idx + 2 ELSE tok_idx END AS last_tok FROM men JOIN tok USING (doc_id) WHERE tok_start = m_start)"
 
 
 @query(sql("SELECT doc_id, ann, seq, first_tok, last_tok FROM bnd", TOK, MEN, _BND))
 def token_boundaries(spark, d):
-    return markup.token_boundaries(derived_tokens(spark, d), mentions(spark, d), KEYS).select("doc_id", "ann", "seq", "first_tok", "last_tok")
+    return markup.token_boundaries(nested(spark, d, tokens=True), KEYS).select("doc_id", "ann", "seq", "first_tok", "last_tok")
 
 
 _CONLL = """bn AS (SELECT * FROM bnd WHERE ann = 0),
 nf AS (SELECT doc_id, entity, min(first_tok::HUGEINT * 1000000000000000000000 + m_start::HUGEINT * 100000000000000 + (10000000 - m_end)::HUGEINT * 10000000 + seq) AS f FROM bn GROUP BY ALL),
 nu AS (SELECT doc_id, entity, row_number() OVER (PARTITION BY doc_id ORDER BY f) AS num FROM nf),
-bb AS (SELECT bn.*, num FROM bn JOIN nu USING (doc_id, entity)),
+bb AS MATERIALIZED (SELECT bn.*, num FROM bn JOIN nu USING (doc_id, entity)),
 sx AS (SELECT doc_id, first_tok AS tok_idx, num, m_start, m_end, seq, row_number() OVER (PARTITION BY doc_id, first_tok, num ORDER BY m_start, m_end DESC, seq) AS k FROM bb),
 ex AS (SELECT doc_id, last_tok AS tok_idx, num, count(*) AS n_end FROM bb GROUP BY ALL),
 ns AS (SELECT doc_id, tok_idx, num, count(*) AS n_start FROM sx GROUP BY ALL),
@@ -226,8 +212,7 @@ cl AS (SELECT doc_id, tok_idx, replace(replace(replace(word, '(', '-LBR-'), ')',
 
 
 def _conll(spark, d):
-    t = derived_tokens(spark, d)
-    return markup.conll_rows(t, markup.token_boundaries(t, mentions(spark, d).where("ann = 0"), KEYS), KEYS)
+    return markup.conll_rows(nested(spark, d, 1, tokens=True), KEYS)
 
 
 @query(sql("SELECT doc_id, tok_idx, word, coref FROM cl", TOK, MEN, _BND, _CONLL))
@@ -258,7 +243,7 @@ SELECT doc_id, m_start AS pos, 1 AS kind, m_start AS a, -m_end AS b, seq AS c, '
 UNION ALL SELECT doc_id, m_end, 0, -m_start, m_end, -seq, '</mark>' FROM men WHERE ann = 0
 UNION ALL SELECT doc_id, length(text), 2, 0, 0, 0, '' FROM documents) WINDOW w AS (PARTITION BY doc_id ORDER BY pos, kind, a, b, c)) JOIN documents USING (doc_id) GROUP BY doc_id""", TOK, MEN))
 def marked_text(spark, d):
-    return markup.marked_text(table(spark, d, "documents"), mentions(spark, d).where("ann = 0"), "doc_id")
+    return markup.mark_nested(nested(spark, d, 1, text=True), "doc_id")
 
 
 _TAGS = "tg AS (SELECT page_id, unnest(regexp_extract_all(html, '</?(?:ul|li|a|nav|div)\\b[^>]*>')) AS tag, unnest(range(1, len(regexp_extract_all(html, '</?(?:ul|li|a|nav|div)\\b[^>]*>')) + 1)) AS n FROM pages), dp AS (SELECT page_id, n, NOT starts_with(tag, '</') AS o, sum(CASE WHEN starts_with(tag, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY n) + CASE WHEN starts_with(tag, '</') THEN 1 ELSE 0 END AS depth FROM tg), kk AS (SELECT *, row_number() OVER (PARTITION BY page_id, depth, o ORDER BY n) AS k FROM dp)"
@@ -321,7 +306,7 @@ def scorer_parse(spark, d):
     return scores.parse_scorer(head.unionByName(body).unionByName(foot).withColumn("file", F.lit("f")))
 
 
-_KR = "k AS (SELECT doc_id, m_start, m_end, entity AS k FROM men WHERE ann = 0), r AS (SELECT doc_id, m_start, m_end, entity AS r FROM men WHERE ann = 1)"
+_KR = "k AS MATERIALIZED (SELECT doc_id, m_start, m_end, entity AS k FROM men WHERE ann = 0), r AS MATERIALIZED (SELECT doc_id, m_start, m_end, entity AS r FROM men WHERE ann = 1)"
 
 
 def _half(x, y, a, b):
@@ -333,7 +318,7 @@ _BOTH = "SELECT doc_id, coalesce(round(h1.nom, 6), 0) AS r_nom, coalesce(h1.den,
 
 @query(sql(_BOTH.format(_half("k", "r", "k", "r"), _half("r", "k", "r", "k")), TOK, MEN, _KR))
 def muc(spark, d):
-    return ch.muc(mentions(spark, d), KEYS)
+    return ch.muc(nested(spark, d, 2), KEYS)
 
 
 def _b3(x, y, a, b):
@@ -342,7 +327,7 @@ def _b3(x, y, a, b):
 
 @query(sql(_BOTH.format(_b3("k", "r", "k", "r"), _b3("r", "k", "r", "k")), TOK, MEN, _KR))
 def bcub(spark, d):
-    out = ch.b_cubed(mentions(spark, d), KEYS)
+    out = ch.b_cubed(nested(spark, d, 2), KEYS)
     return out.withColumns({c: F.round(c, 6) for c in ("r_nom", "p_nom")})
 
 
@@ -352,17 +337,17 @@ def _ins(src, by, name):
 
 @query(sql("SELECT doc_id, coalesce(rc.x, 0)::DOUBLE AS right_coref, coalesce(ck.x, 0)::DOUBLE AS key_coref, coalesce(cr.x, 0)::DOUBLE AS resp_coref, (coalesce(rc.a, 0) - coalesce(mk.x, 0) - coalesce(mr.x, 0) + coalesce(rc.x, 0))::DOUBLE AS right_non, (coalesce(ck.a, 0) - coalesce(ck.x, 0))::DOUBLE AS key_non, (coalesce(cr.a, 0) - coalesce(cr.x, 0))::DOUBLE AS resp_non FROM ck FULL JOIN cr USING (doc_id) LEFT JOIN rc USING (doc_id) LEFT JOIN mk USING (doc_id) LEFT JOIN mr USING (doc_id)", TOK, MEN, _KR, "kr AS (SELECT k.doc_id, k, r FROM k JOIN r USING (doc_id, m_start, m_end))", _ins("k", "k", "ck"), _ins("r", "r", "cr"), _ins("kr", "k, r", "rc"), _ins("kr", "k", "mk"), _ins("kr", "r", "mr")))
 def blanc(spark, d):
-    return ch.blanc(mentions(spark, d), KEYS)
+    return ch.blanc(nested(spark, d, 2), KEYS)
 
 
 @query()
 def ceafm(spark, d):
-    return ch.ceaf(mentions(spark, d), KEYS, "m")
+    return ch.ceaf(nested(spark, d, 2), KEYS, "m")
 
 
 @query()
 def ceafe(spark, d):
-    return ch.ceaf(mentions(spark, d), KEYS, "e")
+    return ch.ceaf(nested(spark, d, 2), KEYS, "e")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 1000 >= 750 THEN 9 WHEN event_id % 1000 >= 400 THEN -4 WHEN event_id % 1000 >= 100 THEN 3 ELSE 0 END AS shift FROM events")
@@ -432,9 +417,10 @@ def xml_escape(spark, d):
     return table(spark, d, "pages").select("page_id", tx.xml_escape("html").alias("escaped"))
 
 
-@query("SELECT page_id, url AS decoded FROM pages")
+@query("SELECT page_id, replace(replace(replace(replace(url_encode(url), '-', '%2D'), '_', '%5F'), '.', '%2E'), '~', '%7E') AS encoded, url AS decoded FROM pages")
 def percent_codec(spark, d):
-    return table(spark, d, "pages").select("page_id", codecs.percent_decode(codecs.percent_encode("url")).alias("decoded"))
+    encoded = codecs.percent_encode("url")
+    return table(spark, d, "pages").select("page_id", encoded.alias("encoded"), codecs.percent_decode(encoded).alias("decoded"))
 
 
 @query()
@@ -472,45 +458,38 @@ def format_ms(spark, d):
     return table(spark, d, "events").select("event_id", tx.format_ms((F.col("event_id") * 500) % 9000000).alias("duration"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%d T %H:%M:%S') AS iso_time, strftime(ts, '%Y%m%d%H%M%S') AS stamp FROM events")
-def iso_time(spark, d):
-    return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd 'T' HH:mm:ss").alias("iso_time"), F.date_format("ts", "yyyyMMddHHmmss").alias("stamp"))
-
-
 @query("SELECT o_orderkey, p + CASE WHEN p >= 10 THEN 5 ELSE 0 END + CASE WHEN p >= 40 THEN -12 ELSE 0 END + CASE WHEN p >= 70 THEN 2 ELSE 0 END AS position FROM (SELECT o_orderkey, o_orderkey % 100 AS p FROM orders)")
 def position_translate(spark, d):
-    edits = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(x).alias("delta")) for p, x in ((10, 5), (40, -12), (70, 2))])
-    p = F.col("o_orderkey") % 100
-    moved = p + F.aggregate(F.filter(edits, lambda e: e.pos <= p), F.lit(0), lambda acc, e: acc + e.delta)
-    return table(spark, d, "orders").select("o_orderkey", moved.alias("position"))
+    changes = F.array(*[F.struct(F.lit(p).alias("pos"), F.lit(x).alias("delta")) for p, x in ((10, 5), (40, -12), (70, 2))])
+    return table(spark, d, "orders").select("o_orderkey", collections.translate(F.col("o_orderkey") % 100, changes).alias("position"))
 
 
 @query("WITH dict AS (SELECT DISTINCT left(p_type, 3) AS word FROM part UNION SELECT DISTINCT right(p_type, 2) FROM part), pos AS (SELECT p_partkey, p_type AS t, unnest(range(1, length(p_type) + 1)) AS i FROM part), hit AS (SELECT p_partkey, i, min(length(word)) AS len FROM pos, dict WHERE substring(t, i, length(word)) = word GROUP BY ALL) SELECT p_partkey, i - 1 AS start, len FROM hit")
 def dictionary_match(spark, d):
     """Where words of a dictionary (starts and ends of part types) occur in part types; the shortest at each place."""
     part = table(spark, d, "part")
-    words = part.select(F.explode(F.array(F.left("p_type", F.lit(3)), F.right("p_type", F.lit(2)))).alias("word")).distinct().withColumn("len", F.length("word"))
-    pos = part.select("p_partkey", F.col("p_type").alias("t"), F.explode(F.sequence(F.lit(1), F.length("p_type"))).alias("i")).withColumn("len", F.explode(F.array(F.lit(2), F.lit(3)))).withColumn("word", F.expr("substring(t, i, len)"))
-    return pos.join(words, ["word", "len"]).groupBy("p_partkey", "i").agg(F.min("len").alias("len")).select("p_partkey", (F.col("i") - 1).alias("start"), "len")
+    words = part.select(F.explode(F.array(F.left("p_type", F.lit(3)), F.right("p_type", F.lit(2)))).alias("word"))
+    return collections.dictionary_match(part, words, ["p_partkey"], "p_type", "word")
 
 
 @query(sql("SELECT word, count(*) AS cnt FROM tok GROUP BY word ORDER BY cnt DESC, word LIMIT 100", TOK))
 def counter_topk(spark, d):
-    return derived_tokens(spark, d).groupBy("word").agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.desc("cnt"), "word").limit(100)
+    return collections.keys_by_count(collections.counts(derived_tokens(spark, d), ["word"]), ["word"]).limit(100)
 
 
 @query("WITH s AS (SELECT o_custkey, list_distinct(list(o_orderpriority)) AS a, list_distinct(list(o_orderstatus)) AS b FROM orders GROUP BY o_custkey) SELECT o_custkey, len(list_intersect(a, ['1-URGENT', '2-HIGH'])) AS n_both, len(list_distinct(list_concat(a, b))) AS n_any, list_has_any(a, ['1-URGENT']) AS has_urgent FROM s")
 def set_ops(spark, d):
     s = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("a"), F.collect_set("o_orderstatus").alias("b"))
     some = F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))
-    return s.select("o_custkey", F.size(F.array_intersect("a", some)).alias("n_both"), F.size(F.array_union("a", "b")).alias("n_any"), F.arrays_overlap("a", F.array(F.lit("1-URGENT"))).alias("has_urgent"))
+    both = collections.intersection_size("a", some).cast("long")
+    return s.select("o_custkey", both.alias("n_both"), F.size(collections.set_union("a", "b")).alias("n_any"), collections.sets_meet("a", F.array(F.lit("1-URGENT"))).alias("has_urgent"))
 
 
-@query(sql("SELECT item_id, b AS target_text FROM ed", _EDIT))
+@query(sql("SELECT item_id, 'Preface. ' || b AS target_text FROM ed", _EDIT))
 def patch_apply(spark, d):
-    """A patch written as text, read and applied gives the edited text."""
+    """A patch written as text, read and applied to a text that has changed in the meantime."""
     p = _pairs(spark, d).withColumn("p", patching.patch_udf("a", "b"))
-    return p.select("item_id", patching.apply_patch_udf("p", "a")["text"].alias("target_text"))
+    return p.select("item_id", patching.apply_patch_udf("p", F.concat(F.lit("Preface. "), "a"))["text"].alias("target_text"))
 
 
 @query(sql("SELECT item_id, a AS source_text, b AS target_text, a AS source_again FROM ed", _EDIT))
@@ -520,11 +499,13 @@ def diff_cleanup(spark, d):
     return p.select("item_id", alignment.source_text(F.col("s")).alias("source_text"), alignment.target_text(F.col("s")).alias("target_text"), alignment.source_text(F.col("f")).alias("source_again"))
 
 
-@query("SELECT item_id, CASE WHEN length(text) >= 25 THEN 4 ELSE NULL END AS place FROM benchmark")
+@query()
 def fuzzy_locate(spark, d):
-    """Where the 20 characters after the first five are found near the place they come from, shifted by one."""
-    b = table(spark, d, "benchmark").withColumn("cut", F.substring("text", 5, 20))
-    return b.select("item_id", F.when(F.length("text") >= 25, patching.locate_udf("text", "cut", F.lit(4))).alias("place"))
+    """Where 20 characters from the middle of an item, two of them changed, are found from a place 15 too early."""
+    b = table(spark, d, "benchmark").withColumn("mid", (F.length("text") / 2).cast("int"))
+    cut = F.col("text").substr(F.col("mid") + 1, F.lit(20))
+    b = b.withColumn("cut", F.concat(F.left(cut, F.lit(5)), F.lit("#"), F.substring(cut, 7, 8), F.lit("~"), F.substring(cut, 16, 5)))
+    return b.select("item_id", F.when(F.length("text") >= 60, patching.locate_udf("text", "cut", F.col("mid") - 15)).alias("place"))
 
 
 @query(sql("SELECT doc_id, metric, r_nom, r_den, p_nom, p_den, weight FROM sco", _SCO))
@@ -533,21 +514,60 @@ def results_json(spark, d):
     return results.parse(results.to_json(_label_scores(spark, d)))
 
 
-@query()
+_SIGNS = met("<=").replace("sb AS", "sb2 AS").replace("mb AS", "mb2 AS").replace("mt AS", "mt2 AS").replace("FROM sb JOIN mb ON sb.doc_id = mb.doc_id AND sb.b = mb.b", "FROM sb2 sb JOIN mb2 mb ON sb.doc_id = mb.doc_id AND sb.b = mb.b")
+_SIGNS += ", cm AS MATERIALIZED (SELECT doc_id, ann, e, repeat('(', CAST(count(*) FILTER (e = m_start) AS INT)) AS cb, repeat(')', CAST(count(*) FILTER (e <> m_start AND e = m_end) AS INT)) AS ca FROM mt2 GROUP BY ALL)"
+
+
+def _shown(a: int, suffix: str) -> str:
+    """Attributes of annotator ``a`` in the report, in SQL."""
+    p, width = f"p{a}", "l1.e - l1.s + 5"
+    short = f"CASE WHEN length({p}) > {width} THEN left({p}, {width}) || '…' ELSE {p} END"
+    entity = f"' entity{suffix}=' || chr(39) || {_ESC.format(_ESC.format(p))} || chr(39) || "
+    return f"CASE WHEN {p} IS NULL THEN ' short{suffix}=' || chr(39) || '[none]' || chr(39) ELSE {entity}' short{suffix}=' || chr(39) || {_ESC.format(short)} || chr(39) END"
+
+
+def _signs(a: int, suffix: str) -> str:
+    return f"coalesce(' chain-before{suffix}=' || chr(39) || b{a}.cb || chr(39), '') || coalesce(' chain-after{suffix}=' || chr(39) || a{a}.ca || chr(39), '')"
+
+
+_LINES = " || ".join(f"'<annotator index=' || chr(39) || '{a}' || chr(39) || {_shown(a, '')} || ' eval=' || chr(39) || e{a} || chr(39) || {_signs(a, '')} || '/>' || chr(10)" for a in (1, 2))
+_JOINS = " ".join(f"LEFT JOIN cm b{a} ON b{a}.doc_id = l1.doc_id AND b{a}.ann = {a} AND b{a}.e = l1.s AND l1.seg_idx > 0 LEFT JOIN cm a{a} ON a{a}.doc_id = l1.doc_id AND a{a}.ann = {a} AND a{a}.e = l1.e" for a in (0, 1, 2))
+
+
+@query(sql(f"""SELECT doc_id, '<content>' || string_agg(piece, '' ORDER BY seg_idx) || '</content>' AS content FROM (
+SELECT doc_id, seg_idx, CASE WHEN head IS NULL THEN said ELSE head || said || '</mark>' || chr(10) END AS piece FROM (
+SELECT l1.doc_id, l1.seg_idx, {_ESC.format('substring(text, l1.s + 1, l1.e - l1.s)')} AS said, CASE WHEN p0 IS NULL AND p1 IS NULL AND p2 IS NULL THEN NULL ELSE
+'<mark split=' || chr(39) || CASE WHEN e1 <> e2 THEN 'true' ELSE 'false' END || chr(39) || {_shown(0, '0')} || {_signs(0, '0')} || '>' || {_LINES} END AS head
+FROM l1 JOIN documents ON documents.doc_id = l1.doc_id {_JOINS})) GROUP BY doc_id""", TOK, MEN, SEG, PRI, MRK, _SIGNS))
 def report_xml(spark, d):
-    m, s = _sweep(spark, d)
-    chains = sweep.chain_marks(sweep.open_mentions(s, m, KEYS), KEYS)
-    names = m.select("doc_id", "entity").distinct().withColumn("short", tx.initials("entity"))
-    return report.contents(table(spark, d, "documents").select("doc_id", "text"), _marks(spark, d), chains, names, KEYS)
+    """The contents of the report on the three annotators; documents with a text."""
+    names = mentions(spark, d).select("doc_id", "ann", "entity").distinct().withColumns({"label": tx.xml_escape("entity"), "short": F.col("entity")})
+    return report.contents(table(spark, d, "documents").where("text is not null").select("doc_id", "text"), nested(spark, d), names, [1, 2], KEYS)
 
 
-@query("SELECT o_orderkey, '+' || regexp_replace(printf('%d', o_orderkey * 37), '(\\d)(\\d{3})$', '\\1,\\2') || '.50 EUR' AS formatted FROM orders WHERE o_orderkey * 37 < 1000000 AND o_orderkey * 37 >= 1000")
+@query("SELECT o_orderkey, '+' || reverse(rtrim(regexp_replace(reverse(printf('%04d', o_orderkey * 37)), '(\\d{3})', '\\1,', 'g'), ',')) || '.50 EUR' AS formatted FROM orders")
 def number_pattern(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey * 37 < 1000000 and o_orderkey * 37 >= 1000")
-    return o.select("o_orderkey", tx.number_pattern(F.col("o_orderkey") * 37 + 0.5, "+#,###.## EUR").alias("formatted"))
+    return table(spark, d, "orders").select("o_orderkey", tx.number_pattern(F.col("o_orderkey") * 37 + 0.5, "+#,###.## EUR").alias("formatted"))
 
 
-@query()
-def number_pattern_all(spark, d):
-    """``number_pattern`` over all orders: numbers below 1,000 and with any number of separators too. SQL has only one."""
-    return table(spark, d, "orders").select("o_orderkey", tx.number_pattern(F.col("o_orderkey") * 37 + 0.5, "+#,###.## EUR").alias("formatted"))
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%d T %H:%M:%S.0%g') AS iso_time, strftime(ts, '%Y-%m-%d') AS iso_date, strftime(ts, '%Y%m%d%H%M%S') AS stamp,
+strftime(ts, '%Y') || '-w' || lpad(CASE WHEN year(sat) > year(ts) THEN 1 ELSE (dayofyear(sat) + 6) // 7 END::VARCHAR, 2, '0') || '-' || dayofweek(ts) || strftime(ts, ' T %H:%M:%S.0%g') AS week_time FROM (SELECT event_id, ts, ts::DATE + (6 - dayofweek(ts))::INT AS sat FROM events)""")
+def iso_time(spark, d):
+    iso = tx.iso_time("ts")
+    return table(spark, d, "events").select("event_id", iso.alias("iso_time"), tx.iso_date("ts").alias("iso_date"), tx.time_stamp(iso).alias("stamp"), tx.iso_week_time("ts").alias("week_time"))
+
+
+@query("SELECT page_id, nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') AS title, CASE WHEN instr(html, '<body') > 0 THEN left(html, instr(html, '<body') + 4) ELSE html END AS head, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) END AS address, CASE WHEN instr(html, '<nav') = 0 AND instr(html, '<p') = 0 THEN -1 WHEN instr(html, '<nav') = 0 THEN 1 WHEN instr(html, '<p') = 0 THEN 0 WHEN instr(html, '<nav') + 4 <= instr(html, '<p') + 2 THEN 0 ELSE 1 END AS which, regexp_extract(url, '^[^:?#]*', 0) AS scheme FROM pages")
+def delimited_text(spark, d):
+    """Parts of pages by delimiters: between tags, up to a tag, after a mark, and which of two comes first."""
+    h, u = F.col("html"), F.col("url")
+    return table(spark, d, "pages").select(
+        "page_id", F.nullif(delimited.read_between(h, "<title>", "</title>"), F.lit("")).alias("title"), delimited.read_through(h, "<body").alias("head"),
+        delimited.scroll_past(u, "://").alias("address"), delimited.find(h, ["<nav", "<p"]).alias("which"), delimited.read_to(u, ":?#").alias("scheme"),
+    )
+
+
+@query("SELECT c_custkey, upper(left(c_mktsegment, 1)) || substring(c_mktsegment, 2) AS upper_first, lower(left(c_mktsegment, 1)) || substring(c_mktsegment, 2) AS lower_first, right(c_name, 1) AS last, left(c_name, length(c_name) - 1) AS cut, array_to_string(list_transform(string_split(c_name, ''), lambda x: CASE WHEN regexp_matches(x, '[A-Za-z0-9 ]') THEN x ELSE '\\u00' || lower(hex(x)) END), '') AS escaped, array_to_string(list_transform(string_split(c_name, ''), lambda x: hex(x) || ' '), '') AS hexed FROM customer")
+def small_codecs(spark, d):
+    n, m = F.col("c_name"), F.col("c_mktsegment")
+    return table(spark, d, "customer").select("c_custkey", tx.upper_first(m).alias("upper_first"), tx.lower_first(m).alias("lower_first"), tx.last(n).alias("last"), tx.cut_last(n).alias("cut"), codecs.backslash_encode(n).alias("escaped"), codecs.hex_all(n).alias("hexed"))

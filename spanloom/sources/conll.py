@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.chains import all_scores
+from ..operators.markup import parse_coref, unclosed
+from ..operators.sweep import nest
+
 ROWS = "file string, line_no int, line string"
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return raw
+def lines(spark: SparkSession, path: str, suffix: str | None = None) -> DataFrame:
+    """file (its name), line_no and line of the files of a path, with a suffix of all those below it that end so."""
+    reader = spark.read
+    if suffix:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}")
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
 
 
 def documents(rows: DataFrame) -> DataFrame:
@@ -23,6 +30,12 @@ def documents(rows: DataFrame) -> DataFrame:
     return df.select("file", "doc_no", "doc_id", row.alias("row_idx"), F.when(F.col("line") == "", F.array().cast("array<string>")).otherwise(F.split("line", "\\s+")).alias("cols"))
 
 
+def latest(docs: DataFrame) -> DataFrame:
+    """Of the documents of a file that have the same id only the last one."""
+    last = docs.groupBy("file", "doc_id").agg(F.max("doc_no").alias("doc_no"))
+    return docs.join(last, ["file", "doc_id", "doc_no"], "left_semi")
+
+
 def column(docs: DataFrame, k: int) -> DataFrame:
     """The k-th column of rows that have it."""
     return docs.where(F.size("cols") > k).select("file", "doc_no", "doc_id", "row_idx", F.col("cols")[k].alias("word"))
@@ -38,6 +51,58 @@ def text(docs: DataFrame, k: int) -> DataFrame:
     return p.groupBy(*keys, "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "t"))), lambda x: x.t), "").alias("text"))
 
 
+def mentions(docs: DataFrame, k: int) -> DataFrame:
+    """file, doc_no, doc_id, seq, m_start, m_end, entity of the chain brackets in the last column, as places in ``text``."""
+    keys = ["file", "doc_no"]
+    w = Window.partitionBy(*keys).orderBy("row_idx")
+    blank = F.size("cols") == 0
+    word = F.coalesce(F.col("cols")[k], F.lit(""))
+    glue = F.when(blank | F.coalesce(F.lag(blank).over(w), F.lit(True)), 0).otherwise(1)
+    size = F.when(blank, 1).otherwise(F.length(word))
+    rows = docs.withColumns({"glue": glue, "size": size, "is_word": ~blank}).withColumn("end", F.sum(F.col("glue") + F.col("size")).over(w))
+    rows = rows.where("is_word").select(*keys, "doc_id", F.col("row_idx").alias("tok_idx"), F.element_at("cols", -1).alias("coref"), (F.col("end") - F.col("size")).alias("start"), "end")
+    spans = parse_coref(rows, keys)
+    at = rows.select(*keys, "doc_id", F.col("tok_idx").alias("first_tok"), F.col("start").cast("int").alias("m_start"))
+    to = rows.select(*keys, F.col("tok_idx").alias("last_tok"), F.col("end").cast("int").alias("m_end"))
+    m = spans.join(at, [*keys, "first_tok"]).join(to, [*keys, "last_tok"])
+    order = Window.partitionBy(*keys).orderBy("last_tok", F.desc("first_tok"), "num")
+    return m.select(*keys, "doc_id", F.row_number().over(order).alias("seq"), "m_start", "m_end", F.col("num").cast("string").alias("entity"))
+
+
+def unclosed_brackets(docs: DataFrame) -> DataFrame:
+    """file, doc_no, num, tok_idx, is_open of brackets without a partner."""
+    rows = docs.where(F.size("cols") > 0).select("file", "doc_no", F.col("row_idx").alias("tok_idx"), F.element_at("cols", -1).alias("coref"))
+    return unclosed(rows, ["file", "doc_no"])
+
+
+def paired_folders(spark: SparkSession, gold: str, other: str, suffix: str = "conll") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines of gold, lines of other, names without partner): the files of both folders and all below them that have the same
+    name, each set as if it were one file; the names are those of ``other`` that gold lacks."""
+    a, b = lines(spark, gold, suffix), lines(spark, other, suffix)
+    names_a, names_b = a.select("file").distinct(), b.select("file").distinct()
+    return a.join(names_b, "file", "left_semi"), b.join(names_a, "file", "left_semi"), names_b.join(names_a, "file", "left_anti")
+
+
+def concatenated(rows: DataFrame) -> DataFrame:
+    """The lines of all files, by name, as those of one file."""
+    size = rows.groupBy("file").agg((F.max("line_no") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(size.select("file", before.alias("before")), "file").select(F.lit("all").alias("file"), (F.col("line_no") + F.col("before")).alias("line_no"), "line")
+
+
+def compare_folders(spark: SparkSession, gold: str, other: str, suffix: str = "conll") -> DataFrame:
+    """doc_id, metric and fractions of the coreference scores of the documents that paired files of two folders have."""
+    sides = []
+    for ann, rows in enumerate(paired_folders(spark, gold, other, suffix)[:2]):
+        docs = documents(rows).where(F.size("cols") > 0)
+        tokens = docs.select("file", "doc_no", F.col("row_idx").alias("tok_idx"), F.element_at("cols", -1).alias("coref"))
+        ids = docs.select("file", "doc_no", "doc_id").distinct()
+        spans = parse_coref(tokens, ["file", "doc_no"]).join(ids, ["file", "doc_no"])
+        sides.append(spans.select("file", "doc_id", F.lit(ann).alias("ann"), F.lit(0).alias("seq"), F.col("first_tok").alias("m_start"), F.col("last_tok").alias("m_end"), F.col("num").cast("string").alias("entity")))
+    keys = ["file", "doc_id"]
+    return all_scores(nest(sides[0].unionByName(sides[1]), None, keys), keys, other=1)
+
+
 def to_lines(rows: DataFrame, key: str) -> DataFrame:
     """key and the document's lines from (key, tok_idx, word, coref)."""
     body = rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_idx", F.concat_ws(" ", "word", "coref").alias("l")))), lambda x: x.l), "\n").alias("body"))

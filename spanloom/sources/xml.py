@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import ampersand_decode
-from ..functions.text import normalize, xml_escape
+from ..functions.text import normalize, xml_escape, xml_unescape
+from ..operators.alignment import move_spans, shift_tables
 from ..operators.markup import marked_text, match_tags
+from ..operators.sweep import zip_lists
 
 
 def read(spark: SparkSession, path: str, ann: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -22,13 +24,24 @@ def parse_string(spark: SparkSession, text: str, ann: int = 0) -> tuple[DataFram
     return parse(spark.createDataFrame([("", text)], "file string, value string"), ann)
 
 
+def _attributes(tag: str, *without: str) -> Column:
+    """The attributes of a tag as a map."""
+    pattern = "([A-Za-z_:][A-Za-z0-9_:.-]*)\\s*=\\s*(['\"])(.*?)\\2"
+    names, values = (F.regexp_extract_all(tag, F.lit(pattern), F.lit(i)) for i in (1, 3))
+    pairs = F.transform(F.arrays_zip(names.alias("k"), values.alias("v")), lambda x: F.struct(x["k"].alias("k"), xml_unescape(x["v"]).alias("v")))
+    return F.map_from_entries(F.filter(pairs, lambda x: ~x["k"].isin(*without)))
+
+
 def parse(raw: DataFrame, ann: int) -> tuple[DataFrame, DataFrame]:
     """Split into articles, normalise white space, cut tags from text and turn marks into character spans.
 
-    Marks have an entity (or annotation) attribute; others are dropped, as are unknown tags, whose text stays. Spans are
-    clamped to the trimmed text; seq is the closing order.
+    A text without an article tag is one article. Marks have an entity (or annotation) attribute; others are dropped, as are
+    unknown tags, whose text stays. Spans are clamped to the trimmed text; seq is the closing order. info has the other
+    attributes of articles (without id) and marks (without entity and min).
     """
-    art = raw.select("file", F.posexplode(F.regexp_extract_all("value", F.lit("(?s)<article[ >].*?</article>"), F.lit(0))).alias("doc_idx", "xml"))
+    found = F.regexp_extract_all("value", F.lit("(?s)<article[\\s>].*?</article>"), F.lit(0))
+    whole = F.array(F.concat(F.lit("<article>"), F.col("value"), F.lit("</article>")))
+    art = raw.select("file", F.posexplode(F.when(F.col("value").contains("<article"), found).otherwise(whole)).alias("doc_idx", "xml"))
     art = art.withColumn("xml", normalize("xml")).withColumn("open", F.regexp_extract("xml", "^<article[^>]*>", 0))
     art = art.withColumn("doc_id", F.regexp_extract("open", "\\sid\\s*=\\s*(['\"])(.*?)\\1", 2))
     body = F.regexp_replace(F.regexp_replace("xml", "^<article[^>]*>", ""), "</article>$", "")
@@ -41,8 +54,8 @@ def parse(raw: DataFrame, ann: int) -> tuple[DataFrame, DataFrame]:
     blank = F.coalesce(F.max(F.length(F.regexp_replace("txt", "^[ \\t\\n]+", ""))).over(before), F.lit(0)) == 0
     piece = piece.withColumn("txt", F.when(blank, F.regexp_replace("txt", "^[ \\t\\n]+", "")).otherwise(F.col("txt")))
     piece = piece.withColumn("off", F.coalesce(F.sum(F.length("txt")).over(before), F.lit(0)).cast("int"))
-    whole = piece.groupBy(*keys, "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "txt"))), lambda x: x.txt), "").alias("text"))
-    articles = art.select(*keys, "doc_id").join(whole.drop("doc_id"), keys, "left").select(F.lit(ann).alias("ann"), *keys, "doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\\s+$", "").alias("text"))
+    joined = piece.groupBy(*keys, "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "txt"))), lambda x: x.txt), "").alias("text"))
+    articles = art.select(*keys, "doc_id", _attributes("open", "id").alias("info")).join(joined.drop("doc_id"), keys, "left").select(F.lit(ann).alias("ann"), *keys, "doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\\s+$", "").alias("text"), "info")
     tags = piece.where(F.col("piece").rlike("^</?mark\\b") & ~F.col("piece").endswith("/>")).withColumn("is_open", ~F.col("piece").startswith("</"))
     pairs = match_tags(tags.select(*keys, "n", "is_open"), keys)
     pairs = pairs.join(tags.select(*keys, F.col("n").alias("open_n"), F.col("piece").alias("tag"), F.col("off").alias("m_start")), [*keys, "open_n"]).join(tags.select(*keys, F.col("n").alias("close_n"), F.col("off").alias("m_end")), [*keys, "close_n"])
@@ -50,20 +63,38 @@ def parse(raw: DataFrame, ann: int) -> tuple[DataFrame, DataFrame]:
     def attr(name):
         return F.nullif(F.regexp_extract("tag", f"\\s{name}\\s*=\\s*(['\"])(.*?)\\1", 2), F.lit(""))
 
-    m = pairs.select(*keys, "close_n", "m_start", "m_end", ampersand_decode(F.coalesce(attr("entity"), attr("annotation"))).alias("entity"), ampersand_decode(attr("min")).alias("min")).where("entity is not null")
+    m = pairs.select(*keys, "close_n", "m_start", "m_end", ampersand_decode(F.coalesce(attr("entity"), attr("annotation"))).alias("entity"), ampersand_decode(attr("min")).alias("min"), _attributes("tag", "entity", "min").alias("info")).where("entity is not null")
     m = m.join(articles.select(*keys, "text"), keys).withColumn("m_end", F.least("m_end", F.length("text"))).withColumn("m_start", F.least("m_start", "m_end"))
     at = F.expr("instr(substring(text, m_start + 1, m_end - m_start), min)")
     m = m.withColumn("at", at).select(
         F.lit(ann).alias("ann"), *keys, F.row_number().over(Window.partitionBy(*keys).orderBy("close_n")).alias("seq"), "m_start", "m_end", "entity",
-        F.when(F.col("at") > 0, F.col("m_start") + F.col("at") - 1).cast("int").alias("min_start"), F.when(F.col("at") > 0, F.col("m_start") + F.col("at") - 1 + F.length("min")).cast("int").alias("min_end"),
+        F.when(F.col("at") > 0, F.col("m_start") + F.col("at") - 1).cast("int").alias("min_start"), F.when(F.col("at") > 0, F.col("m_start") + F.col("at") - 1 + F.length("min")).cast("int").alias("min_end"), "info",
     )
     return articles, m
 
 
+def lines(articles: DataFrame, mentions: DataFrame, key: str = "doc_idx") -> DataFrame:
+    """key and ``value``, each article as text with its marks (with their minimal spans and attributes) and its attributes."""
+    marked = marked_text(articles, mentions, key).join(articles, key)
+    more = F.lit("")
+    if "info" in articles.columns:
+        more = F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries("info")), lambda x: F.concat(F.lit(" "), x.key, F.lit("='"), xml_escape(x.value), F.lit("'"))), ""), F.lit(""))
+    return marked.select(key, F.concat(F.lit("<article id='"), xml_escape("doc_id"), F.lit("'"), more, F.lit(">"), "marked", F.lit("</article>")).alias("value"))
+
+
 def write(articles: DataFrame, mentions: DataFrame, path: str, key: str = "doc_idx") -> None:
     """One article per line between the head and foot lines of the format."""
-    marked = marked_text(articles, mentions, key).join(articles.select(key, "doc_id"), key)
-    body = marked.select(F.col(key).cast("long").alias("o"), F.concat(F.lit("<article id='"), xml_escape("doc_id"), F.lit("'>"), "marked", F.lit("</article>")).alias("value"))
+    body = lines(articles, mentions, key).select(F.col(key).cast("long").alias("o"), "value")
     spark = articles.sparkSession
     ends = spark.createDataFrame([(-1, "<?xml version='1.0' encoding='UTF-8' ?>\n<articles>"), (1 << 62, "</articles>")], "o long, value string")
     body.unionByName(ends).orderBy("o").select("value").write.text(path)
+
+
+def rewrite(spark: SparkSession, source: str, target: str, path: str) -> None:
+    """Write the target's texts with the source's mentions moved to where their text is there. Articles are paired by place
+    as far as both files go; minimal spans are not moved, and mentions that have no place are left out."""
+    (a, m), (b, _) = read(spark, source), read(spark, target)
+    pairs = zip_lists(a, b, "doc_idx").select("doc_idx", F.col("l.text").alias("a"), F.col("r.text").alias("b"))
+    moved = move_spans(m.join(shift_tables(pairs, "a", "b").select("doc_idx", "shifts"), "doc_idx"))
+    moved = moved.select("doc_idx", "seq", F.col("a_start").alias("m_start"), F.col("a_end").alias("m_end"), "entity", "info")
+    write(b.join(pairs.select("doc_idx"), "doc_idx"), moved, path)

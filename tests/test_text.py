@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import codecs
 from spanloom.functions import text as tx
-from spanloom.operators import alignment, chains, markup, scores
+from spanloom.operators import alignment, chains, markup, scores, sweep
 from spanloom.sources import conll, xml
 
 
@@ -75,6 +75,83 @@ def test_xml_read(spark, tmp_path):
     assert sorted((r.m_start, r.m_end, r.entity) for r in m2.collect()) == sorted((r.m_start, r.m_end, r.entity) for r in m.collect())
 
 
+def test_xml_without_articles_and_with_attributes(spark, tmp_path):
+    (tmp_path / "plain.xml").write_text("<?xml version='1.0' ?> just <mark entity='a'>text</mark>\n")
+    articles, m = xml.read(spark, str(tmp_path / "plain.xml"))
+    assert [r.text for r in articles.collect()] == ["just text"] and [(r.m_start, r.m_end, r.entity) for r in m.collect()] == [(5, 9, "a")]
+    (tmp_path / "b.xml").write_text("<articles>\n<article id='A' lang='e&amp;n'>a <mark entity='x' min='big' sure=\"yes &lt; no\">big dog</mark> <mark annotation='y'>cat</mark></article>\n</articles>")
+    articles, m = xml.read(spark, str(tmp_path / "b.xml"))
+    assert articles.collect()[0].info == {"lang": "e&n"}
+    assert {r.entity: (r.min_start, r.min_end, r.info) for r in m.collect()} == {"x": (2, 5, {"sure": "yes < no"}), "y": (None, None, {"annotation": "y"})}
+    xml.write(articles, m, str(tmp_path / "out"))
+    again, m2 = xml.read(spark, str(tmp_path / "out"))
+    columns = ["doc_idx", "doc_id", "text", "info"]
+    assert again.select(columns).collect() == articles.select(columns).collect()
+    columns = ["m_start", "m_end", "entity", "min_start", "min_end", "info"]
+    assert sorted(map(str, m2.select(columns).collect())) == sorted(map(str, m.select(columns).collect()))
+
+
+def test_aligned_rewrite(spark, tmp_path):
+    (tmp_path / "a.xml").write_text("<articles><article id='1'>say the <mark entity='c'>cat</mark> sat</article><article id='2'>gone <mark entity='d'>x</mark></article></articles>")
+    (tmp_path / "b.xml").write_text("<articles><article id='1'>say that the cat sat down</article></articles>")
+    xml.rewrite(spark, str(tmp_path / "a.xml"), str(tmp_path / "b.xml"), str(tmp_path / "out"))
+    articles, m = xml.read(spark, str(tmp_path / "out"))
+    text = articles.collect()[0].text
+    assert text == "say that the cat sat down" and [(text[r.m_start : r.m_end], r.entity) for r in m.collect()] == [("cat", "c")]
+
+
+def test_word_spans(spark):
+    text = "The  cat (big) sat."
+    words = ["The", "cat", "-LBR-", "big", None, "sat", "."]
+    spans = spark.createDataFrame([(text, words), (None, words)], "t string, w array<string>").select(alignment.word_spans_udf("t", "w").alias("s")).collect()
+    got = [s and text[s.m_start : s.m_end] for s in spans[0].s]
+    assert got[0] == "The" and got[1] == "cat" and got[3] == "big" and got[4] is None and got[5:] == ["sat", "."] and spans[1].s is None
+
+
+def test_long_diff():
+    import random
+
+    r = random.Random(4)
+    a = " ".join(r.choice(("alpha", "beta", "gamma", "delta")) + str(r.randrange(50)) for _ in range(3000))
+    b = a.replace("alpha1 ", "ALPHA1 ").replace("beta2", "bet2")
+    c = " ".join(str(r.randrange(10**6)) for _ in range(3000))
+    for x, y in ((a, b), (a, c), (a, "")):
+        d = alignment.diff(x, y)
+        assert "".join(t for o, t in d if o != "INSERT") == x and "".join(t for o, t in d if o != "DELETE") == y
+    assert sum(len(t) for o, t in alignment.diff(a, b) if o == "EQUAL") > 0.97 * len(a)
+
+
+def test_conll_files(spark, tmp_path):
+    for side, text in (("g", "#begin document d1\nA (1\nB 1)\nC -\n\nD (1)|(2\nE 2)\n#end document\n"), ("o", "#begin document d1\nA (5\nB 5)\nC (7\n\nD (5)\nE (6)\n#end document\n")):
+        (tmp_path / side / "deep").mkdir(parents=True)
+        (tmp_path / side / "deep" / "x.conll").write_text(text)
+    (tmp_path / "o" / "lonely.conll").write_text("#begin document q\nA (1)\n#end document\n")
+    docs = conll.documents(conll.lines(spark, str(tmp_path / "g"), "conll"))
+    text = conll.text(docs, 0).collect()[0].text
+    assert text == "A B C\nD E"
+    assert sorted((text[r.m_start : r.m_end], r.entity) for r in conll.mentions(docs, 0).collect()) == [("A B", "1"), ("D", "1"), ("D E", "2")]
+    other = conll.documents(conll.lines(spark, str(tmp_path / "o"), "conll"))
+    assert [(r.num, r.tok_idx, r.is_open) for r in conll.unclosed_brackets(other).collect()] == [(7, 2, True)]
+    a, b, alone = conll.paired_folders(spark, str(tmp_path / "g"), str(tmp_path / "o"))
+    assert {r.file for r in a.collect()} == {r.file for r in b.collect()} == {"x.conll"} and [r.file for r in alone.collect()] == ["lonely.conll"]
+    got = {r.metric: (r.r_nom, r.r_den, r.p_nom, r.p_den) for r in conll.compare_folders(spark, str(tmp_path / "g"), str(tmp_path / "o")).collect()}
+    assert got["muc"] == (1.0, 1.0, 1.0, 1.0) and got["ceafm"] == (2.0, 3.0, 2.0, 3.0)
+    both = conll.concatenated(conll.lines(spark, str(tmp_path / "o"), "conll"))
+    assert [r.doc_id for r in conll.documents(both).select("doc_id", "doc_no").distinct().orderBy("doc_no").collect()] == ["q", "d1"]
+    (tmp_path / "twice").mkdir()
+    (tmp_path / "twice" / "t.conll").write_text("#begin document d\nold -\n#end document\n#begin document d\nnew -\n#end document\n")
+    assert [r.text for r in conll.text(conll.latest(conll.documents(conll.lines(spark, str(tmp_path / "twice")))), 0).collect()] == ["new"]
+
+
+def test_doubtful_scores_and_info(spark):
+    s = spark.createDataFrame([("a", 1.0, 2.0, 3.0, 2.0), ("b", 1.0, 2.0, 1.0, 2.0), ("c", -1.0, 2.0, 0.0, 0.0)], "doc_id string, r_nom double, r_den double, p_nom double, p_den double")
+    assert {r.doc_id for r in scores.doubtful(s).collect()} == {"a", "c"}
+    rows = spark.createDataFrame([("d", 2, {"x": "2", "z": "9"}), ("d", 1, {"x": "1", "y": "1"}), ("e", 1, None)], "k string, o int, info map<string,string>")
+    assert {r.k: r.info for r in scores.merge_info(rows, ["k"], "o").collect()} == {"d": {"x": "2", "y": "1", "z": "9"}, "e": {}}
+    merged = sweep.ordered_merge([spark.createDataFrame([(3,), (1,)], "x int"), spark.createDataFrame([(2,)], "x int")], ["x"])
+    assert [r.x for r in merged.collect()] == [1, 2, 3]
+
+
 def test_conll(spark, tmp_path):
     (tmp_path / "x.conll").write_text("#begin document d1\nA (1\nB 1)|(2)\n\nC -\n#end document\njunk\n#begin document d2\nD (1)\n#end document\n")
     docs = conll.documents(conll.lines(spark, str(tmp_path)))
@@ -91,7 +168,7 @@ def test_macro_micro(spark):
 
 def test_coreference_of_equal_annotations(spark):
     rows = [(0, a, i, 10 * i, 10 * i + 3, "xyz"[i % 3]) for a in (0, 1) for i in range(9)]
-    m = spark.createDataFrame(rows, "doc_id int, ann int, seq int, m_start int, m_end int, entity string")
+    m = sweep.nest(spark.createDataFrame(rows, "doc_id int, ann int, seq int, m_start int, m_end int, entity string"), None, ["doc_id"])
     for df in (chains.muc(m, ["doc_id"]), chains.b_cubed(m, ["doc_id"]), chains.ceaf(m, ["doc_id"], "m"), chains.ceaf(m, ["doc_id"], "e")):
         r = df.collect()[0]
         assert abs(r.r_nom - r.r_den) < 1e-9 and abs(r.p_nom - r.p_den) < 1e-9
