@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -12,12 +14,14 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests), one made here."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets one made here; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spanloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -39,6 +43,32 @@ def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_buckets(df: DataFrame, tag: str, by: list[str]) -> DataFrame:
+    """Like ``materialize`` for rows grouped by the keys, in as many buckets of them as there are shuffle partitions: joins by
+    the keys, with tables written alike or with anything that is exchanged, leave these rows where they are."""
+    spark = df.sparkSession
+    path = new_path(spark, tag)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, *by).option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def tidy(run):
+    """The pass ``run`` over Arrow batches, which hands memory that it no longer uses back when it ends: a Python worker lives
+    on from task to task, and what it keeps counts towards its executor."""
+
+    def passes(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return passes
+
+
 def digest_key(col: Column) -> Column:
     """A 16-byte key of a string; null counts as the empty string."""
     return F.unhex(F.md5(F.coalesce(col.cast("string"), F.lit("")).cast("binary")))

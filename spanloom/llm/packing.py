@@ -2,108 +2,253 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_array, with_fields
+from .common import _offsets, chunks, materialize, text_array, tidy, with_fields
+from .words import _LOWER
 
 #: Largest count of (task, class) ranks that is sent to every executor (about 24 bytes each); beyond it a shuffle join is used.
 BROADCAST_RANKS = 200_000
-#: Remembered chunks per generation and worker; when a generation is full it becomes the old one, which is still looked up.
-CACHE = 400_000
+#: Bytes of text whose distinct chunks are encoded together.
+RUN_BYTES = 1 << 22
 
 _TOKENIZERS: dict = {}
-
-
-#: Characters that may follow a word in a chunk and form one piece of their own (no apostrophe, which starts pieces like 's).
-_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_NONE = np.int32(2**31 - 1)
+_BREAK = re.compile(r"[ \t\n\r]")
+
+# The rules of the public tokenizer that the array form knows.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_MODEL = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+#: What a byte is in a chunk: 1 letter, 2 digit, 3 punctuation but the apostrophe, 0 anything else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[39] = 0
 
 
 class _Ids:
-    """Token ids of texts, with the ids of each white-space separated chunk remembered.
+    """Token ids of texts by arrays.
 
-    White space separates the tokenizer's own words, so a text's ids are the ids of its chunks in order. A chunk of
-    Latin-1 letters and then punctuation is the lower-cased word's ids and the punctuation's; new words are encoded
-    together and cut apart where a token ends a word. All other chunks are encoded whole.
+    White space separates the tokenizer's own words, so a text's ids are the ids of its chunks in order; of a run of texts
+    only the distinct chunks are encoded. A chunk of ASCII and Latin-1 letters, digits and punctuation falls into the
+    pieces that the tokenizer's own split makes, and the distinct pieces are merged together, rank by rank. All other
+    chunks (other scripts, apostrophes, added tokens, very long ones) go to the tokenizer itself, as everything does
+    where its rules are not the ones known here.
     """
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.old_pieces: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words that are one piece each."""
-        out = []
-        for i in range(0, len(words), 5000):
-            some = words[i : i + 5000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) != len(some) or cut[-1] != len(ids):
-                out += self._whole(some)
-                continue
-            raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
-            out += [raw[a:z] for a, z in zip(at, at[1:])]
+        rules = json.loads(self.tokenizer.to_str())
+        model = rules["model"]
+        self.known = rules["normalizer"] == _NORMALIZER and rules["pre_tokenizer"] == _PRE_TOKENIZER and all(t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) for t in rules["added_tokens"])
+        self.known = self.known and model["type"] == "BPE" and all(model.get(k) == v for k, v in _MODEL.items()) and self._learn(model["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
+
+    def _learn(self, vocab: dict[str, int], merges: list[tuple[str, str]]) -> bool:
+        """Tables of first symbols and of merges; false if a merge's result could come before its parts."""
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the vocabulary
+        char = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        if not all(char[b] in vocab and char[b] + "</w>" in vocab for b in range(256)):
+            return False
+        self.inner = np.array([vocab[char[b]] for b in range(256)], np.int32)
+        self.final = np.array([vocab[char[b] + "</w>"] for b in range(256)], np.int32)
+        made = {a + b: r for r, (a, b) in enumerate(merges)}
+        if len(made) != len(merges) or any(made.get(x, -1) >= r for r, m in enumerate(merges) for x in m):
+            return False
+        self.result = np.array([vocab[a + b] for a, b in merges], np.int32)
+        keys = np.array([vocab[a] << 32 | vocab[b] for a, b in merges], np.int64)
+        self.bits = max(1, int(len(keys) * 8 - 1).bit_length())
+        table, rank = np.full((1 << self.bits) + 64, -1, np.int64), np.full((1 << self.bits) + 64, _NONE, np.int32)
+        self.probes = 1
+        for k, slot, r in zip(keys.tolist(), self._slot(keys).tolist(), range(len(keys))):
+            n = 1
+            while table[slot] >= 0:
+                slot, n = slot + 1, n + 1
+            table[slot], rank[slot], self.probes = k, r, max(self.probes, n)
+        self.table, self.rank = table, rank
+        return self.probes < 60
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair of symbols, _NONE where there is none."""
+        keys = a.astype(np.int64) << 32 | b
+        slot = self._slot(keys)
+        out = np.where(self.table[slot] == keys, self.rank[slot], _NONE)
+        open_ = np.flatnonzero((out == _NONE) & (self.table[slot] >= 0))
+        for i in range(1, self.probes):
+            if not len(open_):
+                break
+            at = slot[open_] + i
+            hit = self.table[at] == keys[open_]
+            out[open_[hit]] = self.rank[at[hit]]
+            open_ = open_[~hit & (self.table[at] >= 0)]
         return out
 
-    @staticmethod
-    def _simple(word: str) -> bool:
-        return word.isalpha() and (word.isascii() or max(word) < "\u0100")
-
-    def _encode(self, chunks: list[str]) -> None:
-        split, words, others = [], {}, {}
-        for c in chunks:
-            w = c.rstrip(_TAIL)
-            if w and self._simple(w):
-                w, tail = w.lower(), c[len(w) :]
-                split.append((c, w, tail))
-                for piece, new in ((w, words), (tail, others)):
-                    if piece not in self.pieces:
-                        if piece in self.old_pieces:
-                            self.pieces[piece] = self.old_pieces[piece]
-                        else:
-                            new[piece] = None
-            else:
-                others[c] = None
-                split.append((c, c, ""))
-        if len(self.pieces) + len(words) + len(others) > CACHE:
-            self.old_pieces, self.pieces = self.pieces, {"": b"", **{p: self.pieces[p] for _, w, t in split for p in (w, t) if p in self.pieces}}
-        self.pieces.update(zip(words, self._words(list(words))))
-        self.pieces.update(zip(others, self._whole(list(others))))
-        for c, w, tail in split:
-            self.cache[c] = self.pieces[w] + self.pieces[tail] if tail else self.pieces[w]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE:
-            self.old, self.cache = self.cache, {"": b""}
-        cache, old = self.cache, self.old
-        new = []
-        for c in {c for p in parts for c in p if c not in cache}:
-            if c in old:
-                cache[c] = old[c]
+    def _merge(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces that tile ``data``, and how many each has. In each round every piece makes its lowest merge."""
+        sym = self.inner[data]
+        sym[ends - 1] = self.final[data[ends - 1]]
+        n = (ends - starts).astype(np.int64)
+        piece = np.arange(len(n))
+        rank = np.full(len(sym), _NONE, np.int32)
+        inside = np.ones(len(sym), bool)
+        inside[ends - 1] = False
+        at = np.flatnonzero(inside)
+        rank[at] = self._ranks(sym[at], sym[at + 1])
+        done_sym, done_piece, done_n = [], [], []
+        while len(n):
+            first = np.cumsum(n) - n
+            low = np.minimum.reduceat(rank, first)
+            ready = low == _NONE
+            if ready.any():
+                of = np.repeat(ready, n)
+                done_sym.append(sym[of])
+                done_piece.append(piece[ready])
+                done_n.append(n[ready])
+                sym, rank, n, piece, low = sym[~of], rank[~of], n[~ready], piece[~ready], low[~ready]
+                if not len(n):
+                    break
+                first = np.cumsum(n) - n
+            hit = rank == np.repeat(low, n)
+            twice = hit[1:] & hit[:-1]
+            if twice.any():  # equal symbols in a row: from the left, each symbol once
+                i = np.flatnonzero(hit)
+                run = np.maximum.accumulate(np.where(np.diff(i, prepend=-2) > 1, np.arange(len(i)), 0))
+                hit[i[(np.arange(len(i)) - run) % 2 == 1]] = False
+            i = np.flatnonzero(hit)
+            sym[i] = self.result[rank[i]]
+            last = np.zeros(len(sym), bool)
+            last[first + n - 1] = True
+            last[i] = last[i + 1]
+            keep = np.ones(len(sym), bool)
+            keep[i + 1] = False
+            changed = hit.copy()
+            changed[:-1] |= hit[1:]
+            changed[i[i > 0] - 1] = True
+            n -= np.add.reduceat(hit, first)
+            changed[:-1] |= ~keep[1:]
+            sym, rank, last, changed = sym[keep], rank[keep], last[keep], changed[keep]
+            rank[last] = _NONE
+            at = np.flatnonzero(changed & ~last)
+            rank[at] = self._ranks(sym[at], sym[at + 1])
+        counts = np.zeros(len(starts), np.int64)
+        if not done_n:
+            return np.zeros(0, np.int32), counts
+        sym, piece, n = np.concatenate(done_sym), np.concatenate(done_piece), np.concatenate(done_n)
+        order = np.argsort(piece)
+        first = np.cumsum(n) - n
+        counts[piece] = n
+        return sym[_ranges(first[order], n[order])], counts
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _chunks(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, start, count) of each of the distinct chunks."""
+        offsets = _offsets(values).astype(np.int64)
+        raw = values.buffers()[2]
+        data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        kind = _KIND[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        second = data[lead + 1]
+        letter = (second != 0x97) & (second != 0xB7)
+        kind[lead[letter]] = kind[lead[letter] + 1] = 1
+        odd = np.concatenate([[0], np.cumsum(kind == 0)])
+        length = np.diff(offsets)
+        hard = (odd[offsets[1:]] > odd[offsets[:-1]]) | (length > 256)
+        opened = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))  # may start an added token
+        hard[np.searchsorted(offsets, opened, "right") - 1] = True
+        low = _LOWER[data]
+        upper = lead[letter & (second < 0x9F)] + 1
+        low[upper] += 32
+        cut = np.ones(len(data), bool)
+        cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        cut[offsets[:-1][length > 0]] = True
+        easy = np.repeat(~hard, length)
+        low, cut = low[easy], cut[easy]
+        starts = np.flatnonzero(cut)
+        bounds = np.append(starts, len(low)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(low)]).dictionary_encode()
+        which, distinct = pieces.indices.to_numpy(), pieces.dictionary
+        at = _offsets(distinct).astype(np.int64)
+        ids, counts = self._merge(np.frombuffer(distinct.buffers()[2], np.uint8)[at[0] : at[-1]] if len(distinct) else low, at[:-1] - at[0], at[1:] - at[0]) if len(distinct) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        first = np.cumsum(counts) - counts
+        ids = ids[_ranges(first[which], counts[which])]
+        total = np.concatenate([[0], np.cumsum(counts[which])])  # ids before each piece in turn
+        inside = np.where(hard, 0, length)
+        ends = np.cumsum(inside)
+        a, z = total[np.searchsorted(starts, ends - inside)], total[np.searchsorted(starts, ends)]
+        start, count = a, z - a
+        odd_ones = np.flatnonzero(hard)
+        found = self._whole(values.take(pa.array(odd_ones)).to_pylist())
+        n = np.array([len(x) for x in found], np.int64)
+        start[odd_ones], count[odd_ones] = len(ids) + np.cumsum(n) - n, n
+        return np.concatenate([ids, *found]), start, count
+
+    def _run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not self.known:
+            out = self._whole(texts.to_pylist())
+            return np.concatenate([np.zeros(0, np.int32), *out]), np.array([len(x) for x in out], np.int64)
+        split = pc.ascii_split_whitespace(texts)
+        bounds = _offsets(split).astype(np.int64)
+        code = split.flatten().dictionary_encode()
+        which = code.indices.to_numpy()
+        ids, start, count = self._chunks(code.dictionary)
+        n = count[which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        bounds = bounds - bounds[0]
+        return ids[_ranges(start[which], n)], total[bounds[1:]] - total[bounds[:-1]]
+
+    def __call__(self, texts: pa.Array):
+        """(first text, unsigned 32-bit ids of some texts in a row, ids of each) for all texts; a text over RUN_BYTES is read in parts cut at white space."""
+        for at, part in chunks(texts, RUN_BYTES):
+            if len(part) > 1 or part.nbytes <= 2 * RUN_BYTES:
+                ids, n = self._run(part)
             else:
-                new.append(c)
-        self._encode(new)
-        get = cache.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+                some = [self._run(pa.array([x]))[0] for x in _parts(part[0].as_py())]
+                ids = np.concatenate(some)
+                n = np.array([len(ids)], np.int64)
+            yield at, ids.astype("<u4"), n
+
+
+def _parts(text: str):
+    """A long text in parts of about RUN_BYTES characters that end before white space."""
+    at = 0
+    while at < len(text):
+        found = _BREAK.search(text, at + RUN_BYTES) if at + RUN_BYTES < len(text) else None
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] numbers), start[1], ..."""
+    ends = np.cumsum(n)
+    return np.repeat(start - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _ids_of(path: str) -> _Ids:
@@ -115,17 +260,6 @@ def _ids_of(path: str) -> _Ids:
     return _TOKENIZERS[path]
 
 
-def _in_runs(texts: list[str], size: int = 1 << 20):
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= size):
-            n += len(texts[j])
-            j += 1
-        yield texts[i:j]
-        i = j
-
-
 def tokenize(docs: DataFrame, tokenizer_path: str, seq_len: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """One row per document: its ids as 16- or 32-bit integers and its ranks within its task.
 
@@ -138,31 +272,30 @@ def tokenize(docs: DataFrame, tokenizer_path: str, seq_len: int, end_id: int, id
         ids_of = _ids_of(tokenizer_path)
         rests = np.zeros(seq_len, np.int64)
         full = 0
-        end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            keys, texts = b.column(0), text_array(b.column(1)).to_pylist()
-            at = 0
-            for some in _in_runs(texts):
-                out = [x + end for x in ids_of(some)]
-                n = np.array([len(x) // 4 for x in out], np.int64)
-                k_full = full + np.concatenate([[0], np.cumsum(n // seq_len)[:-1]]).astype(np.int64)
+            keys = b.column(0)
+            for at, ids, n in ids_of(text_array(b.column(1))):
+                ids = np.insert(ids, np.cumsum(n), end_id)
+                n = n + 1
+                k_full = full + np.cumsum(n // seq_len) - n // seq_len
                 full += int((n // seq_len).sum())
                 rest = n % seq_len
+                order = np.argsort(rest, kind="stable")
+                new = np.flatnonzero(np.diff(rest[order], prepend=-1))
                 k_rest = np.empty(len(n), np.int64)
-                for i, r in enumerate(rest.tolist()):
-                    k_rest[i] = rests[r]
-                    rests[r] += 1
-                wide = [np.frombuffer(x, "<u4") for x in out]
-                packed = [(x.astype("<u2").tobytes() if x.max() < 65536 else x.tobytes()) for x in wide]
+                k_rest[order] = rests[rest[order]] + np.arange(len(n)) - np.repeat(new, np.diff(np.append(new, len(n))))
+                rests += np.bincount(rest, minlength=seq_len)
+                width = 2 if ids.max() < 65536 else 4
+                bounds = width * np.concatenate([[0], np.cumsum(n)])
+                packed = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(bounds), pa.py_buffer(ids.astype("<u2") if width == 2 else ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [keys.slice(at, len(some)), pa.array([part] * len(some), pa.int32()), pa.array(n), pa.array(rest.astype(np.int32)), pa.array(k_full), pa.array(k_rest), pa.array(packed, pa.binary())],
+                    [keys.slice(at, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(n), pa.array(rest.astype(np.int32)), pa.array(k_full), pa.array(k_rest), packed],
                     names=["doc_key", "part", "n", "rest", "k_full", "k_rest", "ids"],
                 )
-                at += len(some)
 
     src = docs.select(F.col(id_col).alias("doc_key"), F.col(text_col).cast("string").alias("text"))
     schema = with_fields(src.schema["doc_key"], "part int, n long, rest int, k_full long, k_rest long, ids binary")
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def solve_cutting_stock(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -419,4 +552,4 @@ def pack(docs: DataFrame, tokenizer_path: str, seq_len: int = 2048, end_id: int
         )
 
     schema = with_fields(tokens.schema["doc_key"], "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-    return ranked.mapInArrow(run, schema).withColumnRenamed("doc_key", id_col)
+    return ranked.mapInArrow(tidy(run), schema).withColumnRenamed("doc_key", id_col)
