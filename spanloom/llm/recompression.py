@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, digest_key, materialize, text_array
-from .words import U, mix, sequence_hashes, split, word_hashes
+from .common import chunks, materialize, materialize_buckets, text_array, tidy
+from .words import U, mix, parts, sequence_hashes, split, word_hashes
 
-#: Positions found to be single among the candidate windows are sent to every executor up to this count; beyond it a shuffle join is used.
-BROADCAST_POSITIONS = 3_000_000
+#: Bytes of text that are parsed at a time; a longer text is parsed in parts.
+RUN_BYTES = 1 << 20
 
 
 class Parse:
@@ -102,34 +102,51 @@ class Parse:
         return out
 
 
-def _mark(ref: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """One number per (text, place), for telling one occurrence from several."""
-    return mix(ref + (pos.astype(np.uint64) + U(1)) * U(0x9E3779B97F4A7C15)).view(np.int64)
-
-
 def _singles(found: DataFrame, by: list[str]) -> DataFrame:
-    """(ref, place) of values that occur at one place only: there the smallest and the largest place mark are the same,
-    so no occurrence is joined back and hot values meet as partial minima."""
-    one = found.groupBy(*by).agg(F.min("mark").alias("m0"), F.max("mark").alias("m1"), F.min("ref").alias("ref"), F.min("pos").alias("pos")).where("m0 = m1")
-    return one.groupBy("ref").agg(F.collect_list("pos").alias("places"))
+    """(k1, k2, places) of the texts' values that occur at one place only. Copies are merged before, so a value that is
+    counted once has one text and one place, its minima; hot values meet as partial counts."""
+    one = found.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("k1"), F.min("k2").alias("k2"), F.min("pos").alias("pos")).where("n = 1")
+    return one.groupBy("k1", "k2").agg(F.collect_list("pos").alias("places"))
 
 
 def _runs(batch: pa.RecordBatch, window: int):
-    """(first row, refs, parse) of the batch in bounded pieces."""
-    refs = batch.column(0).to_numpy().view(np.uint64)
-    for at, part in chunks(text_array(batch.column(1)), 1 << 20):
-        yield at, refs[at : at + len(part)], Parse(part, window)
+    """(first row, rows, place of the first word in its text, words at the end that start no window here, parse) of the batch
+    (texts in its third column) in bounded pieces; a long text comes in several."""
+    texts = text_array(batch.column(2))
+    for at, part in chunks(texts, RUN_BYTES):
+        if len(part) > 1 or part.nbytes <= 2 * RUN_BYTES:
+            yield at, len(part), 0, 0, Parse(part, window)
+            continue
+        base = 0
+        for raw, more in parts(part[0].as_py().encode("utf-8", "surrogatepass"), RUN_BYTES, window - 1):
+            p = Parse(pa.array([raw]), window)
+            yield at, 1, base, more, p
+            base += len(p.h) - more
+
+
+def _slots(p: Parse, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and place in it of words of the parse."""
+    doc = np.searchsorted(p.words.first, which, "right") - 1
+    return doc, which - p.words.first[doc]
 
 
-def _candidates(p: Parse, places: list) -> np.ndarray:
+def _candidates(p: Parse, places: list, base: int) -> np.ndarray:
     """Windows whose anchor occurs elsewhere too; ``places`` has each text's single anchors."""
     single = np.zeros(len(p.h) + 1, bool)
     for d, x in enumerate(places):
         if x is not None and len(x):
-            single[p.words.first[d] + np.asarray(x)] = True
+            x = np.asarray(x) - base
+            x = x[(x >= 0) & (x < p.words.first[d + 1] - p.words.first[d])]
+            single[p.words.first[d] + x] = True
     return np.flatnonzero(~single[p.gstart[p.anchor]]) if len(p.anchor) else np.zeros(0, int)
 
 
+def _rows(batch: pa.RecordBatch, at: int, doc: np.ndarray, pos: np.ndarray, **hashes) -> pa.RecordBatch:
+    take = pa.array(at + doc)
+    columns = {k: pa.array(v.view(np.int64)) for k, v in hashes.items()} | {"k1": batch.column(0).take(take), "k2": batch.column(1).take(take), "pos": pa.array(pos.astype(np.int32))}
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept (the words left, joined by one space) and kept_sha256 of every document.
 
@@ -139,81 +156,106 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     repeats; null ids are carried; other columns are not read. kept is null for a document that loses everything
     (its hash is that of the empty string) and where it is the same as the text's own words (n_removed = 0).
 
-    Round 1 spreads the hashes of anchors, about one for nine words, and finds the anchors that occur once. Round 2
-    spreads 128-bit hashes of the windows whose anchors occur again and finds those that occur once after all. Texts are
-    exchanged once, by a 64-bit key of their content, with copies already merged.
+    Texts are exchanged once, by a 120-bit key of their content with copies merged, and stay in buckets of that key, to
+    which all that follows is brought. Round 1 spreads the hashes of anchors, about one for nine words, and finds the
+    anchors that occur once. Round 2 spreads 128-bit hashes of the windows whose anchors occur again and finds those that
+    occur once after all. Very long texts are parsed in parts.
     """
     if window < 2:
         raise ValueError("window must be at least 2")
-    key = F.conv(F.substring(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
-    src = docs.select(F.col(id_col).alias("doc_key"), key.alias("ref"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    content = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    md5 = F.md5(content.cast("binary"))
+    keys = [F.conv(F.substring(md5, at, 15), 16, 10).cast("long").alias(k) for k, at in (("k1", 1), ("k2", 17))]
+    src = docs.select(F.col(id_col).alias("doc_key"), *keys, content.alias("text"))
+    texts = materialize_buckets(src.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts", ["k1", "k2"])
 
     def anchors(batches):
-        seen: set = set()
         for b in batches:
-            fresh = []
-            for r in b.column(0).to_pylist():
-                fresh.append(r not in seen)
-                seen.add(r)
-            for _, refs, p in _runs(b.filter(pa.array(fresh)), window):
-                if len(p.anchor):
+            for at, _, base, _, p in _runs(b, window):
+                if len(p.anchor):  # one that two parts of a text have counts twice and is left to round 2
                     g = np.unique(p.anchor)
-                    first = np.searchsorted(p.words.first, p.gstart[g], "right") - 1
-                    pos = p.gstart[g] - p.words.first[first]
-                    yield pa.RecordBatch.from_arrays([pa.array(p.gram[g].view(np.int64)), pa.array(_mark(refs[first], pos)), pa.array(refs[first].view(np.int64)), pa.array(pos.astype(np.int32))], names=["h", "mark", "ref", "pos"])
+                    doc, pos = _slots(p, p.gstart[g])
+                    yield _rows(b, at, doc, pos + base, h=p.gram[g])
 
-    single = _singles(src.select("ref", "text").mapInArrow(anchors, "h long, mark long, ref long, pos int"), ["h"])
-    texts = src.groupBy("ref").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    texts = materialize(texts.join(single, "ref", "left").select("ref", "text", "copies", "places"), "texts", "zstd")
+    single = _singles(texts.select("k1", "k2", "text").mapInArrow(tidy(anchors), "h long, k1 long, k2 long, pos int"), ["h"])
+    single = materialize_buckets(single, "single-anchors", ["k1", "k2"])
+    texts = texts.join(single, ["k1", "k2"], "left")
 
     def windows(batches):
         for b in batches:
-            for at, refs, p in _runs(b, window):
-                c = _candidates(p, b.column(2).slice(at, len(refs)).to_pylist())
+            for at, n, base, _, p in _runs(b, window):
+                c = _candidates(p, b.column(3).slice(at, n).to_pylist(), base)
                 if len(c):
+                    doc, pos = _slots(p, p.wstart[c])
                     h1 = sequence_hashes(p.h, window)[p.wstart[c]]
                     h2 = sequence_hashes(word_hashes(p.words, 1), window, 1)[p.wstart[c]]
-                    d = p.wdoc[c]
-                    pos = p.wstart[c] - p.words.first[d]
-                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(_mark(refs[d], pos)), pa.array(refs[d].view(np.int64)), pa.array(pos.astype(np.int32))], names=["h1", "h2", "mark", "ref", "pos"])
+                    yield _rows(b, at, doc, pos + base, h1=h1, h2=h2)
 
-    alone = _singles(texts.select("ref", "text", "places").mapInArrow(windows, "h1 long, h2 long, mark long, ref long, pos int"), ["h1", "h2"]).withColumnRenamed("places", "alone")
-    alone = materialize(alone, "single-windows")
-    if (alone.agg(F.sum(F.size("alone") + 8).alias("n")).collect()[0]["n"] or 0) <= BROADCAST_POSITIONS:
-        alone = F.broadcast(alone)
+    alone = _singles(texts.select("k1", "k2", "text", "places").mapInArrow(tidy(windows), "h1 long, h2 long, k1 long, k2 long, pos int"), ["h1", "h2"]).withColumnRenamed("places", "alone")
 
     def finish(batches):
         for b in batches:
-            for at, refs, p in _runs(b, window):
+            copies = b.column(5).to_numpy()
+            out: list = []
+            held = None
+            for at, n, base, more, p in _runs(b, window):
                 first = p.words.first
-                c = _candidates(p, b.column(2).slice(at, len(refs)).to_pylist())
-                repeat = np.zeros(len(p.h) + 1, np.int64)
+                c = _candidates(p, b.column(3).slice(at, n).to_pylist(), base)
+                repeat = np.zeros(len(p.h) + 1, np.int8)
                 repeat[p.wstart[c]] = 1
-                for d, x in enumerate(b.column(3).slice(at, len(refs)).to_pylist()):
+                for d, x in enumerate(b.column(4).slice(at, n).to_pylist()):
                     if x:
-                        repeat[first[d] + np.asarray(x)] = 0
-                copies = b.column(4).slice(at, len(refs)).to_numpy()
-                again = np.flatnonzero(copies[p.wdoc] > 1)
-                repeat[p.wstart[again]] = 1
-                total = np.concatenate([[0], np.cumsum(repeat)])
+                        x = np.asarray(x) - base
+                        repeat[first[d] + x[(x >= 0) & (x < first[d + 1] - first[d])]] = 0
+                repeat[p.wstart[copies[at + p.wdoc] > 1]] = 1
+                total = np.concatenate([[0], np.cumsum(repeat, dtype=np.int32)])
                 i = np.arange(len(p.h))
-                gone = total[i + 1] > total[np.maximum(i - window + 1, 0)]
                 # a window never crosses into another text, since windows start only where one fits
-                lost = np.concatenate([[0], np.cumsum(gone)])
-                n_removed = lost[first[1:]] - lost[first[:-1]]
-                n_words = np.diff(first)
-                kept, sha = [], []
-                data = p.words.data.tobytes()
-                for d in range(len(refs)):
+                gone = total[i + 1] > total[np.maximum(i - window + 1, 0)]
+                if held is None or held.row != at:
+                    held = None
+                for d in range(n):
                     a, z = int(first[d]), int(first[d + 1])
-                    begin, end = (int(p.words.starts[a]), int(p.words.ends[z - 1])) if z > a else (0, 0)
-                    parts = data[begin:end].split()
-                    if n_removed[d]:
-                        parts = [x for x, g in zip(parts, gone[a:z].tolist()) if not g]
-                    joined = b" ".join(parts)
-                    sha.append(hashlib.sha256(joined).hexdigest())
-                    kept.append(joined.decode() if 0 < n_removed[d] < z - a else None)
-                yield pa.RecordBatch.from_arrays([pa.array(refs.view(np.int64)), pa.array(n_words.astype(np.int64)), pa.array(n_removed.astype(np.int64)), pa.array(kept, pa.string()), pa.array(sha)], names=["ref", "n_words", "n_removed", "kept", "kept_sha256"])
-
-    done = texts.join(alone, "ref", "left").select("ref", "text", "places", "alone", "copies").mapInArrow(finish, "ref long, n_words long, n_removed long, kept string, kept_sha256 string")
-    return src.select("doc_key", "ref").join(done, "ref").select(F.col("doc_key").alias(id_col), "n_words", "n_removed", "kept", "kept_sha256")
+                    text = held or _Text(at + d)
+                    text.add(p, a, z, gone[a:z], more, window)
+                    if not more:
+                        out.append(text.done())
+                        text = None
+                held = text if more else None
+            if out:
+                rows, n_words, n_removed, kept, sha = zip(*out)
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(sha)], names=["k1", "k2", "n_words", "n_removed", "kept", "kept_sha256"])
+
+    done = texts.join(alone, ["k1", "k2"], "left").select("k1", "k2", "text", "places", "alone", "copies").mapInArrow(tidy(finish), "k1 long, k2 long, n_words long, n_removed long, kept string, kept_sha256 string")
+    return src.select("doc_key", "k1", "k2").join(done, ["k1", "k2"]).select(F.col("doc_key").alias(id_col), "n_words", "n_removed", "kept", "kept_sha256")
+
+
+class _Text:
+    """What is left of one text, part by part; a part's last words are judged with the next part, which repeats them."""
+
+    def __init__(self, row: int):
+        self.row, self.n, self.lost, self.sha, self.left, self.carried = row, 0, 0, hashlib.sha256(), [], None
+
+    def add(self, p: Parse, a: int, z: int, gone: np.ndarray, more: int, window: int) -> None:
+        gone = gone.copy()
+        if self.carried is not None:
+            gone[: len(self.carried)] |= self.carried[: len(gone)]
+        if more:
+            self.carried, z, gone = gone[len(gone) - more :], z - more, gone[: len(gone) - more]
+        self.n += z - a
+        self.lost += int(gone.sum())
+        if z > a and not gone.all():
+            begin = int(p.words.starts[a])
+            parts = p.words.data[begin : int(p.words.ends[z - 1])].tobytes().split()
+            if gone.any():
+                parts = [x for x, g in zip(parts, gone.tolist()) if not g]
+            joined = b" ".join(parts)
+            if self.left:
+                self.sha.update(b" ")
+            self.sha.update(joined)
+            self.left.append(joined)
+
+    def done(self) -> tuple:
+        kept = b" ".join(self.left).decode("utf-8", "surrogatepass") if 0 < self.lost < self.n else None
+        return self.row, self.n, self.lost, kept, self.sha.hexdigest()

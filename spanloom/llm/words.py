@@ -7,6 +7,7 @@ Hashes are polynomial over bytes (or over word hashes) modulo 2^64 with a final
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,6 +68,28 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+_SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def parts(text: bytes, size: int, overlap: int):
+    """(part, words at its end that are the next one's too) of a long text: about ``size`` bytes that end with a word, and
+    the ``overlap`` words after them, so that each run of overlap + 1 words lies whole in the part of its first word."""
+    text, at = text.rstrip(), 0
+    if not text:
+        yield text, 0
+    while at < len(text):
+        found = _SEPARATOR.search(text, at + size)
+        cut = found.start() if found else len(text)
+        end, more = cut, 0
+        for m in _WORD.finditer(text, cut):
+            if more == overlap:
+                break
+            end, more = m.end(), more + 1
+        yield text[at:end], more
+        at = cut
+
+
 def split(texts: pa.Array, lower: bool) -> Words:
     offsets = _offsets(texts).astype(np.int64)
     raw = texts.buffers()[2]
