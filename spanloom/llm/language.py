@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _offsets, chunks, text_array
+from .common import _offsets, text_array, tidy
 
 BUCKETS = 1 << 15
+#: Bytes of text looked up at a time, at most (fewer with many languages).
+BLOCK = 1 << 19
+#: Units that log likelihoods are counted in.
+UNITS = 1 << 16
 #: Languages whose counts a Python worker holds at once (256 KB each); with more it hands over what it has and goes on.
 HELD_LANGUAGES = 256
 #: Hosts whose evidence is sent to every executor, at most (about 300 bytes, or 25 counts, each); beyond it a shuffle join
@@ -25,24 +29,25 @@ _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 
 
-def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of the byte trigram at every position of the texts (-1 where there is none), and the texts' offsets."""
+def _grams(texts: pa.Array, block: int):
+    """(trigram buckets, text of each) in turn, for ``block`` bytes of the texts at a time; a trigram lies in one text."""
     offsets = _offsets(texts).astype(np.int64)
     raw = texts.buffers()[2]
-    data = _FOLD[np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]]] if raw is not None else np.zeros(0, np.uint8)
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    key = np.full(len(data), -1, np.int32)
-    if len(data) > 2:
-        x = data.astype(np.uint32)
-        v = (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
-        key[:-2] = ((v * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int32)
-        key[:-2][(data[:-2] == 32) & (data[1:-1] == 32)] = -1
-        key[:-2][(data[1:-1] == 32) & (data[2:] == 32)] = -1
-        ends = offsets[1:-1]
+    for lo in range(0, len(data) - 2, block):
+        x = _FOLD[data[lo : lo + block + 2]]
+        space = x == 32
+        twice = space[:-1] & space[1:]
+        good = ~(twice[:-1] | twice[1:])
+        inner = offsets[np.searchsorted(offsets, lo, "right") : np.searchsorted(offsets, lo + len(good) + 2, "left")] - lo
         for back in (1, 2):
-            at = ends - back
-            key[at[at >= 0]] = -1
-    return key, offsets
+            at = inner - back
+            good[at[(at >= 0) & (at < len(good))]] = False
+        at = np.flatnonzero(good)
+        x = x.astype(np.uint32)
+        v = (x[at] << 16) | (x[at + 1] << 8) | x[at + 2]
+        yield ((v * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int32), np.searchsorted(offsets, at + lo, "right") - 1
 
 
 def count_grams(docs: DataFrame, text_col: str, lang_col: str, languages: list[str]) -> np.ndarray:
@@ -58,13 +63,10 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str, languages: list[s
         held: dict[int, np.ndarray] = {}
         for b in batches:
             lang = np.array([place.get(x, -1) for x in b.column(1).to_pylist()], np.int64)
-            for at, part in chunks(text_array(b.column(0))):
-                key, offsets = _grams(part)
-                mine = lang[at : at + len(part)]
-                of = np.repeat(mine, np.diff(offsets))
-                good = (key >= 0) & (of >= 0)
-                known, of = np.unique(of[good], return_inverse=True)
-                key = key[good]
+            for key, doc in _grams(text_array(b.column(0)), BLOCK):
+                of = lang[doc]
+                known, of = np.unique(of[of >= 0], return_inverse=True)
+                key = key[lang[doc] >= 0]
                 for first in range(0, len(known), HELD_LANGUAGES):
                     some = known[first : first + HELD_LANGUAGES]
                     here = (of >= first) & (of < first + len(some))
@@ -91,7 +93,7 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str, languages: list[s
     schema = "lang int, bucket binary, counts binary"
     src = docs.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("l"))
     counts = np.zeros((len(languages), BUCKETS), np.int64)
-    for r in src.mapInArrow(run, schema).repartition("lang").sortWithinPartitions("lang").mapInArrow(total, schema).toLocalIterator():
+    for r in src.mapInArrow(tidy(run), schema).repartition("lang").sortWithinPartitions("lang").mapInArrow(tidy(total), schema).toLocalIterator():
         counts[r["lang"], np.frombuffer(bytes(r["bucket"]), np.uint16)] = np.frombuffer(bytes(r["counts"]), np.int64)
     return counts
 
@@ -124,22 +126,20 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None =
         return docs.select(*[F.col(f"`{c}`") for c in keep], F.lit(None).cast("string").alias("lang_id"), F.lit(None).cast("double").alias("lang_posterior"), F.lit(False).alias("lang_kept"))
     counts = count_grams(work, "__text", "__declared", languages)
     model = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)).astype(np.float32)
-    model = np.ascontiguousarray((model - model.mean(axis=0)).T)  # relative to the mean language
+    # relative to the mean language, in whole units: sums don't depend on where a block ends
+    model = np.ascontiguousarray(np.rint((model - model.mean(axis=0)).T * UNITS).astype(np.int32))
+    block = max(1 << 12, min(BLOCK, (1 << 21) // len(languages)))
 
     def scores(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        out, letters = np.zeros((len(texts), model.shape[1])), np.zeros(len(texts), bool)
-        for at, part in chunks(texts, 1 << 20):
-            key, offsets = _grams(part)
-            good = np.flatnonzero(key >= 0)
-            doc = np.searchsorted(offsets, good, "right") - 1
-            if len(good):
+        out, letters = np.zeros((len(texts), model.shape[1]), np.int64), np.zeros(len(texts), bool)
+        for key, doc in _grams(texts, block):
+            if len(key):
                 edge = np.flatnonzero(np.diff(doc, prepend=-1))
-                out[at + doc[edge]] = np.add.reduceat(model[key[good]], edge, axis=0)
-                letters[at + doc[edge]] = True
-            small = np.flatnonzero((np.diff(offsets) > 0) & ~letters[at : at + len(part)])
-            for i in small.tolist():
-                letters[at + i] = any(c.isalpha() for c in part[i].as_py())
-        return TEMPER * out, letters
+                out[doc[edge]] += np.add.reduceat(model[key], edge, axis=0, dtype=np.int64)
+                letters[doc[edge]] = True
+        for i in np.flatnonzero(~letters).tolist():
+            letters[i] = any(c.isalpha() for c in texts[i].as_py())
+        return TEMPER / UNITS * out, letters
 
     def score(batches):
         for b in batches:
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None =
 
     def scored(df: DataFrame) -> DataFrame:
         schema = T.StructType([*(f for f in df.schema.fields if f.name != "__text"), *T.StructType.fromDDL("__s array<double>, __letters boolean").fields])
-        return df.mapInArrow(score, schema)
+        return df.mapInArrow(tidy(score), schema)
 
     n = len(languages)
     said = F.when(F.col("__letters"), F.array_position("__s", F.array_max("__s")).cast("int") - 1)
@@ -189,7 +189,7 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None =
 
     def decide(batches):
         for b in batches:
-            s, letters = scores(text_array(b.column("__text")))
+            s, letters = scores(text_array(b.column("row").field(names.index(text_col)).cast(pa.string())))
             which = [place.get(x, n) for x in b.column("__declared").to_pylist()]
             priors: dict = {}
             best, sure = [], []
@@ -205,9 +205,9 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None =
             kept = letters & (np.array(sure) >= min_posterior)
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(best, pa.string()), pa.array(sure, pa.float64()), pa.array(kept)], names=["row", "lang_id", "lang_posterior", "lang_kept"])
 
-    ready = work.drop("__text").join(hosts, ["__suffix", "__host"], "left").withColumn("__text", F.col("row").getField(text_col).cast("string"))
+    ready = work.drop("__text").join(hosts, ["__suffix", "__host"], "left")
     schema = T.StructType([work.schema["row"], *T.StructType.fromDDL("lang_id string, lang_posterior double, lang_kept boolean").fields])
-    out = ready.mapInArrow(decide, schema)
+    out = ready.mapInArrow(tidy(decide), schema)
     return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "lang_id", "lang_posterior", "lang_kept")
 
 
