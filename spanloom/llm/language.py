@@ -212,12 +212,15 @@ def identify(docs: DataFrame, text_col: str = "text", declared_col: str | None =
 
 
 def page_language(pages: DataFrame, url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
-    """``identify`` for web pages: text without markup, declared language from the html element, host and suffix from the address."""
-    keep = pages.columns
-    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    """``identify`` for web pages: text without markup, declared language from the html element, host and suffix from the
+    address. All columns of ``pages`` stay, whatever their names (lang_id, lang_posterior and lang_kept are replaced);
+    null pages have no text and aren't kept, null addresses no host; repeated rows and ties are as in ``identify``, and an
+    empty table gives no rows."""
+    keep = [c for c in pages.columns if c not in ("lang_id", "lang_posterior", "lang_kept")]
+    html = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))
     text = F.regexp_replace(html, "(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->|<[^>]*>|&\\w+;", " ")
     declared = F.nullif(F.lower(F.regexp_extract(html, "(?is)<html[^>]*\\blang\\s*=\\s*[\"']?([a-zA-Z]{2,3})", 1)), F.lit(""))
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), "^[a-z]+://([^/:?#]+)", 1))
-    df = pages.withColumns({"__t": text, "__d": declared, "__h": host})
-    out = identify(df, "__t", "__d", "__h", **options)
-    return out.select(*[F.col(f"`{c}`") for c in keep if c in out.columns], "lang_id", "lang_posterior", "lang_kept")
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit("")), "^[a-z]+://([^/:?#]+)", 1))
+    df = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page"), text.alias("text"), declared.alias("declared"), host.alias("host"))
+    out = identify(df, "text", "declared", "host", **options)
+    return out.select(*[F.col("page").getField(c).alias(c) for c in keep], "lang_id", "lang_posterior", "lang_kept")
