@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def _forest(edges: DataFrame) -> DataFrame:
             u, v = zip(*rows[i : i + 50_000])
             yield pa.RecordBatch.from_arrays([pa.array(u, kind.field(0).type), pa.array(v, kind.field(1).type)], schema=kind)
 
-    return edges.mapInArrow(run, edges.schema)
+    return edges.mapInArrow(tidy(run), edges.schema)
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:

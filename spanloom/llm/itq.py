@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .components import components
 
 #: Vectors the rotation is learnt from, at most (those with the smallest hashes).
@@ -204,7 +204,7 @@ def _links(nodes: DataFrame, dim: int, cosine: float, bits: int, width: int) ->
                     home[: len(node)] = True
                     yield pa.RecordBatch.from_arrays([pa.array(g[i]), pa.array(np.full(len(i), t, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(home), pa.array(node[i]), pa.array([x.tobytes() for x in code] + [x.tobytes() for x in look[i[len(node) :]]], pa.binary())], names=["g", "t", "bucket", "home", "node", "code"])
 
-    placed = nodes.select("node", "g", "v").mapInArrow(place, "g long, t int, bucket int, home boolean, node long, code binary")
+    placed = nodes.select("node", "g", "v").mapInArrow(tidy(place), "g long, t int, bucket int, home boolean, node long, code binary")
     key = ["g", "t", "bucket"]
 
     def split_hot(df: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def _links(nodes: DataFrame, dim: int, cosine: float, bits: int, width: int) ->
                 rows = t.select([*key, "node"]).filter(pa.array(keep))
                 yield from rows.to_batches()
 
-    looks = hot.repartition(*part_key).sortWithinPartitions(*part_key).mapInArrow(near, "g long, t int, bucket int, node long").distinct().withColumn("home", F.lit(False))
+    looks = hot.repartition(*part_key).sortWithinPartitions(*part_key).mapInArrow(tidy(near), "g long, t int, bucket int, node long").distinct().withColumn("home", F.lit(False))
     looks = materialize(looks, "looks")
     alone = placed.where("home").select(*key, "node", "home")
     busy = looks.select(*key).unionAll(alone.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)).distinct()
@@ -297,7 +297,7 @@ def _links(nodes: DataFrame, dim: int, cosine: float, bits: int, width: int) ->
                 u, v = zip(*links)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array([None] * len(u), pa.int64()), pa.array(v, pa.int64())], names=["a", "n", "b"])
 
-    found = rows.repartition(*full_key).sortWithinPartitions(*full_key).mapInArrow(verify, "a long, n long, b long")
+    found = rows.repartition(*full_key).sortWithinPartitions(*full_key).mapInArrow(tidy(verify), "a long, n long, b long")
     found = materialize(found, "links")
     return found.where("n is not null").select(F.col("a").alias("node"), "n"), found.where("b is not null").select("a", "b")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, new_path
+from .common import materialize, new_path, tidy
 
 #: The base32 alphabet (fixed values).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -109,7 +109,7 @@ def index_warc(path: str, key_type: T.DataType) -> DataFrame:
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=INDEX)
 
-    out = files.mapInArrow(run, "shard string, offset long, length long, key string, url string, digest string, size long, record_type string, refers_to string")
+    out = files.mapInArrow(tidy(run), "shard string, offset long, length long, key string, url string, digest string, size long, record_type string, refers_to string")
     return materialize(out.withColumn("key", F.col("key").cast(key_type)).withColumn("refers_to", F.col("refers_to").cast(key_type)), "warc-index")
 
 
@@ -172,7 +172,7 @@ def read_warc(path: str, index: DataFrame, gap: int = 1 << 16, block: int = 4 <<
                 i = j
 
     schema = T.StructType([*src.schema.fields, *T.StructType.fromDDL("payload binary, h_type string, h_digest string, h_refers_to string").fields])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)
 
 
 def _fields(head: bytes) -> dict[bytes, bytes]:
