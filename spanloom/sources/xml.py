@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.codecs import ampersand_decode
-from ..functions.text import normalize, xml_escape, xml_unescape
+from ..functions.codecs import decode_entities
+from ..functions.text import normalize, xml_escape
 from ..operators.alignment import move_spans, shift_tables
-from ..operators.markup import marked_text, match_tags
+from ..operators.markup import marked_text
 from ..operators.sweep import zip_lists
 
 
 def read(spark: SparkSession, path: str, ann: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(articles, mentions) of files of inline-marked articles, in file and document order."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"))
-    return parse(raw, ann)
+    """(articles, mentions) of files of inline-marked articles, in file and document order.
+
+    Files are split between tasks at ends of articles. An article's number is the count of those in earlier blocks of its
+    file, from a small table of blocks, and its place in the block, so no text is exchanged for it. An article that the
+    file doesn't close goes to its end.
+    """
+    raw = spark.read.option("lineSep", "</article>").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    is_article = F.col("value").rlike("<article[\\s>]")
+    blocks = raw.groupBy("file", "block").agg(F.min("n").alias("n0"), F.count_if(is_article).alias("k"), F.max(F.contains("value", F.lit("<article"))).alias("any"))
+    order = Window.partitionBy("file").orderBy("block")
+    before = F.coalesce(F.sum("k").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "block", "n0", before.alias("before"), F.max("any").over(Window.partitionBy("file")).alias("any"))
+    found = raw.join(blocks, ["file", "block"]).where(is_article | ~F.col("any"))
+    xml = F.when(is_article, F.concat(F.regexp_extract("value", "(?s)<article[\\s>].*$", 0), F.lit("</article>"))).otherwise(F.concat(F.lit("<article>"), F.col("value"), F.lit("</article>")))
+    return _parse(found.select("file", (F.col("before") + F.col("n") - F.col("n0")).cast("int").alias("doc_idx"), xml.alias("xml")), ann)
 
 
 def parse_string(spark: SparkSession, text: str, ann: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -24,53 +42,69 @@ def parse_string(spark: SparkSession, text: str, ann: int = 0) -> tuple[DataFram
     return parse(spark.createDataFrame([("", text)], "file string, value string"), ann)
 
 
-def _attributes(tag: str, *without: str) -> Column:
-    """The attributes of a tag as a map."""
-    pattern = "([A-Za-z_:][A-Za-z0-9_:.-]*)\\s*=\\s*(['\"])(.*?)\\2"
-    names, values = (F.regexp_extract_all(tag, F.lit(pattern), F.lit(i)) for i in (1, 3))
-    pairs = F.transform(F.arrays_zip(names.alias("k"), values.alias("v")), lambda x: F.struct(x["k"].alias("k"), xml_unescape(x["v"]).alias("v")))
-    return F.map_from_entries(F.filter(pairs, lambda x: ~x["k"].isin(*without)))
+_PIECE = re.compile(r"<[^>]+>|[^<]+")
+_MARK = re.compile(r"</?mark\b")
+_ATTRIBUTE = re.compile(r"([A-Za-z_:][A-Za-z0-9_:.-]*)\s*=\s*(['\"])(.*?)\2", re.S)
+_MAP = T.MapType(T.StringType(), T.StringType())
+_MENTION = T.StructType([*(T.StructField(n, T.IntegerType()) for n in ("seq", "m_start", "m_end")), T.StructField("entity", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("min_start", "min_end")), T.StructField("info", _MAP)])
+_ARTICLE = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("info", _MAP), T.StructField("ms", T.ArrayType(_MENTION))])
+
+
+def _attributes(tag: str) -> dict[str, str]:
+    """The attributes of a tag; of repeated names the last."""
+    return {m[1]: decode_entities(m[3]) for m in _ATTRIBUTE.finditer(tag)}
+
+
+def parse_article(xml: str) -> dict:
+    """doc_id, text, info and mentions of one article element. A closing mark belongs to the last open one; marks without an
+    entity (or annotation) are dropped, as are other tags, whose text stays, and marks that aren't closed."""
+    opened = re.match(r"<article[^>]*>", xml)
+    head = _attributes(opened[0]) if opened else {}
+    body = re.sub(r"</article>$", "", xml[opened.end() :] if opened else xml)
+    out, n, stack, found = [], 0, [], []
+    for piece in _PIECE.findall(body):
+        if not piece.startswith("<"):
+            t = decode_entities(piece)
+            t = t.lstrip(" \t\n") if not n else t
+            out.append(t)
+            n += len(t)
+        elif _MARK.match(piece) and not piece.endswith("/>"):
+            if not piece.startswith("</"):
+                stack.append((n, _attributes(piece)))
+            elif stack:
+                start, info = stack.pop()
+                entity = info.get("entity") or info.get("annotation")
+                if entity:
+                    found.append((start, n, entity, info.get("min"), {k: v for k, v in info.items() if k not in ("entity", "min")}))
+    text = "".join(out).rstrip()
+    ms = []
+    for i, (start, end, entity, least, info) in enumerate(found):
+        end = min(end, len(text))
+        start = min(start, end)
+        at = text.find(least, start, end) if least else -1
+        ms.append({"seq": i + 1, "m_start": start, "m_end": end, "entity": entity, "min_start": at if at >= 0 else None, "min_end": at + len(least) if at >= 0 else None, "info": list(info.items())})
+    return {"doc_id": head.get("id", ""), "text": text, "info": [(k, v) for k, v in head.items() if k != "id"], "ms": ms}
+
+
+@F.arrow_udf(_ARTICLE)
+def _parsed(xml: pa.Array) -> pa.Array:
+    return pa.array([parse_article(x) for x in xml.to_pylist()], to_arrow_type(_ARTICLE))
 
 
 def parse(raw: DataFrame, ann: int) -> tuple[DataFrame, DataFrame]:
-    """Split into articles, normalise white space, cut tags from text and turn marks into character spans.
-
-    A text without an article tag is one article. Marks have an entity (or annotation) attribute; others are dropped, as are
-    unknown tags, whose text stays. Spans are clamped to the trimmed text; seq is the closing order. info has the other
-    attributes of articles (without id) and marks (without entity and min).
-    """
+    """(articles, mentions) of texts (file, value) that each hold a whole file; one without an article tag is one article."""
     found = F.regexp_extract_all("value", F.lit("(?s)<article[\\s>].*?</article>"), F.lit(0))
     whole = F.array(F.concat(F.lit("<article>"), F.col("value"), F.lit("</article>")))
-    art = raw.select("file", F.posexplode(F.when(F.col("value").contains("<article"), found).otherwise(whole)).alias("doc_idx", "xml"))
-    art = art.withColumn("xml", normalize("xml")).withColumn("open", F.regexp_extract("xml", "^<article[^>]*>", 0))
-    art = art.withColumn("doc_id", F.regexp_extract("open", "\\sid\\s*=\\s*(['\"])(.*?)\\1", 2))
-    body = F.regexp_replace(F.regexp_replace("xml", "^<article[^>]*>", ""), "</article>$", "")
-    keys = ["file", "doc_idx"]
-    piece = art.select(*keys, "doc_id", F.posexplode(F.regexp_extract_all(body, F.lit("(?s)<[^>]+>|[^<]+"), F.lit(0))).alias("n", "piece"))
-    is_tag = F.col("piece").startswith("<")
-    piece = piece.withColumn("txt", F.when(is_tag, "").otherwise(ampersand_decode("piece")))
-    order = Window.partitionBy(*keys).orderBy("n")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    blank = F.coalesce(F.max(F.length(F.regexp_replace("txt", "^[ \\t\\n]+", ""))).over(before), F.lit(0)) == 0
-    piece = piece.withColumn("txt", F.when(blank, F.regexp_replace("txt", "^[ \\t\\n]+", "")).otherwise(F.col("txt")))
-    piece = piece.withColumn("off", F.coalesce(F.sum(F.length("txt")).over(before), F.lit(0)).cast("int"))
-    joined = piece.groupBy(*keys, "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "txt"))), lambda x: x.txt), "").alias("text"))
-    articles = art.select(*keys, "doc_id", _attributes("open", "id").alias("info")).join(joined.drop("doc_id"), keys, "left").select(F.lit(ann).alias("ann"), *keys, "doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "\\s+$", "").alias("text"), "info")
-    tags = piece.where(F.col("piece").rlike("^</?mark\\b") & ~F.col("piece").endswith("/>")).withColumn("is_open", ~F.col("piece").startswith("</"))
-    pairs = match_tags(tags.select(*keys, "n", "is_open"), keys)
-    pairs = pairs.join(tags.select(*keys, F.col("n").alias("open_n"), F.col("piece").alias("tag"), F.col("off").alias("m_start")), [*keys, "open_n"]).join(tags.select(*keys, F.col("n").alias("close_n"), F.col("off").alias("m_end")), [*keys, "close_n"])
-
-    def attr(name):
-        return F.nullif(F.regexp_extract("tag", f"\\s{name}\\s*=\\s*(['\"])(.*?)\\1", 2), F.lit(""))
-
-    m = pairs.select(*keys, "close_n", "m_start", "m_end", ampersand_decode(F.coalesce(attr("entity"), attr("annotation"))).alias("entity"), ampersand_decode(attr("min")).alias("min"), _attributes("tag", "entity", "min").alias("info")).where("entity is not null")
-    m = m.join(articles.select(*keys, "text"), keys).withColumn("m_end", F.least("m_end", F.length("text"))).withColumn("m_start", F.least("m_start", "m_end"))
-    at = F.expr("instr(substring(text, m_start + 1, m_end - m_start), min)")
-    m = m.withColumn("at", at).select(
-        F.lit(ann).alias("ann"), *keys, F.row_number().over(Window.partitionBy(*keys).orderBy("close_n")).alias("seq"), "m_start", "m_end", "entity",
-        F.when(F.col("at") > 0, F.col("m_start") + F.col("at") - 1).cast("int").alias("min_start"), F.when(F.col("at") > 0, F.col("m_start") + F.col("at") - 1 + F.length("min")).cast("int").alias("min_end"), "info",
-    )
-    return articles, m
+    return _parse(raw.select("file", F.posexplode(F.when(F.col("value").contains("<article"), found).otherwise(whole)).alias("doc_idx", "xml")), ann)
+
+
+def _parse(art: DataFrame, ann: int) -> tuple[DataFrame, DataFrame]:
+    """Normalise the white space of articles (file, doc_idx, xml), cut tags from text and turn marks into character spans,
+    each article in one pass. Spans are clamped to the trimmed text; seq is the closing order. info has the other
+    attributes of articles (without id) and marks (without entity and min)."""
+    art = art.select(F.lit(ann).alias("ann"), "file", "doc_idx", _parsed(normalize("xml")).alias("a"))
+    articles = art.select("ann", "file", "doc_idx", "a.doc_id", "a.text", "a.info")
+    return articles, art.select("ann", "file", "doc_idx", F.explode("a.ms").alias("m")).select("ann", "file", "doc_idx", "m.*")
 
 
 def lines(articles: DataFrame, mentions: DataFrame, key: str = "doc_idx") -> DataFrame:

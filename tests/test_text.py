@@ -91,6 +91,22 @@ def test_xml_without_articles_and_with_attributes(spark, tmp_path):
     assert sorted(map(str, m2.select(columns).collect())) == sorted(map(str, m.select(columns).collect()))
 
 
+def test_large_xml_files_are_split(spark, tmp_path):
+    """Articles keep their order where a file is read by several tasks."""
+    for name, n in (("a.xml", 300), ("b.xml", 7)):
+        (tmp_path / name).write_text("<articles>\n" + "\n".join(f"<article id='{name}{i}'>text {i} <mark entity='e{i}'>x</mark>{' y' * (i % 50)}</article>" for i in range(n)) + "\n</articles>\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000b")
+    try:
+        articles, m = xml.read(spark, str(tmp_path))
+        assert articles.rdd.getNumPartitions() > 3
+        got = sorted((r.file.rsplit("/", 1)[1], r.doc_idx, r.doc_id) for r in articles.collect())
+        assert got == sorted((name, i, f"{name}{i}") for name, n in (("a.xml", 300), ("b.xml", 7)) for i in range(n))
+        assert m.count() == 307
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_aligned_rewrite(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<articles><article id='1'>say the <mark entity='c'>cat</mark> sat</article><article id='2'>gone <mark entity='d'>x</mark></article></articles>")
     (tmp_path / "b.xml").write_text("<articles><article id='1'>say that the cat sat down</article></articles>")
