@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, text_array, with_fields
+from .common import chunks, materialize, text_array, tidy, with_fields
 from .components import components
-from .words import U, mix, sequence_hashes, split, word_hashes
+from .words import U, mix, parts, sequence_hashes, split, word_hashes
 
 #: Frequent shingles that are ordered last, at most (they only shape the order; any such list gives the same links).
 FREQUENT = 1 << 19
@@ -24,23 +24,31 @@ LARGE = 32
 #: So many of a member's large tokens, the smallest ones, go with each of its rows to avoid writing a pair twice.
 CARRIED = 12
 SKETCH = 512
-#: Bytes of text that are split and hashed at once (a longer text is taken alone); a worker holds some 50 times that.
+#: Prefix tokens that meet in one task, about; there are at least as many tasks as shuffle partitions.
+BUCKET_TOKENS = 2_000_000
+#: Bytes of text that are split and hashed at once; a worker holds some 50 times that.
 CHUNK = 1 << 19
 #: Sets of at least so many shingles also have a sketch of counts (a byte per hash value), since bits say little of them.
 LONG = 512
 
 
 def _sets(texts: pa.Array, k: int):
-    """(size, key, sorted 48-bit shingle hashes) of every text; an empty set has no key."""
+    """(size, key, sorted 64-bit shingle hashes) of every text; an empty set has no key. A long text is read in parts."""
     for _, part in chunks(text_array(texts), CHUNK):
+        if len(part) == 1 and part.nbytes > 2 * CHUNK:
+            some = [sequence_hashes(word_hashes(split(pa.array([raw]), lower=True)), k) for raw, _ in parts(part[0].as_py().encode("utf-8", "surrogatepass"), CHUNK, k - 1)]
+            x = np.unique(np.concatenate([np.unique(y) for y in some]))
+            if len(x):
+                yield len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest(), x
+                continue
         w = split(part, lower=True)
         h = word_hashes(w)
-        s = sequence_hashes(h, k) >> U(16)
+        s = sequence_hashes(h, k)
         for a, z in zip(w.first.tolist(), w.first[1:].tolist()):
             if a == z:
                 yield 0, None, s[:0]
                 continue
-            x = np.unique(s[a : z - k + 1]) if z - a >= k else mix(sequence_hashes(h[a:z], z - a) + U(z - a)) >> U(16)
+            x = np.unique(s[a : z - k + 1]) if z - a >= k else mix(sequence_hashes(h[a:z], z - a) + U(z - a))
             yield len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest(), x
 
 
@@ -74,7 +82,7 @@ def _frequent(texts: DataFrame, k: int, chunk: int = 4096, least: int = 3) -> tu
                     size = 0
         yield from flush()
 
-    counts = materialize(texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "frequent")
+    counts = materialize(texts.mapInArrow(tidy(run), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "frequent")
     total, least_count = 0, None
     for r in counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).toLocalIterator():
         total += r["n"]
@@ -130,7 +138,7 @@ def _prefixes(src: DataFrame, k: int, num: int, den: int, frequent: tuple[np.nda
             n, key, gid, prefix, sketch, counts = zip(*rows) if rows else ((),) * 6
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(gid, pa.int64()), pa.array(prefix, pa.binary()), pa.array(sketch, pa.binary()), pa.array(counts, pa.binary())], names=["doc_key", "n", "set_key", "gid", "prefix", "sketch", "counts"])
 
-    return src.mapInArrow(run, with_fields(src.schema["doc_key"], "n long, set_key binary, gid long, prefix binary, sketch binary, counts binary"))
+    return src.mapInArrow(tidy(run), with_fields(src.schema["doc_key"], "n long, set_key binary, gid long, prefix binary, sketch binary, counts binary"))
 
 
 def _shared_tokens(prefixes: DataFrame, buckets: int) -> DataFrame:
@@ -203,14 +211,8 @@ def _shared_tokens(prefixes: DataFrame, buckets: int) -> DataFrame:
             yield batch(tok[keep[i : i + 100_000]], gid[keep[i : i + 100_000]])
 
     src = prefixes.where("prefix is not null").select("gid", "prefix")
-    far = src.mapInArrow(outward, "bucket int, tok binary, gid binary, shared binary").repartition(buckets, "bucket").mapInArrow(meet, "tok long, gid long")
-    return src.mapInArrow(direct, "tok long, gid long").unionAll(far).distinct()
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    x = np.zeros((len(raw) // 6, 8), np.uint8)
-    x[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return x.view("<u8").reshape(-1)
+    far = src.mapInArrow(tidy(outward), "bucket int, tok binary, gid binary, shared binary").repartition(buckets, "bucket").mapInArrow(tidy(meet), "tok long, gid long")
+    return src.mapInArrow(tidy(direct), "tok long, gid long").unionAll(far).distinct()
 
 
 def _near(n1, n2, s1, s2, num: int, den: int) -> np.ndarray:
@@ -235,7 +237,7 @@ def _likely(pairs: DataFrame, light: DataFrame, num: int, den: int) -> DataFrame
             ok = _near(b.column(2).to_numpy(), b.column(3).to_numpy(), _sketches(b.column(4)), _sketches(b.column(5)), num, den)
             yield b.select([0, 1]).filter(pa.array(ok))
 
-    return joined.mapInArrow(maybe, "a binary, b binary")
+    return joined.mapInArrow(tidy(maybe), "a binary, b binary")
 
 
 def _sift(pairs: DataFrame, long: DataFrame, num: int, den: int) -> DataFrame:
@@ -255,7 +257,7 @@ def _sift(pairs: DataFrame, long: DataFrame, num: int, den: int) -> DataFrame:
                 ok[at] = differ * (den + num) <= (den - num) * (both.column(2).to_numpy(zero_copy_only=False) + both.column(3).to_numpy(zero_copy_only=False))
             yield b.select([0, 1]).filter(pa.array(ok))
 
-    return joined.mapInArrow(run, "a binary, b binary")
+    return joined.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _fetch(src: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -270,12 +272,12 @@ def _fetch(src: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             for n, key, x in _sets(b.column(1), k):
                 if n and key not in seen and (keys is None or key in keys):
                     seen.add(key)
-                    rows.append((key, x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()))
+                    rows.append((key, x.tobytes()))
             if rows:
                 key, raw = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(raw, pa.binary())], names=["set_key", "shingles"])
 
-    found = src.mapInArrow(run, "set_key binary, shingles binary")
+    found = src.mapInArrow(tidy(run), "set_key binary, shingles binary")
     return (found if few else found.join(wanted, "set_key", "left_semi")).dropDuplicates(["set_key"])
 
 
@@ -287,14 +289,14 @@ def _exact(likely: DataFrame, fetched: DataFrame, num: int, den: int) -> DataFra
         for b in batches:
             keep = []
             for ra, rb in zip(b.column(2), b.column(3)):
-                x, y = _unpack(ra.as_py()), _unpack(rb.as_py())
+                x, y = (np.frombuffer(r.as_py(), np.uint64) for r in (ra, rb))
                 both = np.concatenate([x, y])
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
                 keep.append(same * den >= num * (len(x) + len(y) - same))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "xa", "xb").mapInArrow(exact, "a binary, b binary")
+    return both.select("a", "b", "xa", "xb").mapInArrow(tidy(exact), "a binary, b binary")
 
 
 def _with_tokens(blocks: DataFrame) -> DataFrame:
@@ -306,7 +308,7 @@ def _with_tokens(blocks: DataFrame) -> DataFrame:
             names = ["tok", "lo", "hi", "blk", "set_key", "comp", "n", "sketch"]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(toks, pa.binary())], names=[*names, "toks"])
 
-    return blocks.mapInArrow(run, "tok long, lo int, hi int, blk int, set_key binary, comp long, n long, sketch binary, toks binary")
+    return blocks.mapInArrow(tidy(run), "tok long, lo int, hi int, blk int, set_key binary, comp long, n long, sketch binary, toks binary")
 
 
 def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
@@ -384,7 +386,7 @@ def _cross_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
         if held is not None and held.num_rows:
             yield from compare(held)
 
-    return members.mapInArrow(run, "a binary, b binary")
+    return members.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -392,19 +394,20 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def components_of_sets(src: DataFrame, rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(node, comp) of the sets that link with others; ``rows`` are the documents' prefixes.
+    """(node, comp) of the sets; ``rows`` are the documents' prefixes.
 
     1. Sets with the same prefix and size form a group. Prefix tokens held by one group only are dropped.
     2. Each group's members are compared with its first, and each group with one of a similar size per token: a linear
        number of pairs, which joins most of a large family of near copies.
     3. Within each token (and each group), all members in different components are compared, in bounded blocks: no link
        is lost, and families that are one component already cost nothing. Of the pairs between the same two components
-       one is verified first, and then all that still lie between different ones.
+       one is verified first, and then all between components that this has not joined.
     """
     spark = src.sparkSession
     members = rows.where("prefix is not null").select("set_key", "gid", "n", "sketch", "counts").dropDuplicates(["set_key"])
     members = materialize(members, "members")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tokens = rows.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)).alias("n")).collect()[0]["n"] // 8
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
     shared = materialize(_shared_tokens(rows, buckets), "shared")
     groups = materialize(members.groupBy("gid").agg(F.min("set_key").alias("leader"), F.first("n").alias("n"), F.count(F.lit(1)).alias("m")), "groups")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int").alias("band")
@@ -437,15 +440,18 @@ def components_of_sets(src: DataFrame, rows: DataFrame, k: int, num: int, den: i
     if more.count():
         fetched = fetched.unionAll(materialize(_fetch(src, more, k), "fetched", "none"))
     node = own.select("set_key", "comp")
-    met = cross.join(node.toDF("a", "ca"), "a").join(node.toDF("b", "cb"), "b").groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"))
-    one = materialize(met.agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "pairs")
-    links = first.unionAll(materialize(_exact(one, fetched, num, den), "links"))
-    comp = materialize(components(links), "components")
-    rest = cross.join(one, ["a", "b"], "left_anti").join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
-    rest = materialize(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "pairs")
-    if not rest.count():
-        return comp
-    return components(links.unionAll(materialize(_exact(rest, fetched, num, den), "links")))
+    met = cross.join(node.toDF("a", "ca"), "a").join(node.toDF("b", "cb"), "b").select("a", "b", F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"))
+    met = materialize(met, "pairs")
+    one = materialize(met.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("x", "y", "p.a", "p.b"), "pairs")
+    joined = materialize(one.join(_exact(one.select("a", "b"), fetched, num, den), ["a", "b"], "left_semi").select(F.col("x").alias("a"), F.col("y").alias("b")), "links")
+    wider = materialize(components(joined), "components")  # of components
+    still = one.select("x", "y").join(wider.toDF("x", "cx"), "x", "left").join(wider.toDF("y", "cy"), "y", "left")
+    still = still.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select("x", "y")
+    rest = materialize(met.join(still, ["x", "y"], "left_semi").join(one.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    if rest.count():
+        more = rest.join(_exact(rest.select("a", "b"), fetched, num, den), ["a", "b"], "left_semi").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        wider = materialize(components(joined.unionAll(materialize(more, "links"))), "components")
+    return node.join(wider.toDF("comp", "wider"), "comp", "left").select(F.col("set_key").alias("node"), F.coalesce("wider", "comp").alias("comp"))
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
