@@ -136,3 +136,31 @@ def multimap(df: DataFrame, keys: list[str], value: str, distinct: bool = False)
 def keys_by_count(counted: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of ``counts``, the most frequent first and of equal ones the smaller key."""
     return counted.orderBy(F.desc("cnt"), *keys)
+
+
+def value_or(pairs: Column | str, key, default) -> Column:
+    """The value of a key, the default where the map lacks it or has null."""
+    return F.coalesce(F.try_element_at(col(pairs), key if isinstance(key, Column) else F.lit(key)), F.lit(default))
+
+
+def greatest_value(pairs: Column | str) -> Column:
+    return F.array_max(F.map_values(col(pairs)))
+
+
+def compare(a: Column | str, b: Column | str) -> Column:
+    """-1, 0 or 1; nulls are equal to each other and come before everything else."""
+    a, b = col(a), col(b)
+    return F.when(a.eqNullSafe(b), 0).when(a.isNull(), -1).when(b.isNull(), 1).when(a < b, -1).otherwise(1)
+
+
+def compare_tuples(pairs: list[tuple]) -> Column:
+    """``compare`` of the first of several pairs of values that aren't equal."""
+    out = F.lit(0)
+    for a, b in reversed(pairs):
+        out = F.when(compare(a, b) != 0, compare(a, b)).otherwise(out)
+    return out
+
+
+def element(values: Column | str, i: int) -> Column:
+    """The element at a place from 0, from the end if negative, null where there is none."""
+    return F.get(col(values), F.lit(i)) if i >= 0 else F.try_element_at(col(values), F.lit(i))

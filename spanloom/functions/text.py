@@ -115,11 +115,32 @@ def common_suffix(a: Column | str, b: Column | str) -> Column:
     return common_prefix(F.reverse(col(a)), F.reverse(col(b)))
 
 
+def overlap_length(a: str, b: str) -> int:
+    """Length of the longest suffix of ``a`` that is a prefix of ``b``, in time linear in the shorter text."""
+    n = min(len(a), len(b))
+    a, b = a[len(a) - n :], b[:n]
+    border, k = [0] * n, 0  # the longest proper prefix of b that ends at each place too
+    for i in range(1, n):
+        while k and b[k] != b[i]:
+            k = border[k - 1]
+        k += b[k] == b[i]
+        border[i] = k
+    k = 0
+    for x in a:
+        while k and (k == n or b[k] != x):
+            k = border[k - 1]
+        k += k < n and b[k] == x
+    return k
+
+
+@F.arrow_udf(T.IntegerType())
+def _overlaps(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else overlap_length(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+
+
 def common_overlap(a: Column | str, b: Column | str) -> Column:
     """Length of the longest suffix of ``a`` that is a prefix of ``b``."""
-    a, b = col(a), col(b)
-    n = F.least(F.length(a), F.length(b))
-    return F.array_max(F.filter(F.sequence(F.lit(0), n), lambda k: F.right(a, k) == F.left(b, k)))
+    return _overlaps(col(a).cast("string"), col(b).cast("string"))
 
 
 def capitalize(c: Column | str) -> Column:

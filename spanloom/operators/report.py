@@ -70,14 +70,14 @@ def _assemble(gold: int, line_breaks: bool):
     return assemble
 
 
-def contents(docs: DataFrame, nested: DataFrame, names: DataFrame, annotators: list[int], keys: list[str], gold: int = 0, line_breaks: bool = False, info: DataFrame | None = None) -> DataFrame:
+def contents(docs: DataFrame, nested: DataFrame, names: DataFrame, annotators: list[int], keys: list[str], gold: int = 0, line_breaks: bool = False, info: DataFrame | None = None, hidden: tuple[str, ...] = ()) -> DataFrame:
     """keys and ``content``: the segments of a text in order, those with an entity as marks.
 
     ``docs`` has keys and text, ``nested`` the mentions (see ``sweep.nest``), ``names`` keys, ann, entity, label and short,
     ``info`` (if given) keys, ann, seq and a map of further attributes. A document without mentions gets its escaped text;
     a null text is empty. With ``line_breaks`` up to three line feeds become a break.
     """
-    rows = sweep.cells(nested, annotators, keys, gold).join(names, [*keys, "ann", "entity"], "left")
+    rows = sweep.cells(nested, annotators, keys, gold, hidden).join(names, [*keys, "ann", "entity"], "left")
     further = F.lit("")
     if info is not None:
         rows = rows.join(info.select(*keys, "ann", "seq", "info"), [*keys, "ann", "seq"], "left")

@@ -62,14 +62,17 @@ class _Layout:
         ends = np.cumsum(n)
         return np.repeat(self.order, n), np.repeat(self.lo + skip - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
 
-    def best(self, annotators: np.ndarray) -> np.ndarray:
-        """The principal mention of each segment and annotator, -1 without one: the last candidate in span order."""
+    def best(self, annotators: np.ndarray, hidden: tuple[str, ...] = ()) -> np.ndarray:
+        """The principal mention of each segment and annotator, -1 without one: the last candidate in span order. One with a
+        hidden entity counts as none, and no other takes its place."""
         out = np.full((len(self.bound), len(annotators)), -1, np.int64)
         mention, seg = self.pairs(1)
         if len(annotators):
             place = np.minimum(np.searchsorted(annotators, self.ann[mention]), len(annotators) - 1)
             ok = annotators[place] == self.ann[mention]
             out[seg[ok], place[ok]] = mention[ok]
+        if hidden:
+            out[np.append(pc.fill_null(pc.is_in(self.entity, value_set=pa.array(hidden)), False).to_numpy(zero_copy_only=False), False)[out]] = -1
         return out
 
 
@@ -140,12 +143,13 @@ def principals(nested: DataFrame, keys: list[str]) -> DataFrame:
     return _pass(nested, keys, {**_SEGMENT, "ann": _INT, "entity": _STRING, "m_start": _INT, "m_end": _INT}, make)
 
 
-def wide(nested: DataFrame, annotators: list[int], keys: list[str]) -> DataFrame:
-    """keys, seg_idx, s, e and p<annotator>, the entity of each annotator's principal mention, of every segment."""
+def wide(nested: DataFrame, annotators: list[int], keys: list[str], hidden: tuple[str, ...] = ()) -> DataFrame:
+    """keys, seg_idx, s, e and p<annotator>, the entity of each annotator's principal mention (null for a hidden entity), of
+    every segment."""
     known = np.array(sorted(annotators))
 
     def make(x: _Layout):
-        best = x.best(known)
+        best = x.best(known, hidden)
         return x.doc, [*(_int(v) for v in (x.seg_idx, x.s, x.e)), *(x.entity.take(pa.array(best[:, i], mask=best[:, i] < 0)) for i in range(len(known)))]
 
     return _pass(nested, keys, {**_SEGMENT, **{f"p{a}": _STRING for a in known.tolist()}}, make)
@@ -156,9 +160,9 @@ def evaluation(gold: Column, other: Column) -> Column:
     return F.when(gold.isNull() & other.isNull(), "").when(other.isNull(), "missing").when(gold.isNull(), "toomuch").when(gold == other, "correct").otherwise("wrong")
 
 
-def marks(nested: DataFrame, annotators: list[int], keys: list[str], gold: int = 0) -> DataFrame:
+def marks(nested: DataFrame, annotators: list[int], keys: list[str], gold: int = 0, hidden: tuple[str, ...] = ()) -> DataFrame:
     """A row per segment and other annotator: gold_entity, entity, eval, and split (the annotators' labels differ)."""
-    rows = wide(nested, [gold, *annotators], keys)
+    rows = wide(nested, [gold, *annotators], keys, hidden)
     labels = F.array(*[F.struct(F.lit(a).alias("ann"), F.col(f"p{a}").alias("entity"), evaluation(F.col(f"p{gold}"), F.col(f"p{a}")).alias("eval")) for a in annotators])
     split = F.lit(False)
     for a in annotators[1:]:
@@ -187,7 +191,7 @@ def chain_marks(nested: DataFrame, keys: list[str]) -> DataFrame:
 _LABELS = ("", "correct", "wrong", "missing", "toomuch")
 
 
-def cells(nested: DataFrame, annotators: list[int], keys: list[str], gold: int = 0) -> DataFrame:
+def cells(nested: DataFrame, annotators: list[int], keys: list[str], gold: int = 0, hidden: tuple[str, ...] = ()) -> DataFrame:
     """A row per segment and annotator, the gold one included: seg_idx, s, e, ann, entity and seq of the principal mention,
     eval against gold (the empty string for gold), and how many mentions start where the segment starts (``before``) and end
     where it ends (``after``); these are null where no mention of the annotator is listed, and in the first segment
@@ -197,7 +201,7 @@ def cells(nested: DataFrame, annotators: list[int], keys: list[str], gold: int =
     at_gold = int(np.searchsorted(known, gold))
 
     def make(x: _Layout):
-        best = x.best(known)
+        best = x.best(known, hidden)
         codes = x.entity.dictionary_encode().indices.to_numpy(zero_copy_only=False)
         code = np.where(best >= 0, codes[best], -1) if len(codes) else np.full(best.shape, -1)
         g = code[:, [at_gold]]

@@ -13,6 +13,8 @@ from ..operators import chains, markup, report, scores, sweep
 from ..sources import xml
 
 KEY = ["doc_idx"]
+#: Entities that are never principal, also where mentions without an entity are kept (fixed value).
+HIDDEN = ("--OOKBE--",)
 
 
 @dataclass
@@ -36,7 +38,7 @@ class Comparison:
     @cached_property
     def marks(self) -> DataFrame:
         """A row per segment and other annotator (see ``sweep.marks``)."""
-        return sweep.marks(self.nested, self.others, KEY)
+        return sweep.marks(self.nested, self.others, KEY, hidden=HIDDEN)
 
     @cached_property
     def chains(self) -> DataFrame:
@@ -80,7 +82,7 @@ class Comparison:
         """doc_idx and ``article``, the XML report of each article, with its metrics block."""
         names = self.entity_names(human_readable, short)
         info = self.shown.select(*KEY, "ann", "seq", "info").where(F.size("info") > 0)
-        body = report.contents(self.articles, self.nested, names, self.others, KEY, line_breaks=line_breaks, info=info)
+        body = report.contents(self.articles, self.nested, names, self.others, KEY, line_breaks=line_breaks, info=info, hidden=HIDDEN)
         body = body.join(report.entity_lists(names, KEY), KEY, "left").join(self.articles.select("doc_idx", "doc_id"), KEY)
         block = F.lit("")
         if metrics:

@@ -22,3 +22,8 @@ def count_all_lines(spark: SparkSession, folder: str, extension: str) -> DataFra
     """file and n: lines of every file below the folder whose name ends with the extension."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{extension}").text(folder)
     return raw.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def write(rows: DataFrame, column: str, path: str) -> None:
+    """A line for each row; null rows are empty lines."""
+    rows.select(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("value")).write.text(path)

@@ -151,6 +151,13 @@ def test_sets_and_counters(spark):
     assert {k: sorted(v) for k, v in collections.multimap(pairs, ["k"], "v").collect()} == {"a": [1, 7], "b": [5]}
 
 
+def test_comparisons_and_defaults(spark):
+    df = spark.createDataFrame([(1, 2, "x", {"k": 1}, [4, 5]), (None, 2, "y", {"k": None}, []), (None, None, None, None, [7]), (3, 2, "z", {"j": 9}, None)], "a int, b int, s string, m map<string,int>, l array<int>")
+    assert [r[0] for r in df.select(collections.compare("a", "b")).collect()] == [-1, -1, 0, 1]
+    assert [r[0] for r in df.select(collections.compare_tuples([("b", "b"), ("a", "b"), (F.lit(2), F.lit(1))])).collect()] == [-1, -1, 1, 1]
+    assert [tuple(r) for r in df.select(collections.value_or("m", "k", 0), collections.greatest_value("m"), collections.element("l", 0), collections.element("l", -1)).collect()] == [(1, 1, 4, 5), (0, None, None, None), (0, None, 7, 7), (0, 9, None, None)]
+
+
 def test_lines(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "a.txt").write_text("x\ny\n", encoding="utf-8")
@@ -160,3 +167,5 @@ def test_lines(spark, tmp_path):
     assert {r.file.rsplit("/", 1)[1]: r.n for r in lines.count_all_lines(spark, str(tmp_path), ".txt").collect()} == {"a.txt": 2, "b.txt": 2}
     assert [r.value for r in lines.lines(spark, str(tmp_path / "d" / "b.txt")).collect()] == ["é", "z"]
     assert [r.value for r in lines.lines(spark, str(tmp_path / "d" / "c.log"), "ISO-8859-1").collect()] == ["é", "z"]
+    lines.write(spark.createDataFrame([("a",), (None,), ("b",)], "v string").coalesce(1), "v", str(tmp_path / "out"))
+    assert [r.value for r in lines.lines(spark, str(tmp_path / "out")).collect()] == ["a", "", "b"]

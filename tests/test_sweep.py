@@ -52,6 +52,13 @@ def test_labels(spark):
     assert [r.x for r in df.collect()] == ["correct", "missing", "toomuch", "wrong", ""]
 
 
+def test_hidden_entities_leave_a_gap(spark):
+    nested = _run(spark, [(0, 0, 10, "x"), (0, 2, 5, "--OOKBE--"), (1, 0, 10, "x")], 10)
+    got = {(r.s, r.e): r.eval for r in sweep.marks(nested, [1], ["doc_id"], hidden=("--OOKBE--",)).where("e > s").collect()}
+    assert got == {(0, 2): "correct", (2, 5): "toomuch", (5, 10): "correct"}
+    assert {(r.s, r.eval) for r in sweep.cells(nested, [1], ["doc_id"], hidden=("--OOKBE--",)).where("ann = 1 and e > s").collect()} == {(0, "correct"), (2, "toomuch"), (5, "correct")}
+
+
 def test_gold_against_itself(spark):
     rows = [(a, 0, 10, "x") for a in (0, 1)] + [(a, 3, 6, "y") for a in (0, 1)]
     got = sweep.marks(_run(spark, rows, 20), [1], ["doc_id"])

@@ -205,6 +205,12 @@ def test_assignment():
         assert abs(chains.assign(v) - best) < 1e-9
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab", max_size=12), st.text("ab", max_size=12))
+def test_overlap(a, b):
+    assert tx.overlap_length(a, b) == max(k for k in range(min(len(a), len(b)) + 1) if a[len(a) - k :] == b[:k])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("ab c", max_size=40), st.text("ab c", max_size=40))
 def test_diff(a, b):
