@@ -12,6 +12,8 @@ from .components import components
 
 #: Vectors the rotation is learnt from, at most (those with the smallest hashes).
 MAX_FIT = 20_000
+#: Bits of a table at most; a table has about as many buckets as there are vectors with a label and dimension.
+WIDEST = 16
 #: Members of one bucket that are compared in one block.
 BLOCK = 2048
 #: Steps of the coarse squares that a looking vector may spend on the bits in which a member differs.
@@ -154,7 +156,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, bits: int = 64, id
     parts = []
     for dim, largest in sorted((r["dim"], r["n"]) for r in stats):
         here = classes.where(F.col("dim") == dim)
-        parts.append(_links(here, dim, cosine, min(bits, dim), width or int(np.clip(round(np.log2(max(largest, 2))), 6, 13))))
+        parts.append(_links(here, dim, cosine, min(bits, dim), width or int(np.clip(round(np.log2(max(largest, 2))), 6, WIDEST))))
     spark = vectors.sparkSession
     if parts:
         counts, edges = parts[0]
@@ -187,10 +189,12 @@ def _links(nodes: DataFrame, dim: int, cosine: float, bits: int, width: int) ->
         full[:, : raw.shape[1]] = raw
         return full
 
+    step = max(16, (1 << 22) >> max(b - a for a, b in codes.tables))  # what a look at all buckets takes is 32 MB
+
     def place(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
                 sign, square = codes.project(_vectors(part.column(2)))
                 node, g = part.column(0).to_numpy(), part.column(1).to_numpy()
                 code = packed(sign)
