@@ -109,9 +109,9 @@ class Code:
         self.length = np.array([len(p) for p in paths])
         self.first = np.concatenate([[0], np.cumsum(self.length)])
         flat = [x for p in paths for x in p]
-        self.node = np.array([x for x, _ in flat], np.int64)
-        self.bit = np.array([b for _, b in flat], np.int64)
-        self.depth = np.array([i for p in paths for i in range(len(p))], np.int64)
+        self.node = np.array([x for x, _ in flat], np.int32)
+        self.bit = np.array([b for _, b in flat], np.int8)
+        self.depth = np.array([i for p in paths for i in range(len(p))], np.int32)
         self._node_hash = self.node.astype(np.uint64) * U(0xD6E8FEB86659FD93)
 
     def numbers(self, distinct: pa.Array) -> np.ndarray:
@@ -143,7 +143,7 @@ class Code:
 
 
 def _squash(x):
-    return 1 / (1 + np.exp(-np.clip(x, -18, 18)))
+    return 1 / (1 + np.exp(np.clip(-x, -18, 18)))
 
 
 def _odds(c0, c1):
@@ -172,29 +172,26 @@ class Mixer:
         self.refine = np.repeat(_squash(np.linspace(-8, 8, 33))[None, :], depth, axis=0)
         self.seen_w, self.seen_refine = np.zeros(code.nodes, np.int64), np.zeros(self.refine.shape, np.int64)
 
-    def mixed(self, at, slots, own: np.ndarray | bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """The predictors' odds, the mixed odds and the node of every bit."""
+    def mixed(self, at, slots, own: bool) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """The predictors' odds, the mixed odds, the node and the value of every bit."""
         node, bit = self.code.node[at], self.code.bit[at]
-        if own is True:
+        if own:
             x = [self.own[k][2 * slots[k] + bit] for k in range(CONTEXTS)]
-        elif own is False:
-            x = [self.plain[k][slots[k]] for k in range(CONTEXTS)]
         else:
-            x = [np.where(own, self.own[k][2 * slots[k] + bit], self.plain[k][slots[k]]) for k in range(CONTEXTS)]
+            x = [self.plain[k][slots[k]] for k in range(CONTEXTS)]
         x.append(self.order0[node])
-        w = self.w[node].astype(np.float32)
-        dot = w[:, 0] * x[0]
+        w = np.ascontiguousarray(self.w.T, np.float32)
+        dot = w[0][node] * x[0]
         for k in range(1, CONTEXTS + 1):
-            dot += w[:, k] * x[k]
-        return x, dot, node
+            dot += w[k][node] * x[k]
+        return x, dot, node, bit
 
     def learn(self, at, slots):
         """One online pass in small steps. What a step's bits say of a node or a cell is taken together."""
         nodes = self.code.nodes
         for i in range(0, len(at), STEP):
             s = slice(i, i + STEP)
-            bit = self.code.bit[at[s]]
-            x, dot, node = self.mixed(at[s], [k[s] for k in slots], True)
+            x, dot, node, bit = self.mixed(at[s], [k[s] for k in slots], True)
             error = bit - _squash(dot)
             n = np.bincount(node, minlength=nodes)
             rate = RATE / np.maximum(1, n / 16)
@@ -211,17 +208,17 @@ class Mixer:
             self.seen_refine += m.reshape(self.refine.shape)
         self.refine = np.clip(self.refine, 1e-4, 1 - 1e-4)
 
-    def log10(self, at, slots, own: np.ndarray | bool = False) -> np.ndarray:
+    def log10(self, at, slots, own: bool = False) -> np.ndarray:
         """log10 probability of every bit."""
-        _, dot, _ = self.mixed(at, slots, own)
+        _, dot, _, bit = self.mixed(at, slots, own)
         pos = np.clip((dot + 8) * 2, 0, 31.999)
-        lo = pos.astype(np.int64)
-        f = pos - lo
+        lo = pos.astype(np.int32)
         cell = self.code.depth[at] * 33 + lo
-        flat = self.refine.ravel()
-        fine = flat[cell] * (1 - f) + flat[cell + 1] * f
+        flat = self.refine.ravel().astype(np.float32)
+        low = flat[cell]
+        fine = low + (flat[cell + 1] - low) * (pos - lo)
         p = np.clip((_squash(dot) + fine) / 2, 1e-6, 1 - 1e-6)
-        return np.log10(np.where(self.code.bit[at] == 1, p, 1 - p))
+        return np.log10(np.where(bit == 1, p, 1 - p).astype(np.float64))
 
 
 def _pieces(rows):
@@ -468,11 +465,12 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "do
         for b in batches:
             s = np.zeros(b.num_rows)
             own = ~b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for row, ids, first, lead in _pieces(_token_ids(b.column(1))):
-                token, at, slots = mixer.code.bits(ids, first, lead)
-                if len(token):
-                    doc = np.repeat(row, np.diff(first))[token]
-                    s += np.bincount(doc, mixer.log10(at, slots, own[doc]), minlength=b.num_rows)
+            every = _token_ids(b.column(1))
+            for kind in (True, False):
+                for row, ids, first, lead in _pieces([x for x in every if own[x[0]] == kind]):
+                    token, at, slots = mixer.code.bits(ids, first, lead)
+                    if len(token):
+                        s += np.bincount(np.repeat(row, np.diff(first))[token], mixer.log10(at, slots, kind), minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(s)], names=["row", *b.schema.names[2:], "s"])
 
     whole = rows.select("row", "ids", "held_out", "doc_key", "n_tokens", "n_known", "base", "inner", "bytes")
