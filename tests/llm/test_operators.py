@@ -171,6 +171,18 @@ def test_embeddings_of_one_family(spark, share):
     assert want.sum() > 1000 and [got[i] for i in range(len(x))] == want.tolist()
 
 
+@pytest.mark.parametrize("dim,noise", [(8, 0.05), (64, 0.017), (3, 0.1), (300, 0.008)])
+def test_embeddings_around_one_direction(spark, dim, noise):
+    """Vectors close to one direction, as embeddings with a strong mean are, in few and in many dimensions: no link is lost."""
+    r = np.random.default_rng(dim)
+    x = r.normal(size=dim)
+    x = x / np.linalg.norm(x) + noise * r.normal(size=(300, dim))
+    u = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    want = (u @ u.T >= 0.98).sum(axis=1) - 1
+    got = {z.vec_id: z.n_links for z in itq.near_duplicates(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    assert want.sum() > 1000 and [got[i] for i in range(len(x))] == want.tolist()
+
+
 def _overlap(doc, item, min_overlap=13, share=0.2):
     """The best overlap of a document and an item by comparing words at every place of every mask."""
     n = len(item)
