@@ -90,7 +90,8 @@ class _Sides:
         entity = columns[4].dictionary_encode()
         code = pc.fill_null(entity.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
         doc = np.repeat(np.arange(len(count)), count)
-        _, span = np.unique(np.stack([doc, start, end]), axis=1, return_inverse=True)
+        place = np.unique(doc * (int(start.max(initial=0)) + 1) + start, return_inverse=True)[1]
+        span = place * (int((end - start).max(initial=0)) + 1) + end - start
         self.n_docs = len(count)
         sides = [np.flatnonzero((ann == a) & (code >= 0)) for a in (gold, other)]
         self.size, self.doc, chain = [], [], []

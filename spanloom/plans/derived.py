@@ -7,10 +7,15 @@ fourth entity and has every other phrase. Annotator 2 takes tokens of 5 or more
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import token_arrays, tokens
+from ..operators.sweep import MENTION
 
 KEYS = ["doc_id"]
 
@@ -19,29 +24,50 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id and text. A table in fewer files than there are cores is dealt out to all of them, since all its rows may lie
+    in one row group, which only one task can read."""
+    docs = table(spark, d, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    few = len(docs.inputFiles()) < cores
+    docs = docs.select("doc_id", "text")
+    return docs.repartition(2 * cores) if few else docs
+
+
 def derived_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return tokens(table(spark, d, "documents"))
+    return tokens(documents(spark, d))
 
 
 def mention_arrays(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, text, n_chars, toks and ms (array of ann, seq, m_start, m_end, entity) of every text that isn't null."""
-    docs = table(spark, d, "documents").where("text is not null")
+    docs = documents(spark, d).where("text is not null")
     docs = docs.select("doc_id", "text", F.length("text").alias("n_chars"), token_arrays(F.col("text")).alias("toks"))
-
-    def entries(t, i):
-        n, two, phrase_end = F.length(t.word), F.lower(F.left(t.word, F.lit(2))), F.get(F.col("toks"), i + 2).tok_end
-        phrase = F.concat(F.lit("P"), (i % 5).cast("string"))
-
-        def entry(ann, when, end, entity, seq):
-            return F.when(when, F.struct(F.lit(ann).alias("ann"), seq.cast("int").alias("seq"), t.tok_start.alias("m_start"), end.alias("m_end"), entity.alias("entity")))
-
-        return F.array(
-            entry(0, n >= 6, t.tok_end, two, i), entry(0, (i % 7 == 0) & phrase_end.isNotNull(), phrase_end, phrase, i + 1000000),
-            entry(1, (n >= 6) & (i % 11 != 0), t.tok_end, F.when(i % 4 == 0, F.lower(F.left(t.word, F.lit(1)))).otherwise(two), i), entry(1, (i % 14 == 0) & phrase_end.isNotNull(), phrase_end, phrase, i + 1000000),
-            entry(2, n >= 5, t.tok_end, two, i),
-        )
-
-    return docs.select("doc_id", "text", "n_chars", "toks", F.array_compact(F.flatten(F.transform("toks", entries))).alias("ms"))
+    return docs.select("doc_id", "text", "n_chars", "toks", _annotate(F.col("toks")).alias("ms"))
+
+
+_MENTION = T.StructType([*(T.StructField(n, T.IntegerType()) for n in MENTION[:4]), T.StructField("entity", T.StringType())])
+
+
+@F.arrow_udf(T.ArrayType(_MENTION))
+def _annotate(toks: pa.Array) -> pa.Array:
+    """The mentions of the three annotators of each text, by its tokens in order."""
+    count = pc.fill_null(pc.list_value_length(toks), 0).to_numpy().astype(np.int64)
+    first = np.cumsum(count) - count
+    start, end, word = toks.flatten().flatten()
+    start, end = start.to_numpy(), end.to_numpy()
+    i = np.arange(len(start)) - np.repeat(first, count)
+    n = pc.utf8_length(word).to_numpy()
+    far = i + 2 < np.repeat(count, count)
+    phrase_end = np.where(far, end[np.minimum(np.arange(len(end)) + 2, len(end) - 1)] if len(end) else end, 0)
+    picked = np.stack([n >= 6, (i % 7 == 0) & far, (n >= 6) & (i % 11 != 0), (i % 14 == 0) & far, n >= 5], axis=1)
+    at, kind = np.nonzero(picked)
+    phrase = (kind == 1) | (kind == 3)
+    lower = [pc.utf8_lower(pc.utf8_slice_codeunits(word, 0, k)) for k in (2, 1)]
+    names = pa.concat_arrays([*lower, pa.array([f"P{x}" for x in range(5)])])
+    which = np.where(phrase, 2 * len(word) + i[at] % 5, np.where((kind == 2) & (i[at] % 4 == 0), len(word) + at, at))
+    columns = [np.array([0, 0, 1, 1, 2])[kind], i[at] + np.where(phrase, 1000000, 0), start[at], np.where(phrase, phrase_end[at], end[at])]
+    mentions = pa.StructArray.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), names.take(pa.array(which))], list(MENTION))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.append(first, len(i))).astype(np.int32)), mentions)
 
 
 def nested(spark: SparkSession, d: str, annotators: int = 3, tokens: bool = False, text: bool = False) -> DataFrame:
