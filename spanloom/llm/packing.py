@@ -17,7 +17,7 @@ from .words import _LOWER
 #: Largest count of (task, class) ranks that is sent to every executor (about 24 bytes each); beyond it a shuffle join is used.
 BROADCAST_RANKS = 200_000
 #: Bytes of text whose distinct chunks are encoded together.
-RUN_BYTES = 1 << 22
+RUN_BYTES = 1 << 20
 
 _TOKENIZERS: dict = {}
 _NONE = np.int32(2**31 - 1)
