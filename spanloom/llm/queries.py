@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, itq, jaccard, language, mixing, packing, quality, recompression, secrets, warc
+from . import decontaminate, itq, jaccard, language, lines, mixing, packing, quality, recompression, secrets, warc
 from .common import table
 
 
@@ -76,10 +76,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "lang_id", "lang_posterior", "lang_kept")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.page_language(table(spark, sf_dir, "pages")).select("page_id", "lang_id", "lang_posterior", "lang_kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_benchmark_decontamination, op3_secret_scan, op4_ngram_jaccard, op5_lm_score, op6_quality, op7_substring_dedup, op8_warc, op9_packing, op10_language_id, language_id_pages)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_benchmark_decontamination, op3_secret_scan, op4_ngram_jaccard, op5_lm_score, op6_quality, op7_substring_dedup, op8_warc, op9_packing, op10_language_id, op11_line_dedup, language_id_pages)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_line_dedup": lines.op11_sql()}
