@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, itq, jaccard, language, lines, mixing, packing, quality, recompression, secrets, warc
+from . import decontaminate, itq, jaccard, language, lexical, lines, mixing, negatives, packing, quality, recompression, secrets, warc
 from .common import table
 
 
@@ -81,10 +81,19 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.page_language(table(spark, sf_dir, "pages")).select("page_id", "lang_id", "lang_posterior", "lang_kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_benchmark_decontamination, op3_secret_scan, op4_ngram_jaccard, op5_lm_score, op6_quality, op7_substring_dedup, op8_warc, op9_packing, op10_language_id, op11_line_dedup, language_id_pages)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_benchmark_decontamination, op3_secret_scan, op4_ngram_jaccard, op5_lm_score, op6_quality, op7_substring_dedup, op8_warc, op9_packing, op10_language_id, op11_line_dedup, op12_lexical_search, op13_hard_negatives, language_id_pages)}
 
-ORACLES: dict[str, str] = {"op11_line_dedup": lines.op11_sql()}
+ORACLES: dict[str, str] = {"op11_line_dedup": lines.op11_sql(), "op12_lexical_search": lexical.op12_sql(), "op13_hard_negatives": negatives.op13_sql()}

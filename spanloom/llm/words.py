@@ -90,14 +90,15 @@ def parts(text: bytes, size: int, overlap: int):
         at = cut
 
 
-def split(texts: pa.Array, lower: bool) -> Words:
+def split(texts: pa.Array, lower: bool, separators: np.ndarray = _SPACE) -> Words:
+    """The words of every text: maximal runs of bytes that ``separators`` (256 booleans, ASCII only) doesn't mark."""
     offsets = _offsets(texts).astype(np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
     if lower:
         data = _LOWER[data]
-    inside = ~_SPACE[data]
+    inside = ~separators[data]
     n = len(data)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
