@@ -13,14 +13,28 @@ from ..functions.text import xml_escape
 from .sweep import MENTION
 
 
-def match_tags(tags: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of opening and closing tags (keys, n, is_open): within a depth, the k-th opening belongs to the k-th closing
-    one. Adds open_n, close_n, depth; tags without a partner are left out."""
+def pair_tags(tags: DataFrame, keys: list[str]) -> DataFrame:
+    """Opening and closing tags (keys, n, is_open and any more columns) with ``partner``, the n of the other tag of the pair, and
+    ``depth``, how many tags are open from the opening to the closing one, itself and those that are never closed included.
+
+    A closing tag belongs to the last tag open before it, as on a stack. One that meets no open tag is stray: it has neither partner nor depth,
+    and later tags are matched as if it weren't there. A tag that is never closed has no partner. The height of the
+    stack is the running sum of +1 and -1 above its running minimum (or 0); within one depth, tags without the stray ones then take turns
+    between opening and closing, so a tag's neighbour there is its partner. Both passes sort within the keys, and nothing is joined.
+    """
     w = Window.partitionBy(*keys).orderBy("n")
     level = F.sum(F.when(F.col("is_open"), 1).otherwise(-1)).over(w)
-    t = tags.withColumn("depth", level + F.when(F.col("is_open"), 0).otherwise(1))
-    t = t.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "depth", "is_open").orderBy("n")))
-    return t.where("is_open").select(*keys, "depth", "k", F.col("n").alias("open_n")).join(t.where("not is_open").select(*keys, "depth", "k", F.col("n").alias("close_n")), [*keys, "depth", "k"]).where("close_n > open_n").drop("k")
+    t = tags.withColumn("level", level).withColumn("floor", F.least(F.lit(0), F.min("level").over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    after = F.col("level") - F.col("floor")  # the height, below 0 at a stray tag
+    t = t.withColumn("depth", F.when(F.col("is_open"), after).when(after >= 0, after + 1))
+    beside = Window.partitionBy(*keys, "depth").orderBy("n")
+    partner = F.when(F.col("is_open"), F.lead("n").over(beside)).otherwise(F.lag("n").over(beside))
+    return t.withColumn("partner", F.when(F.col("depth").isNotNull(), partner)).drop("level", "floor")
+
+
+def match_tags(tags: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, depth, open_n, close_n of the pairs of ``pair_tags``."""
+    return pair_tags(tags, keys).where("not is_open and partner is not null").select(*keys, "depth", F.col("partner").alias("open_n"), F.col("n").alias("close_n"))
 
 
 _ESCAPES = {**{n: None for n in (*range(9), 11, 12, *range(14, 32))}, **{ord(k): v for k, v in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\"", "&quot;"), ("'", "&apos;"))}}
@@ -182,26 +196,27 @@ def conll_rows(nested: DataFrame, keys: list[str]) -> DataFrame:
     return src.mapInArrow(run, schema).withColumn("word", word)
 
 
-def _brackets(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Opening and closing brackets of coref cells; all opening ones of a cell come before its closing ones."""
-    item = rows.where("coref <> '-'").select(*keys, "tok_idx", F.posexplode(F.split("coref", "\\|")).alias("i", "item"))
-    item = item.withColumn("num", F.regexp_extract("item", "[0-9]+", 0).cast("int"))
-    opens = item.where(F.col("item").startswith("(")).select(*keys, "num", "tok_idx", F.struct("tok_idx", F.lit(0).alias("x"), "i").alias("n"), F.lit(True).alias("is_open"))
-    closes = item.where(F.col("item").endswith(")")).select(*keys, "num", "tok_idx", F.struct("tok_idx", F.lit(1).alias("x"), "i").alias("n"), F.lit(False).alias("is_open"))
-    return opens, closes
+def bracket_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The chain brackets of coref cells (keys, tok_idx, coref): keys, entity, n (struct of tok_idx, side and place in the cell),
+    is_open, and partner and depth as ``pair_tags`` gives them within an entity.
+
+    A cell is a list joined by '|' of '(e' (opens e), 'e)' (closes e) or '(e)' (both); e is any name without brackets. All
+    opening brackets of a cell come before its closing ones. Null cells and other items have no bracket.
+    """
+    item = rows.where(F.col("coref").rlike("[()]")).select(*keys, "tok_idx", F.posexplode(F.split("coref", "\\|")).alias("i", "item"))
+    name, opens, closes = F.translate("item", "()", ""), F.col("item").startswith("("), F.col("item").endswith(")")
+    sides = F.filter(F.array(F.when(opens, F.lit(0)), F.when(closes, F.lit(1))), lambda x: x.isNotNull())
+    tags = item.select(*keys, name.alias("entity"), "tok_idx", "i", F.explode(sides).alias("side"))
+    return pair_tags(tags.select(*keys, "entity", F.struct("tok_idx", "side", "i").alias("n"), (F.col("side") == 0).alias("is_open")), [*keys, "entity"])
 
 
 def parse_coref(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, num, first_tok, last_tok of every bracket pair in coref cells; a bracket without partner is left out."""
-    opens, closes = _brackets(rows, keys)
-    pairs = match_tags(opens.unionByName(closes), [*keys, "num"])
-    return pairs.select(*keys, "num", F.col("open_n.tok_idx").alias("first_tok"), F.col("close_n.tok_idx").alias("last_tok"))
+    """keys, entity, first_tok, last_tok and ``place`` (of the closing bracket, whose order is that of mentions) of every bracket pair
+    in coref cells; brackets without a partner are left out, and pairs around them are found all the same."""
+    pairs = bracket_pairs(rows, keys).where("not is_open and partner is not null")
+    return pairs.select(*keys, "entity", F.col("partner.tok_idx").alias("first_tok"), F.col("n.tok_idx").alias("last_tok"), F.col("n").alias("place"))
 
 
 def unclosed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, num, tok_idx, is_open of every bracket in coref cells that has no partner."""
-    opens, closes = _brackets(rows, keys)
-    both = opens.unionByName(closes)
-    pairs = match_tags(both, [*keys, "num"])
-    met = pairs.select(*keys, "num", F.explode(F.array(F.struct(F.col("open_n").alias("n"), F.lit(True).alias("is_open")), F.struct(F.col("close_n").alias("n"), F.lit(False).alias("is_open")))).alias("x")).select(*keys, "num", "x.*")
-    return both.join(met, [*keys, "num", "n", "is_open"], "left_anti").select(*keys, "num", "tok_idx", "is_open")
+    """keys, entity, tok_idx, is_open of every bracket in coref cells that has no partner."""
+    return bracket_pairs(rows, keys).where("partner is null").select(*keys, "entity", "n.tok_idx", "is_open")

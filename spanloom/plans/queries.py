@@ -205,9 +205,9 @@ bb AS MATERIALIZED (SELECT bn.*, num FROM bn JOIN nu USING (doc_id, entity)),
 sx AS (SELECT doc_id, first_tok AS tok_idx, num, m_start, m_end, seq, row_number() OVER (PARTITION BY doc_id, first_tok, num ORDER BY m_start, m_end DESC, seq) AS k FROM bb),
 ex AS (SELECT doc_id, last_tok AS tok_idx, num, count(*) AS n_end FROM bb GROUP BY ALL),
 ns AS (SELECT doc_id, tok_idx, num, count(*) AS n_start FROM sx GROUP BY ALL),
-it AS (SELECT doc_id, tok_idx, 0 AS side, m_start::BIGINT AS a, -m_end::BIGINT AS b, seq::BIGINT AS c, '(' || num || CASE WHEN k <= coalesce(n_end, 0) THEN ')' ELSE '' END AS t FROM sx LEFT JOIN ex USING (doc_id, tok_idx, num)
+it AS MATERIALIZED (SELECT doc_id, tok_idx, 0 AS side, m_start::BIGINT AS a, -m_end::BIGINT AS b, seq::BIGINT AS c, '(' || num || CASE WHEN k <= coalesce(n_end, 0) THEN ')' ELSE '' END AS t FROM sx LEFT JOIN ex USING (doc_id, tok_idx, num)
   UNION ALL SELECT doc_id, tok_idx, 1, num, 0, unnest(range(1, (n_end - coalesce(n_start, 0) + 1)::BIGINT)), num || ')' FROM ex LEFT JOIN ns USING (doc_id, tok_idx, num) WHERE n_end > coalesce(n_start, 0)),
-ce AS (SELECT doc_id, tok_idx, string_agg(t, '|' ORDER BY side, a, b, c) AS coref FROM it GROUP BY ALL),
+ce AS MATERIALIZED (SELECT doc_id, tok_idx, string_agg(t, '|' ORDER BY side, a, b, c) AS coref FROM it GROUP BY ALL),
 cl AS (SELECT doc_id, tok_idx, replace(replace(replace(word, '(', '-LBR-'), ')', '-RBR-'), chr(10), ' ↵ ') AS word, coalesce(coref, '-') AS coref FROM tok LEFT JOIN ce USING (doc_id, tok_idx))"""
 
 
@@ -223,7 +223,33 @@ def conll_lines(spark, d):
 @query(sql("SELECT doc_id, num, first_tok, last_tok FROM bb", TOK, MEN, _BND, _CONLL))
 def conll_parse(spark, d):
     """Writing the token table and reading its brackets gives the mentions back."""
-    return markup.parse_coref(_conll(spark, d), KEYS)
+    return markup.parse_coref(_conll(spark, d), KEYS).select("doc_id", F.col("entity").cast("long").alias("num"), "first_tok", "last_tok")
+
+
+#: Every seventh cell with brackets is lost, so that closing and opening brackets stand alone.
+_LOST = "(tok_idx + doc_id) % 7 = 3"
+#: Brackets of what is left, one by one; the stack is followed by the running sum alone: a bracket is closed where the sum first falls below its own.
+_STRAY = f"""br AS (SELECT doc_id, tok_idx, s.side, s.i, replace(replace(s.item, '(', ''), ')', '') AS entity FROM (
+  SELECT doc_id, tok_idx, unnest(list_concat(list_transform(list_filter(ls, lambda x: starts_with(x.item, '(')), lambda x: {{'side': 0, 'i': x.i, 'item': x.item}}), list_transform(list_filter(ls, lambda x: ends_with(x.item, ')')), lambda x: {{'side': 1, 'i': x.i, 'item': x.item}}))) AS s
+  FROM (SELECT doc_id, tok_idx, list_transform(string_split(coref, '|'), lambda x, i: {{'i': i, 'item': x}}) AS ls FROM cl WHERE coref <> '-' AND NOT ({_LOST})))),
+lv AS MATERIALIZED (SELECT *, row_number() OVER w AS n, sum(CASE WHEN side = 0 THEN 1 ELSE -1 END) OVER w AS level FROM br WINDOW w AS (PARTITION BY doc_id, entity ORDER BY tok_idx, side, i)),
+pr AS MATERIALIZED (SELECT a.doc_id, a.entity, a.n AS open_n, min(b.n) AS close_n FROM lv a JOIN lv b ON a.doc_id = b.doc_id AND a.entity = b.entity AND b.level = a.level - 1 AND b.n > a.n WHERE a.side = 0 GROUP BY ALL)"""
+
+
+def _damaged(spark, d):
+    return _conll(spark, d).where(f"coref <> '-' and not ({_LOST})")
+
+
+@query(sql("SELECT pr.doc_id, pr.entity, a.tok_idx AS first_tok, b.tok_idx AS last_tok FROM pr JOIN lv a ON a.doc_id = pr.doc_id AND a.entity = pr.entity AND a.n = open_n JOIN lv b ON b.doc_id = pr.doc_id AND b.entity = pr.entity AND b.n = close_n", TOK, MEN, _BND, _CONLL, _STRAY))
+def conll_stray(spark, d):
+    """The mentions that a token table still has after every seventh cell with brackets was lost."""
+    return markup.parse_coref(_damaged(spark, d), KEYS).drop("place")
+
+
+@query(sql("SELECT lv.doc_id, lv.entity, tok_idx, side = 0 AS is_open FROM lv LEFT JOIN pr ON lv.doc_id = pr.doc_id AND lv.entity = pr.entity AND lv.n IN (open_n, close_n) WHERE open_n IS NULL", TOK, MEN, _BND, _CONLL, _STRAY))
+def conll_unclosed(spark, d):
+    """The brackets that lost their partner there."""
+    return markup.unclosed(_damaged(spark, d), KEYS)
 
 
 @query(sql("SELECT doc_id, string_agg(word, ' ' ORDER BY tok_idx) AS words FROM cl WHERE NOT starts_with(word, '#') GROUP BY doc_id", TOK, MEN, _BND, _CONLL))
@@ -246,14 +272,34 @@ def marked_text(spark, d):
     return markup.mark_nested(nested(spark, d, 1, text=True), "doc_id")
 
 
-_TAGS = "tg AS (SELECT page_id, unnest(regexp_extract_all(html, '</?(?:ul|li|a|nav|div)\\b[^>]*>')) AS tag, unnest(range(1, len(regexp_extract_all(html, '</?(?:ul|li|a|nav|div)\\b[^>]*>')) + 1)) AS n FROM pages), dp AS (SELECT page_id, n, NOT starts_with(tag, '</') AS o, sum(CASE WHEN starts_with(tag, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY n) + CASE WHEN starts_with(tag, '</') THEN 1 ELSE 0 END AS depth FROM tg), kk AS (SELECT *, row_number() OVER (PARTITION BY page_id, depth, o ORDER BY n) AS k FROM dp)"
+def _pairs_of_tags(where: str = "TRUE") -> str:
+    """Pairs without a stack: a tag is closed where the running sum first falls below its own; depth by counting."""
+    tags = "regexp_extract_all(html, '</?(?:ul|li|a|nav|div)\\b[^>]*>')"
+    return f"""tg AS (SELECT page_id, unnest({tags}) AS tag, unnest(range(1, len({tags}) + 1)) AS n FROM pages),
+lv AS MATERIALIZED (SELECT page_id, n, NOT starts_with(tag, '</') AS o, sum(CASE WHEN starts_with(tag, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY n) AS level FROM tg WHERE {where}),
+pr AS MATERIALIZED (SELECT a.page_id, a.n AS open_n, min(b.n) AS close_n FROM lv a LEFT JOIN lv b ON a.page_id = b.page_id AND b.level = a.level - 1 AND b.n > a.n WHERE a.o GROUP BY ALL)"""
 
 
-@query(sql("SELECT a.page_id, a.n AS open_n, b.n AS close_n, a.depth FROM kk a JOIN kk b ON a.page_id = b.page_id AND a.depth = b.depth AND a.k = b.k AND a.o AND NOT b.o WHERE b.n > a.n", _TAGS))
-def mark_match(spark, d):
+_DEEP = "SELECT p.page_id, p.open_n, p.close_n, count(*) AS depth FROM pr p JOIN pr q ON p.page_id = q.page_id AND q.open_n <= p.open_n AND (q.close_n IS NULL OR q.close_n >= p.close_n) WHERE p.close_n IS NOT NULL GROUP BY ALL"
+
+
+def _page_tags(spark, d):
     t = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("</?(?:ul|li|a|nav|div)\\b[^>]*>"), F.lit(0))).alias("n", "tag"))
-    t = t.select("page_id", (F.col("n") + 1).alias("n"), (~F.col("tag").startswith("</")).alias("is_open"))
-    return markup.match_tags(t, ["page_id"]).select("page_id", "open_n", "close_n", "depth")
+    return t.select("page_id", (F.col("n") + 1).alias("n"), (~F.col("tag").startswith("</")).alias("is_open"))
+
+
+@query(sql(_DEEP, _pairs_of_tags()))
+def mark_match(spark, d):
+    return markup.match_tags(_page_tags(spark, d), ["page_id"])
+
+
+_TORN = "(n * 5 + page_id) % 8 > 1"
+
+
+@query(sql(_DEEP, _pairs_of_tags(_TORN)))
+def mark_match_torn(spark, d):
+    """Pairs of tags in pages from which a quarter of the tags was lost, so that closing and opening ones are stray."""
+    return markup.match_tags(_page_tags(spark, d).where(_TORN), ["page_id"])
 
 
 def _label_scores(spark, d):

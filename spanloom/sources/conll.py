@@ -52,7 +52,8 @@ def text(docs: DataFrame, k: int) -> DataFrame:
 
 
 def mentions(docs: DataFrame, k: int) -> DataFrame:
-    """file, doc_no, doc_id, seq, m_start, m_end, entity of the chain brackets in the last column, as places in ``text``."""
+    """file, doc_no, doc_id, seq, m_start, m_end, entity of the chain brackets in the last column, as places in ``text``; seq is
+    the order in which they are closed. A stray bracket costs no other mention (see ``unclosed_brackets`` for them)."""
     keys = ["file", "doc_no"]
     w = Window.partitionBy(*keys).orderBy("row_idx")
     blank = F.size("cols") == 0
@@ -65,12 +66,12 @@ def mentions(docs: DataFrame, k: int) -> DataFrame:
     at = rows.select(*keys, "doc_id", F.col("tok_idx").alias("first_tok"), F.col("start").cast("int").alias("m_start"))
     to = rows.select(*keys, F.col("tok_idx").alias("last_tok"), F.col("end").cast("int").alias("m_end"))
     m = spans.join(at, [*keys, "first_tok"]).join(to, [*keys, "last_tok"])
-    order = Window.partitionBy(*keys).orderBy("last_tok", F.desc("first_tok"), "num")
-    return m.select(*keys, "doc_id", F.row_number().over(order).alias("seq"), "m_start", "m_end", F.col("num").cast("string").alias("entity"))
+    order = Window.partitionBy(*keys).orderBy("place", "entity")
+    return m.select(*keys, "doc_id", F.row_number().over(order).alias("seq"), "m_start", "m_end", "entity")
 
 
 def unclosed_brackets(docs: DataFrame) -> DataFrame:
-    """file, doc_no, num, tok_idx, is_open of brackets without a partner."""
+    """file, doc_no, entity, tok_idx, is_open of brackets without a partner."""
     rows = docs.where(F.size("cols") > 0).select("file", "doc_no", F.col("row_idx").alias("tok_idx"), F.element_at("cols", -1).alias("coref"))
     return unclosed(rows, ["file", "doc_no"])
 
@@ -98,7 +99,7 @@ def compare_folders(spark: SparkSession, gold: str, other: str, suffix: str = "c
         tokens = docs.select("file", "doc_no", F.col("row_idx").alias("tok_idx"), F.element_at("cols", -1).alias("coref"))
         ids = docs.select("file", "doc_no", "doc_id").distinct()
         spans = parse_coref(tokens, ["file", "doc_no"]).join(ids, ["file", "doc_no"])
-        sides.append(spans.select("file", "doc_id", F.lit(ann).alias("ann"), F.lit(0).alias("seq"), F.col("first_tok").alias("m_start"), F.col("last_tok").alias("m_end"), F.col("num").cast("string").alias("entity")))
+        sides.append(spans.select("file", "doc_id", F.lit(ann).alias("ann"), F.lit(0).alias("seq"), F.col("first_tok").alias("m_start"), F.col("last_tok").alias("m_end"), "entity"))
     keys = ["file", "doc_id"]
     return all_scores(nest(sides[0].unionByName(sides[1]), None, keys), keys, other=1)
 
