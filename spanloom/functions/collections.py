@@ -5,21 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import automaton
 from .text import col
 
 
 def dictionary_match(texts: DataFrame, words: DataFrame, keys: list[str], text: str, word: str, longest: bool = False) -> DataFrame:
-    """keys, start (from 0), len of the shortest (or longest) dictionary word at every place of the texts where one starts.
-
-    An equi-join on substrings of the lengths that the dictionary has; empty and null words are left out.
-    """
-    w = words.select(F.col(word).alias("word")).where("word <> ''").distinct()
-    lengths = w.agg(F.array_sort(F.collect_set(F.length("word"))).alias("lengths"))  # one row
-    at = texts.select(*keys, F.col(text).alias("t")).crossJoin(F.broadcast(lengths)).where("length(t) > 0")
-    at = at.select(*keys, "t", "lengths", F.explode(F.sequence(F.lit(1), F.length("t"))).alias("i")).withColumn("n", F.explode("lengths"))
-    at = at.where("i + n - 1 <= length(t)").select(*keys, "i", F.col("t").substr(F.col("i"), F.col("n")).alias("word"))
-    best = (F.max if longest else F.min)(F.length("word"))
-    return at.join(w, "word").groupBy(*keys, "i").agg(best.alias("len")).select(*keys, (F.col("i") - 1).alias("start"), "len")
+    """keys, start (from 0), len of the shortest (or longest) dictionary word at every place of the texts where one starts (see
+    ``automaton.matches``)."""
+    return automaton.matches(texts, words, keys, text, word, "longest" if longest else "shortest")
 
 
 def contains_word(words: Column | str, c: Column | str, ignore_case: bool = False) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import codecs, collections, delimited
+from ..functions import automaton, codecs, collections, delimited
 from ..functions import text as tx
 from ..operators import alignment, markup, patching, report, scores, sweep
 from ..operators import chains as ch
@@ -518,6 +518,36 @@ def dictionary_match(spark, d):
     return collections.dictionary_match(part, words, ["p_partkey"], "p_type", "word")
 
 
+def _item_words(spark, d):
+    """The ASCII words of three letters or more in benchmark items, as a dictionary."""
+    return table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("word"))
+
+
+#: Every substring of a dictionary word's length, by pieces of 64 places, looked up.
+_ITEM_WORDS = """dict AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS word FROM benchmark), ln AS (SELECT DISTINCT length(word) AS l FROM dict),
+bl AS (SELECT doc_id, b, substring(text, 64 * b + 1, 64 + (SELECT max(l) FROM ln)) AS t FROM (SELECT doc_id, text, unnest(range(0, length(text) // 64 + 1)) AS b FROM documents)),
+ps AS (SELECT doc_id, 64 * b + i - 1 AS start, l, substring(t, i, l) AS word FROM bl, (SELECT unnest(range(1, 65)) AS i), ln WHERE i + l - 1 <= length(t)),
+hit AS (SELECT doc_id, start, l AS len FROM ps JOIN dict USING (word))"""
+
+
+@query(sql("SELECT doc_id, start, len FROM hit", _ITEM_WORDS))
+def dictionary_all(spark, d):
+    """Everywhere in documents where a word of the benchmark stands, inside words and overlapping ones too."""
+    return automaton.matches(table(spark, d, "documents"), _item_words(spark, d), ["doc_id"], "text", "word")
+
+
+@query(sql("SELECT doc_id, start, max(len) AS len FROM hit GROUP BY ALL", _ITEM_WORDS))
+def dictionary_longest(spark, d):
+    """The longest of these words at each place."""
+    return automaton.matches(table(spark, d, "documents"), _item_words(spark, d), ["doc_id"], "text", "word", "longest")
+
+
+@query("SELECT word, row_number() OVER (ORDER BY list_transform(string_split(word, ''), lambda c: -ord(c))) - 1 AS place FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS word FROM benchmark)")
+def trie_order(spark, d):
+    """The words of the benchmark in the order of a walk of their prefix tree."""
+    return automaton.in_order(_item_words(spark, d), "word")
+
+
 @query(sql("SELECT word, count(*) AS cnt FROM tok GROUP BY word ORDER BY cnt DESC, word LIMIT 100", TOK))
 def counter_topk(spark, d):
     return collections.keys_by_count(collections.counts(derived_tokens(spark, d), ["word"]), ["word"]).limit(100)
