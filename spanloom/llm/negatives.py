@@ -13,8 +13,8 @@ from .common import materialize, tidy
 MAX_FIT = 10_000
 #: Centroids at most. There are about as many as the square root of the rows.
 MAX_LISTS = 1024
-#: Rows of a list that lie together, about; longer lists are cut.
-BLOCK = 512
+#: A list is cut into blocks of about twice the mean list's rows, so that blocks are even, and of no more rows than this.
+BLOCK = 2048
 #: Anchors that meet one block of rows in one task, about; with more, the block is copied.
 ANCHORS = 8192
 #: Rows that an anchor meets in its first round, at least, for each row it looks for.
@@ -81,6 +81,7 @@ class Lists:
         for r in whole:
             self.sizes[r["list"]], self.radii[r["list"]] = r["n"], r["radius"]
         self.anchors = self.rows.where("anchor").count()
+        self.block = min(BLOCK, 2 * -(-n // len(centroids)))
 
     def bounds(self, a: np.ndarray, radii: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The least and the most that the inner product with a row of each list can be (Cauchy-Schwarz), with room for rounding."""
@@ -94,7 +95,7 @@ class Lists:
         Rows and requests of a block of a list meet in one task, the rows first, so that requests pass by them. A long list is cut
         by a hash into blocks, each of which its requests visit; many anchors are cut into groups, each with a copy of the rows.
         """
-        parts = -(-self.sizes // BLOCK)
+        parts = -(-self.sizes // self.block)
         cut = F.element_at(F.array(*[F.lit(int(max(1, p))) for p in parts]), F.col("list") + 1) if parts.max() > 1 else F.lit(1)
         groups = max(1, -(-self.anchors // ANCHORS))
         rows = self.rows.select("list", F.pmod(F.xxhash64("uid"), cut).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(0).alias("kind"), "uid", "id", "label", "v", F.lit(None).cast("array<long>").alias("want"))

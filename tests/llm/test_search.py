@@ -108,7 +108,7 @@ def _found(spark, rows, **more):
     return collections.Counter(tuple(x) for x in negatives.mine(df, F.col("vec_id") % 50 == 0, F.col("label"), **more).collect())
 
 
-@pytest.mark.parametrize("block,anchors", [(512, 8192), (40, 5)])
+@pytest.mark.parametrize("block,anchors", [(2048, 8192), (20, 5)])
 def test_mining_against_brute_force(spark, monkeypatch, block, anchors):
     monkeypatch.setattr(negatives, "BLOCK", block)
     monkeypatch.setattr(negatives, "ANCHORS", anchors)
