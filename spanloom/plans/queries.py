@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import automaton, codecs, collections, delimited
+from ..functions import automaton, codecs, collections, delimited, positions
 from ..functions import text as tx
-from ..operators import alignment, markup, patching, report, scores, sweep
+from ..operators import alignment, asof, markup, patching, report, scores, sweep
 from ..operators import chains as ch
 from ..sources import conll, results
 from .derived import KEYS, MEN, MRK, PRI, SEG, TOK, derived_tokens, mentions, met, nested, sql, table
@@ -402,6 +402,69 @@ def floor_shift(spark, d):
     return table(spark, d, "events").select("event_id", alignment.floor_shift(steps, F.col("event_id") % 1000).alias("shift"))
 
 
+_BOUGHT = "pu AS (SELECT user_id, ts, max(event_id) AS purchase_id FROM events WHERE event_type = 'purchase' GROUP BY ALL)"
+
+
+def _bought(spark, d):
+    """Events of any kind, and the purchases among them."""
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    return e.drop("event_type"), e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase_id"))
+
+
+@query(sql("SELECT event_id, pu.purchase_id, epoch_us(e.ts) - epoch_us(pu.ts) AS micros FROM events e ASOF LEFT JOIN pu ON e.user_id = pu.user_id AND e.ts >= pu.ts", _BOUGHT))
+def asof_purchase(spark, d):
+    """For each event its user's last purchase up to then."""
+    out = asof.asof_join(*_bought(spark, d), "ts", ["user_id"])
+    return out.select("event_id", "purchase_id", (F.expr("timestampdiff(MICROSECOND, ts_right, ts)")).alias("micros"))
+
+
+@query(sql("""SELECT e.event_id, CASE WHEN b.purchase_id IS NULL OR (a.purchase_id IS NOT NULL AND epoch_us(a.ts) - epoch_us(e.ts) < epoch_us(e.ts) - epoch_us(b.ts)) THEN a.purchase_id ELSE b.purchase_id END AS purchase_id
+FROM events e LEFT JOIN (SELECT event_id, x.ts, x.purchase_id FROM events y ASOF JOIN pu x ON y.user_id = x.user_id AND y.ts > x.ts) b ON b.event_id = e.event_id AND epoch_us(e.ts) - epoch_us(b.ts) <= 86400000000
+LEFT JOIN (SELECT event_id, x.ts, x.purchase_id FROM events y ASOF JOIN pu x ON y.user_id = x.user_id AND y.ts < x.ts) a ON a.event_id = e.event_id AND epoch_us(a.ts) - epoch_us(e.ts) <= 86400000000""", _BOUGHT))
+def asof_nearest(spark, d):
+    """The user's nearest other purchase within a day, before or after."""
+    return asof.asof_join(*_bought(spark, d), "ts", ["user_id"], "nearest", exact=False, tolerance=86_400_000_000).select("event_id", "purchase_id")
+
+
+def _rewritten(spark, d):
+    """Pages, their last form after three rounds of changes, and the changes."""
+    rounds = [("&amp;", "", 1), ("<li>", "* ", 4), ("<br>", "", 0)]
+    page, changes = table(spark, d, "pages").select("page_id", "html"), None
+    for r, (needle, new, keep) in enumerate(rounds):
+        made = positions.replacements(page, ["page_id"], "html", needle, new, keep).withColumn("round", F.lit(r))
+        changes = made if changes is None else changes.unionByName(made)
+        page = page.withColumn("html", F.replace("html", F.lit(needle), F.lit(needle[:keep] + new)))
+    return page, changes
+
+
+def _equals_signs(pages):
+    w = Window.partitionBy("page_id").orderBy("i")
+    pieces = pages.select("page_id", F.posexplode(F.split("html", "=", -1)).alias("i", "piece"))
+    pieces = pieces.withColumns({"pos": (F.sum(F.length("piece") + 1).over(w) - 1).cast("int"), "last": F.max("i").over(Window.partitionBy("page_id"))})
+    return pieces.where("i < last").select("page_id", "i", "pos")
+
+
+@query("SELECT page_id, (i - 1)::INTEGER AS i, (sum(length(piece) + 1) OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS place FROM (SELECT page_id, unnest(ps) AS piece, unnest(range(1, len(ps) + 1)) AS i, len(ps) AS n FROM (SELECT page_id, string_split(html, '=') AS ps FROM pages)) QUALIFY i < n")
+def tracked_rounds(spark, d):
+    """Where the equals signs of pages stood, from where they stand after three rounds of changes: steps in a table of their own."""
+    page, changes = _rewritten(spark, d)
+    steps = positions.track(changes, ["page_id"]).select("page_id", F.explode("breaks").alias("b")).select("page_id", F.col("b.pos").alias("pos"), F.col("b.shift").alias("shift"))
+    met = asof.asof_join(_equals_signs(page), steps, "pos", ["page_id"])
+    return met.select("page_id", "i", (F.col("pos") + F.coalesce("shift", F.lit(0))).alias("place"))
+
+
+@query("SELECT page_id, (i - 1)::INTEGER AS i, (sum(length(piece) + 1) OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS place FROM (SELECT page_id, unnest(ps) AS piece, unnest(range(1, len(ps) + 1)) AS i, len(ps) AS n FROM (SELECT page_id, string_split(replace(replace(replace(html, '&amp;', '&'), '<li>', '<li>* '), '<br>', ''), '=') AS ps FROM pages)) QUALIFY i < n")
+def tracked_forward(spark, d):
+    """Where the equals signs of pages stand after three rounds of changes, from where they stood: two rounds tracked, a third
+    added to them, steps in the row."""
+    _, changes = _rewritten(spark, d)
+    early, late = (positions.track(changes.where(c), ["page_id"]) for c in ("round < 2", "round = 2"))
+    both = early.join(late.select("page_id", F.col("breaks").alias("b"), F.col("moves").alias("m")), "page_id", "full")
+    moves = both.select("page_id", positions.compose("breaks", "moves", "b", "m")["moves"].alias("moves"))
+    signs = _equals_signs(table(spark, d, "pages").select("page_id", "html")).join(moves, "page_id", "left")
+    return signs.select("page_id", "i", positions.traced("pos", "moves").alias("place"))
+
+
 def _pairs(spark, d):
     """Benchmark items and an edited form of each."""
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("a"))
