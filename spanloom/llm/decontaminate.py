@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,24 +73,31 @@ class Filter:
         return at
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, equal words) of the best-scoring stretch of an alignment (equal +1, substituted -2), the first of equals."""
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
-    low = np.minimum.accumulate(total)
-    stop = int((total - low).argmax())
-    start = int(total[: stop + 1].argmin())
-    return start, stop, int(equal[start:stop].sum())
+def best_stretch(equal: np.ndarray, max_substitutions: float) -> tuple[int, int, int]:
+    """(start, end, equal words) of the stretch of an alignment with the most equal words of all those in which at most the
+    share ``max_substitutions`` is substituted; it begins and ends with equal words. Of equal ones the first.
+
+    A stretch is within the share if the sum over its words, +share for an equal and share - 1 for a substituted one, isn't negative. So for each
+    end the best start is the first whose sum of all words before isn't above the end's, and it is among the new minima.
+    """
+    share = Fraction(max_substitutions).limit_denominator(1_000_000)
+    total = np.concatenate([[0], np.cumsum(np.where(equal, share.numerator, share.numerator - share.denominator))])
+    same = np.concatenate([[0], np.cumsum(equal)])
+    start = np.searchsorted(-np.minimum.accumulate(total), -total)
+    n = same - same[start]
+    end = int(n.argmax())
+    on = start[end] + np.flatnonzero(equal[start[end] : end])
+    return (int(on[0]), int(on[-1]) + 1, len(on)) if len(on) else (0, 0, 0)
 
 
 def verify(h: np.ndarray, x: np.ndarray, shift: int, min_overlap: int, max_substitutions: float):
-    """(first word and end in the text, first word and end in the item, equal words) of the overlap that the alignment
-    of item word j with text word ``shift`` + j shows, if it is long and equal enough."""
+    """(first word and end in the text, first word and end in the item, equal words) of the largest overlap within the share of
+    substitutions that the alignment of item word j with text word ``shift`` + j shows, if it is long enough."""
     a, b = max(0, -shift), min(len(x), len(h) - shift)
     if b <= a:
         return None
-    start, stop, same = best_stretch(h[shift + a : shift + b] == x[a:b])
-    n = stop - start
-    if same < max(1, needed(len(x), min_overlap, max_substitutions)) or n - same > max_substitutions * n:
+    start, stop, same = best_stretch(h[shift + a : shift + b] == x[a:b], max_substitutions)
+    if same < max(1, needed(len(x), min_overlap, max_substitutions)):
         return None
     return shift + a + start, shift + a + stop, a + start, a + stop, same
 
@@ -233,8 +242,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_overlap: int = 13,
     """A row per document and test item that overlap: ids, word ranges in both texts, equal words.
 
     Words are compared lower-cased (A-Z), by 64-bit hashes. Seeds ignore some positions, so a hit survives substituted words
-    there; at each hit the two texts are aligned, and the best stretch of the alignment must have ``min_overlap`` equal words
-    and at most the share ``max_substitutions`` of substituted ones. Of an item too short for that, all words but that share
+    there; at each hit the two texts are aligned. They overlap if any stretch of the alignment has ``min_overlap`` equal words
+    and at most the share ``max_substitutions`` of substituted ones; the one with most equal words is returned. Of an item too short for that, all words but that share
     must be equal (see ``needed``, ``masks_of``). Of several alignments the one with most equal words counts, of equal ones
     the first. Null or empty texts and items overlap with nothing; repeated documents and items give repeated rows; null
     ids are carried; empty tables give no rows; other columns are not read.

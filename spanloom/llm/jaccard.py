@@ -475,8 +475,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, without those that are not the smallest id of their class (see ``jaccard_classes``).
 
-    Rows that repeat the smallest id are all kept if their text is the same; rows with null ids are kept.
+    Rows that repeat the smallest id are all kept if their text is the same; rows with null ids are kept. An empty table stays
+    empty, and other columns may have any name.
     """
     classes = jaccard_classes(docs, k, num, den, id_col, text_col)
-    gone = classes.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    gone = classes.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)  # by name, so that no column's name is taken

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -88,6 +89,11 @@ def test_jaccard(spark, k, num, den, monkeypatch):
 def test_keep_one(spark):
     got = [r.doc_id for r in jaccard.keep_one(_docs(spark)).collect()]
     assert 10 not in got and 11 not in got and 0 in got and None in got
+    names = ("__gone", "component_id", "comp", "n_shingles", "set_key")
+    named = _docs(spark).withColumns({c: F.lit(1) for c in names})
+    kept = jaccard.keep_one(named)
+    assert kept.columns == named.columns and sorted(r.doc_id or -1 for r in kept.select("doc_id").collect()) == sorted(x or -1 for x in got)
+    assert jaccard.keep_one(named.limit(0)).collect() == []
 
 
 def test_near_copies_link_by_blocks(spark, monkeypatch):
@@ -201,14 +207,47 @@ def _overlap(doc, item, min_overlap=13, share=0.2):
     for shift in sorted(shifts):
         a, z = max(0, -shift), min(n, len(doc) - shift)
         equal = [doc[shift + j] == item[j] for j in range(a, z)]
-        _, stop, start = max((sum(1 if x else -2 for x in equal[s:e]), -e, -s) for e in range(len(equal) + 1) for s in range(e + 1))
-        stop, start = -stop, -start
-        same = sum(equal[start:stop])
-        if same >= min(min_overlap, n - int(share * n)) and stop - start - same <= share * (stop - start) and (best is None or same > best[-1]):
-            best = (shift + a + start, shift + a + stop, a + start, a + stop, same)
+        before = [0, *itertools.accumulate(equal)]
+        for s, e in itertools.combinations(range(len(equal) + 1), 2):
+            same = before[e] - before[s]
+            if equal[s] and equal[e - 1] and 5 * (e - s - same) <= e - s and same >= min(min_overlap, n - int(share * n)) and (best is None or same > best[-1]):
+                best = (shift + a + s, shift + a + e, a + s, a + e, same)
     return best
 
 
+def test_overlaps_between_substitutions(spark):
+    """Runs of equal words that qualify alone, though not together, and those that qualify only together."""
+    r = random.Random(9)
+    item = [f"t{i}" for i in range(118)]
+    shapes = {1: (30, 14, 30, 14, 30), 2: (13, 6, 13, 6, 13), 3: (30, 88), 4: (7, 1, 7, 60), 5: (12, 7, 12, 7, 12), 6: (12, 40), 7: (10, 2, 10, 20), 8: (9, 1, 4, 9)}
+    docs = {}
+    for d, shape in shapes.items():
+        words, i = [], 0
+        for k, n in enumerate(shape):
+            words += item[i : i + n] if k % 2 == 0 else [f"x{r.random()}" for _ in range(n)]
+            i += n
+        docs[d] = words
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    want = {d: o for d, w in docs.items() if (o := _overlap(w, item))}
+    assert {1, 2, 3, 4, 7, 8} == set(want)
+    got = {x.doc_id: (x.doc_start, x.doc_end, x.item_start, x.item_end, x.n_equal) for x in decontaminate.find_overlaps(df, bench).collect()}
+    assert {d: x[-1] for d, x in got.items()} == {d: x[-1] for d, x in want.items()}
+    assert sorted(x.doc_id for x in decontaminate.drop_contaminated(df, bench).collect()) == [5, 6]
+
+
+def test_best_stretch_against_all():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 12, 30, 60):
+        for p in (0.3, 0.7, 0.85):
+            for _ in range(40):
+                equal = r.random(n) < p
+                start, stop, same = decontaminate.best_stretch(equal, 0.2)
+                before = [0, *itertools.accumulate(equal.tolist())]
+                most = max(before[e] - before[s] for s, e in itertools.combinations(range(n + 1), 2) if 5 * (e - s - before[e] + before[s]) <= e - s) if equal.any() else 0
+                assert same == most == equal[start:stop].sum() and 5 * (stop - start - same) <= stop - start
+
+
 @pytest.mark.parametrize("size", [1 << 20, 300])
 def test_decontamination(spark, monkeypatch, size):
     monkeypatch.setattr(decontaminate, "RUN_BYTES", size)
@@ -710,8 +749,9 @@ def test_pipeline(spark):
                     shifts |= {i - j for j in seeds.get((m, tuple(w[i + k] for k in on)), ())}
             for shift in shifts:
                 lo, hi = max(0, -shift), min(len(x), len(w) - shift)
-                start, stop, same = decontaminate.best_stretch(np.array([w[shift + j] == x[j] for j in range(lo, hi)]))
-                if same >= min(13, len(x) - int(0.2 * len(x))) and stop - start - same <= 0.2 * (stop - start):
+                before = [0, *itertools.accumulate(w[shift + j] == x[j] for j in range(lo, hi))]
+                least = min(13, len(x) - int(0.2 * len(x)))
+                if any(b - a >= least and 5 * (e - s - b + a) <= e - s for (s, a), (e, b) in itertools.combinations(enumerate(before), 2)):
                     found.add(d)
     assert set(state["decontamination"]) == set(state["near_duplicates"]) - found and found
     # secrets: all rows, the spans of a scan replaced
