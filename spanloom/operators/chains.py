@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +51,50 @@ def aligned_chain_idx(chain: DataFrame, mapping: DataFrame, keys: list[str], oth
     return rows.select(*keys, "entity", F.coalesce(F.col("i0"), F.coalesce("n0", F.lit(0)) + fresh).cast("long").alias("aligned_idx"))
 
 
+def map_factors(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ``all`` (array of e0 and its candidates ``cands``, both ascending) and n_maps: what the maps of each text are chosen from.
+    Candidates are the e1 whose count is at least the root of the largest (rounded down); n_maps is the exact number of maps,
+    as text since it may have any number of digits."""
+    best = Window.partitionBy(*keys, "e0")
+    c = counts.withColumn("least", F.floor(F.sqrt(F.max("cnt").over(best)))).where("cnt >= least")
+    c = c.groupBy(*keys, "e0").agg(F.array_sort(F.collect_list("e1")).alias("cands"))
+    doc = c.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("e0", "cands"))).alias("all"))
+    return doc.withColumn("n_maps", _product(F.transform("all", lambda x: F.size(x.cands))))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _digits(ranks: pa.Array, sizes: pa.Array) -> pa.Array:
+    """The digits of ranks (text, of any length) in the mixed radix of the sizes, the first one the fastest; null beyond their product."""
+    out = []
+    for rank, size in zip(ranks.to_pylist(), sizes.to_pylist()):
+        n, digits = -1 if rank is None or size is None else int(rank), []
+        for s in size or ():
+            n, digit = divmod(n, s)
+            digits.append(digit)
+        out.append(digits if n == 0 else None)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def map_of_rank(factors: Column, rank: Column) -> Column:
+    """The map (array of e0 and e1) with a number from 0 on, of any size (as text or a whole number), among all that choose a candidate for
+    each e0 of ``map_factors``: counted like an odometer whose first e0 turns fastest. Null where there is none."""
+    digits = _digits(rank.cast("string"), F.transform(factors, lambda x: F.size(x.cands)))
+    return F.when(digits.isNotNull(), F.zip_with(factors, digits, lambda x, d: F.struct(x.e0.alias("e0"), F.get(x.cands, d).alias("e1"))))
+
+
+def map_range(factors: DataFrame, keys: list[str], start: int | Column, stop: int | Column, block: int = 1000) -> DataFrame:
+    """keys, rank (long) and ``pairs`` (see ``map_of_rank``) of the maps with ranks from start up to but without stop, as far as each text
+    has them; both may differ by text. Ranks are dealt out in blocks, so that no text is enumerated in one task."""
+    start, stop = (x if isinstance(x, Column) else F.lit(x) for x in (start, stop))
+    # beyond 18 digits there are more maps than a long can number
+    end = F.when(F.length("n_maps") > 18, stop).otherwise(F.least(stop, F.col("n_maps").cast("long")))
+    df = factors.select(*keys, "all", start.cast("long").alias("__a"), end.cast("long").alias("__z")).where("__a < __z and __a >= 0")
+    df = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__z - __a - 1) div {block}"))).alias("__b")).repartition(*keys, "__b")
+    first = F.col("__a") + F.col("__b") * block
+    df = df.select(*keys, "all", F.explode(F.sequence(first, F.least(first + block, F.col("__z")) - 1)).alias("rank"))
+    return df.select(*keys, "rank", map_of_rank(F.col("all"), F.col("rank")).alias("pairs"))
+
+
 @F.pandas_udf(T.StringType())
 def _product(sizes: pd.Series) -> pd.Series:
     """Exact products of any size, as text."""
@@ -65,11 +109,7 @@ def entity_maps(counts: DataFrame, keys: list[str], limit: int = 1000) -> DataFr
     form, which is exact: a row for each e0 with its candidates, of which every choice is a map (entity_map is null). n_maps
     is the number of the text's maps, as text since it may have any number of digits.
     """
-    best = Window.partitionBy(*keys, "e0")
-    c = counts.withColumn("least", F.floor(F.sqrt(F.max("cnt").over(best)))).where("cnt >= least")
-    c = c.groupBy(*keys, "e0").agg(F.array_sort(F.collect_list("e1")).alias("cands"))
-    doc = c.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("e0", "cands"))).alias("all"))
-    doc = doc.withColumn("n_maps", _product(F.transform("all", lambda x: F.size(x.cands))))
+    doc = map_factors(counts, keys)
     few = (F.length("n_maps") <= 18) & (F.expr("try_cast(n_maps as long)") <= limit)
     start = F.array(F.lit("").cast("string"))
     maps = F.aggregate("all", start, lambda acc, x: F.flatten(F.transform(acc, lambda m: F.transform(x.cands, lambda e: F.concat(m, F.when(m == "", "").otherwise(";"), x.e0, F.lit(">"), e)))))

@@ -177,6 +177,19 @@ def entity_maps_product(spark, d):
     return ch.entity_maps(ch.cooccurrence(_pair_sweep(spark, d), KEYS), KEYS)
 
 
+_FACTORS = """ca AS (SELECT doc_id, e0, e1 FROM coo QUALIFY cnt >= floor(sqrt(max(cnt) OVER (PARTITION BY doc_id, e0)))),
+fa AS (SELECT doc_id, e0, list(e1 ORDER BY e1) AS cands FROM ca GROUP BY ALL),
+od AS (SELECT *, coalesce(product(len(cands)) OVER (PARTITION BY doc_id ORDER BY e0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS turn, product(len(cands)) OVER (PARTITION BY doc_id) AS n FROM fa)"""
+
+
+@query(sql("SELECT doc_id, rank, string_agg(e0 || '>' || cands[1 + CAST(floor(rank / turn) % len(cands) AS INT)], ';' ORDER BY e0) AS entity_map FROM (SELECT *, unnest(range(0, 12)) AS rank FROM od) WHERE rank < n GROUP BY ALL", *_PAIR, _COO, _FACTORS))
+def entity_map_range(spark, d):
+    """The maps of every text with ranks 0 to 11, however many it has."""
+    factors = ch.map_factors(ch.cooccurrence(_pair_sweep(spark, d), KEYS), KEYS)
+    out = ch.map_range(factors, KEYS, 0, 12)
+    return out.select("doc_id", "rank", F.array_join(F.transform("pairs", lambda p: F.concat(p.e0, F.lit(">"), p.e1)), ";").alias("entity_map"))
+
+
 @query(sql("""SELECT c.doc_id, c.entity, coalesce(b.i0, coalesce(n.n0, 0) + sum(CASE WHEN b.i0 IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY c.doc_id ORDER BY c.chain_idx))::BIGINT AS aligned_idx
 FROM chn c LEFT JOIN (SELECT g.doc_id, g.e1 AS entity, min(k.chain_idx) AS i0 FROM gre g JOIN chn k ON k.ann = 0 AND k.doc_id = g.doc_id AND k.entity = g.e0 GROUP BY ALL) b ON b.doc_id = c.doc_id AND b.entity = c.entity
 LEFT JOIN (SELECT doc_id, count(*) AS n0 FROM chn WHERE ann = 0 GROUP BY doc_id) n ON n.doc_id = c.doc_id WHERE c.ann = 1""", *_PAIR, _COO, _GRE, _CHN))
