@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sweep import MENTION
+from .sweep import _pass as one_pass
 
 
 def chains(mentions: DataFrame, keys: list[str]) -> DataFrame:
@@ -21,6 +22,30 @@ def chains(mentions: DataFrame, keys: list[str]) -> DataFrame:
     return first.select(*keys, "ann", "entity", F.row_number().over(Window.partitionBy(*keys, "ann").orderBy("first")).alias("chain_idx"), "n_mentions")
 
 
+def nested_chains(nested: DataFrame, keys: list[str]) -> DataFrame:
+    """``chains`` of nested texts (see ``sweep``), found where the text is."""
+
+    def make(x):
+        names = x.entity.dictionary_encode()
+        doc, ann, entity = x.mention_doc[x.order], x.ann[x.order], pc.fill_null(names.indices, len(names.dictionary)).to_numpy().astype(np.int64)[x.order]
+        order = np.lexsort((entity, ann, doc))  # stable, so within a chain in span order
+        a, b, c = doc[order], ann[order], entity[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+        at = np.flatnonzero(new)
+        first, size = order[at], np.diff(np.append(at, len(a)))
+        by = np.lexsort((first, ann[first], doc[first]))
+        first, size = first[by], size[by]
+        a, b = doc[first], ann[first]
+        start = np.zeros(len(a), np.int64)
+        edge = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
+        start[edge] = edge
+        idx = np.arange(len(a)) - np.maximum.accumulate(start) + 1
+        return a, [pa.array(b.astype(np.int32)), x.entity.take(pa.array(x.order[first])), pa.array(idx.astype(np.int32)), pa.array(size)]
+
+    return one_pass(nested, keys, {"ann": T.IntegerType(), "entity": T.StringType(), "chain_idx": T.IntegerType(), "n_mentions": T.LongType()}, make)
+
+
 def cooccurrence(segs: DataFrame, keys: list[str], gold: int = 0, other: int = 1) -> DataFrame:
     """keys, e0, e1, cnt: segments (see ``sweep.wide``) in which both annotators have a principal mention."""
     return _both_here(segs, gold, other).groupBy(*keys, "e0", "e1").agg(F.count(F.lit(1)).alias("cnt"))

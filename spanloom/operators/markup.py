@@ -96,15 +96,17 @@ def mark_nested(nested: DataFrame, key: str) -> DataFrame:
 
 def marked_text(docs: DataFrame, mentions: DataFrame, key: str) -> DataFrame:
     """key and the text with a mark element around every mention, in span order; text pieces are escaped. Minimal spans
-    (min_start, min_end) and attributes (info, a map) of mentions are written if they have such columns."""
-    text = docs.select(key, "text")
-    minimal = None
-    if {"min_start", "min_end"} <= set(mentions.columns):
-        mentions = mentions.join(text, key)
-        minimal = F.when(F.col("min_start").isNotNull(), F.col("text").substr(F.col("min_start") + 1, F.col("min_end") - F.col("min_start")))
-    tag = mark_tag(F.col("entity"), minimal, F.col("info") if "info" in mentions.columns else None)
-    listed = mentions.select(key, F.struct("seq", "m_start", "m_end", tag.alias("tag")).alias("m")).groupBy(key).agg(F.collect_list("m").alias("marks"))
-    return text.where("text is not null").join(listed, key, "left").select(key, _insert_marks(F.col("text"), F.coalesce("marks", F.array())).alias("marked"))
+    (min_start, min_end) and attributes (info, a map) of mentions are written if they have such columns. The mentions are brought
+    to their text, not the text to each of them."""
+    more = [c for c in ("min_start", "min_end", "info") if c in mentions.columns]
+    listed = mentions.select(key, F.struct("seq", "m_start", "m_end", "entity", *more).alias("m")).groupBy(key).agg(F.collect_list("m").alias("ms"))
+
+    def mark(m):
+        minimal = F.when(m.min_start.isNotNull(), F.substring("text", m.min_start + 1, m.min_end - m.min_start)) if "min_start" in more and "min_end" in more else None
+        return F.struct(m.seq.alias("seq"), m.m_start.alias("m_start"), m.m_end.alias("m_end"), mark_tag(m.entity, minimal, m["info"] if "info" in more else None).alias("tag"))
+
+    text = docs.select(key, "text").where("text is not null").join(listed, key, "left")
+    return text.select(key, _insert_marks(F.col("text"), F.coalesce(F.transform("ms", mark), F.array())).alias("marked"))
 
 
 def _bounds(ends: np.ndarray, ends_first: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +120,24 @@ def _bounds(ends: np.ndarray, ends_first: np.ndarray, doc: np.ndarray, start: np
     return first, last
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def slices(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """What stands between places of a text (arrays); each text is decoded once."""
+    out = [[None if text is None else text[i:k] for i, k in zip(a or (), z or ())] for text, a, z in zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist())]
+    return pa.array(out, pa.list_(pa.string()))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def place_within(texts: pa.Array, starts: pa.Array, ends: pa.Array, parts: pa.Array) -> pa.Array:
+    """For each span (starts and ends, arrays) of a text the place where its part (array of strings) first occurs in it; null for
+    parts that are null or don't. Each text is decoded once, however many spans it has."""
+    out = []
+    for text, a, z, part in zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist(), parts.to_pylist()):
+        at = [None if text is None or p is None else text.find(p, i, k) for i, k, p in zip(a or (), z or (), part or ())]
+        out.append([None if x == -1 else x for x in at])
+    return pa.array(out, pa.list_(pa.int32()))
+
+
 def token_boundaries(nested: DataFrame, keys: list[str]) -> DataFrame:
     """The mentions of ``ms`` with first_tok (first token that ends after the start) and last_tok (first token that ends at or
     after the end), if the text has such tokens; ``ends`` has the ends of its tokens in order."""

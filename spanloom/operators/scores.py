@@ -26,12 +26,19 @@ def add(n1: Column, d1: Column, n2: Column, d2: Column) -> Column:
 
 def combine(scores: DataFrame) -> DataFrame:
     """Rows for the virtual documents macro and micro: macro is the weighted mean of values, where 0/0 counts as 0 with
-    its weight; micro divides the weighted sums."""
+    its weight; micro divides the weighted sums. Both come from one aggregation."""
     w = F.col("weight")
     sums = [F.sum(w * F.col(c)).alias(c) for c in ("r_nom", "r_den", "p_nom", "p_den")]
-    micro = scores.groupBy("metric").agg(*sums, F.sum("weight").alias("weight")).select(F.lit("micro").alias("doc_id"), "metric", "r_nom", "r_den", "p_nom", "p_den", "weight")
-    macro = scores.groupBy("metric").agg(F.sum(w * value(F.col("r_nom"), F.col("r_den"))).alias("r_nom"), F.sum("weight").alias("r_den"), F.sum(w * value(F.col("p_nom"), F.col("p_den"))).alias("p_nom"), F.sum("weight").alias("p_den"), F.sum("weight").alias("weight"))
-    return macro.select(F.lit("macro").alias("doc_id"), "metric", "r_nom", "r_den", "p_nom", "p_den", "weight").unionByName(micro)
+    means = [F.sum(w * value(F.col(f"{c}_nom"), F.col(f"{c}_den"))).alias(f"{c}_mean") for c in "rp"]
+    both = scores.groupBy("metric").agg(*sums, *means, F.sum("weight").alias("weight"))
+
+    def row(name, *fractions):
+        return F.struct(F.lit(name).alias("doc_id"), *[c.alias(n) for c, n in zip(fractions, ("r_nom", "r_den", "p_nom", "p_den"))])
+
+    macro = row("macro", F.col("r_mean"), w, F.col("p_mean"), w)
+    micro = row("micro", *[F.col(c) for c in ("r_nom", "r_den", "p_nom", "p_den")])
+    both = both.select("metric", "weight", F.explode(F.array(macro, micro)).alias("x"))
+    return both.select("x.doc_id", "metric", "x.r_nom", "x.r_den", "x.p_nom", "x.p_den", "weight")
 
 
 def display(scores: DataFrame) -> DataFrame:

@@ -52,6 +52,7 @@ class _Layout:
         self.seg_idx = np.arange(len(self.bound)) - first[self.doc]
         self.e = self.bound - base[self.doc]
         self.s = np.where(self.seg_idx > 0, np.concatenate([[0], self.e[:-1]]), 0)
+        self.mention_doc = doc
         self.order = np.lexsort((self.seq, -self.end, self.start, doc))
         self.lo = np.searchsorted(self.bound, (base[doc] + self.start)[self.order])
         self.hi = np.searchsorted(self.bound, (base[doc] + self.end)[self.order])
@@ -64,13 +65,28 @@ class _Layout:
 
     def best(self, annotators: np.ndarray, hidden: tuple[str, ...] = ()) -> np.ndarray:
         """The principal mention of each segment and annotator, -1 without one: the last candidate in span order. One with a
-        hidden entity counts as none, and no other takes its place."""
+        hidden entity counts as none, and no other takes its place.
+
+        A mention stands in a run of segments, and the last one over each segment is wanted. Every run is covered by two stretches
+        with a power of two of segments; the last mention of a stretch is handed down to its halves, from the longest
+        stretches on, so the work grows with mentions and segments, however long and nested the mentions are.
+        """
         out = np.full((len(self.bound), len(annotators)), -1, np.int64)
-        mention, seg = self.pairs(1)
-        if len(annotators):
-            place = np.minimum(np.searchsorted(annotators, self.ann[mention]), len(annotators) - 1)
-            ok = annotators[place] == self.ann[mention]
-            out[seg[ok], place[ok]] = mention[ok]
+        ann = self.ann[self.order]
+        for j, a in enumerate(annotators):
+            on = np.flatnonzero((ann == a) & (self.hi > self.lo))
+            if not len(on):
+                continue
+            lo, hi = self.lo[on] + 1, self.hi[on]
+            level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
+            last = np.full(len(self.bound), -1, np.int64)
+            for k in range(int(level.max()), -1, -1):
+                half = 1 << k
+                last[half:] = np.maximum(last[half:], last[:-half])  # stretches of twice the length
+                here = level == k
+                np.maximum.at(last, lo[here], on[here])
+                np.maximum.at(last, hi[here] - half + 1, on[here])
+            out[:, j] = np.where(last >= 0, self.order[last], -1)
         if hidden:
             out[np.append(pc.fill_null(pc.is_in(self.entity, value_set=pa.array(hidden)), False).to_numpy(zero_copy_only=False), False)[out]] = -1
         return out

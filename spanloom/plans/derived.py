@@ -24,12 +24,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Tables of at most this many bytes are dealt out; larger ones have row groups enough for all cores.
+SMALL = 256 << 20
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    """doc_id and text. A table in fewer files than there are cores is dealt out to all of them, since all its rows may lie
-    in one row group, which only one task can read."""
+    """doc_id and text. A small table in fewer files than there are cores is dealt out to all of them, since all its rows may
+    lie in one row group, which only one task can read."""
     docs = table(spark, d, "documents")
     cores = spark.sparkContext.defaultParallelism
-    few = len(docs.inputFiles()) < cores
+    few = len(docs.inputFiles()) < cores and int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
     docs = docs.select("doc_id", "text")
     return docs.repartition(2 * cores) if few else docs
 

@@ -91,9 +91,11 @@ _MIN = "mm AS (SELECT m.doc_id, ann, seq, m_start, m_end, entity, instr(substrin
 @query(sql("SELECT doc_id, ann, seq, CASE WHEN at_pos > 0 THEN m_start + at_pos - 1 ELSE m_start END AS min_start, CASE WHEN at_pos > 0 THEN m_start + at_pos + 1 ELSE m_end END AS min_end FROM mm", TOK, MEN, _MIN))
 def min_mentions(spark, d):
     """The minimal span of every mention: the first occurrence of its third and fourth character in it."""
-    m = mentions(spark, d).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    at = F.expr("instr(substring(text, m_start + 1, m_end - m_start), substring(text, m_start + 3, 2))")
-    return m.withColumn("at", at).select("doc_id", "ann", "seq", F.when(F.col("at") > 0, F.col("m_start") + F.col("at") - 1).otherwise(F.col("m_start")).alias("min_start"), F.when(F.col("at") > 0, F.col("m_start") + F.col("at") + 1).otherwise(F.col("m_end")).alias("min_end"))
+    n = nested(spark, d, text=True).select("doc_id", "text", F.col("ms"))
+    two = markup.slices(F.col("text"), F.transform("ms", lambda m: m.m_start + 2), F.transform("ms", lambda m: m.m_start + 4))
+    at = markup.place_within(F.col("text"), F.transform("ms", lambda m: m.m_start), F.transform("ms", lambda m: m.m_end), two)
+    m = n.select("doc_id", F.explode(F.arrays_zip(F.col("ms"), at.alias("at"))).alias("x")).select("doc_id", "x.ms.*", "x.at")
+    return m.select("doc_id", "ann", "seq", F.coalesce("at", "m_start").alias("min_start"), F.when(F.col("at").isNotNull(), F.col("at") + 2).otherwise(F.col("m_end")).alias("min_end"))
 
 
 _NME = "nm AS (SELECT doc_id, ann, seq, CASE entity WHEN 'P0' THEN '--' WHEN 'P1' THEN '--OOKBE--' WHEN 'P2' THEN '--NME--' ELSE entity END AS entity FROM men)"
@@ -139,7 +141,7 @@ _CHN = "fo AS (SELECT doc_id, ann, entity, min(m_start::HUGEINT * 10000000000000
 
 @query(sql("SELECT doc_id, ann, entity, chain_idx, n_mentions FROM chn", TOK, MEN, _CHN))
 def chains(spark, d):
-    return ch.chains(mentions(spark, d), KEYS)
+    return ch.nested_chains(nested(spark, d), KEYS)
 
 
 _COO = "coo AS MATERIALIZED (SELECT doc_id, p0 AS e0, p1 AS e1, count(*) AS cnt FROM wide WHERE p0 IS NOT NULL AND p1 IS NOT NULL GROUP BY ALL)"
