@@ -7,6 +7,9 @@ fourth entity and has every other phrase. Annotator 2 takes tokens of 5 or more
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,6 +41,16 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return docs.repartition(2 * cores) if few else docs
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which all executors share; only a local session without it gets one made."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spanloom-")
+    return f"{base.rstrip('/')}/spanloom/{tag}-{uuid.uuid4().hex}"
+
+
 def derived_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokens(documents(spark, d))
 

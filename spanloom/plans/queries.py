@@ -11,8 +11,8 @@ from ..functions import automaton, codecs, collections, delimited, positions
 from ..functions import text as tx
 from ..operators import alignment, asof, markup, patching, report, scores, sweep
 from ..operators import chains as ch
-from ..sources import conll, results
-from .derived import KEYS, MEN, MRK, PRI, SEG, TOK, derived_tokens, mentions, met, nested, sql, table
+from ..sources import conll, files, results, xml
+from .derived import KEYS, MEN, MRK, PRI, SEG, TOK, derived_tokens, mentions, met, nested, scratch, sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -275,6 +275,15 @@ def conll_column(spark, d):
     return c.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "word"))), lambda x: x.word), " ").alias("words"))
 
 
+@query(sql("SELECT doc_id, string_agg(word, ' ' ORDER BY tok_idx) AS words FROM cl WHERE NOT starts_with(word, '#') GROUP BY doc_id", TOK, MEN, _BND, _CONLL))
+def conll_files(spark, d):
+    """Documents written by the data source of CoNLL files and read by it in splits of 256 KB: the word column."""
+    path = scratch(spark, "conll")
+    files.write(conll.to_lines(_conll(spark, d), "doc_id"), "conll", path)
+    c = conll.column(conll.scan(spark, path, 256 << 10), 0)
+    return c.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "word"))), lambda x: x.word), " ").alias("words"))
+
+
 _ESC = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
 
 
@@ -287,6 +296,16 @@ def marked_text(spark, d):
     return markup.mark_nested(nested(spark, d, 1, text=True), "doc_id")
 
 
+@query(sql("SELECT doc_id::VARCHAR AS doc_id, entity, count(*) AS n FROM men WHERE ann = 0 GROUP BY ALL", TOK, MEN))
+def article_files(spark, d):
+    """Marked documents written by the data source of article files and read by it in splits of 256 KB: each text's entities."""
+    path = scratch(spark, "articles")
+    marked = markup.mark_nested(nested(spark, d, 1, text=True), "doc_id")
+    files.write(marked.select(F.concat(F.lit("<article id='"), "doc_id", F.lit("'>"), "marked", F.lit("</article>")).alias("value")), "articles", path)
+    articles, ms = xml.scan(spark, path, split=256 << 10)
+    return ms.join(articles.select("file", "doc_idx", "doc_id"), ["file", "doc_idx"]).groupBy("doc_id", "entity").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _pairs_of_tags(where: str = "TRUE") -> str:
     """Pairs without a stack: a tag is closed where the running sum first falls below its own; depth by counting."""
     tags = "regexp_extract_all(html, '</?(?:ul|li|a|nav|div)\\b[^>]*>')"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.chains import all_scores
 from ..operators.markup import parse_coref, unclosed
 from ..operators.sweep import nest
+from . import files
 
 ROWS = "file string, line_no int, line string"
 
@@ -30,6 +31,12 @@ def documents(rows: DataFrame) -> DataFrame:
     return df.select("file", "doc_no", "doc_id", row.alias("row_idx"), F.when(F.col("line") == "", F.array().cast("array<string>")).otherwise(F.split("line", "\\s+")).alias("cols"))
 
 
+def scan(spark: SparkSession, path: str, split: int = files.SPLIT) -> DataFrame:
+    """file, doc_no, doc_id, row_idx, cols like ``documents``, by the data source of CoNLL files: splits of any size and no windows.
+    doc_no is the byte at which the document begins."""
+    return files.read(spark, "conll", path, split=split).withColumnRenamed("at", "doc_no")
+
+
 def latest(docs: DataFrame) -> DataFrame:
     """Of the documents of a file that have the same id only the last one."""
     last = docs.groupBy("file", "doc_id").agg(F.max("doc_no").alias("doc_no"))

@@ -15,6 +15,7 @@ from ..functions.text import normalize, xml_escape
 from ..operators.alignment import move_spans, shift_tables
 from ..operators.markup import marked_text
 from ..operators.sweep import zip_lists
+from . import files
 
 
 def read(spark: SparkSession, path: str, ann: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -36,6 +37,14 @@ def read(spark: SparkSession, path: str, ann: int = 0) -> tuple[DataFrame, DataF
     return _parse(found.select("file", (F.col("before") + F.col("n") - F.col("n0")).cast("int").alias("doc_idx"), xml.alias("xml")), ann)
 
 
+def scan(spark: SparkSession, path: str, ann: int = 0, split: int = files.SPLIT) -> tuple[DataFrame, DataFrame]:
+    """(articles, mentions) like ``read``, by the data source of article files: splits of any size, of one huge file too, and no pass for
+    numbers. An article's doc_idx is the byte at which it begins, which is in the order of its file. A file without articles has
+    none."""
+    raw = files.read(spark, "articles", path, split=split)
+    return _parse(raw.select("file", F.col("at").alias("doc_idx"), "xml"), ann)
+
+
 def parse_string(spark: SparkSession, text: str, ann: int = 0) -> tuple[DataFrame, DataFrame]:
     if "<article" not in text:
         text = f"<article>{text}</article>"
@@ -116,6 +125,11 @@ def lines(articles: DataFrame, mentions: DataFrame, key: str = "doc_idx") -> Dat
     return marked.select(key, F.concat(F.lit("<article id='"), xml_escape("doc_id"), F.lit("'"), more, F.lit(">"), "marked", F.lit("</article>")).alias("value"))
 
 
+def write_files(articles: DataFrame, mentions: DataFrame, path: str, key: str = "doc_idx", mode: str = "append") -> None:
+    """Article files, each complete, without any order among the articles (see ``files``)."""
+    files.write(lines(articles, mentions, key), "articles", path, mode)
+
+
 def write(articles: DataFrame, mentions: DataFrame, path: str, key: str = "doc_idx") -> None:
     """One article per line between the head and foot lines of the format."""
     body = lines(articles, mentions, key).select(F.col(key).cast("long").alias("o"), "value")
