@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import automaton, codecs, collections, delimited, positions
+from ..functions import automaton, codecs, collections, delimited, extensions, positions
 from ..functions import text as tx
-from ..operators import alignment, asof, markup, patching, report, scores, sweep
+from ..operators import alignment, asof, guard, markup, patching, report, scores, sweep
 from ..operators import chains as ch
 from ..sources import conll, files, results, xml
 from .derived import KEYS, MEN, MRK, PRI, SEG, TOK, derived_tokens, mentions, met, nested, scratch, sql, table
@@ -37,6 +37,15 @@ def tokenize(spark, d):
     return derived_tokens(spark, d)
 
 
+@query("SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS idx, word FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\r\\x0b\\x0c]+') AS ws FROM documents))")
+def lateral_tokens(spark, d):
+    """A tokenizer and a normaliser of one's own in SQL: the words between blanks, ASCII letters in lower case."""
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    extensions.register_normaliser(spark, "spanloom_lower", lambda t: t.translate(lower))
+    extensions.register_tokenizer(spark, "spanloom_words", extensions.tokenizer(extensions.regex_spans("[^ \\t\\n\\r\\x0b\\x0c]+")))
+    return spark.sql("SELECT d.doc_id, w.idx, w.word FROM {docs} AS d, LATERAL spanloom_words(spanloom_lower(d.text)) AS w", docs=table(spark, d, "documents"))
+
+
 _B = "[ \\t\\x0B\\f\\r]"
 
 
@@ -126,6 +135,21 @@ def text_guard(spark, d):
     return o.where("a <> b").select("item_id", F.length("a").alias("len0"), F.length("b").alias("len1"), tx.common_prefix("a", "b").alias("prefix_len"))
 
 
+_STREAMS = "st AS (SELECT doc_id AS idx, doc_id AS id0, text AS text0, CASE WHEN doc_id % 11 = 5 THEN -doc_id ELSE doc_id END AS id1, CASE WHEN doc_id % 4 = 1 THEN left(text, 30) || '~' || substring(text, 33) ELSE text END AS text1 FROM documents)"
+
+
+@query(sql("""SELECT idx, reason, prefix_len, substring(a, prefix_len::BIGINT + 1, 10) AS next0, substring(b, prefix_len::BIGINT + 1, 10) AS next1, coalesce(length(text0), -1)::INTEGER AS len0, CASE WHEN reason = 'missing' THEN -1 ELSE coalesce(length(text1), -1) END::INTEGER AS len1
+FROM (SELECT *, coalesce(list_max(list_filter(range(0, 40), lambda n: n <= least(length(a), length(b)) AND left(a, n) = left(b, n))), 0)::INTEGER AS near,
+  CASE WHEN a = b THEN length(a)::INTEGER ELSE near END AS prefix_len FROM (
+  SELECT *, coalesce(text0, '') AS a, CASE WHEN idx % 13 = 2 THEN '' ELSE coalesce(text1, '') END AS b, CASE WHEN idx % 13 = 2 THEN 'missing' WHEN id0 <> id1 THEN 'id' WHEN text0 IS DISTINCT FROM text1 THEN 'text' END AS reason FROM st)) WHERE reason IS NOT NULL""", _STREAMS))
+def guard_report(spark, d):
+    """Documents against a stream that lacks some, has other ids for some and a changed character in others: what differs and where."""
+    a = table(spark, d, "documents").select(F.col("doc_id").alias("idx"), "doc_id", "text")
+    changed = F.concat(F.left("text", F.lit(30)), F.lit("~"), F.expr("substring(text, 33)"))
+    b = a.where("idx % 13 <> 2").select("idx", F.when(F.col("idx") % 11 == 5, -F.col("doc_id")).otherwise(F.col("doc_id")).alias("doc_id"), F.when(F.col("idx") % 4 == 1, changed).otherwise(F.col("text")).alias("text"))
+    return guard.guarded(a, b, "idx", "doc_id", "text")[0]
+
+
 @query("WITH m AS (SELECT max(doc_id) AS top FROM documents), b AS (SELECT doc_id AS doc_idx, CASE WHEN 10 * doc_id >= 9 * top AND doc_id % 7 = 3 THEN coalesce(text, '') || '!' ELSE text END AS text FROM documents, m) SELECT doc_id AS doc_idx FROM documents WHERE doc_id < (SELECT min(b.doc_idx) FROM b JOIN documents a ON a.doc_id = b.doc_idx WHERE a.text IS DISTINCT FROM b.text)")
 def zip_prefix(spark, d):
     """All documents against a stream whose texts differ here and there in its last tenth."""
