@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ SINGLE = 255
 BITS = 18
 #: Rounds of learning the mixer's weights; each training row is learnt from in one of them.
 ROUNDS = 4
+#: Tokens of a block, about: the rows that one copy of the weights learns from in a round.
+BLOCK_TOKENS = 1 << 17
 #: Bits that are learnt from in one step, and the tokens that are worked on at once.
 STEP, RUN_TOKENS = 1 << 13, 1 << 15
 #: Bytes of text that are split at once; a longer text is read in parts.
@@ -246,36 +249,50 @@ def _token_ids(column) -> list:
     return [(i, np.frombuffer(x.as_py(), "<u2")) for i, x in enumerate(column)]
 
 
-def learn_all(mixer: Mixer, train: DataFrame) -> int:
-    """Adapt the mixer to all rows of ``train`` (row, a unique number, and ids) and return how many bits it learnt from.
+def _blocks(batches):
+    """(block, its ids in order) of rows (block, ids) that come block by block, however they are cut into batches."""
+    rows = ((block, x) for b in batches for block, x in zip(b.column(0).to_numpy().tolist(), b.column(1)))
+    for block, own in itertools.groupby(rows, key=lambda x: x[0]):
+        yield block, ((0, np.frombuffer(x.as_py(), "<u2")) for _, x in own)
 
-    In each of ROUNDS rounds every partition adapts a copy of the weights and the refinement online to its rows of that
-    round (dealt by hashes of the numbers); the copies then meet as means, each cell weighted by how often it was adapted.
+
+def learn_all(mixer: Mixer, train: DataFrame, tokens: int) -> int:
+    """Adapt the mixer to all rows of ``train`` (key, a hash of id and tokens, and ids) and return how many bits it learnt from.
+
+    Hashes deal the rows to ROUNDS rounds and within these to blocks of about BLOCK_TOKENS tokens. In each round every
+    block adapts a copy of the weights and the refinement online, to its rows in the order of their keys; the copies then meet
+    as means, each cell weighted by how often it was adapted. So what is learnt depends on the rows alone, not on how they
+    are partitioned.
     """
     spark = train.sparkSession
     held = spark.sparkContext.broadcast(mixer)
     n_w = mixer.w.size
+    blocks = max(1, -(-tokens // (ROUNDS * BLOCK_TOKENS)))
     bits = 0
 
     def adapt(w, refine):
         def run(batches):
             base = held.value
-            m = copy.copy(base)
-            m.w, m.refine = w.copy(), refine.copy()
-            m.seen_w, m.seen_refine = np.zeros_like(base.seen_w), np.zeros_like(base.seen_refine)
-            for b in batches:
-                for _, ids, first, lead in _pieces(_token_ids(b.column(0))):
+            value = np.zeros(w.size + refine.size)
+            n = np.zeros(w.size + refine.size, np.int64)
+            for _, rows in _blocks(batches):
+                m = copy.copy(base)
+                m.w, m.refine = w.copy(), refine.copy()
+                m.seen_w, m.seen_refine = np.zeros_like(base.seen_w), np.zeros_like(base.seen_refine)
+                for _, ids, first, lead in _pieces(rows):
                     _, at, slots = m.code.bits(ids, first, lead)
                     m.learn(at, slots)
-            value = np.concatenate([m.w.ravel(), m.refine.ravel()])
-            n = np.concatenate([np.repeat(m.seen_w, CONTEXTS + 1), m.seen_refine.ravel()])
+                seen = np.concatenate([np.repeat(m.seen_w, CONTEXTS + 1), m.seen_refine.ravel()])
+                value += np.concatenate([m.w.ravel(), m.refine.ravel()]) * seen
+                n += seen
             cell = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(value[cell] * n[cell]), pa.array(n[cell])], names=["cell", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(value[cell]), pa.array(n[cell])], names=["cell", "v", "n"])
 
         return run
 
+    dealt = train.select(F.pmod("key", F.lit(ROUNDS)).alias("round"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), "key", "ids")
     for k in range(ROUNDS):
-        rows = train.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == k).select("ids")
+        rows = dealt.where(F.col("round") == k).repartition("block").sortWithinPartitions("block", "key").select("block", "ids")
         met = rows.mapInArrow(tidy(adapt(mixer.w, mixer.refine)), "cell int, v double, n long").groupBy("cell").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).collect()
         w, refine = mixer.w.ravel().copy(), mixer.refine.ravel().copy()
         for r in met:
@@ -442,7 +459,8 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "do
 
     Counts of all words are exact: at most TOP frequent ones go to every executor, the rest of each document is joined with
     the count table. Tokens are written once, as numbers; context counts, weights and refinement come from all training
-    rows, counts in tables of a fixed size.
+    rows, counts in tables of a fixed size. The score is a function of the rows: however the table is partitioned, it is the same
+    but for the rounding of sums.
     """
     spark = docs.sparkSession
     held = F.coalesce(crc_mod(F.col(id_col), folds) == held_fold, F.lit(False))
@@ -451,13 +469,13 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, id_col: str = "do
     r = table.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
     code = Code(_most_frequent(table), r["n"], r["v"])
     rows = materialize(encode(src, code), "tokens", "zstd")
-    train = rows.where("not held_out").select("row", "ids")
+    train = rows.where("not held_out").select(F.xxhash64(F.col("doc_key").cast("string"), "ids").alias("key"), "ids")
     order0 = np.ones((code.nodes, 2))
     for c in range(len(code.mass)):
         for i in range(code.first[c], code.first[c + 1]):
             order0[code.node[i], code.bit[i]] += code.mass[c]
     mixer = Mixer(code, context_counts(train, code), np.log(order0[:, 1] / order0[:, 0]))
-    learn_all(mixer, train)
+    learn_all(mixer, train, r["n"])
     held_mixer = spark.sparkContext.broadcast(mixer)
 
     def evaluate(batches):

@@ -86,6 +86,28 @@ def test_jaccard(spark, k, num, den, monkeypatch):
     assert jaccard.jaccard_classes(_empty(spark)).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """One table in one, six and 40 partitions, in batches of other sizes, has one score."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 1 << 10)
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(r.choices(words, [1 / (i + 1) for i in range(300)], k=r.randrange(1, 120))) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (500, None)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = []
+    try:
+        for n, batch in ((1, "10000"), (6, "7"), (40, "10000")):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            r.shuffle(rows)
+            df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+            found.append(sorted((x.doc_id or -1, x.n_tokens, x.score) for x in mixing.score(df).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for other in found[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in found[0]]
+        assert np.allclose([x[2] for x in other], [x[2] for x in found[0]], rtol=1e-9, atol=0)
+
+
 def test_keep_one(spark):
     got = [r.doc_id for r in jaccard.keep_one(_docs(spark)).collect()]
     assert 10 not in got and 11 not in got and 0 in got and None in got
@@ -393,11 +415,11 @@ def test_mixing_learns_from_all_rows(spark):
     texts = [f"a b {'c d'[2 * (i % 2)]} x{i}" for i in range(1_700)]
     mixer = mixing.Mixer(code, np.zeros((mixing.CONTEXTS, 2 << mixing.BITS), np.int64), np.zeros(code.nodes))
     before = mixer.refine.copy()
-    rows = mixing.encode(spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_key long, held_out boolean, text string").repartition(3), code).select("row", "ids").cache()
+    rows = mixing.encode(spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_key long, held_out boolean, text string").repartition(3), code).select(F.col("row").alias("key"), "ids").cache()
     which, first, distinct = mixing.split_texts(pa.array(texts))
-    bits = mixing.learn_all(mixer, rows)
+    bits = mixing.learn_all(mixer, rows, 1000)
     assert bits == len(code.bits(code.numbers(distinct)[which], first)[0]) and not np.allclose(mixer.refine, before)
-    assert mixing.learn_all(mixer, rows.limit(0)) == 0
+    assert mixing.learn_all(mixer, rows.limit(0), 0) == 0
 
 
 def test_mixing_predicts_held_out_texts(spark):
