@@ -7,6 +7,8 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,20 @@ from pyspark.sql import types as T
 from .text import col
 
 
+def _decoder(mark: str, change):
+    """An Arrow function from text to text: only texts with a match of ``mark`` (without which ``change`` changes nothing) are taken
+    out of their Arrow array, repeated ones once."""
+
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        on = pc.fill_null(pc.match_substring_regex(texts, mark), False)
+        some = texts.filter(on).dictionary_encode()
+        changed = pa.array([change(t) for t in some.dictionary.to_pylist()], pa.string()).take(some.indices)
+        return pc.replace_with_mask(texts, on, changed)
+
+    return run
+
+
 def percent_encode(c: Column | str) -> Column:
     """UTF-8 bytes other than ASCII letters and digits as %XX (blank is %20)."""
     c = F.url_encode(col(c))
@@ -64,9 +80,7 @@ def decode_percents(text: str) -> str:
     return _whole(_PERCENT.sub(lambda m: _utf8([int(x, 16) for x in m[0].split("%")[1:]]), text))
 
 
-@F.pandas_udf(T.StringType())
-def percent_decode(s: pd.Series) -> pd.Series:
-    return s.map(decode_percents, na_action="ignore")
+percent_decode = _decoder("%", decode_percents)
 
 
 #: A name or number ended by a semicolon, which belongs to it, or by a space or the end.
@@ -110,15 +124,9 @@ def ampersand_decode_tracked(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": [t for t, _ in rows], "changes": [c and [{"pos": p, "delta": d} for p, d in c] if c is not None else None for _, c in rows]})
 
 
-@F.pandas_udf(T.StringType())
-def ampersand_decode_decimal(s: pd.Series) -> pd.Series:
-    """Without hexadecimal entities, which stay."""
-    return s.map(lambda x: decode_entities(x, False), na_action="ignore")
-
-
-@F.pandas_udf(T.StringType())
-def ampersand_decode(s: pd.Series) -> pd.Series:
-    return s.map(decode_entities, na_action="ignore")
+#: Without hexadecimal entities, which stay.
+ampersand_decode_decimal = _decoder("&", lambda x: decode_entities(x, False))
+ampersand_decode = _decoder("&", decode_entities)
 
 
 def _by_character(c: Column | str, keep: str, other) -> Column:
@@ -170,9 +178,7 @@ def decode_backslashes(text: str) -> str:
     return _whole(_BACKSLASH.sub(_backslash, text))
 
 
-@F.pandas_udf(T.StringType())
-def backslash_decode(s: pd.Series) -> pd.Series:
-    return s.map(decode_backslashes, na_action="ignore")
+backslash_decode = _decoder(r"\\", decode_backslashes)
 
 
 def backslash_encode(c: Column | str, keep: str = "^[A-Za-z0-9 ]$", short: bool = False) -> Column:
@@ -218,9 +224,7 @@ def decode_any(text: str) -> str:
     return _whole(_ANY.sub(one, text))
 
 
-@F.pandas_udf(T.StringType())
-def decode(s: pd.Series) -> pd.Series:
-    return s.map(decode_any, na_action="ignore")
+decode = _decoder("[%&\\\\\u00c0-\u00f7]", decode_any)
 
 
 def hex_all(c: Column | str) -> Column:
