@@ -192,12 +192,17 @@ def _score(row, term, impact, plan: _Plan, least: np.ndarray):
     pair = pair[part + plan.rest[item] >= least[item]]  # the candidates
     row_of, item = pair // len(least), pair % len(least)
     key = row * plan.n_terms + term  # ascending
-    cand, place = _expand(plan.first[item], plan.first[item + 1])
-    wanted = row_of[cand] * plan.n_terms + plan.item_term[place]
-    at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-    hit = key[at] == wanted
     score = np.zeros(len(pair), np.int64)
-    np.add.at(score, cand[hit], plan.item_factor[place[hit]] * impact[at[hit]])
+    work = np.concatenate([[0], np.cumsum(plan.first[item + 1] - plan.first[item])])
+    a = 0
+    while a < len(pair):  # so many candidates at a time that their items' terms are bounded
+        z = max(a + 1, int(np.searchsorted(work, work[a] + PAIRS, side="right")) - 1)
+        cand, place = _expand(plan.first[item[a:z]], plan.first[item[a:z] + 1])
+        wanted = row_of[a:z][cand] * plan.n_terms + plan.item_term[place]
+        at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        hit = key[at] == wanted
+        np.add.at(score, a + cand[hit], plan.item_factor[place[hit]] * impact[at[hit]])
+        a = z
     good = score >= least[item]
     return row_of[good], item[good], score[good]
 
