@@ -386,6 +386,12 @@ def f1_format(spark, d):
     return scores.display(_label_scores(spark, d)).select("doc_id", "metric", *[F.round(c, 9).alias(c) for c in ("recall", "precision", "f1")])
 
 
+@query(sql(f"SELECT doc_id, metric, regexp_replace(printf('%.2f', round(100 * r, 2)), '^0[.]', '.') AS recall_pct, regexp_replace(printf('%.2f', round(100 * p, 2)), '^0[.]', '.') AS precision_pct FROM (SELECT doc_id, metric, {_V.format(n='r_nom', d='r_den')} AS r, {_V.format(n='p_nom', d='p_den')} AS p FROM sco)", _SCO))
+def score_percent(spark, d):
+    """Recall and precision in percent, as they are shown."""
+    return scores.display(_label_scores(spark, d)).select("doc_id", "metric", "recall_pct", "precision_pct")
+
+
 @query(sql("SELECT doc_id, metric, r_nom, r_den FROM sco WHERE metric = 'quality' UNION ALL SELECT doc_id, metric, r_nom + 1, r_den FROM sco WHERE metric = 'toxic'", _SCO))
 def scores_merge(spark, d):
     s = _label_scores(spark, d)
