@@ -36,7 +36,7 @@ def longest_prefix(c: Column | str, search: Column | str) -> Column:
         more = n + F.pow(F.lit(2.0), i).cast("int")
         return F.when((more <= F.length(search)) & F.contains(c, F.substring(search, F.lit(1), more)), more).otherwise(n)
 
-    return F.left(search, F.aggregate(F.sequence(F.lit(24), F.lit(0)), F.lit(0), step))
+    return F.left(search, F.aggregate(F.sequence(F.lit(30), F.lit(0)), F.lit(0), step))
 
 
 def translate(pos: Column | str, changes: Column | str) -> Column:

@@ -104,11 +104,10 @@ def common_prefix(a: Column | str, b: Column | str) -> Column:
     n = F.least(F.length(a), F.length(b))
 
     def step(acc, i):
-        size = F.shiftright(F.lit(1 << 30), 0) * 0 + F.pow(F.lit(2.0), i).cast("int")
-        more = acc + size
+        more = acc + F.pow(F.lit(2.0), i).cast("int")
         return F.when((more <= n) & (F.substring(a, F.lit(1), more) == F.substring(b, F.lit(1), more)), more).otherwise(acc)
 
-    return F.aggregate(F.sequence(F.lit(24), F.lit(0)), F.lit(0), step)
+    return F.aggregate(F.sequence(F.lit(30), F.lit(0)), F.lit(0), step)
 
 
 def common_suffix(a: Column | str, b: Column | str) -> Column:

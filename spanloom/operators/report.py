@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import resources
 from ..functions.text import xml_escape
 from . import scores as sc
 from . import sweep
@@ -116,7 +117,7 @@ def annotators(names: list[str]) -> str:
 
 
 #: The report around its articles.
-TEMPLATE = "<?xml version='1.0' encoding='UTF-8'?>\n<comparison>\n<article/>\n</comparison>\n"
+TEMPLATE = resources.read("report.xml")
 
 
 def fill(template: str, article: Column) -> Column:

@@ -10,10 +10,10 @@ from pyspark.sql import SparkSession
 
 
 def archive(path: str | Path) -> Path:
-    """The library's modules as a zip file, which Python can import from; also for ``spark-submit --py-files``."""
+    """The library's modules and texts as a zip file, which Python can import from; also for ``spark-submit --py-files``."""
     root = Path(__file__).resolve().parent
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
-        for file in sorted(root.rglob("*.py")):
+        for file in sorted(x for x in root.rglob("*") if x.suffix in (".py", ".xml")):
             out.write(file, f"{root.name}/{file.relative_to(root)}")
     return Path(path)
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spanloom.operators import sweep
@@ -117,3 +119,26 @@ def test_flagship_counts(spark):
 
     got = {(r.ann, r.eval): (r.n_segments, r.n_chars) for r in QUERIES["eval_summary"](spark, "/root/testdata/sf0.001").collect()}
     assert got[1, "correct"] == (32216, 204410) and got[2, "missing"] == (20009, 90430) and got[2, "toomuch"] == (2306, 11530)
+
+
+def test_principal_mentions_of_long_and_nested_spans():
+    """The last mention over every segment, for random, deeply nested and very long mentions, against a look at all of them."""
+    r = np.random.default_rng(5)
+    for trial in range(30):
+        texts, rows = 4, []
+        for d in range(texts):
+            n = int(r.integers(0, 60))
+            start = r.integers(0, 80, n) if trial % 3 else np.arange(n)
+            end = start + r.integers(0, 40, n) if trial % 3 else 200 - np.arange(n)
+            rows += [(d, int(r.integers(0, 3)), i, int(a), int(z), f"e{i % 4}") for i, (a, z) in enumerate(zip(start, end))]
+        count = np.bincount([x[0] for x in rows], minlength=texts)
+        columns = [pa.array([x[k] for x in rows], pa.int32()) for k in (1, 2, 3, 4)] + [pa.array([x[5] for x in rows], pa.string())]
+        layout = sweep._Layout(np.full(texts, 300), count, columns)
+        best = layout.best(np.array([0, 1, 2]), hidden=("e3",))
+        for seg in range(len(layout.bound)):
+            d, e = layout.doc[seg], layout.e[seg]
+            for a in range(3):
+                over = [(x[3], -x[4], x[2], i) for i, x in enumerate(rows) if x[0] == d and x[1] == a and x[3] < e <= x[4]]
+                want = max(over)[-1] if over else -1
+                want = -1 if want >= 0 and rows[want][5] == "e3" else want
+                assert best[seg, a] == want
