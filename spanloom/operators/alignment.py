@@ -221,6 +221,22 @@ def script_distance(d: Column) -> Column:
     return F.aggregate(d, zero, step, lambda acc: acc.total + F.greatest(acc.ins, acc.dele))
 
 
+def place_after(d: Column, place: Column) -> Column:
+    """Where a place of the source text lies in the target text; one in a deleted part becomes the place where that was."""
+    start = F.struct(F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(None).cast("int").alias("found"))
+
+    def step(acc, x):
+        n = F.length(x.text)
+        here = (x.op != "INSERT") & (place < acc.p + n) & acc.found.isNull()
+        return F.struct(
+            (acc.p + F.when(x.op == "INSERT", 0).otherwise(n)).alias("p"),
+            (acc.q + F.when(x.op == "DELETE", 0).otherwise(n)).alias("q"),
+            F.when(here, F.when(x.op == "DELETE", acc.q).otherwise(acc.q + place - acc.p)).otherwise(acc.found).cast("int").alias("found"),
+        )
+
+    return F.aggregate(d, start, step, lambda acc: F.coalesce(acc.found, acc.q + place - acc.p))
+
+
 def pretty_html(d: Column) -> Column:
     def piece(x):
         t = F.replace(F.replace(F.replace(F.replace(x.text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("\n"), F.lit("&para;<br>"))

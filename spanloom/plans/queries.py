@@ -562,6 +562,14 @@ def span_align(spark, d):
     return alignment.align_spans(p, "a", "b").select("item_id", "a_start", "a_end")
 
 
+@query(sql("SELECT item_id, least(length(a), 3) + 3 AS early, length(b) AS late FROM ed", _EDIT))
+def place_after(spark, d):
+    """Where the third place of an item, after which nothing has changed yet, and its end lie in its edited form."""
+    p = _pairs(spark, d).withColumn("d", alignment.diff_udf("a", "b"))
+    end = alignment.place_after(F.col("d"), F.length("a"))
+    return p.select("item_id", alignment.place_after(F.col("d"), F.least(F.length("a"), F.lit(3))).alias("early"), end.alias("late"))
+
+
 _TWO = "tw AS (SELECT item_id, text AS a, lead(text) OVER (ORDER BY item_id) AS b FROM benchmark)"
 
 

@@ -3,6 +3,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from spanloom.operators import alignment
 from spanloom.operators import patching as pt
@@ -94,3 +95,11 @@ def test_udfs(spark):
     df = spark.createDataFrame([("the cat", "a cat"), (None, "x"), ("", "")], "a string, b string")
     df = df.withColumn("p", pt.patch_udf("a", "b")).withColumn("r", pt.apply_patch_udf("p", "a")).select("a", "b", "r.text")
     assert [(r.a, r.text) for r in df.collect()] == [("the cat", "a cat"), (None, None), ("", "")]
+
+
+def test_places_after_an_edit(spark):
+    cases = [("the cat sat", "a cat, sat down"), ("abc", ""), ("", "abc"), ("same", "same"), ("abcdef", "xxabyyefzz")]
+    df = spark.createDataFrame([(i, a, b, p) for i, (a, b) in enumerate(cases) for p in range(len(a) + 2)], "i int, a string, b string, p int")
+    got = df.withColumn("d", alignment.diff_udf("a", "b")).select("i", "p", alignment.place_after(F.col("d"), F.col("p")).alias("q")).collect()
+    assert {(x.i, x.p): x.q for x in got} == {(i, p): pt._index(alignment.diff(a, b), p) for i, (a, b) in enumerate(cases) for p in range(len(a) + 2)}
+    assert [x.q for x in sorted(got, key=lambda x: x.p) if x.i == 3] == [0, 1, 2, 3, 4, 5]
