@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .text import in_runs
+
 TOKEN = T.StructType([T.StructField("tok_start", T.IntegerType()), T.StructField("tok_end", T.IntegerType()), T.StructField("word", T.StringType())])
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
@@ -38,8 +40,8 @@ def flat_map(make: Callable[[str], Iterable[tuple]], row: T.StructType):
 
     @F.arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:
-        names = row.names
-        return pa.array([None if t is None else [dict(zip(names, x)) for x in make(t)] for t in texts.to_pylist()], to_arrow_type(kind))
+        names, arrow = row.names, to_arrow_type(kind)
+        return in_runs(lambda part: pa.array([None if t is None else [dict(zip(names, x)) for x in make(t)] for t in part.to_pylist()], arrow), texts)
 
     return run
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.codecs import decode_entities
-from ..functions.text import normalize, xml_escape
+from ..functions.text import normalize, runs, xml_escape
 from ..operators.alignment import move_spans, shift_tables
 from ..operators.markup import marked_text
 from ..operators.sweep import zip_lists
@@ -95,11 +95,6 @@ def parse_article(xml: str) -> dict:
     return {"doc_id": head.get("id", ""), "text": text, "info": [(k, v) for k, v in head.items() if k != "id"], "ms": ms}
 
 
-@F.arrow_udf(_ARTICLE)
-def _parsed(xml: pa.Array) -> pa.Array:
-    return pa.array([parse_article(x) for x in xml.to_pylist()], to_arrow_type(_ARTICLE))
-
-
 def parse(raw: DataFrame, ann: int) -> tuple[DataFrame, DataFrame]:
     """(articles, mentions) of texts (file, value) that each hold a whole file; one without an article tag is one article."""
     found = F.regexp_extract_all("value", F.lit("(?s)<article[\\s>].*?</article>"), F.lit(0))
@@ -111,7 +106,15 @@ def _parse(art: DataFrame, ann: int) -> tuple[DataFrame, DataFrame]:
     """Normalise the white space of articles (file, doc_idx, xml), cut tags from text and turn marks into character spans,
     each article in one pass. Spans are clamped to the trimmed text; seq is the closing order. info has the other
     attributes of articles (without id) and marks (without entity and min)."""
-    art = art.select(F.lit(ann).alias("ann"), "file", "doc_idx", _parsed(normalize("xml")).alias("a"))
+    src = art.select(F.lit(ann).alias("ann"), "file", "doc_idx", normalize("xml").alias("xml"))
+    schema = T.StructType([*src.schema.fields[:3], T.StructField("a", _ARTICLE)])
+
+    def run(batches):
+        for b in batches:
+            for a, z in runs(b.column(3)):
+                yield pa.RecordBatch.from_arrays([*(c[a:z] for c in b.columns[:3]), pa.array([parse_article(x) for x in b.column(3)[a:z].to_pylist()], to_arrow_type(_ARTICLE))], names=schema.names)
+
+    art = src.mapInArrow(run, schema)
     articles = art.select("ann", "file", "doc_idx", "a.doc_id", "a.text", "a.info")
     return articles, art.select("ann", "file", "doc_idx", F.explode("a.ms").alias("m")).select("ann", "file", "doc_idx", "m.*")
 
