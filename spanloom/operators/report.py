@@ -16,80 +16,105 @@ from . import sweep
 from .markup import _ESCAPES
 
 
-def _short(name: Column, width: Column) -> Column:
-    """The short name, cut to five characters more than the segment has; [none] where there is no name."""
-    cut = F.when(F.length(name) > width + 5, F.concat(F.left(name, (width + 5).cast("int")), F.lit("…"))).otherwise(name)
-    return F.coalesce(xml_escape(cut), F.lit("[none]"))
-
-
-def _attributes(suffix: str, width: Column) -> Column:
-    """entity (its label is escaped already and is so once more, as it always was in this format) and short."""
-    label = F.coalesce(F.concat(F.lit(f" entity{suffix}='"), xml_escape("label"), F.lit("'")), F.lit(""))
-    return F.concat(label, F.lit(f" short{suffix}='"), F.when(F.col("entity").isNull(), F.lit("[none]")).otherwise(_short(F.col("short"), width)), F.lit("'"))
-
-
-def _chains(suffix: str) -> Column:
-    """chain-before and chain-after, each only where a mention of the annotator is open."""
-    one = [F.coalesce(F.concat(F.lit(f" chain-{side}{suffix}='"), F.repeat(F.lit(sign), F.col(side)), F.lit("'")), F.lit("")) for side, sign in (("before", "("), ("after", ")"))]
-    return F.concat(*one)
-
-
-_CELL = pa.list_(pa.struct([("seg_idx", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("ann", pa.int32()), ("some", pa.bool_()), ("eval", pa.string()), ("part", pa.string())]))
-
-
-def _assemble(gold: int, line_breaks: bool):
-    @F.arrow_udf(T.StringType())
-    def assemble(texts: pa.Array, cells: pa.Array) -> pa.Array:
-        cells = cells.cast(_CELL)
-        count = pc.fill_null(pc.list_value_length(cells), 0).to_numpy()
-        first = np.concatenate([[0], np.cumsum(count)])
-        columns = cells.flatten().flatten()
-        doc = np.repeat(np.arange(len(count)), count)
-        order = pa.array(np.lexsort((columns[3].to_numpy(), columns[0].to_numpy(), doc)))
-        seg, s, e, ann, some, label, part = (c.take(order).to_pylist() for c in columns)
-        out = []
-        for d, text in enumerate(texts.to_pylist()):
-            text = text or ""
-            pieces = [] if count[d] else [text.translate(_ESCAPES)]
-            i = int(first[d])
-            while i < first[d + 1]:
-                j = i
-                while j < first[d + 1] and seg[j] == seg[i]:
-                    j += 1
-                said = text[s[i] : e[i]].translate(_ESCAPES)
-                if line_breaks:
-                    said = said.replace("\n\n\n", "<br/>").replace("\n\n", "<br/>").replace("\n", "<br/>")
-                if any(some[i:j]):
-                    split = len({label[k] for k in range(i, j) if ann[k] != gold}) > 1
-                    pieces += [f"<mark split='{str(split).lower()}'", *(part[k] for k in range(i, j) if ann[k] == gold), ">", *(part[k] for k in range(i, j) if ann[k] != gold), said, "</mark>\n"]
-                else:
-                    pieces.append(said)
-                i = j
-            out.append("".join(pieces))
-        return pa.array(out, pa.string())
-
-    return assemble
-
-
-def contents(docs: DataFrame, nested: DataFrame, names: DataFrame, annotators: list[int], keys: list[str], gold: int = 0, line_breaks: bool = False, info: DataFrame | None = None, hidden: tuple[str, ...] = ()) -> DataFrame:
+#: Further columns of the texts: (ann, entity, label, short) of each entity, and (ann, seq, info) of each mention with attributes.
+_NAMES = "array<struct<ann:int,entity:string,label:string,short:string>>"
+_INFO = "array<struct<ann:int,seq:int,info:map<string,string>>>"
+
+
+def _escaped(s: str) -> str:
+    return s.translate(_ESCAPES)
+
+
+def _written(texts: list, x: sweep.Layout, n_docs: int, known: np.ndarray, gold: int, hidden: tuple[str, ...], line_breaks: bool, names: list | None, info: list | None) -> list[str]:
+    """The contents of the texts of a layout. Without ``names`` an entity, escaped, is its own label, and is its short name."""
+    best, label, before, open_before, ends, listed = (v.tolist() for v in x.cells(known, gold, hidden))
+    ends = [[n if some else None for n, some in zip(*row)] for row in zip(ends, listed)]
+    before = [[n if some else None for n, some in zip(*row)] for row in zip(before, open_before)]
+    at = np.searchsorted(x.doc, np.arange(n_docs + 1)).tolist()
+    s, e, seq = x.s.tolist(), x.e.tolist(), x.seq.tolist()
+    entity, known, order = x.entity.to_pylist(), known.tolist(), range(len(known))
+    order = [*(j for j in order if known[j] == gold), *(j for j in order if known[j] != gold)]
+    own = {e: (_escaped(e), e) for e in set(entity) if e is not None} if names is None else {}
+    out = []
+    for d, text in enumerate(texts):
+        text = text or ""
+        if at[d] == at[d + 1]:
+            out.append(_escaped(text))
+            continue
+        named = None if names is None else {(n["ann"], n["entity"]): (n["label"], n["short"]) for n in names[d] or ()}
+        further = {} if info is None else {(n["ann"], n["seq"]): n["info"] for n in info[d] or ()}
+        pieces = []
+        for i in range(at[d], at[d + 1]):
+            said = _escaped(text[s[i] : e[i]])
+            if line_breaks:
+                said = said.replace("\n\n\n", "<br/>").replace("\n\n", "<br/>").replace("\n", "<br/>")
+            row = best[i]
+            some = [m >= 0 and entity[m] is not None for m in row]
+            if not any(some):
+                pieces.append(said)
+                continue
+            split = len({label[i][j] for j in order[1:]}) > 1
+            pieces.append(f"<mark split='{str(split).lower()}'")
+            width = e[i] - s[i] + 5
+            for j in order:
+                is_gold, a = known[j] == gold, known[j]
+                suffix = str(gold) if is_gold else ""
+                shown, short = (None, None) if not some[j] else own[entity[row[j]]] if named is None else named.get((a, entity[row[j]]), (None, None))
+                if not is_gold:
+                    pieces.append(f"<annotator index='{a}'")
+                if shown is not None:
+                    pieces.append(f" entity{suffix}='{_escaped(shown)}'")
+                # the short name, cut to five characters more than the segment has; [none] where there is no name
+                short = "[none]" if short is None else _escaped(short[:width] + "…" if len(short) > width else short)
+                pieces.append(f" short{suffix}='{short}'")
+                if not is_gold:
+                    pieces.append(f" eval='{sweep.LABELS[label[i][j]]}'")
+                    if row[j] >= 0:
+                        pieces += [f" {k}='{_escaped(v)}'" for k, v in sorted(further.get((a, seq[row[j]])) or ()) if v is not None]
+                # each only where a mention of the annotator is open
+                if before[i][j] is not None:
+                    pieces.append(f" chain-before{suffix}='{'(' * before[i][j]}'")
+                if ends[i][j] is not None:
+                    pieces.append(f" chain-after{suffix}='{')' * ends[i][j]}'")
+                pieces.append(">" if is_gold else "/>\n")
+            pieces += [said, "</mark>\n"]
+        out.append("".join(pieces))
+    return out
+
+
+def contents(docs: DataFrame | None, nested: DataFrame | sweep.Texts, names: DataFrame | None, annotators: list[int], keys: list[str], gold: int = 0, line_breaks: bool = False, info: DataFrame | None = None, hidden: tuple[str, ...] = ()) -> DataFrame:
     """keys and ``content``: the segments of a text in order, those with an entity as marks.
 
     ``docs`` has keys and text, ``nested`` the mentions (see ``sweep.nest``), ``names`` keys, ann, entity, label and short,
     ``info`` (if given) keys, ann, seq and a map of further attributes. A document without mentions gets its escaped text;
-    a null text is empty. With ``line_breaks`` up to three line feeds become a break.
+    a null text is empty. With ``line_breaks`` up to three line feeds become a break. Without ``names`` an entity, escaped, is its own
+    label, and is its short name. Names, attributes and mentions are brought to their text, and it is written where they meet; segments
+    are never rows. ``Texts`` need no docs and, without names and info, no exchange.
     """
-    rows = sweep.cells(nested, annotators, keys, gold, hidden).join(names, [*keys, "ann", "entity"], "left")
-    further = F.lit("")
+    known = np.array(sorted({gold, *annotators}))
+    more = {}
+    if names is not None:
+        more["names"] = names.groupBy(*keys).agg(F.collect_list(F.struct("ann", "entity", "label", "short")).cast(_NAMES).alias("names"))
     if info is not None:
-        rows = rows.join(info.select(*keys, "ann", "seq", "info"), [*keys, "ann", "seq"], "left")
-        further = F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries("info")), lambda x: F.concat(F.lit(" "), x.key, F.lit("='"), xml_escape(x.value), F.lit("'"))), ""), F.lit(""))
-    width = F.col("e") - F.col("s")
-    head = F.concat(_attributes(str(gold), width), _chains(str(gold)))
-    line = F.concat(F.lit("<annotator index='"), F.col("ann").cast("string"), F.lit("'"), _attributes("", width), F.lit(" eval='"), F.col("eval"), F.lit("'"), further, _chains(""), F.lit("/>\n"))
-    cell = F.struct("seg_idx", "s", "e", "ann", F.col("entity").isNotNull().alias("some"), "eval", F.when(F.col("ann") == gold, head).otherwise(line).alias("part"))
-    listed = rows.groupBy(*keys).agg(F.collect_list(cell).alias("cells"))
-    out = docs.select(*keys, "text").join(listed, keys, "left")
-    return out.select(*keys, F.concat(F.lit("<content>"), _assemble(gold, line_breaks)(F.col("text"), F.coalesce("cells", F.array())), F.lit("</content>")).alias("content"))
+        more["info"] = info.groupBy(*keys).agg(F.collect_list(F.struct("ann", "seq", "info")).cast(_INFO).alias("info"))
+    if not isinstance(nested, sweep.Texts):
+        nested = docs.select(*keys, "text").join(nested.select(*keys, "n_chars", "ms"), keys, "left")
+        for x in more.values():
+            nested = nested.join(x, keys, "left")
+    elif more:
+        raise ValueError("names and info are given with mentions as rows")
+    src, cut = sweep.source(nested, keys, ("text", "n_chars", "ms", *more))
+    schema = T.StructType([*(src.schema[x] for x in keys), T.StructField("content", T.StringType())])
+
+    def run(batches):
+        for b in batches:
+            for own, x in cut(b):
+                count = sweep.sizes(x["ms"])
+                layout = sweep.Layout(pc.fill_null(x["n_chars"], -1).to_numpy().astype(np.int64), count, x["ms"].flatten().flatten())
+                written = _written(x["text"].to_pylist(), layout, len(count), known, gold, hidden, line_breaks, *(x[c].to_pylist() if c in x else None for c in ("names", "info")))
+                yield pa.RecordBatch.from_arrays([*own, pa.array([f"<content>{w}</content>" for w in written], pa.string())], names=schema.names)
+
+    return src.mapInArrow(run, schema)
 
 
 def entity_lists(names: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as tx
-from spanloom.operators import chains, markup, sweep
+from spanloom.operators import chains, markup, report, sweep
 from spanloom.plans import derived
 
 KEYS = ["doc_id"]
@@ -55,3 +55,15 @@ def test_maps_where_the_text_is(spark):
     same(chains.nested_greedy_map(texts, KEYS), chains.greedy_map(counts, KEYS))
     same(chains.nested_last_map(texts, KEYS), chains.last_map(segs, KEYS))
     same(chains.nested_chains(texts, KEYS), chains.chains(sweep.flat(texts, KEYS), KEYS))
+
+
+def test_report_exchanges_nothing(spark):
+    """Segments and names of the report are no rows: it is written where the text is, and the same with mentions as rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("text is not null")
+    texts = sweep.Texts(docs, partial(derived._made, annotators=3))
+    out = report.contents(None, texts, None, [1, 2], KEYS)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    ms = sweep.flat(texts, KEYS)
+    names = ms.select("doc_id", "ann", "entity").distinct().withColumns({"label": tx.xml_escape("entity"), "short": F.col("entity")})
+    nested = sweep.nest(ms, docs.select("doc_id", F.length("text").alias("n_chars")), KEYS)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, report.contents(docs, nested, names, [1, 2], KEYS).collect()))
