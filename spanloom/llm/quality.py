@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, crc_mod, materialize, text_array, tidy, with_fields
 from .words import Words, parts, split, word_hashes
 
-#: Bounds of the fit: labelled rows (smallest hashes of their ids) and preference pairs.
-MAX_LABELLED = 20_000
-MAX_PAIRS = 60_000
+#: Labelled rows whose pairs are compared with one another, and how many of either kind are among them at least on average.
+BUCKET, LEAST = 32, 8
 
 FEATURES = ("log_words", "mean_length", "upper", "digits", "symbols", "punctuation", "symbol_words", "bare_words", "repeats", "distinct", "long_words", "stops", "upper_words", "lines", "high_bytes")
 #: Bytes of text whose features are found at once.
@@ -84,46 +84,113 @@ def features(texts: pa.Array) -> np.ndarray:
     return np.where(n[:, None] > 0, out, 0.0)
 
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = MAX_PAIRS, l2: float = 1e-3, rounds: int = 40, seed: int = 7) -> dict:
-    """Weights from preference pairs (a row of label 1 over a row of label 0) by logistic loss on feature differences.
+def _summed(df: DataFrame, part) -> np.ndarray:
+    """The sum of ``part`` (a vector of the columns of a batch) over a table: each task gives one row, the driver adds these."""
 
-    Newton steps on standardised features with their squares. The threshold is the quantile of the training scores at the
-    share of label 0; the scale makes the logistic of (score - threshold) fit the labels.
+    def run(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                v = np.concatenate([np.atleast_1d(x).ravel() for x in part(b)])
+                total = v if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
+
+    return np.sum([r.v for r in df.mapInArrow(run, "v array<double>").collect()], axis=0)
+
+
+def _vectors(lists: pa.Array) -> np.ndarray:
+    """A row of features and their squares for each list."""
+    x = lists.flatten().to_numpy().reshape(-1, len(FEATURES))
+    return np.concatenate([x, x**2], axis=1)
+
+
+def _pairs(b: pa.RecordBatch, mean: np.ndarray, sd: np.ndarray, centres: np.ndarray):
+    """The feature differences of all pairs of a row of label 1 and one of label 0 in each bucket (ys, xs) of a batch. A bucket
+    without one kind compares its rows with that kind's mean."""
+    y, z = b.column(0).flatten().to_numpy(), (_vectors(b.column(1).flatten()) - mean) / sd
+    ends = np.cumsum(pc.list_value_length(b.column(0)).to_numpy())
+    for i, k in zip((ends - pc.list_value_length(b.column(0)).to_numpy()).tolist(), ends.tolist()):
+        bad, good = (z[i:k][y[i:k] == c] if (y[i:k] == c).any() else centres[[c]] for c in (0, 1))
+        yield (good[:, None] - bad[None]).reshape(-1, z.shape[1])
+
+
+def fit(rows: DataFrame, l2: float = 1e-3, rounds: int = 40) -> dict:
+    """Weights from preference pairs (a row of label 1 over a row of label 0) by logistic loss on feature differences, from all
+    ``rows`` (doc_key, x, y).
+
+    Rows are dealt into buckets of about BUCKET by hashes of their ids, the rarer kind into as many as give each bucket about
+    LEAST of it, and all pairs of a bucket are compared; so pairs grow with the rows, and no group does. Newton steps on standardised
+    features with their squares, each one pass. The threshold is the quantile of all scores at the share of label 0; the scale makes
+    the logistic of (score - threshold) fit all labels.
     """
-    x = np.concatenate([x, x**2], axis=1)
-    mean, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
-    z = (x - mean) / sd
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    weights = np.zeros(z.shape[1])
-    if not len(good) or not len(bad):
-        return {"mean": mean, "sd": sd, "w": weights, "threshold": -1.0 if len(good) else 1.0, "scale": 1.0}
-    rng = np.random.default_rng(seed)
-    k = min(pairs, len(good) * len(bad))
-    diff = z[rng.choice(good, k)] - z[rng.choice(bad, k)]
+    n = 2 * len(FEATURES)
+
+    def moments(b):
+        v, y = _vectors(b.column(0)), b.column(1).to_numpy()
+        return (len(y), y.sum(), v.sum(axis=0), (v**2).sum(axis=0), v[y == 1].sum(axis=0))
+
+    got = _summed(rows.select("x", "y"), moments)
+    if not np.ndim(got):  # no rows
+        return {"mean": np.zeros(n), "sd": np.ones(n), "w": np.zeros(n), "threshold": 1.0, "scale": 1.0}
+    count, n1, total, squares, good = int(got[0]), int(got[1]), *got[2:].reshape(3, n)
+    n0, mean = count - n1, total / count
+    sd = np.sqrt(np.maximum(squares / count - mean**2, 0)) + 1e-9
+    if not n0 or not n1:
+        return {"mean": mean, "sd": sd, "w": np.zeros(n), "threshold": -1.0 if n1 else 1.0, "scale": 1.0}
+    centres = (np.stack([(total - good) / n0, good / n1]) - mean) / sd
+    buckets = -(-count // BUCKET)
+    copies = [min(buckets, max(1, -(-LEAST * buckets // k))) for k in (n0, n1)]
+    place = F.explode(F.sequence(F.lit(0), F.when(F.col("y") == 1, copies[1] - 1).otherwise(copies[0] - 1)))
+    dealt = rows.select("x", "y", F.xxhash64("doc_key").alias("h"), place.alias("j")).groupBy(F.pmod(F.col("h") + F.col("j"), F.lit(buckets)).alias("bucket"))
+    dealt = materialize(dealt.agg(F.collect_list("y").alias("ys"), F.collect_list("x").alias("xs")).select("ys", "xs"), "quality-pairs")
+    weights = np.zeros(n)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(diff @ weights, -30, 30)))
-        grad = diff.T @ (1 - p) / k - l2 * weights
-        hess = (diff * (p * (1 - p))[:, None]).T @ diff / k + l2 * np.eye(len(weights))
-        step = np.linalg.solve(hess, grad)
-        weights += step / max(1.0, np.abs(step).max())
-        if np.abs(step).max() < 1e-6:
+
+        def step(b, w=weights.copy()):
+            pairs, grad, hess = 0, np.zeros(n), np.zeros((n, n))
+            for diff in _pairs(b, mean, sd, centres):
+                p = 1 / (1 + np.exp(-np.clip(diff @ w, -30, 30)))
+                pairs, grad, hess = pairs + len(diff), grad + diff.T @ (1 - p), hess + (diff * (p * (1 - p))[:, None]).T @ diff
+            return pairs, grad, hess
+
+        got = _summed(dealt, step)
+        move = np.linalg.solve(got[n + 1 :].reshape(n, n) / got[0] + l2 * np.eye(n), got[1 : n + 1] / got[0] - l2 * weights)
+        weights = weights + move / max(1.0, np.abs(move).max())
+        if np.abs(move).max() < 1e-6:
             break
-    s = np.sort(z @ weights)
-    cut = int(round(len(bad) / len(y) * len(s)))
-    threshold = (s[max(0, cut - 1)] + s[min(cut, len(s) - 1)]) / 2
-    s, scale = z @ weights - threshold, 1.0
+
+    def scores(b):
+        return (_vectors(b.column(0)) - mean) / sd @ weights
+
+    def scored(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(scores(b))], names=["s"])
+
+    # the two scores between which the share of label 0 ends, by a sort of all scores
+    middle = rows.select("x", "y").mapInArrow(scored, "s double").orderBy("s").rdd.zipWithIndex().filter(lambda r: r[1] in (n0 - 1, n0)).map(lambda r: r[0][0]).collect()
+    threshold, scale = float(np.mean(middle)), 1.0
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(scale * s, -30, 30)))
-        h = (s * s * p * (1 - p)).mean() + 1e-6
-        scale = float(np.clip(scale + np.clip(((y - p) * s).mean() / h, -0.5, 0.5), 0.05, 20))
-    return {"mean": mean, "sd": sd, "w": weights, "threshold": float(threshold), "scale": scale}
+
+        def slope(b, k=scale):
+            s, y = scores(b) - threshold, b.column(1).to_numpy()
+            p = 1 / (1 + np.exp(-np.clip(k * s, -30, 30)))
+            return (s * s * p * (1 - p)).sum(), ((y - p) * s).sum()
+
+        h, g = _summed(rows.select("x", "y"), slope) / count
+        new = float(np.clip(scale + np.clip(g / (h + 1e-6), -0.5, 0.5), 0.05, 20))
+        scale, done = new, abs(new - scale) < 1e-6
+        if done:
+            break
+    return {"mean": mean, "sd": sd, "w": weights, "threshold": threshold, "scale": scale}
 
 
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 3, held_fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, score (0 to 1) and predicted (score >= 0.5) of every document.
 
-    The ranker learns from labelled rows whose crc32(id as text) mod ``folds`` is not ``held_fold``, at most MAX_LABELLED
-    of them by the smallest hash; the text is the only input. Rows with a null id are scored and counted as not held out,
+    The ranker learns from all labelled rows whose crc32(id as text) mod ``folds`` is not ``held_fold``; the text is the only
+    input. Rows with a null id are scored and counted as not held out,
     but never learnt from; repeated rows are scored alike; a null text is empty. If labels of one kind or none are
     known, every score is on that kind's side (label 0 without any). An id with labels of both kinds is not learnt from,
     labels other than 0 and 1 are left out, and so are other columns; an empty table gives no rows.
@@ -137,9 +204,7 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds:
 
     table = materialize(src.mapInArrow(tidy(run), with_fields(src.schema["doc_key"], "x array<double>")), "quality-features")
     lab = labels.select(F.col(id_col).alias("doc_key"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (crc_mod(F.col(id_col), folds) != held_fold)).groupBy("doc_key").agg(F.max("y").alias("y"), F.min("y").alias("y0")).where("y = y0").drop("y0")
-    sample = table.join(lab, "doc_key").orderBy(F.xxhash64("doc_key"), "doc_key", "x").limit(MAX_LABELLED).select("x", "y").toArrow()
-    x = np.array(sample["x"].to_pylist(), float).reshape(-1, len(FEATURES))
-    model = fit(x, np.array(sample["y"].to_pylist(), int)) if len(x) else {"mean": np.zeros(2 * len(FEATURES)), "sd": np.ones(2 * len(FEATURES)), "w": np.zeros(2 * len(FEATURES)), "threshold": 1.0, "scale": 1.0}
+    model = fit(materialize(table.join(lab, "doc_key").select("doc_key", "x", "y"), "quality-labelled"))
     a = model["w"] / model["sd"] * model["scale"]
     shift = -float(model["mean"] @ a) - model["threshold"] * model["scale"]
     n = len(FEATURES)
