@@ -40,8 +40,18 @@ def flat_map(make: Callable[[str], Iterable[tuple]], row: T.StructType):
 
     @F.arrow_udf(kind)
     def run(texts: pa.Array) -> pa.Array:
-        names, arrow = row.names, to_arrow_type(kind)
-        return in_runs(lambda part: pa.array([None if t is None else [dict(zip(names, x)) for x in make(t)] for t in part.to_pylist()], arrow), texts)
+        arrow = to_arrow_type(kind)
+        fields = list(arrow.value_type)
+
+        def made(part: pa.Array) -> pa.Array:
+            rows, ends = [], [0]
+            for t in part.to_pylist():
+                rows += () if t is None else make(t)
+                ends.append(len(rows))
+            columns = [pa.array([x[i] if i < len(x) else None for x in rows], f.type) for i, f in enumerate(fields)]
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=fields), type=arrow, mask=part.is_null())
+
+        return in_runs(made, texts)
 
     return run
 
@@ -68,7 +78,7 @@ def register_normaliser(spark: SparkSession, name: str, change: Callable[[str],
     @F.arrow_udf(T.StringType())
     def run(texts: pa.Array) -> pa.Array:
         distinct = texts.dictionary_encode()
-        changed = pa.array([None if t is None else change(t) for t in distinct.dictionary.to_pylist()], pa.string())
+        changed = in_runs(lambda part: pa.array([None if t is None else change(t) for t in part.to_pylist()], pa.string()), distinct.dictionary)
         return changed.take(distinct.indices)
 
     spark.udf.register(name, run)

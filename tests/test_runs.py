@@ -5,6 +5,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from spanloom.functions import extensions
 from spanloom.functions import text as tx
 from spanloom.operators import chains, markup, report, sweep
 from spanloom.plans import derived
@@ -67,3 +68,26 @@ def test_report_exchanges_nothing(spark):
     names = ms.select("doc_id", "ann", "entity").distinct().withColumns({"label": tx.xml_escape("entity"), "short": F.col("entity")})
     nested = sweep.nest(ms, docs.select("doc_id", F.length("text").alias("n_chars")), KEYS)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, report.contents(docs, nested, names, [1, 2], KEYS).collect()))
+
+
+def test_own_normalisers_and_tokenizers_are_bounded(spark):
+    """A function of one's own never has more than a run's results waiting, whatever the batch."""
+    held = {"now": 0, "most": 0}
+
+    class Held(str):
+        def __new__(cls, text):
+            held["now"] += len(text)
+            held["most"] = max(held["most"], held["now"])
+            return super().__new__(cls, text)
+
+        def __del__(self):
+            held["now"] -= len(self)
+
+    texts = pa.array([f"{n} " + "word " * 20_000 for n in range(100)] + [None])
+    names = []
+    register_udf, spark_udf = extensions.register_normaliser, type("S", (), {"udf": type("U", (), {"register": staticmethod(lambda name, f: names.append(f))})})
+    register_udf(spark_udf, "held", lambda t: Held(t.upper()))
+    assert names[0].func(texts).to_pylist() == [t and t.upper() for t in texts.to_pylist()]
+    assert held["most"] <= 2 * tx.RUN_BYTES
+    tokens = extensions.tokenizer(extensions.regex_spans("[^ ]+")).func(pa.array(["a bc", None, "", "d"]))
+    assert tokens.to_pylist() == [[{"tok_start": 0, "tok_end": 1, "word": "a"}, {"tok_start": 2, "tok_end": 4, "word": "bc"}], None, [], [{"tok_start": 0, "tok_end": 1, "word": "d"}]]
