@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import extensions
 from spanloom.functions import text as tx
 from spanloom.operators import chains, markup, report, sweep
-from spanloom.plans import derived
+from spanloom.plans import derived, queries
 
 KEYS = ["doc_id"]
 
@@ -91,3 +91,9 @@ def test_own_normalisers_and_tokenizers_are_bounded(spark):
     assert held["most"] <= 2 * tx.RUN_BYTES
     tokens = extensions.tokenizer(extensions.regex_spans("[^ ]+")).func(pa.array(["a bc", None, "", "d"]))
     assert tokens.to_pylist() == [[{"tok_start": 0, "tok_end": 1, "word": "a"}, {"tok_start": 2, "tok_end": 4, "word": "bc"}], None, [], [{"tok_start": 0, "tok_end": 1, "word": "d"}]]
+
+
+def test_words_are_sorted_in_their_natural_order(spark):
+    """Not by a comparison that is interpreted for each two words."""
+    plan = queries.QUERIES["conll_column"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "lambdafunction(if" not in plan and "array_sort" not in plan
