@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.operators import markup
 from spanloom.sources import conll
@@ -79,3 +80,33 @@ def test_cells_against_a_stack(spark):
         pairs, alone = _read(v)
         assert [(x.entity, x.first_tok, x.last_tok) for x in got if x.k == k] == pairs
         assert sorted((x.entity, x.tok_idx, x.is_open) for x in lost if x.k == k) == alone
+
+
+def test_cells_need_only_their_document(spark):
+    """Brackets are matched as rows pass by: ordered rows are neither exchanged nor sorted, others are by document alone, once."""
+    r = random.Random(5)
+    docs = {k: ["|".join(r.choice(("({0}", "{0})", "({0})", "{0}", "")).format(r.choice("ab7")) for _ in range(r.randrange(1, 4))) for _ in range(r.randrange(40))] for k in range(60)}
+    rows = [(k, t, c) for k, v in docs.items() for t, c in enumerate(v)]
+    want = [_read(v) for v in docs.values()]
+    shuffled = r.sample(rows, len(rows))
+    for listed, ordered in ((rows, True), (shuffled, False)):
+        df = spark.createDataFrame(listed, "k int, tok_idx int, coref string").coalesce(1)
+        pairs = markup.parse_coref(df, ["k"], ordered)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and (plan.count("Exchange"), plan.count("Sort ")) == ((0, 0) if ordered else (1, 1))
+        found, alone = pairs.orderBy("place").collect(), markup.unclosed(df, ["k"], ordered).collect()
+        for k, (p, a) in enumerate(want):
+            assert [(x.entity, x.first_tok, x.last_tok) for x in found if x.k == k] == p
+            assert sorted((x.entity, x.tok_idx, x.is_open) for x in alone if x.k == k) == a
+
+
+def test_brackets_as_tags(spark):
+    """Places, partners and depths are those of the windows over tags."""
+    r = random.Random(6)
+    cells = [(f"k{k}" if k else None, t, "|".join(r.choice(("({0}", "{0})", "({0})")).format(r.choice("ab")) for _ in range(r.randrange(1, 4)))) for k in range(12) for t in range(r.randrange(30))]
+    tags = [(k, x.replace("(", "").replace(")", ""), (t, side, i), side == 0) for k, t, c in cells for i, x in enumerate(c.split("|")) for side in (0, 1) if (x[0] == "(", x[-1] == ")")[side]]
+    want = markup.pair_tags(spark.createDataFrame(tags, "k string, entity string, n struct<tok_idx:bigint,side:int,i:int>, is_open boolean"), ["k", "entity"])
+    got = markup.bracket_pairs(spark.createDataFrame(r.sample(cells, len(cells)), "k string, tok_idx bigint, coref string"), ["k"])
+    assert got.dtypes == want.dtypes
+    flat = [F.to_json(F.struct(*want.columns)).alias("j")]
+    assert sorted(x.j for x in got.select(flat).collect()) == sorted(x.j for x in want.select(flat).collect())
