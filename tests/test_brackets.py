@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +111,41 @@ def test_brackets_as_tags(spark):
     assert got.dtypes == want.dtypes
     flat = [F.to_json(F.struct(*want.columns)).alias("j")]
     assert sorted(x.j for x in got.select(flat).collect()) == sorted(x.j for x in want.select(flat).collect())
+
+
+def _written(ends, mentions):
+    """Cells of one text's tokens, mention by mention."""
+    order = []
+    for _, seq, start, end, entity in mentions:
+        first = next((i for i, e in enumerate(ends) if e > start), None)
+        last = next((i for i, e in enumerate(ends) if e >= end), None)
+        if first is not None and last is not None:
+            order.append((first, start, -end, seq, last, entity))
+    order.sort(key=lambda x: x[:4])
+    number, left, cells = {}, {}, {t: [] for t in range(len(ends))}
+    for *_, last, entity in order:
+        at = last, number.setdefault(entity, len(number) + 1)
+        left[at] = left.get(at, 0) + 1
+    for first, *_, entity in order:
+        n = number[entity]
+        closed = left.get((first, n), 0) > 0
+        left[first, n] = left.get((first, n), 0) - closed
+        cells[first].append(f"({n})" if closed else f"({n}")
+    for (t, n), times in sorted(left.items()):
+        cells[t] += [f"{n})"] * times
+    return ["|".join(c) or "-" for c in cells.values()]
+
+
+def test_cells_are_written_as_mention_by_mention():
+    r = random.Random(7)
+    toks, ms = [], []
+    for k in range(300):
+        ends = [4 * i + 3 for i in range(r.choice((0, 1, 5, 14)))]
+        toks.append([{"tok_start": e - 3, "tok_end": e, "word": "abc"} for e in ends])
+        spans = [(a := r.randrange(60), a + r.randrange(1, 30)) for _ in range(r.choice((0, 1, 12)))] if k % 3 else []
+        ms.append([{"ann": 0, "seq": i, "m_start": a, "m_end": z, "entity": r.choice(("a", "b", "c", "", None))} for i, (a, z) in enumerate(spans)])
+    token = pa.struct([("tok_start", pa.int32()), ("tok_end", pa.int32()), ("word", pa.string())])
+    mention = pa.struct([("ann", pa.int32()), ("seq", pa.int32()), ("m_start", pa.int32()), ("m_end", pa.int32()), ("entity", pa.string())])
+    for a, z in ((0, 300), (7, 200), (0, 1), (0, 0)):
+        got = markup._coref(pa.array(toks, pa.list_(token))[a:z], pa.array(ms, pa.list_(mention))[a:z]).to_pylist()
+        assert got == [c for t, m in zip(toks[a:z], ms[a:z]) for c in _written([x["tok_end"] for x in t], [tuple(x.values()) for x in m])]
