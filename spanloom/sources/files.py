@@ -7,7 +7,8 @@
     lines.write.format("conll").mode("append").save(path)      # value, a document each
 
 Files are read in splits of ``split`` bytes (64 MB). A split has the documents that begin in it and reads on to the end of the last
-one, so a single huge file is the work of many tasks, and none holds more than a block and one article. ``at`` is the byte at
+one, so a single huge file is the work of many tasks, and none holds more than a block and one article. A task reads several small
+splits one after the other if there are very many. ``at`` is the byte at
 which a document begins; with ``file`` it gives the order of documents.
 
 A task writes its rows to a file of its own attempt in a folder that only the commit empties: it moves the files of the
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Bytes that are read at a time.
 BLOCK = 1 << 20
 SPLIT = 64 << 20
+#: Small splits of large files are dealt out to about so many tasks, of at most ``SPLIT`` bytes each.
+TASKS = 256
 HEAD, FOOT = "<?xml version='1.0' encoding='UTF-8' ?>\n<articles>\n", "</articles>\n"
 
 
@@ -52,6 +55,26 @@ class Split(InputPartition):
     last: int
 
 
+@dataclass
+class Splits(InputPartition):
+    """Splits that one task reads one after the other."""
+
+    splits: list[Split]
+
+
+def dealt(splits: list[Split], size: int) -> list[Splits]:
+    """Splits in their order, so many for each task that it has ``size`` bytes at least, or as many as make ``TASKS`` tasks of all."""
+    size = max(size, min(SPLIT, sum(s.last - s.first for s in splits) // TASKS))
+    out, n = [], size
+    for s in splits:
+        if n >= size:
+            out.append(Splits([]))
+            n = 0
+        out[-1].splits.append(s)
+        n += s.last - s.first
+    return out
+
+
 class _Bytes:
     """A window on a file from a byte on, which is read as it is needed and forgotten as it is used."""
 
@@ -100,28 +123,27 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.split, self.glob = options["path"], int(options.get("split", SPLIT)), options.get("pathglobfilter", options.get("pathGlobFilter", "*"))
 
-    def partitions(self) -> list[Split]:
+    def partitions(self) -> list[Splits]:
         system, path = opened(self.path)
         info = system.get_file_info(path)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(path, recursive=True))
         names = sorted((x.path, x.size) for x in found if x.type == fs.FileType.File and not re.search(r"(^|/)[._]", x.path[len(path) :]) and fnmatch.fnmatch(x.base_name, self.glob))
         prefix = self.path[: len(self.path) - len(path)] if self.path.endswith(path) else ""
-        return [Split(prefix + p, a, min(a + self.split, n)) for p, n in names for a in range(0, n, self.split)] or [Split("", 0, 0)]
-
-    def read(self, split: Split) -> Iterator[pa.RecordBatch]:
-        if not split.path:
-            return
-        system, path = opened(split.path)
-        with system.open_input_file(path) as file:
-            rows, size = [], 0
-            for row, n in self.rows(file, split):
-                rows.append(row)
-                size += n
-                if size >= BLOCK or len(rows) >= 10_000:
+        return dealt([Split(prefix + p, a, min(a + self.split, n)) for p, n in names for a in range(0, n, self.split)], self.split) or [Splits([])]
+
+    def read(self, partition: Splits) -> Iterator[pa.RecordBatch]:
+        for split in partition.splits:
+            system, path = opened(split.path)
+            with system.open_input_file(path) as file:
+                rows, size = [], 0
+                for row, n in self.rows(file, split):
+                    rows.append(row)
+                    size += n
+                    if size >= BLOCK or len(rows) >= 10_000:
+                        yield self.batch(rows, split.path)
+                        rows, size = [], 0
+                if rows:
                     yield self.batch(rows, split.path)
-                    rows, size = [], 0
-            if rows:
-                yield self.batch(rows, split.path)
 
 
 class _ArticleReader(_Reader):
@@ -190,7 +212,7 @@ class Written(WriterCommitMessage):
     rows: int
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, suffix: str, head: str, foot: str, overwrite: bool):
         self.path, self.suffix, self.head, self.foot, self.overwrite = path, suffix, head, foot, overwrite
         self.job = uuid.uuid4().hex
@@ -198,7 +220,8 @@ class _Writer(DataSourceWriter):
     def _folder(self, path: str) -> str:
         return f"{path.rstrip('/')}/_writing-{self.job}"
 
-    def write(self, rows) -> Written:
+    def write(self, batches) -> Written:
+        """The texts of batches, or of rows one by one."""
         context = TaskContext.get()
         system, path = opened(self.path)
         folder = self._folder(path)
@@ -206,10 +229,14 @@ class _Writer(DataSourceWriter):
         name = f"{folder}/{context.partitionId()}-{context.taskAttemptId()}"
         n = 0
         with system.open_output_stream(name) as out:
-            for row in rows:
-                if row[0] is not None:
-                    out.write((b"" if n else self.head.encode()) + row[0].encode("utf-8", "surrogatepass") + b"\n")
-                    n += 1
+            for b in batches:
+                for x in b.column(0) if isinstance(b, pa.RecordBatch) else pa.array(b[:1], pa.string()):
+                    if (text := x.as_buffer()) is not None:
+                        if not n:
+                            out.write(self.head.encode())
+                        out.write(text)
+                        out.write(b"\n")
+                        n += 1
             if n:
                 out.write(self.foot.encode())
         return Written(context.partitionId(), name, n)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,8 +42,17 @@ def scan(spark: SparkSession, path: str, ann: int = 0, split: int = files.SPLIT)
     """(articles, mentions) like ``read``, by the data source of article files: splits of any size, of one huge file too, and no pass for
     numbers. An article's doc_idx is the byte at which it begins, which is in the order of its file. A file without articles has
     none."""
-    raw = files.read(spark, "articles", path, split=split)
-    return _parse(raw.select("file", F.col("at").alias("doc_idx"), "xml"), ann)
+    return _parse(_scanned(spark, path, split), ann)
+
+
+def scan_mentions(spark: SparkSession, path: str, ann: int = 0, split: int = files.SPLIT) -> DataFrame:
+    """The mentions of ``scan`` with the doc_id of their article: files are read once, and nothing is joined."""
+    art = _parsed(_scanned(spark, path, split), ann, text=False)
+    return art.select("ann", "file", "doc_idx", "a.doc_id", F.explode("a.ms").alias("m")).select("ann", "file", "doc_idx", "doc_id", "m.*")
+
+
+def _scanned(spark: SparkSession, path: str, split: int) -> DataFrame:
+    return files.read(spark, "articles", path, split=split).select("file", F.col("at").alias("doc_idx"), "xml")
 
 
 def parse_string(spark: SparkSession, text: str, ann: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -64,35 +74,82 @@ def _attributes(tag: str) -> dict[str, str]:
     return {m[1]: decode_entities(m[3]) for m in _ATTRIBUTE.finditer(tag)}
 
 
-def parse_article(xml: str) -> dict:
-    """doc_id, text, info and mentions of one article element. A closing mark belongs to the last open one; marks without an
-    entity (or annotation) are dropped, as are other tags, whose text stays, and marks that aren't closed."""
+def _mark(tag: str) -> tuple[str | None, str | None, list[tuple[str, str]]]:
+    """Entity (or annotation), text of the minimal span and further attributes of an opening mark."""
+    info = _attributes(tag)
+    return info.get("entity") or info.get("annotation"), info.get("min"), [(k, v) for k, v in info.items() if k not in ("entity", "min")]
+
+
+def _article(xml: str, marks: dict[str, tuple]) -> tuple[str, str, list[tuple[str, str]], list[tuple]]:
+    """doc_id, text, info and mentions (m_start, m_end, entity, min_start, min_end, info) of one article element; ``marks`` has what
+    ``_mark`` gave for tags met before, and gets those met here."""
     opened = re.match(r"<article[^>]*>", xml)
     head = _attributes(opened[0]) if opened else {}
     body = re.sub(r"</article>$", "", xml[opened.end() :] if opened else xml)
     out, n, stack, found = [], 0, [], []
     for piece in _PIECE.findall(body):
-        if not piece.startswith("<"):
-            t = decode_entities(piece)
+        if piece[0] != "<":
+            t = decode_entities(piece) if "&" in piece else piece
             t = t.lstrip(" \t\n") if not n else t
             out.append(t)
             n += len(t)
-        elif _MARK.match(piece) and not piece.endswith("/>"):
+        elif (mark := marks.get(piece)) is not None:
+            stack.append((n, mark))
+        elif piece == "</mark>" or _MARK.match(piece) and not piece.endswith("/>"):
             if not piece.startswith("</"):
-                stack.append((n, _attributes(piece)))
+                marks[piece] = mark = _mark(piece)
+                stack.append((n, mark))
             elif stack:
-                start, info = stack.pop()
-                entity = info.get("entity") or info.get("annotation")
+                start, (entity, least, info) = stack.pop()
                 if entity:
-                    found.append((start, n, entity, info.get("min"), {k: v for k, v in info.items() if k not in ("entity", "min")}))
+                    found.append((start, n, entity, least, info))
     text = "".join(out).rstrip()
-    ms = []
-    for i, (start, end, entity, least, info) in enumerate(found):
-        end = min(end, len(text))
+    size, ms = len(text), []
+    for start, end, entity, least, info in found:
+        end = min(end, size)
         start = min(start, end)
         at = text.find(least, start, end) if least else -1
-        ms.append({"seq": i + 1, "m_start": start, "m_end": end, "entity": entity, "min_start": at if at >= 0 else None, "min_end": at + len(least) if at >= 0 else None, "info": list(info.items())})
-    return {"doc_id": head.get("id", ""), "text": text, "info": [(k, v) for k, v in head.items() if k != "id"], "ms": ms}
+        ms.append((start, end, entity, at if at >= 0 else None, at + len(least) if at >= 0 else None, info))
+    return head.get("id", ""), text, [(k, v) for k, v in head.items() if k != "id"], ms
+
+
+def parse_article(xml: str) -> dict:
+    """doc_id, text, info and mentions of one article element. A closing mark belongs to the last open one; marks without an
+    entity (or annotation) are dropped, as are other tags, whose text stays, and marks that aren't closed."""
+    doc_id, text, info, ms = _article(xml, {})
+    return {"doc_id": doc_id, "text": text, "info": info, "ms": [{"seq": i + 1, **dict(zip(_MENTION.names[1:], m))} for i, m in enumerate(ms)]}
+
+
+def _offsets(lists: list[list]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)]).astype(np.int32))
+
+
+def _maps(infos: list[list[tuple[str, str]]]) -> pa.Array:
+    pairs = [x for info in infos for x in info]
+    return pa.MapArray.from_arrays(_offsets(infos), pa.array([k for k, _ in pairs], pa.string()), pa.array([v for _, v in pairs], pa.string()))
+
+
+def parse_articles(xmls: list[str], text: bool = True) -> pa.Array:
+    """``parse_article`` of each element, made by columns; without ``text`` only doc_id and ms."""
+    marks: dict[str, tuple] = {}
+    ids, texts, infos, listed = [], [], [], []
+    for x in xmls:
+        doc_id, t, info, ms = _article(x, marks)
+        ids.append(doc_id)
+        listed.append(ms)
+        if text:
+            texts.append(t)
+            infos.append(info)
+    start, end, entity, least, least_end, info = zip(*m) if (m := [x for ms in listed for x in ms]) else ((),) * 6
+    offsets = _offsets(listed)
+    seq = np.arange(1, len(start) + 1) - np.repeat(offsets.to_numpy()[:-1], np.diff(offsets.to_numpy()))
+    places = [pa.array(c, pa.int32()) for c in (seq.astype(np.int32), start, end, least, least_end)]
+    mentions = pa.StructArray.from_arrays([*places[:3], pa.array(entity, pa.string()), *places[3:], _maps(info)], fields=list(to_arrow_type(_MENTION)))
+    columns = {"doc_id": pa.array(ids, pa.string()), "ms": pa.ListArray.from_arrays(offsets, mentions)}
+    if text:
+        columns |= {"text": pa.array(texts, pa.string()), "info": _maps(infos)}
+    fields = [f for f in to_arrow_type(_ARTICLE) if f.name in columns]
+    return pa.StructArray.from_arrays([columns[f.name] for f in fields], fields=fields)
 
 
 def parse(raw: DataFrame, ann: int) -> tuple[DataFrame, DataFrame]:
@@ -102,19 +159,25 @@ def parse(raw: DataFrame, ann: int) -> tuple[DataFrame, DataFrame]:
     return _parse(raw.select("file", F.posexplode(F.when(F.col("value").contains("<article"), found).otherwise(whole)).alias("doc_idx", "xml")), ann)
 
 
-def _parse(art: DataFrame, ann: int) -> tuple[DataFrame, DataFrame]:
-    """Normalise the white space of articles (file, doc_idx, xml), cut tags from text and turn marks into character spans,
-    each article in one pass. Spans are clamped to the trimmed text; seq is the closing order. info has the other
-    attributes of articles (without id) and marks (without entity and min)."""
+def _parsed(art: DataFrame, ann: int, text: bool = True) -> DataFrame:
+    """ann, file, doc_idx and ``a``, the article, of articles (file, doc_idx, xml), each read in one pass after its white space was
+    normalised; without ``text`` only its doc_id and mentions."""
     src = art.select(F.lit(ann).alias("ann"), "file", "doc_idx", normalize("xml").alias("xml"))
-    schema = T.StructType([*src.schema.fields[:3], T.StructField("a", _ARTICLE)])
+    schema = T.StructType([*src.schema.fields[:3], T.StructField("a", _ARTICLE if text else T.StructType([_ARTICLE["doc_id"], _ARTICLE["ms"]]))])
 
     def run(batches):
         for b in batches:
             for a, z in runs(b.column(3)):
-                yield pa.RecordBatch.from_arrays([*(c[a:z] for c in b.columns[:3]), pa.array([parse_article(x) for x in b.column(3)[a:z].to_pylist()], to_arrow_type(_ARTICLE))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(c[a:z] for c in b.columns[:3]), parse_articles(b.column(3)[a:z].to_pylist(), text)], names=schema.names)
 
-    art = src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema)
+
+
+def _parse(art: DataFrame, ann: int) -> tuple[DataFrame, DataFrame]:
+    """Normalise the white space of articles (file, doc_idx, xml), cut tags from text and turn marks into character spans,
+    each article in one pass. Spans are clamped to the trimmed text; seq is the closing order. info has the other
+    attributes of articles (without id) and marks (without entity and min)."""
+    art = _parsed(art, ann)
     articles = art.select("ann", "file", "doc_idx", "a.doc_id", "a.text", "a.info")
     return articles, art.select("ann", "file", "doc_idx", F.explode("a.ms").alias("m")).select("ann", "file", "doc_idx", "m.*")
 
