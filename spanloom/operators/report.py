@@ -13,7 +13,7 @@ from .. import resources
 from ..functions.text import xml_escape
 from . import scores as sc
 from . import sweep
-from .markup import _ESCAPES
+from .markup import _ESCAPES, Escaped, joined
 
 
 #: Further columns of the texts: (ann, entity, label, short) of each entity, and (ann, seq, info) of each mention with attributes.
@@ -25,61 +25,91 @@ def _escaped(s: str) -> str:
     return s.translate(_ESCAPES)
 
 
-def _written(texts: list, x: sweep.Layout, n_docs: int, known: np.ndarray, gold: int, hidden: tuple[str, ...], line_breaks: bool, names: list | None, info: list | None) -> list[str]:
-    """The contents of the texts of a layout. Without ``names`` an entity, escaped, is its own label, and is its short name."""
-    best, label, before, open_before, ends, listed = (v.tolist() for v in x.cells(known, gold, hidden))
-    ends = [[n if some else None for n, some in zip(*row)] for row in zip(ends, listed)]
-    before = [[n if some else None for n, some in zip(*row)] for row in zip(before, open_before)]
-    at = np.searchsorted(x.doc, np.arange(n_docs + 1)).tolist()
-    s, e, seq = x.s.tolist(), x.e.tolist(), x.seq.tolist()
-    entity, known, order = x.entity.to_pylist(), known.tolist(), range(len(known))
-    order = [*(j for j in order if known[j] == gold), *(j for j in order if known[j] != gold)]
-    own = {e: (_escaped(e), e) for e in set(entity) if e is not None} if names is None else {}
-    out = []
-    for d, text in enumerate(texts):
-        text = text or ""
-        if at[d] == at[d + 1]:
-            out.append(_escaped(text))
-            continue
-        named = None if names is None else {(n["ann"], n["entity"]): (n["label"], n["short"]) for n in names[d] or ()}
-        further = {} if info is None else {(n["ann"], n["seq"]): n["info"] for n in info[d] or ()}
-        pieces = []
-        for i in range(at[d], at[d + 1]):
-            said = _escaped(text[s[i] : e[i]])
-            if line_breaks:
-                said = said.replace("\n\n\n", "<br/>").replace("\n\n", "<br/>").replace("\n", "<br/>")
-            row = best[i]
-            some = [m >= 0 and entity[m] is not None for m in row]
-            if not any(some):
-                pieces.append(said)
-                continue
-            split = len({label[i][j] for j in order[1:]}) > 1
-            pieces.append(f"<mark split='{str(split).lower()}'")
-            width = e[i] - s[i] + 5
-            for j in order:
-                is_gold, a = known[j] == gold, known[j]
-                suffix = str(gold) if is_gold else ""
-                shown, short = (None, None) if not some[j] else own[entity[row[j]]] if named is None else named.get((a, entity[row[j]]), (None, None))
-                if not is_gold:
-                    pieces.append(f"<annotator index='{a}'")
-                if shown is not None:
-                    pieces.append(f" entity{suffix}='{_escaped(shown)}'")
-                # the short name, cut to five characters more than the segment has; [none] where there is no name
-                short = "[none]" if short is None else _escaped(short[:width] + "…" if len(short) > width else short)
-                pieces.append(f" short{suffix}='{short}'")
-                if not is_gold:
-                    pieces.append(f" eval='{sweep.LABELS[label[i][j]]}'")
-                    if row[j] >= 0:
-                        pieces += [f" {k}='{_escaped(v)}'" for k, v in sorted(further.get((a, seq[row[j]])) or ()) if v is not None]
-                # each only where a mention of the annotator is open
-                if before[i][j] is not None:
-                    pieces.append(f" chain-before{suffix}='{'(' * before[i][j]}'")
-                if ends[i][j] is not None:
-                    pieces.append(f" chain-after{suffix}='{')' * ends[i][j]}'")
-                pieces.append(">" if is_gold else "/>\n")
-            pieces += [said, "</mark>\n"]
-        out.append("".join(pieces))
-    return out
+def _written(texts: pa.Array, x: sweep.Layout, known: np.ndarray, gold: int, hidden: tuple[str, ...], line_breaks: bool, names: list | None, info: list | None) -> pa.Array:
+    """The contents of the texts of a layout, made by columns: a segment is its head, what it says and its foot. Without ``names``
+    an entity, escaped, is its own label, and is its short name."""
+    best, label, before, open_before, ends, listed = x.cells(known, gold, hidden)
+    order = [*np.flatnonzero(known == gold), *np.flatnonzero(known != gold)]
+    entity = x.entity.dictionary_encode()
+    entities = entity.dictionary.to_pylist()
+    longest = np.array([*map(len, entities), 0], np.int64)
+    # the place at the end is that of no mention
+    code = np.append(pc.fill_null(entity.indices, -1).to_numpy().astype(np.int64), -1)[best]
+    marked = np.flatnonzero((code >= 0).any(axis=1))
+    code, best, label, doc = code[marked], best[marked], label[marked], x.doc[marked]
+    width = (x.e - x.s)[marked] + 5
+    split = (label[:, order[1:]] != label[:, order[1:2]]).any(axis=1)
+    named = None if names is None else [{(n["ann"], n["entity"]): (n["label"], n["short"]) for n in of or ()} for of in names]
+
+    def shown(j: int, suffix: str) -> pa.Array:
+        """Entity and short name, made once for all segments that show the same."""
+        whose, cut = (np.zeros(len(code), np.int64), np.minimum(width, longest[code[:, j]])) if named is None else (doc, width)
+        keys, back = _distinct(whose, code[:, j], cut)
+        out = []
+        for d, c, w in zip(*(k.tolist() for k in keys)):
+            name, short = (None, None) if c < 0 else (_escaped(entities[c]), entities[c]) if named is None else named[d].get((known[j], entities[c]), (None, None))
+            entity = "" if name is None else f" entity{suffix}='{_escaped(name)}'"
+            # the short name, cut to five characters more than the segment has; [none] where there is no name
+            short = "[none]" if short is None else _escaped(short[:w] + "…" if len(short) > w else short)
+            out.append(f"{entity} short{suffix}='{short}'")
+        return pa.array(out, pa.string()).take(pa.array(back))
+
+    def chains(name: str, times: np.ndarray, some: np.ndarray, bracket: str) -> pa.Array:
+        """An attribute of so many brackets, only where a mention of the annotator is open."""
+        found, back = np.unique(np.where(some, times, -1)[marked], return_inverse=True)
+        return pa.array(["" if n < 0 else f" {name}='{bracket * n}'" for n in found.tolist()], pa.string()).take(pa.array(back))
+
+    heads = [pa.array(["<mark split='false'", "<mark split='true'"]).take(pa.array(split.astype(np.int8)))]
+    further = None if info is None else _further(x, info)
+    for j in order:
+        is_gold = known[j] == gold
+        suffix = str(gold) if is_gold else ""
+        heads += ["" if is_gold else f"<annotator index='{known[j]}'", shown(j, suffix)]
+        if not is_gold:
+            heads.append(pa.array([f" eval='{v}'" for v in sweep.LABELS]).take(pa.array(label[:, j])))
+            if further is not None:
+                heads.append(further.take(pa.array(np.where(best[:, j] >= 0, best[:, j], len(further) - 1))))
+        heads += [chains(f"chain-before{suffix}", before[:, j], open_before[:, j], "("), chains(f"chain-after{suffix}", ends[:, j], listed[:, j], ")"), ">" if is_gold else "/>\n"]
+    head = pc.binary_join_element_wise(*heads, "")
+
+    escaped = Escaped(texts)
+    size = np.diff(escaped.first)
+    alone = np.setdiff1d(np.arange(len(texts)), x.doc)  # texts without segments
+    of = np.concatenate([x.doc, alone])
+    by = np.argsort(of, kind="stable")
+    of = of[by]
+    places = np.stack([np.append(x.s, np.zeros(len(alone), np.int64)), np.append(x.e, size[alone])], axis=1)[by]
+    places = (np.minimum(places, size[of][:, None]) + escaped.first[of][:, None]).ravel()
+    said = escaped.between(np.append(places, places[-1:])).take(pa.array(np.arange(len(of)) * 2)) if len(of) else pa.array([], pa.string())
+    if line_breaks:
+        broken = said
+        for feeds in ("\n\n\n", "\n\n", "\n"):
+            broken = pc.replace_substring(broken, feeds, "<br/>")
+        said = pc.if_else(pa.array(by < len(x.doc)), broken, said)  # line feeds stay in texts without segments
+    which = np.full(len(x.doc) + len(alone), len(marked))
+    which[marked] = np.arange(len(marked))
+    which = which[by]
+    head = pa.concat_arrays([head, pa.array([""])]).take(pa.array(which))
+    foot = pa.array(["", "</mark>\n"]).take(pa.array((which < len(marked)).astype(np.int8)))
+    return joined([head, said, foot], np.searchsorted(of, np.arange(len(texts) + 1)), pc.fill_null(texts, ""))
+
+
+def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different rows of columns, and where each row is among them."""
+    order = np.lexsort(columns)
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return [c[new] for c in columns], back
+
+
+def _further(x: sweep.Layout, info: list) -> pa.Array:
+    """The further attributes of each mention, and none at the end."""
+    given = [{(n["ann"], n["seq"]): n["info"] for n in of or ()} for of in info]
+    out = ["".join(f" {k}='{_escaped(v)}'" for k, v in sorted(given[d].get((a, s)) or ()) if v is not None) for d, a, s in zip(x.mention_doc.tolist(), x.ann.tolist(), x.seq.tolist())]
+    return pa.array([*out, ""], pa.string())
 
 
 def contents(docs: DataFrame | None, nested: DataFrame | sweep.Texts, names: DataFrame | None, annotators: list[int], keys: list[str], gold: int = 0, line_breaks: bool = False, info: DataFrame | None = None, hidden: tuple[str, ...] = ()) -> DataFrame:
@@ -111,8 +141,8 @@ def contents(docs: DataFrame | None, nested: DataFrame | sweep.Texts, names: Dat
             for own, x in cut(b):
                 count = sweep.sizes(x["ms"])
                 layout = sweep.Layout(pc.fill_null(x["n_chars"], -1).to_numpy().astype(np.int64), count, x["ms"].flatten().flatten())
-                written = _written(x["text"].to_pylist(), layout, len(count), known, gold, hidden, line_breaks, *(x[c].to_pylist() if c in x else None for c in ("names", "info")))
-                yield pa.RecordBatch.from_arrays([*own, pa.array([f"<content>{w}</content>" for w in written], pa.string())], names=schema.names)
+                written = _written(x["text"], layout, known, gold, hidden, line_breaks, *(x[c].to_pylist() if c in x else None for c in ("names", "info")))
+                yield pa.RecordBatch.from_arrays([*own, pc.binary_join_element_wise("<content>", written, "</content>", "")], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
